@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import warc
+from millrace.llm import warc, webp
 
 
 def queries():
-    return {"op2_warc": warc.op2_warc}
+    return {"op2_warc": warc.op2_warc, "op10_webp": webp.op10_webp}
 
 
 def oracle_sql():
