@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import warc, webp
+from millrace.llm import mixing, warc, webp
 
 
 def queries():
-    return {"op2_warc": warc.op2_warc, "op10_webp": webp.op10_webp}
+    return {"op2_warc": warc.op2_warc, "op5_mixing": mixing.op5_mixing, "op10_webp": webp.op10_webp}
 
 
 def oracle_sql():
-    return {"op2_warc": warc.OP2_SQL}
+    return {"op2_warc": warc.OP2_SQL, "op5_mixing": mixing.OP5_SQL}
