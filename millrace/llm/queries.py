@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, warc, webp
+from millrace.llm import mixing, tokenstore, warc, webp
 
 
 def queries():
-    return {"op2_warc": warc.op2_warc, "op5_mixing": mixing.op5_mixing, "op10_webp": webp.op10_webp}
+    return {"op2_warc": warc.op2_warc, "op5_mixing": mixing.op5_mixing, "op7_tokens": tokenstore.op7_tokens, "op10_webp": webp.op10_webp}
 
 
 def oracle_sql():
