@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import extract, mixing, tokenstore, warc, webp
+from millrace.llm import extract, langid, mixing, tokenstore, warc, webp
 
 
 def queries():
-    return {"op2_warc": warc.op2_warc, "op5_mixing": mixing.op5_mixing, "op6_extract": extract.op6_extract, "op7_tokens": tokenstore.op7_tokens, "op10_webp": webp.op10_webp}
+    return {"op2_warc": warc.op2_warc, "op5_mixing": mixing.op5_mixing, "op6_extract": extract.op6_extract, "op7_tokens": tokenstore.op7_tokens, "op9_langid": langid.op9_langid, "op10_webp": webp.op10_webp}
 
 
 def oracle_sql():
