@@ -44,12 +44,13 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 WINDOW, AVERAGE, LEAST, MOST, BLOCK = 8, 1024, 128, 8192, 1 << 18
 HEAD, TAIL = b"MRPACK1\n", b"MRPACKE\n"
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_400_000
 
 # The pre-tokenizer's pattern over characters up to U+024F and general punctuation, where Python's re and
 # the library agree; texts with other characters go to the library as a whole.
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+SPACED = re.compile(f" [{LETTER}]+").fullmatch
 OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞]")
 
 
@@ -61,29 +62,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
         self.known: dict[str, bytes] = {}
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
-    def learn(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+    def learn(self, pieces: set[str]) -> None:
+        """Encode new pieces.  A space and letters always are one piece, so those go through the library as
+        one text; the ids that carry the space tell where each begins."""
+        words = list(filter(SPACED, pieces))
+        rest = list(pieces.difference(words))
+        for piece, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[piece] = np.array(e.ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, each with the end id."""
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.append(np.flatnonzero(self.spaced[ids])[1:], len(ids)) * ids.itemsize
+            if len(ends) != len(words):
+                raise ValueError("the library cut words otherwise than the pattern")
+            raw, last = ids.tobytes(), 0
+            for word, end in zip(words, ends.tolist(), strict=True):
+                self.known[word] = raw[last:end]
+                last = end
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with the end id, and where each begins and the last ends."""
         end, out = np.array([END_ID], self.dtype).tobytes(), []
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut = [None if OTHER.search(t) else PIECES.findall(t) for t in texts]
-        new = [p for p in set().union(*filter(None, cut)) if p not in self.known]
+        new = set().union(*filter(None, cut)).difference(self.known)
         if new:
             self.learn(new)
         look = self.known.__getitem__
         for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], self.dtype))
-            else:
-                out.append(np.frombuffer(b"".join(map(look, pieces)) + end, self.dtype))
-        return out
+            raw = b"".join(map(look, pieces)) if pieces is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            out.append(raw + end)
+        bounds = np.cumsum([0, *map(len, out)]) // self.dtype().itemsize
+        return np.frombuffer(b"".join(out), self.dtype), bounds
 
 
 @lru_cache(maxsize=2)
@@ -102,18 +117,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """Positions after which a stream may be cut: where the rolling hash of the last ``WINDOW`` ids has leading zeros."""
     n = len(ids)
-    if n <= LEAST:
-        return [n]
-    h = np.zeros(n, np.uint64)
-    m = mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    for k in range(WINDOW):  # the weight of an id is a power of 3 by its distance
-        h[k:] += m[: n - k] * np.uint64(3**k)
-    marks = np.flatnonzero(h >> np.uint64(64 - AVERAGE.bit_length() + 1) == 0) + 1
+    h = np.zeros(n, np.uint32)
+    m = (mixed(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)[ids & 0xFFFF]
+    for k in range(min(n, WINDOW)):  # the weight of an id is a power of 3 by its distance
+        h[k:] += m[: n - k] * np.uint32(3**k)
+    return np.flatnonzero(h < np.uint32((1 << 32) // AVERAGE)) + 1
+
+
+def cuts(marks: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a document of n ids, from the marks inside it.
+
+    The first ``LEAST`` ids are never cut, so windows that reach into the document before do not matter."""
     out, last = [], 0
-    for mark in [*marks.tolist(), n]:
+    for mark in [*marks, n]:
         while mark - last > MOST:
             last += MOST
             out.append(last)
@@ -123,8 +142,8 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
-def name_of(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(np.ascontiguousarray(ids, "<u4").tobytes(), digest_size=16).digest()
+def name_of(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -154,7 +173,7 @@ class PackWriter:
 
     def flush(self) -> None:
         if self.pending:
-            data = zstandard.ZstdCompressor(level=3).compress(b"".join(self.pending))
+            data = zstandard.ZstdCompressor(level=1).compress(b"".join(self.pending))
             self.blocks.append((self.out.tell(), len(data)))
             self.out.write(data)
             self.pending, self.size, self.ids = [], 0, 0
@@ -223,16 +242,21 @@ def write_packs(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> Dat
         for batch in batches:
             out = out or PackWriter(path, enc.dtype().itemsize)
             rows = []
-            for ids in enc.encode([t or "" for t in batch.column(1).to_pylist()]):
+            ids, bounds = enc.encode([t or "" for t in batch.column(1).to_pylist()])
+            marks = marks_of(ids)
+            edges = np.searchsorted(marks, bounds, "right")
+            for i in range(len(batch)):
+                begin, n = int(bounds[i]), int(bounds[i + 1] - bounds[i])
                 last, names = 0, []
-                for at in cuts(ids):
-                    digest = name_of(ids[last:at])
+                for at in cuts((marks[edges[i] : edges[i + 1]] - begin).tolist(), n):
+                    raw = ids[begin + last : begin + at].tobytes()
+                    digest = name_of(raw)
                     if digest not in seen:
                         seen.add(digest)
-                        out.add(digest, ids[last:at].tobytes())
+                        out.add(digest, raw)
                     names.append(digest)
                     last = at
-                rows.append((path, f"{path[-37:-5]}/{count}", len(ids), merkle(names), names))
+                rows.append((path, f"{path[-37:-5]}/{count}", n, merkle(names), names))
                 count += 1
             if rows:
                 p, d, n, r, c = zip(*rows, strict=True)
@@ -301,14 +325,18 @@ def read_store(recipes: DataFrame) -> DataFrame:
         reader = PackReader()
         for batch in batches:
             counts, sums = [], []
-            for root, chunks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            chunks = batch.column(3)
+            first = chunks.offsets.to_numpy()
+            digests, *places = (chunks.values.field(f).to_pylist() for f in ("digest", "path", "offset", "bytes", "first", "ids", "width"))
+            places = list(zip(*places, strict=True))
+            for i, root in enumerate(batch.column(2).to_pylist()):
                 crc = n = 0
-                for c in chunks:
-                    ids = reader.chunk(c["path"], c["offset"], c["bytes"], c["first"], c["ids"], c["width"])
-                    if name_of(ids) != c["digest"]:
-                        raise ValueError(f"a chunk in {c['path']} is damaged")
+                for k in range(first[i], first[i + 1]):
+                    ids = reader.chunk(*places[k])
+                    if name_of(ids.tobytes()) != digests[k]:
+                        raise ValueError(f"a chunk in {places[k][0]} is damaged")
                     crc, n = zlib.crc32(ids.astype("<u4").tobytes(), crc), n + len(ids)
-                if merkle([c["digest"] for c in chunks]) != root:
+                if merkle(digests[first[i] : first[i + 1]]) != root:
                     raise ValueError("a recipe is damaged")
                 counts.append(n)
                 sums.append(crc)
