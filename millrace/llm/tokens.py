@@ -41,20 +41,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """hashes of all words; words of text i are at first[i] to first[i + 1]; starts and ends are bytes in ``data``."""
+    """hashes of all words; words of text i are at first[i] to first[i + 1]; starts and ends are bytes in ``data``; bounds are where texts begin there."""
 
     hashes: np.ndarray
     first: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     data: np.ndarray
+    bounds: np.ndarray
 
 
 def _piece(data: np.ndarray, offsets: np.ndarray) -> Words:
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), empty, empty, data)
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), empty, empty, data, offsets)
     word = WORD[data]
     high = np.flatnonzero(data >= 0xC2)
     lead = data[high]
@@ -80,7 +81,7 @@ def _piece(data: np.ndarray, offsets: np.ndarray) -> Words:
     total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n])
     sums = total[ends - 1]
     sums[starts > 0] -= total[starts[starts > 0] - 1]
-    return Words(mixed(sums * down[starts]), np.searchsorted(starts, offsets), starts, ends, data)
+    return Words(mixed(sums * down[starts]), np.searchsorted(starts, offsets), starts, ends, data, offsets)
 
 
 def pieces(texts: pa.Array):
