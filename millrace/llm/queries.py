@@ -6,8 +6,16 @@ from millrace.llm import extract, langid, mixing, tokenstore, toxicity, warc, we
 
 
 def queries():
-    return {"op2_warc": warc.op2_warc, "op4_toxicity": toxicity.op4_toxicity, "op5_mixing": mixing.op5_mixing, "op6_extract": extract.op6_extract, "op7_tokens": tokenstore.op7_tokens, "op9_langid": langid.op9_langid, "op10_webp": webp.op10_webp}
+    return {
+        "op2_warc": warc.op2_warc,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_mixing": mixing.op5_mixing,
+        "op6_extract": extract.op6_extract,
+        "op7_tokens": tokenstore.op7_tokens,
+        "op9_langid": langid.op9_langid,
+        "op10_webp": webp.op10_webp,
+    }
 
 
 def oracle_sql():
-    return {"op2_warc": warc.OP2_SQL, "op4_toxicity": toxicity.op4_toxicity, "op5_mixing": mixing.OP5_SQL}
+    return {"op2_warc": warc.OP2_SQL, "op5_mixing": mixing.OP5_SQL}
