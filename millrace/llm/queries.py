@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import extract, langid, mixing, tokenstore, toxicity, warc, webp
+from millrace.llm import extract, langid, mixing, quality, tokenstore, toxicity, warc, webp
 
 
 def queries():
     return {
         "op2_warc": warc.op2_warc,
+        "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_mixing": mixing.op5_mixing,
         "op6_extract": extract.op6_extract,
