@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import extract, langid, mixing, quality, tokenstore, toxicity, warc, webp
+from millrace.llm import decontaminate, extract, langid, mixing, quality, tokenstore, toxicity, warc, webp
 
 
 def queries():
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_warc": warc.op2_warc,
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
