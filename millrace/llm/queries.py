@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, extract, langid, mixing, quality, tokenstore, toxicity, warc, webp
+from millrace.llm import decontaminate, extract, langid, mixing, neardup, quality, tokenstore, toxicity, warc, webp
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_mixing": mixing.op5_mixing,
         "op6_extract": extract.op6_extract,
         "op7_tokens": tokenstore.op7_tokens,
+        "op8_neardup": neardup.op8_neardup,
         "op9_langid": langid.op9_langid,
         "op10_webp": webp.op10_webp,
     }
