@@ -86,25 +86,39 @@ def schedule(table: DataFrame, block: int) -> DataFrame:
     return ranked.join(F.broadcast(listed), "at").where(F.col("rank") < MOST_REPEATS * F.col("blocks")).select("slot", "pos", "blocks", "rank")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document."""
+def mix(docs: DataFrame, also: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken (and ``also``) for every document."""
     base, table, block = plan(docs)
     uses = schedule(table, block).groupBy("pos", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
     table = common.small(table)
-    known = base.join(table, base["source"].eqNullSafe(table["source"])).select("doc_id", "size", "source_size", "target", "pos")
+    known = base.join(table, base["source"].eqNullSafe(table["source"])).select("doc_id", base["source"], "size", "source_size", "target", "pos")
     shuffled = known.where("size > 0").withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    placed = common.running_total(shuffled, ["pos", "key", "size"], "size", "before", "mix-order", extra=["doc_id"])
+    placed = common.running_total(shuffled.drop(*({"source"} - set(also))), ["pos", "key", "size"], "size", "before", "mix-order", extra=["doc_id"])
     # A source's stream begins where those of the sources before it end.
     starts = table.where("pos is not null").select("pos", (F.sum("source_size").over(Window.orderBy("pos")) - F.col("source_size")).alias("start"))
     placed = placed.join(F.broadcast(starts), "pos").withColumn("from", F.col("before") - F.col("start")).withColumn("to", F.col("from") + F.col("size"))
     cut = placed.select("pos", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("block"))
     share = F.least(F.col("to"), (F.col("block") + 1) * block) - F.greatest(F.col("from"), F.col("block") * block)
     taken = cut.join(uses, ["pos", "block"]).groupBy("pos", "from").agg(F.sum(share * F.col("times")).alias("taken"))
-    out = placed.join(taken, ["pos", "from"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
-    empty = known.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    out = placed.join(taken, ["pos", "from"], "left").select("doc_id", *also, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    empty = known.where("size = 0").select("doc_id", *also, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return out.unionByName(empty)
 
 
+def sampled(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as the mixture takes it (``taken`` over size, rounded; texts without tokens never).
+
+    Counts go to the documents by id, source and size; rows that share all three share their counts evenly.
+    Counts are broadcast where there are few, else joined."""
+    sized = docs.withColumn("__size", tokens(F.col("text")))
+    got = mix(docs, ["source"]).where("taken > 0")
+    counts = got.groupBy("doc_id", "source", "size").agg(F.round(F.sum("taken") / F.count(F.lit(1)) / F.first("size")).cast("int").alias("__times")).where("__times > 0")
+    counts = common.small(common.materialize(counts, "mix-counts").withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__n"}))
+    on = sized["doc_id"].eqNullSafe(F.col("__id")) & sized["source"].eqNullSafe(F.col("__source")) & (sized["__size"] == F.col("__n"))
+    repeated = sized.join(counts, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return repeated.select(*docs.columns)
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """Mix all documents; see the module for the rules."""
     common.prepare(spark)

@@ -241,31 +241,53 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
 
 
+class Limits:
+    """Medians and quantiles of trusted documents by language, as small tables."""
+
+    def __init__(self, known: DataFrame):
+        """``known``: lang, n_bytes and perplexity of the trusted documents."""
+        of = F.col("lang").alias("of")
+        middle = lambda q, name: F.percentile_approx(F.log("perplexity"), q, 10_000).alias(name)
+        self.medians, self.median = common.small(known.groupBy("lang").agg(middle(0.5, "median")).select(of, "median")), known.agg(middle(0.5, "median0"))
+        excess = self.centred(known)
+        top = lambda name: (SLACK * F.percentile_approx("excess", HIGH, 10_000)).alias(name)
+        self.tops, self.top = common.small(excess.groupBy("lang").agg(top("top")).select(of, "top")), excess.agg(top("top0"))
+
+    def centred(self, rows: DataFrame) -> DataFrame:
+        """Adds median, scale and excess (see the module)."""
+        rows = rows.join(self.medians, rows["lang"].eqNullSafe(F.col("of")), "left").drop("of").join(F.broadcast(self.median))
+        rows = rows.withColumn("median", F.coalesce("median", "median0")).withColumn("scale", F.sqrt(F.col("n_bytes") / (F.col("n_bytes") + SHORT)))
+        return rows.withColumn("excess", (F.log("perplexity") - F.col("median")) * F.col("scale"))
+
+    def decided(self, rows: DataFrame) -> DataFrame:
+        """Adds threshold and keep."""
+        out = self.centred(rows)
+        out = out.join(self.tops, out["lang"].eqNullSafe(F.col("of")), "left").join(F.broadcast(self.top)).withColumn("top", F.coalesce("top", "top0"))
+        keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("excess") <= F.col("top"), F.lit(True))
+        return out.withColumn("threshold", F.exp(F.col("median") + F.col("top") / F.col("scale"))).withColumn("keep", keep)
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str, int]:
+    """(ids of trusted documents, folder and shards of the model)."""
+    trusted = common.small(trusted_ids(labels))
+    return trusted, *save(build(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi")))
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, keep) for every document."""
-    trusted = common.small(trusted_ids(labels))
-    model = build(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi"))
-    path, shards = save(model)
+    trusted, path, shards = trained(docs, labels)
     scored = common.materialize(score(docs.select("doc_id", "lang", "text"), path, shards), "kn-scores")
-    known = scored.where("perplexity is not null").join(trusted, "doc_id", "left_semi")
-    by_lang = known.groupBy("lang").agg(F.percentile_approx(F.log("perplexity"), 0.5, 10_000).alias("median"))
-    overall = known.agg(F.percentile_approx(F.log("perplexity"), 0.5, 10_000).alias("median0"))
-    medians = common.small(by_lang.select(F.col("lang").alias("of"), "median"))
-
-    def centred(rows: DataFrame) -> DataFrame:
-        rows = rows.join(medians, rows["lang"].eqNullSafe(F.col("of")), "left").drop("of").join(F.broadcast(overall))
-        scale = F.sqrt(F.col("n_bytes") / (F.col("n_bytes") + SHORT))
-        rows = rows.withColumn("median", F.coalesce("median", "median0")).withColumn("scale", scale)
-        return rows.withColumn("excess", (F.log("perplexity") - F.col("median")) * F.col("scale"))
+    limits = Limits(scored.where("perplexity is not null").join(trusted, "doc_id", "left_semi"))
+    return limits.decided(scored).select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "keep")
+
 
-    excess = centred(known)
-    tops = excess.groupBy("lang").agg((SLACK * F.percentile_approx("excess", HIGH, 10_000)).alias("top"))
-    overall_top = excess.agg((SLACK * F.percentile_approx("excess", HIGH, 10_000)).alias("top0"))
-    tops = common.small(tops.select(F.col("lang").alias("of"), "top"))
-    out = centred(scored)
-    out = out.join(tops, out["lang"].eqNullSafe(F.col("of")), "left").join(F.broadcast(overall_top)).withColumn("top", F.coalesce("top", "top0"))
-    keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("excess") <= F.col("top"), F.lit(True))
-    return out.select("doc_id", "lang", "n_bytes", "perplexity", F.exp(F.col("median") + F.col("top") / F.col("scale")).alias("threshold"), keep.alias("keep"))
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns; no document is shuffled."""
+    trusted, path, shards = trained(docs, labels)
+    known = score(docs.select("doc_id", "lang", "text").join(trusted, "doc_id", "left_semi"), path, shards)
+    limits = Limits(common.materialize(known.where("perplexity is not null").select("lang", "n_bytes", "perplexity"), "kn-scores"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang").alias("lang"), F.col("text").alias("text"))
+    return limits.decided(score(packed, path, shards)).where("keep").select("row.*")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
