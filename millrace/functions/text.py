@@ -18,6 +18,11 @@ def words_of(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def ascii_lower(x: Column) -> Column:
     return F.translate(x, UPPER, LOWER)
 
@@ -128,8 +133,9 @@ def years(x: Column) -> Column:
 
 def title_key(title: Column) -> Column:
     """Distinct words of a title; numbers of four digits and more that repeat are left out."""
-    ws = tokens(F.replace(title, F.lit("%20"), F.lit(" ")))
-    return F.array_join(F.array_distinct(F.filter(ws, lambda w: ~(w.rlike(r"^[0-9]{4,}$") & (F.size(F.filter(ws, lambda v: v == w)) > 1)))), " ")
+    repeats = lambda ws, w: F.size(F.filter(ws, lambda v: v == w)) > 1
+    kept = lambda ws: F.array_distinct(F.filter(ws, lambda w: ~(w.rlike(r"^[0-9]{4,}$") & repeats(ws, w))))
+    return F.array_join(let(tokens(F.replace(title, F.lit("%20"), F.lit(" "))), kept), " ")
 
 
 def title_keys_equivalent(a: Column, b: Column) -> Column:
@@ -243,10 +249,15 @@ def cache_key(query: Column) -> Column:
 
 def shingles(x: Column) -> Column:
     """Distinct runs of five words (Unicode lower case), null for texts with fewer than 44 words or 40 runs."""
-    ws = F.filter(F.split(F.lower(x), NOT_WORD), lambda w: w != "")
     n = fixed.SHINGLE_WORDS
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " ")))
-    return F.when((F.size(ws) >= fixed.LEAST_SHINGLES + n - 1) & (F.size(runs) >= fixed.LEAST_SHINGLES), runs)
+    enough = fixed.LEAST_SHINGLES + n - 1
+
+    def of(ws: Column) -> Column:
+        at = F.when(F.size(ws) >= enough, F.sequence(F.lit(1), F.size(ws) - n + 1))
+        return F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", *[F.get(ws, i + (k - 1)) for k in range(n)])))
+
+    runs = let(F.filter(F.split(F.lower(x), NOT_WORD), lambda w: w != ""), of)
+    return let(runs, lambda r: F.when(F.size(r) >= fixed.LEAST_SHINGLES, r))
 
 
 def alphanumerics(x: Column) -> Column:

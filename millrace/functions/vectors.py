@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
@@ -23,7 +25,7 @@ def norm(x: Column) -> Column:
 def shortened(x: Column, n: int) -> Column:
     """The first n dimensions, of length 1 again."""
     y = F.slice(x, 1, n)
-    return F.transform(y, lambda v: v.cast("double") / norm(y))
+    return let(norm(y), lambda d: F.transform(y, lambda v: v.cast("double") / d))
 
 
 def affine(x: Column, m: float, a: float) -> Column:
@@ -46,9 +48,8 @@ def binary(x: Column, y: Column, f) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    most = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v.cast("double") - most.cast("double")))
-    return F.transform(e, lambda v: v / total(e))
+    e = let(F.array_max(x), lambda most: F.transform(x, lambda v: F.exp(v.cast("double") - most.cast("double"))))
+    return let(e, lambda y: let(total(y), lambda t: F.transform(y, lambda v: v / t)))
 
 
 def gather(x: Column, ids: Column) -> Column:
@@ -67,7 +68,7 @@ def rotary(x: Column, cos: Column, sin: Column) -> Column:
 
 def rms_norm(x: Column, weight: Column, epsilon: float = 1e-6) -> Column:
     scale = F.sqrt(dot(x, x) / F.size(x) + epsilon)
-    return F.zip_with(x, weight, lambda v, w: v / scale * (1 + w))
+    return let(scale, lambda d: F.zip_with(x, weight, lambda v, w: v / d * (1 + w)))
 
 
 def narrow(x: Column, start: int, n: int) -> Column:
@@ -85,5 +86,4 @@ def reshaped(x: Column, rows: int, columns: int) -> Column:
 
 def matmul(a: Column, b: Column) -> Column:
     """Product of two small matrices held in one row."""
-    bt = transposed(b)
-    return F.transform(a, lambda r: F.transform(bt, lambda c: dot(r, c)))
+    return let(transposed(b), lambda t: F.transform(a, lambda r: F.transform(t, lambda c: dot(r, c))))

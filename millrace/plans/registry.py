@@ -1,15 +1,52 @@
-"""Registered queries and their SQL twins (filled by the plan modules)."""
+"""Registered queries and their SQL twins.
+
+A plan module defines queries with the decorator :func:`query`; importing it registers them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) under ``name``, with the SQL that gives the same rows."""
+
+    def add(f):
+        if name in _queries:
+            raise ValueError(f"{name} is registered twice")
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    from millrace.plans import flow, relational, scalars  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_queries)
 
-def queries():
-    return {}
 
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_sql)
 
-def oracle_sql():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval end to end: three questions over the documents, within a character budget."""
+    from millrace.plans import search
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return search.demo(spark, sf_dir)
