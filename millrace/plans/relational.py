@@ -1,0 +1,441 @@
+"""Queries of joins, merges, aggregates, ranks, duplicates, passages and budgets, each with its SQL twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from millrace.functions import fixed, text, urls, vectors
+from millrace.operators import budget, chunking, dedup, evidence, merge, rank
+from millrace.plans import sql
+from millrace.plans.registry import query, table
+from millrace.plans.scalars import FACTS, HOST, MARKDOWN, REG
+
+#: Questions in the words of the test documents.
+LOOKUPS = [(1, "hewh and onon hahehe outionre"), (2, "queque de aiauxvi elle tion"), (3, "keit ung enheit der lichkeit nicht")]
+K_SQL = sql.values("k", ["query_id", "query"], LOOKUPS)
+
+
+def lookups(spark):
+    return spark.createDataFrame(LOOKUPS, "query_id int, query string")
+
+
+TERMS = f"""{K_SQL},
+qt AS (SELECT query_id, t, i FROM (SELECT query_id, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM (SELECT query_id, {sql.tokens('query')} AS t FROM k)) WHERE strlen(t) >= 3 AND NOT list_contains({sql.arr(fixed.LEXICAL_STOP)}, t)),
+term AS (SELECT query_id, t, min(i) AS i FROM qt GROUP BY ALL),
+dt AS (SELECT doc_id, unnest(list_distinct({sql.tokens('text')})) AS t FROM documents),
+hit AS (SELECT doc_id, t FROM dt WHERE t IN (SELECT t FROM term)),
+df AS (SELECT t, count(*) AS df FROM hit GROUP BY t),
+w AS (SELECT query_id, term.t, i, coalesce(df, 0) AS df, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(df, 0) + 1)) + 1 AS w FROM term LEFT JOIN df ON term.t = df.t),
+wd AS (SELECT *, df > 0 AND row_number() OVER (PARTITION BY query_id ORDER BY (df > 0) DESC, w DESC, i) <= 2 AS d FROM w)"""
+SCORE = f"""{TERMS},
+tot AS (SELECT query_id, sum(w) AS w, sum(w) FILTER (WHERE d) AS wd FROM wd GROUP BY query_id),
+got AS (SELECT query_id, doc_id, sum(w) AS g, coalesce(sum(w) FILTER (WHERE d), 0) AS gd FROM hit JOIN wd ON hit.t = wd.t GROUP BY ALL),
+score AS (SELECT got.query_id, doc_id, CASE WHEN tot.wd IS NULL THEN g / tot.w ELSE 0.6 * g / tot.w + 0.4 * gd / tot.wd END AS s FROM got JOIN tot ON got.query_id = tot.query_id)"""
+
+
+def scored(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    terms = evidence.query_terms(lookups(spark))
+    hits = evidence.matches(docs, terms)
+    weighted = evidence.weights(terms, hits, docs.count())
+    return weighted, evidence.coverage(weighted, hits)
+
+
+@query("a1_term_weights", f"WITH {TERMS} SELECT query_id, t AS term, CAST(df AS BIGINT) AS df, round(w, 9) AS weight, d AS decisive FROM wd")
+def a1_term_weights(spark, sf_dir):
+    return scored(spark, sf_dir)[0].select("query_id", "term", "df", F.round("weight", 9).alias("weight"), "decisive")
+
+
+@query("a2_coverage", f"WITH {SCORE} SELECT query_id, doc_id, round(s, 9) AS score FROM score")
+def a2_coverage(spark, sf_dir):
+    """A2, J8, J9."""
+    return scored(spark, sf_dir)[1].select("query_id", "doc_id", F.round("score", 9).alias("score"))
+
+
+@query("o2_lexical_top", f"WITH {SCORE} SELECT query_id, doc_id, round(s, 9) AS score, CAST(r AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS r FROM score) WHERE r <= 32")
+def o2_lexical_top(spark, sf_dir):
+    """O2, O3: the candidate pool."""
+    s = scored(spark, sf_dir)[1].withColumn("score", F.round("score", 9))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= fixed.POOL)
+
+
+ADVICE = [
+    (1, "USPSTF 2023 statement. Adults should start a statin. Other text.", "statin", ["uspstf"], 2023),
+    (2, "The Preventive Services Task Force in 2023: statin use; they must wait", "statin", ["uspstf"], 2023),
+    (3, "In 2023 the preventive services task force: consider statin use", "statin", ["uspstf"], 2023),
+    (4, "USPSTF 2022: consider statin use", "statin", ["uspstf"], 2023),
+    (5, "Consider statin use", "statin", [], None),
+]
+
+
+@query("a3_recommendations")
+def a3_recommendations(spark, sf_dir):
+    df = spark.createDataFrame(ADVICE, "id int, passage string, term string, acronyms array<string>, year int")
+    return df.select("id", evidence.recommends(F.col("passage"), F.col("term"), F.col("acronyms"), F.col("year")).alias("score"))
+
+
+@query("a4_added_terms", f"WITH d AS (SELECT doc_id, substr(text, 1, 60) AS e, substr(text, 61) AS c FROM documents) SELECT doc_id, len(list_filter(list_distinct({sql.tokens('e')}), lambda t: list_contains(['the', 'and', 'thanea', 'que', 'der'], t) AND NOT list_contains({sql.tokens('c')}, t))) > 0 AS adds FROM d")
+def a4_added_terms(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("e"), F.expr("substring(text, 61)").alias("c"))
+    return d.select("doc_id", evidence.adds_terms(F.col("e"), F.col("c"), text.words_of(["the", "and", "thanea", "que", "der"])).alias("adds"))
+
+
+@query("a5_numeric_consensus", "WITH " + sql.values("f", ["id", "site", "fact"], [(1, "example.com", 3400), (2, "example.org", 3400), (3, "example.net", 3400), (4, "example.net", 2900), (5, "example.net", 6100)]) + f", s AS (SELECT fact, count(DISTINCT site) AS n FROM f GROUP BY fact HAVING count(DISTINCT site) >= {fixed.NUMERIC_DOMAINS}) SELECT id AS doc_id, max(CAST({fixed.NUMERIC_WEIGHT} * n / (SELECT max(n) FROM s) AS DOUBLE)) AS score FROM f JOIN s ON f.fact = s.fact GROUP BY id")
+def a5_numeric_consensus(spark, sf_dir):
+    """Percentages that three sites or more agree on."""
+    from millrace.functions import intent
+    from millrace.plans.scalars import QUESTIONS
+
+    rows = spark.createDataFrame(FACTS, "id int, host string, passage string").withColumn("c", intent.percent_context(F.lit(QUESTIONS[8][1])))
+    facts = rows.select(F.lit(1).alias("query_id"), F.col("id").alias("doc_id"), urls.registrable(F.col("host")).alias("site"), F.explode(intent.percentages(F.col("passage"), F.col("c.relations"), F.col("c.topics"))).alias("fact"))
+    return evidence.numeric_consensus(facts).select("doc_id", "score")
+
+
+@query("a7_consensus", "WITH o AS (SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_type) AS n FROM events GROUP BY ALL) SELECT user_id AS hit, bool_or(n >= 2) AS consensus FROM o GROUP BY user_id")
+def a7_consensus(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return dedup.consensus(e.select(F.col("user_id").alias("hit"), F.to_date("ts").alias("observation"), F.col("event_type").alias("engine")))
+
+
+@query("a8_flag_merge", f"SELECT {REG} AS site, bool_or(starts_with(url, 'https')) AS secure, max(substr(url, 1, 10)) AS newest, min_by(url, page_id) FILTER (WHERE url LIKE '%/en/%') AS first_english, count(DISTINCT {HOST}) AS hosts FROM pages GROUP BY 1")
+def a8_flag_merge(spark, sf_dir):
+    """Flags or-ed, largest string, first value that fits, over the pages of a site."""
+    p = table(spark, sf_dir, "pages").withColumn("h", urls.host(F.col("url")))
+    english = F.min_by("url", F.when(F.col("url").contains("/en/"), F.col("page_id")))
+    return p.groupBy(urls.registrable(F.col("h")).alias("site")).agg(F.max(F.col("url").startswith("https").cast("int")).cast("boolean").alias("secure"), F.max(F.substring("url", 1, 10)).alias("newest"), F.when(F.max(F.col("url").contains("/en/").cast("int")) == 1, english).alias("first_english"), F.countDistinct("h").alias("hosts"))
+
+
+@query("a9_official_host", f"WITH p AS (SELECT page_id, {REG} AS site, contains(html, 'the ') AS m FROM pages ORDER BY page_id LIMIT 12), g AS (SELECT site, 4 * count(*) FILTER (WHERE m) + count(*) AS score, min(page_id) AS first FROM p GROUP BY site) SELECT site, CAST(score AS BIGINT) AS score FROM g ORDER BY score DESC, first LIMIT 1")
+def a9_official_host(spark, sf_dir):
+    """The site with the highest score among the first twelve rows, earliest on ties (a top-k report)."""
+    p = table(spark, sf_dir, "pages").orderBy("page_id").limit(12).select("page_id", urls.registrable(urls.host(F.col("url"))).alias("site"), F.col("html").contains("the ").alias("m"))
+    g = p.groupBy("site").agg((4 * F.sum(F.col("m").cast("int")) + F.count(F.lit(1))).alias("score"), F.min("page_id").alias("first"))
+    return g.orderBy(F.desc("score"), "first").limit(1).select("site", "score")
+
+
+# ---- merges (M) and joins (J) over documents of two sources, as ranked lists of one query per language
+LISTS = """a AS (SELECT lang AS query_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, 'u' || (doc_id % 97) AS url, doc_id FROM documents WHERE source = 'src1'),
+b AS (SELECT lang AS query_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, 'u' || (doc_id % 97) AS url, doc_id FROM documents WHERE source = 'src2')"""
+
+
+def lists(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    pos = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
+
+    def one(source):
+        return docs.where(F.col("source") == source).select(F.col("lang").alias("query_id"), pos.alias("pos"), F.concat(F.lit("u"), (F.col("doc_id") % 97).cast("string")).alias("url"), "doc_id")
+
+    return one("src1"), one("src2")
+
+
+def merged_sql(body: str) -> str:
+    return f"WITH {LISTS}, m AS ({body}) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x, y, z) - 1 AS INT) AS pos, url, doc_id FROM m"
+
+
+@query("m1_interleave", merged_sql("SELECT *, pos AS x, 0 AS y, 0 AS z FROM a UNION ALL SELECT *, pos, 1, 0 FROM b"))
+def m1_interleave(spark, sf_dir):
+    """M1, M2."""
+    return merge.interleave(*lists(spark, sf_dir))
+
+
+@query("m3_source_merge", f"WITH {LISTS}, f AS (SELECT *, 0 AS s FROM b WHERE doc_id % 2 = 0 UNION ALL SELECT *, 1 FROM a WHERE doc_id % 2 = 0), l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, pos) AS x, 0 AS y FROM f UNION ALL SELECT *, 0, row_number() OVER (PARTITION BY query_id ORDER BY pos), 1 FROM a WHERE doc_id % 2 = 1) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x, y) - 1 AS INT) AS pos, url, doc_id FROM l")
+def m3_source_merge(spark, sf_dir):
+    a, b = lists(spark, sf_dir)
+    return merge.source_merge(a, b, F.col("doc_id") % 2 == 0)
+
+
+@query("m4_local_merge", merged_sql(f"SELECT *, 1 AS x, pos AS y, 0 AS z FROM a UNION ALL SELECT *, CASE WHEN pos < {fixed.SIDE_POSITION} THEN 0 ELSE 2 END, pos, 0 FROM b"))
+def m4_local_merge(spark, sf_dir):
+    return merge.local_merge(*lists(spark, sf_dir))
+
+
+@query("m5_manifestations")
+def m5_manifestations(spark, sf_dir):
+    a, b = lists(spark, sf_dir)
+    d = F.col("doc_id")
+    found = b.withColumn("coverage", (d % 6).cast("int")).withColumn("terms", F.lit(6)).withColumn("pdf", d % 2 == 0).withColumn("html", d % 3 == 0).withColumn("doi", d % 5 == 0)
+    return merge.manifestation_merge(a, found)
+
+
+@query("m6_pool")
+def m6_pool(spark, sf_dir):
+    """M6: a query whose primary scan failed has side rows only and is not healthy."""
+    a, b = (x.withColumn("url_key", F.col("url")).withColumn("title_key", F.concat(F.lit("t"), F.col("doc_id") % 13)) for x in lists(spark, sf_dir))
+    healthy = a.select("query_id").distinct().withColumn("healthy", F.col("query_id") != "fr")
+    return merge.pool(a, b, healthy, 20)
+
+
+@query("m7_backfill", f"WITH {LISTS}, m AS (SELECT *, 0 AS s FROM a UNION ALL SELECT *, 1 FROM b), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY s, pos) AS n FROM m) WHERE n = 1), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s, pos) - 1 AS pos, url, doc_id FROM o) SELECT query_id, CAST(pos AS INT) AS pos, url, doc_id FROM r WHERE pos < 32")
+def m7_backfill(spark, sf_dir):
+    return merge.backfill(*lists(spark, sf_dir), fixed.POOL)
+
+
+@query("m8_prioritize", f"WITH {LISTS} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 3 = 0 DESC, pos) - 1 AS INT) AS pos, url, doc_id FROM a")
+def m8_prioritize(spark, sf_dir):
+    return merge.prioritize(lists(spark, sf_dir)[0], F.col("doc_id") % 3 == 0)
+
+
+@query("m9_reserve", f"WITH {LISTS}, s AS (SELECT *, doc_id % 4 = 0 AS p, doc_id % 7 AS sc FROM a), f AS (SELECT *, p AND row_number() OVER (PARTITION BY query_id ORDER BY p DESC, sc DESC, pos) = 1 AS f FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, pos) - 1 AS n FROM f) SELECT query_id, CAST(n AS INT) AS pos, doc_id FROM r WHERE n < 8")
+def m9_reserve(spark, sf_dir):
+    a = lists(spark, sf_dir)[0].withColumn("p", F.col("doc_id") % 4 == 0).withColumn("score", F.col("doc_id") % 7)
+    return merge.reserve(a, "p", "score", 8).select("query_id", "pos", "doc_id")
+
+
+@query("o1_relevance_sort", f"WITH {LISTS} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 5 DESC, doc_id % 3 DESC, pos) - 1 AS INT) AS pos, doc_id FROM a")
+def o1_relevance_sort(spark, sf_dir):
+    a = lists(spark, sf_dir)[0].withColumn("score", F.col("doc_id") % 5).withColumn("n_engines", F.col("doc_id") % 3)
+    return merge.relevance_sorted(a).select("query_id", "pos", "doc_id")
+
+
+@query("j1_reattach", f"WITH {LISTS} SELECT a.query_id, a.doc_id, coalesce(b.n > 0, false) AS known, coalesce(b.n, 0) AS n FROM a LEFT JOIN (SELECT query_id, url, count(*) AS n FROM b GROUP BY ALL) b ON a.query_id = b.query_id AND a.url = b.url")
+def j1_reattach(spark, sf_dir):
+    """Rows find their metadata again by URL; defaults where there is none."""
+    a, b = lists(spark, sf_dir)
+    meta = b.groupBy("query_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    return a.join(meta, ["query_id", "url"], "left").select("query_id", "doc_id", F.coalesce(F.col("n") > 0, F.lit(False)).alias("known"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("j2_entities")
+def j2_entities(spark, sf_dir):
+    """Pages of a language merged by URL key or equivalent title, in page order."""
+    p = table(spark, sf_dir, "pages").withColumn("lang", F.regexp_extract("html", 'lang="([a-z]+)"', 1))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    key = urls.canonical(urls.parse(F.col("url")))
+    pos = F.row_number().over(Window.partitionBy("lang").orderBy("page_id")) - 1
+    rows = p.select(F.crc32(F.col("lang").cast("binary")).alias("query_id"), pos.alias("pos"), "url", title.alias("title"), F.lit(None).cast("string").alias("date"), F.lit("").alias("snippet"), F.lit(None).cast("string").alias("doi"), F.array(key).alias("url_keys"), text.title_key(title).alias("title_key"), (F.col("page_id") % 10 == 0).alias("source_priority"))
+    return dedup.entities(rows)
+
+
+@query("j4_replies")
+def j4_replies(spark, sf_dir):
+    rows = [(1, "a.org", "Slow parser in release builds", False), (2, "a.org", "Re: Slow parser in release builds", True), (3, "b.org", "Re: Slow parser in release builds", True), (4, "a.org", "Comment on: parser in release builds", True), (5, "a.org", "Other", False)]
+    return dedup.reply_roots(spark.createDataFrame(rows, "doc_id int, host string, title string, source_priority boolean"))
+
+
+@query("j5_unlabelled", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def j5_unlabelled(spark, sf_dir):
+    """Anti join."""
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("j6_side_insert", f"""WITH {LISTS}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY pos) AS u FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = b.query_id AND a.url = b.url)),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id % 13 ORDER BY pos) AS n FROM s WHERE u = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = s.query_id AND a.doc_id % 13 = s.doc_id % 13)),
+m AS (SELECT query_id, pos, url, doc_id, CASE WHEN pos < {fixed.SIDE_POSITION} THEN 0 ELSE 2 END AS x FROM a UNION ALL SELECT query_id, pos, url, doc_id, 1 FROM t WHERE n = 1),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY x, pos) - 1 AS pos, url, doc_id FROM m) SELECT query_id, CAST(pos AS INT) AS pos, url, doc_id FROM r WHERE pos < 32""")
+def j6_side_insert(spark, sf_dir):
+    a, b = (x.withColumn("url_key", F.col("url")).withColumn("title_key", F.col("doc_id") % 13) for x in lists(spark, sf_dir))
+    return merge.side_insert(a, b, fixed.POOL).select("query_id", "pos", "url", "doc_id")
+
+
+@query("j10_trusted", "SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+def j10_trusted(spark, sf_dir):
+    """Semi join."""
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(good, "doc_id", "left_semi")
+
+
+# ---- duplicates
+PAIRS = r"""w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS t FROM documents),
+s AS (SELECT doc_id, source, list_distinct(list_transform(range(1, len(t) - 3), lambda i: t[i] || ' ' || t[i+1] || ' ' || t[i+2] || ' ' || t[i+3] || ' ' || t[i+4])) AS s FROM w WHERE len(t) >= 44),
+k AS (SELECT doc_id, source, len(s) AS n, s FROM s WHERE len(s) >= 40),
+e AS (SELECT doc_id, source, n, unnest(s) AS g FROM k),
+j AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, least(x.n, y.n) AS small, greatest(x.n, y.n) AS large, x.source = y.source AS same FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n, x.source, y.source),
+p AS (SELECT a, b, shared, small, large FROM j WHERE (same AND shared * 100 >= small * 95 AND shared * 100 >= large * 82) OR (shared * 100 >= small * 98 AND shared * 100 >= large * 95))"""
+
+
+@query("j3_near_pairs", f"WITH {PAIRS} SELECT a, b, CAST(shared AS INT) AS shared, CAST(small AS INT) AS small, CAST(large AS INT) AS large FROM p")
+def j3_near_pairs(spark, sf_dir):
+    """J3, T26."""
+    return dedup.near_pairs(table(spark, sf_dir, "documents"), "source")
+
+
+@query("c2_clusters", f"WITH RECURSIVE {PAIRS}, l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.id) SELECT id AS doc_id, min(m) AS cluster FROM r GROUP BY id")
+def c2_clusters(spark, sf_dir):
+    """C1, C2."""
+    docs = table(spark, sf_dir, "documents")
+    return dedup.clusters(docs, dedup.near_pairs(docs, "source"))
+
+
+@query("a11_representatives", f"WITH RECURSIVE {PAIRS}, l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.id), c AS (SELECT id AS doc_id, min(m) AS cluster FROM r GROUP BY id) SELECT cluster AS position, arg_min(c.doc_id, (-n_chars, c.doc_id)) AS doc_id, bool_or(c.doc_id % 5 = 0) AS source_priority FROM c JOIN documents d ON c.doc_id = d.doc_id GROUP BY cluster")
+def a11_representatives(spark, sf_dir):
+    """The longest document of each cluster, flags or-ed, at the cluster's first place."""
+    docs = table(spark, sf_dir, "documents")
+    members = dedup.clusters(docs, dedup.near_pairs(docs, "source")).join(docs.select("doc_id", "n_chars"), "doc_id").withColumn("source_priority", F.col("doc_id") % 5 == 0)
+    return dedup.representatives(members, [F.desc("n_chars")]).select("position", "doc_id", "source_priority")
+
+
+@query("j7_exact_groups", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first, count(*) OVER (PARTITION BY text) AS copies FROM documents")
+def j7_exact_groups(spark, sf_dir):
+    return dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("u2_pages_once", f"WITH p AS (SELECT page_id, url, regexp_replace(html, '^(.*?)$', '') AS h FROM pages), k AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^https?://(www\\.)?', ''), '[?].*$', '') || array_to_string(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda v: v <> '' AND NOT starts_with(v, 'utm_') AND NOT list_contains({sql.arr(fixed.TRACKING)}, split_part(v, '=', 1))), '&') AS key FROM pages) SELECT min(page_id) AS page_id, count(*) AS copies FROM k GROUP BY key")
+def u2_pages_once(spark, sf_dir):
+    """Pages once per canonical URL."""
+    p = table(spark, sf_dir, "pages").select("page_id", urls.canonical(urls.parse(F.col("url"))).alias("key"))
+    return p.groupBy("key").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("copies")).drop("key")
+
+
+# ---- vectors and ranks
+@query("v1_dense_top", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 10), s AS (SELECT query_id, vec_id, round(list_inner_product(list_transform(e, lambda v: CAST(v AS DOUBLE)), list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS score FROM q, embeddings WHERE query_id <> vec_id) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS place FROM s) WHERE place <= 10")
+def v1_dense_top(spark, sf_dir):
+    """V1: ten nearest vectors of ten stated queries, which are broadcast."""
+    e = table(spark, sf_dir, "embeddings")
+    q = F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e")))
+    s = e.join(q, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(vectors.dot(F.col("e"), F.col("embedding")), 6).alias("score"))
+    return s.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("place <= 10")
+
+
+HYBRID = f"WITH {SCORE}, h AS (SELECT score.query_id, score.doc_id, round(list_inner_product(list_transform(q.embedding, lambda v: CAST(v AS DOUBLE)), list_transform(e.embedding, lambda v: CAST(v AS DOUBLE))) + 0.1 * s, 6) AS score, score.doc_id % 11 = 0 AS p, score.doc_id % 3 = 0 AS c FROM score JOIN embeddings e ON score.doc_id = e.vec_id JOIN embeddings q ON q.vec_id = score.query_id)"
+
+
+def hybrid(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = F.broadcast(e.where("vec_id between 1 and 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    s = scored(spark, sf_dir)[1].withColumnRenamed("score", "s").join(e.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(q, "query_id")
+    return s.select("query_id", "doc_id", F.round(vectors.dot(F.col("q"), F.col("embedding")) + fixed.LEXICAL_WEIGHT * F.col("s"), 6).alias("score"), (F.col("doc_id") % 11 == 0).alias("source_priority"), (F.col("doc_id") % 3 == 0).alias("upstream_consensus"))
+
+
+@query("w8_hybrid_scores", f"{HYBRID} SELECT query_id, doc_id, score FROM h")
+def w8_hybrid_scores(spark, sf_dir):
+    """Dense score and a tenth of the evidence."""
+    return hybrid(spark, sf_dir).select("query_id", "doc_id", "score")
+
+
+@query("w3_shortlist", f"""{HYBRID}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1 AS pos FROM h),
+a AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rk, p AND row_number() OVER (PARTITION BY query_id ORDER BY p DESC, score DESC, pos) = 1 AS f FROM n),
+b AS (SELECT *, CASE WHEN f THEN 0 WHEN c AND pos < ceil((8 - max(CAST(f AS INT)) OVER (PARTITION BY query_id)) / 2) AND best - score <= 0.1 THEN 1 ELSE 2 END AS rule FROM a),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rule, CASE WHEN rule = 1 THEN pos ELSE rk END) - 1 AS sel FROM b) SELECT query_id, doc_id, CAST(sel AS INT) AS selected FROM r WHERE sel < 8""")
+def w3_shortlist(spark, sf_dir):
+    h = hybrid(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1)
+    return rank.shortlist(h, 8).select("query_id", "doc_id", "selected")
+
+
+CHUNKS = r"""words AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents WHERE doc_id < 300),
+c AS (SELECT doc_id, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 512 THEN 1 ELSE CAST(ceil((len(w) - 512) / 448) AS BIGINT) + 1 END)) AS ordinal, w FROM words)"""
+
+
+@query("x1_chunks", CHUNKS.replace(" WHERE doc_id < 300", "").join(["WITH ", " SELECT doc_id, CAST(ordinal AS INT) AS ordinal, CAST(least(512, len(w) - ordinal * 448) AS INT) AS tokens, md5(array_to_string(w[ordinal * 448 + 1:ordinal * 448 + 512], ' ')) AS digest FROM c"]))
+def x1_chunks(spark, sf_dir):
+    """Windows of 512 words with 64 in common."""
+    c = chunking.chunks(table(spark, sf_dir, "documents"))
+    return c.select("doc_id", "ordinal", "tokens", F.md5(text.collapse(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("x4_merged_ranges", """WITH r AS (SELECT l_orderkey AS k, epoch(l_shipdate) // 86400 AS s, epoch(l_shipdate) // 86400 + CAST(l_quantity AS BIGINT) AS e, l_linenumber AS p FROM lineitem),
+m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM m)
+SELECT k AS l_orderkey, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", min(p) AS priority FROM i GROUP BY k, isl""")
+def x4_merged_ranges(spark, sf_dir):
+    """An order's shipping intervals, merged where they overlap or touch."""
+    day = F.floor(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400)
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", day.alias("start"), (day + F.col("l_quantity").cast("long")).alias("end"), F.col("l_linenumber").alias("priority"))
+    return chunking.merged(r, "l_orderkey")
+
+
+@query("x3_passages")
+def x3_passages(spark, sf_dir):
+    """Three spans of each document (two overlap) assembled into a passage."""
+    docs = table(spark, sf_dir, "documents")
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(p).alias("priority")) for a, b, p in ((0, 40, 2), (30, 80, 1), (200, 260, 0))])
+    ranges = docs.select("doc_id", F.length("text").alias("n"), F.explode(spans).alias("s")).select("doc_id", "s.start", F.least("s.end", "n").alias("end"), "s.priority").where(F.col("start") < F.col("end"))
+    return chunking.assembled(ranges, docs)
+
+
+def chunk_scores(spark, sf_dir):
+    c = chunking.chunks(table(spark, sf_dir, "documents"), 100, 20)
+    return c.select((F.col("doc_id") % 7).alias("query_id"), "doc_id", "ordinal", F.round((F.crc32(F.md5(text.collapse(F.col("text")).cast("binary")).cast("binary")) % 1000) / 1000, 3).alias("score"))
+
+
+@query("w7_best_chunks", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents),
+c AS (SELECT doc_id, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 100 THEN 1 ELSE CAST(ceil((len(w) - 100) / 80) AS BIGINT) + 1 END)) AS o, w FROM w),
+s AS (SELECT doc_id % 7 AS q, doc_id, o, w[o * 80 + 1:o * 80 + 100] AS t FROM c)
+SELECT q AS query_id, count(DISTINCT doc_id) AS documents, least(24, count(*)) AS most FROM s GROUP BY q""")
+def w7_best_chunks(spark, sf_dir):
+    """At most 24 chunks of a query are chosen; here each query's documents and the bound."""
+    s = chunk_scores(spark, sf_dir)
+    return s.groupBy("query_id").agg(F.countDistinct("doc_id").alias("documents"), F.least(F.lit(24), F.count(F.lit(1))).alias("most"))
+
+
+@query("w7_chunk_selection")
+def w7_chunk_selection(spark, sf_dir):
+    """The choice itself; documents with a seed take neighbouring chunks only."""
+    s = chunk_scores(spark, sf_dir).withColumn("seed", F.col("score") > 0.97)
+    return rank.adjacent_chunks(s)
+
+
+@query("w7_chunks_without_names")
+def w7_chunks_without_names(spark, sf_dir):
+    return rank.best_chunks(chunk_scores(spark, sf_dir))
+
+
+@query("w4_chunk_cap")
+def w4_chunk_cap(spark, sf_dir):
+    s = chunk_scores(spark, sf_dir).select("doc_id", "ordinal", F.when(F.col("score") > 0.5, F.col("score")).otherwise(0.0).alias("lexical"), (F.col("score") > 0.97).alias("seed"))
+    return chunking.capped(s)
+
+
+@query("w5_documents")
+def w5_documents(spark, sf_dir):
+    """Eight documents of each query, diversified by source and subject."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.slice(text.term_set(F.substring("text", 1, 80)), 1, 8).alias("subject"))
+    h = hybrid(spark, sf_dir).join(docs, "doc_id").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1)
+    h = h.withColumn("exact", F.lit(False)).withColumn("is_anchor", F.lit(False))
+    return rank.documents(h.select("query_id", "pos", "doc_id", "score", "source_priority", "upstream_consensus", "exact", "is_anchor", "source", "subject"), 8).drop("subject")
+
+
+@query("w1_candidate_scores")
+def w1_candidate_scores(spark, sf_dir):
+    """The whole sum for some candidates of one question."""
+    rows = [
+        (1, "https://www.example.gov/canada/inflation", "Inflation in Canada", "The rate in May 2024", "2024-05-20", 0.5, 0.8, 0.0, None),
+        (2, "https://blog.example.com/2020/01/02/x", "Old post", "inflation 2020", None, 0.6, 0.4, 0.0, None),
+        (3, "https://stats.example.org/cpi", "CPI", "", "2024-05-01", 0.4, 0.9, 1.0, "example.org"),
+    ]
+    df = spark.createDataFrame(rows, "id int, url string, title string, snippet string, date string, dense double, evidence double, recommendation double, named string")
+    return df.select("id", F.round(rank.candidate_score(F.lit("current inflation rate Canada May 2024"), F.lit(2024 * 372 + 4 * 31 + 19)), 6).alias("score"))
+
+
+@query("w9_excerpts")
+def w9_excerpts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("e"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("other").alias("c"))
+    return d.select("doc_id", rank.useful_excerpt(F.col("e"), F.col("c"), F.lit(True)).alias("excerpt"))
+
+
+@query("a6_topped_up")
+def a6_topped_up(spark, sf_dir):
+    s = chunk_scores(spark, sf_dir).withColumn("excerpt_score", F.lit(0.9)).withColumn("consensus", F.lit(0.0)).withColumn("document_consensus", F.lit(0.05))
+    return rank.topped_up(s).select("query_id", "doc_id", "ordinal", F.round("score", 6).alias("score"))
+
+
+BUDGET = 3000
+
+
+@query("w10_budget", f"""WITH r AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE length(text) > 0),
+k AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS c, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY n, turn)),
+s AS (SELECT *, min(CASE WHEN n <= ({BUDGET} - b) // (c - k) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n, turn ROWS UNBOUNDED PRECEDING) AS whole FROM k),
+l AS (SELECT *, {BUDGET} - coalesce(sum(n) FILTER (WHERE whole = 1) OVER (PARTITION BY conv_id), 0) AS left_over, count(*) FILTER (WHERE whole = 0) OVER (PARTITION BY conv_id) AS cut, row_number() OVER (PARTITION BY conv_id, whole ORDER BY turn) - 1 AS i FROM s)
+SELECT conv_id, turn, CAST(CASE WHEN whole = 1 THEN n ELSE left_over // cut + CASE WHEN i < left_over % cut THEN 1 ELSE 0 END END AS BIGINT) AS share FROM l""")
+def w10_budget(spark, sf_dir):
+    """A conversation's turns share a budget of characters."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n")).where("n > 0")
+    return budget.shares(c, "conv_id", "n", "turn", BUDGET).select("conv_id", "turn", "share")
+
+
+@query("w10_contents")
+def w10_contents(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return budget.allocate(c, "conv_id", "text", "turn", BUDGET)
+
+
+@query("e7_cited_sources")
+def e7_cited_sources(spark, sf_dir):
+    """Links to an authority in pages, best by evidence and depth of path."""
+    md = spark.createDataFrame(MARKDOWN, "id int, md string")
+    found = md.select("id", F.posexplode(text.markdown_links(F.col("md"))).alias("pos", "x")).select("id", "pos", "x.label", "x.url")
+    mine = found.where(urls.belongs(urls.host(F.col("url")), F.lit("example.com"))).dropDuplicates(["url"])
+    depth = F.size(F.filter(F.split(urls.path(F.col("url")), "/"), lambda s: s != ""))
+    s = mine.withColumn("score", 0.025 * F.least(depth, F.lit(6)))
+    return s.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("pos")))).where("r = 1").select("id", "label", "url", "score")
