@@ -1,0 +1,202 @@
+"""Queries of sources, sinks, caches, pacing, streams and the embedder."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from millrace.functions import embed, fixed
+from millrace.operators import cache, dedup
+from millrace.plans import search
+from millrace.plans.registry import query, table
+from millrace.sources import scans, sinks
+
+ANSWER = json.dumps(
+    {
+        "results": [
+            {"url": "https://www.example.com/a?utm_source=x", "title": "First page", "content": "A snippet", "publishedDate": "2024-05-06T01:02", "score": 1.5, "engines": ["One", "two "]},
+            {"url": "https://example.com/a", "title": "First page again", "score": 2.5, "engines": ["three"], "links": [{"label": "Official website", "url": "https://official.example.org/"}]},
+            {"url": "https://example.net/p", "title": "A paper about things", "doi": "doi:10.1/X", "pdf_url": "https://example.net/p.pdf", "html_url": "https://example.net/p.html", "score": 2.5, "engines": ["a", "b"]},
+            {"url": "ftp://no", "title": "bad"},
+            {"url": "https://map.example.org/x", "links": {"site": "https://x.example.org"}, "address": {"road": "Main Road", "locality": "Town"}, "data": [{"key": "Opening hours", "value": "9-17"}], "unknown": 1},
+        ],
+        "unresponsive_engines": [["slow", "timeout"]],
+    }
+)
+ISSUE = json.dumps({"items": [{"title": "Crash", "html_url": "https://github.com/o/r/issues/1", "created_at": "2024-01-02T03:04:05Z", "body": "x" * 900}, {"title": "bad", "html_url": "nope"}]})
+QUESTION = json.dumps(
+    {
+        "items": [
+            {
+                "question_id": 7,
+                "title": "Why &lt;b&gt;?",
+                "body_markdown": "Because",
+                "link": "https://stackoverflow.com/q/7",
+                "score": 3,
+                "tags": ["x", "y"],
+                "is_answered": True,
+                "owner": {"display_name": "A]B"},
+                "answers": [{"answer_id": 1, "body_markdown": "low", "score": 1}, {"answer_id": 2, "body_markdown": "ok", "score": 0, "is_accepted": True}],
+            }
+        ]
+    }
+)
+
+
+def answers(spark, body):
+    return spark.createDataFrame([(1, body)], "query_id long, body string")
+
+
+@query("s1_metasearch")
+def s1_metasearch(spark, sf_dir):
+    """A metasearch answer as ordered candidates."""
+    return scans.hits(scans.metasearch(answers(spark, ANSWER))).select("query_id", "pos", "url", "title", "date", "snippet", "doi", F.array_join("fetch_urls", " ").alias("places"))
+
+
+@query("s3_search_urls")
+def s3_search_urls(spark, sf_dir):
+    from millrace.plans.scalars import questions
+
+    none = F.lit(None).cast("string")
+    return questions(spark).select("query_id", scans.search_url("http://search.example", F.col("query"), F.when(F.col("query_id") % 2 == 0, "it"), none, F.when(F.col("query_id") == 4, "year")).alias("url"))
+
+
+@query("s5_issues")
+def s5_issues(spark, sf_dir):
+    return scans.issues(answers(spark, ISSUE))
+
+
+@query("s6_questions")
+def s6_questions(spark, sf_dir):
+    """S6, S8, S9."""
+    return scans.questions(answers(spark, QUESTION))
+
+
+@query("s7_lookups")
+def s7_lookups(spark, sf_dir):
+    wanted = spark.createDataFrame([(f"https://stackoverflow.com/questions/{i}/t",) for i in (9, 7, 12, 7)] + [("https://unix.stackexchange.com/q/3",), ("https://example.com/",)], "url string")
+    cached = spark.createDataFrame([("stackoverflow", "9")], "site string, id string").withColumn("id", F.col("id").cast("decimal(20,0)"))
+    return scans.lookups(wanted, cached)
+
+
+@query("s0_discovery")
+def s0_discovery(spark, sf_dir):
+    """Primary and side sources of a query in one pool, entities merged."""
+    primary = dedup.entities(scans.hits(scans.metasearch(answers(spark, ANSWER))).drop("engines", "fetch_urls"))
+    return primary.select("query_id", "pos", "url", "title", "date", "snippet", F.array_join("urls", " ").alias("keys"))
+
+
+@query("s12_page_kinds")
+def s12_page_kinds(spark, sf_dir):
+    """S11 to S14, U12."""
+    rows = [(1, "Text/HTML; charset=utf-8", b"a"), (2, None, "é".encode()), (3, "application/pdf", b"%PDF"), (4, "image/png", b""), (5, "text/plain; charset=ISO-8859-1", b"\xe9"), (6, "text/html", b"\xef\xbb\xbfx"), (7, "text/html", b"\xe9t\xe9")]
+    df = spark.createDataFrame(rows, "id int, content_type string, body binary")
+    return scans.bounded(df).select("id", scans.page_kind(F.col("content_type")).alias("kind"), scans.decoded(F.col("body"), F.col("content_type")).alias("text"))
+
+
+@query("s16_scripts", r"SELECT page_id, CAST(length(regexp_replace(html, '(?is)<script(>|[/\s][^>]*>).*?(</script[^>]*>|\z)', '', 'g')) AS INT) AS n_chars FROM pages")
+def s16_scripts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.length(scans.without_scripts(F.col("html"))).alias("n_chars"))
+
+
+@query("s15_readable")
+def s15_readable(spark, sf_dir):
+    """Text of pages in SQL, and whether a page is only a script's frame."""
+    content = scans.readable(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", content.alias("content")).withColumn("shell", scans.is_shell(F.col("content")))
+
+
+@query("c3_resolved")
+def c3_resolved(spark, sf_dir):
+    """Candidates take the first page that is longer than their snippet."""
+    pages = table(spark, sf_dir, "pages").select("url", scans.readable(F.col("html")).alias("content"))
+    c = table(spark, sf_dir, "pages").select(F.lit(1).alias("query_id"), F.col("page_id").alias("pos"), F.repeat(F.lit("x"), (F.col("page_id") % 5 * 300).cast("int")).alias("snippet"), F.array("url").alias("fetch_urls"))
+    return scans.resolved(c, pages).select("pos", "url", "from_snippet", F.length("content").alias("n_chars"))
+
+
+@query("k2_extractions", "SELECT sha256(url) AS key, url, CAST(strlen(html) AS INT) AS rawByteLength, CAST(length(url) AS INT) AS extractedCharLength, CASE WHEN strlen(html) > 0 THEN length(url) / strlen(html) ELSE 0 END AS ratio FROM pages")
+def k2_extractions(spark, sf_dir):
+    """K2, K5: diagnostics of extractions (the URL stands for the text)."""
+    return sinks.extractions(table(spark, sf_dir, "pages").withColumn("markdown", F.col("url"))).drop("html", "markdown")
+
+
+@query("k3_failures")
+def k3_failures(spark, sf_dir):
+    """K3, K4, K6, S11."""
+    rows = [("https://a.example/", 403, "text/html", "a\x00b\n\n c", "status"), ("https://b.example/", 200, "text/html", "x", None)]
+    out = sinks.failures(spark.createDataFrame(rows, "url string, status int, content_type string, body string, error string"))
+    return out.withColumn("answer", F.to_json(sinks.error(F.lit("backend"), F.col("error"))))
+
+
+@query("k1_responses")
+def k1_responses(spark, sf_dir):
+    """The whole search as JSON, one document per query."""
+    return search.as_json(search.demo(spark, sf_dir))
+
+
+# ---- caches and pacing over events
+def requests(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "event_id", (F.col("value") > 20).alias("healthy"))
+
+
+def recursive(first: str, next_: str) -> str:
+    return f"WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), r AS (SELECT key, tm, n, {first} FROM e WHERE n = 1 UNION ALL SELECT e.key, e.tm, e.n, {next_} FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)"
+
+
+@query("f1_cache", recursive("tm AS loaded, false AS hit", "CASE WHEN e.tm - r.loaded < 86400 THEN r.loaded ELSE e.tm END, e.tm - r.loaded < 86400") + ' SELECT key, round(tm, 3) AS "at", hit FROM r')
+def f1_cache(spark, sf_dir):
+    """a day's cache per user, as a fold over each user's requests."""
+    return cache.served(requests(spark, sf_dir), "key", "at", 86_400.0).select("key", F.round("at", 3).alias("at"), "hit")
+
+
+@query("f1_last_healthy", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS tm, value > 20 AS h FROM events) SELECT event_id, CAST(max(CASE WHEN h THEN tm END) OVER (PARTITION BY user_id ORDER BY tm RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS BIGINT) AS stale_at FROM e")
+def f1_last_healthy(spark, sf_dir):
+    """the last healthy load within an hour (as-of)."""
+    e = requests(spark, sf_dir).withColumn("at", F.floor("at"))
+    return cache.last_healthy(e, "key", "at", "healthy").select("event_id", "stale_at")
+
+
+@query("f2_single_flight", "SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch_us(ts) / 1e6 / 600) AS BIGINT) AS slot, round(min(epoch_us(ts) / 1e6), 3) AS first, count(*) AS waiting FROM events GROUP BY 1, 2")
+def f2_single_flight(spark, sf_dir):
+    out = cache.single_flight(requests(spark, sf_dir), "key", "at", 600)
+    return out.withColumn("first", F.round("first", 3))
+
+
+@query("f4_retained", f"SELECT event_id FROM (SELECT event_id, ts FROM events WHERE strlen(props) <= {fixed.PAGE_BYTES} ORDER BY ts DESC, event_id DESC LIMIT {fixed.CACHE_ENTRIES})")
+def f4_retained(spark, sf_dir):
+    """the newest 256 entries that are not too large."""
+    e = table(spark, sf_dir, "events").select("event_id", "props", F.struct("ts", "event_id").alias("at"))
+    return cache.retained(e, "at", body="props").select("event_id")
+
+
+@query("f6_pacing", recursive("tm AS started", "greatest(e.tm, r.started + 10)") + " SELECT key, round(tm, 3) AS requested, round(started, 3) AS started FROM r")
+def f6_pacing(spark, sf_dir):
+    """requests of a user start ten seconds apart."""
+    return cache.paced(requests(spark, sf_dir), "key", "at", 10.0).select("key", F.round("requested", 3).alias("requested"), F.round("started", 3).alias("started"))
+
+
+@query("f7_backoff", "SELECT event_id, coalesce(max(epoch_us(ts) / 1e6 + CASE WHEN value > 90 THEN 3600 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > epoch_us(ts) / 1e6, false) AS blocked FROM events")
+def f7_backoff(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.when(F.col("value") > 90, 3600.0).otherwise(0.0).alias("wait"))
+    return cache.blocked(e, "user_id", "at", "wait").select("event_id", "blocked")
+
+
+@query("f_windows", "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+def f_windows(spark, sf_dir):
+    """Hourly windows of event time (the batch form of ``streaming.state.windowed``)."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy("event_type", F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("v3_embeddings")
+def v3_embeddings(spark, sf_dir):
+    """Prompted texts embedded in batches by the hashing model, 64 dimensions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embed.embed(docs, "doc_id", "text", dims=64).select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")), 4).alias("norm"))
+
+
+@query("e6_health", "SELECT 'ok' AS status, 200 AS code")
+def e6_health(spark, sf_dir):
+    return spark.range(1).select(F.lit("ok").alias("status"), F.lit(200).alias("code"))

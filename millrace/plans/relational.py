@@ -9,7 +9,7 @@ from millrace.functions import fixed, text, urls, vectors
 from millrace.operators import budget, chunking, dedup, evidence, merge, rank
 from millrace.plans import sql
 from millrace.plans.registry import query, table
-from millrace.plans.scalars import FACTS, HOST, MARKDOWN, REG
+from millrace.plans.scalars import CANONICAL, FACTS, HOST, MARKDOWN, REG
 
 #: Questions in the words of the test documents.
 LOOKUPS = [(1, "hewh and onon hahehe outionre"), (2, "queque de aiauxvi elle tion"), (3, "keit ung enheit der lichkeit nicht")]
@@ -271,7 +271,7 @@ def j7_exact_groups(spark, sf_dir):
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-@query("u2_pages_once", f"WITH p AS (SELECT page_id, url, regexp_replace(html, '^(.*?)$', '') AS h FROM pages), k AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^https?://(www\\.)?', ''), '[?].*$', '') || array_to_string(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda v: v <> '' AND NOT starts_with(v, 'utm_') AND NOT list_contains({sql.arr(fixed.TRACKING)}, split_part(v, '=', 1))), '&') AS key FROM pages) SELECT min(page_id) AS page_id, count(*) AS copies FROM k GROUP BY key")
+@query("u2_pages_once", f"WITH {CANONICAL} SELECT min(page_id) AS page_id, count(*) AS copies FROM k GROUP BY canonical")
 def u2_pages_once(spark, sf_dir):
     """Pages once per canonical URL."""
     p = table(spark, sf_dir, "pages").select("page_id", urls.canonical(urls.parse(F.col("url"))).alias("key"))

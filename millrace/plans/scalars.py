@@ -256,15 +256,17 @@ def t9_exact_titles(spark, sf_dir):
 
 
 # ---- URLs (U)
-@query(
-    "u2_canonical_keys",
-    r"""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
+CANONICAL = (
+    r"""p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
 x AS (SELECT page_id, regexp_replace(lower(regexp_extract(u, '^https?://([^/?]*)', 1)), '^www\.', '') AS h, regexp_extract(u, '^https?://[^/?]*([^?]*)', 1) AS p, string_split(regexp_extract(u, '\?(.*)$', 1), '&') AS q FROM p),
 y AS (SELECT page_id, h, CASE WHEN length(p) > 1 THEN coalesce(nullif(regexp_replace(p, '/+$', ''), ''), '/') WHEN p = '' THEN '/' ELSE p END AS p, list_filter(q, lambda v: v <> '' AND NOT starts_with(lower(v), 'utm_') AND NOT list_contains("""
     + sql.arr(fixed.TRACKING)
-    + r""", lower(split_part(v, '=', 1)))) AS q FROM x)
-SELECT page_id, 'https://' || h || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM y""",
+    + r""", lower(split_part(v, '=', 1)))) AS q FROM x),
+k AS (SELECT page_id, 'https://' || h || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM y)"""
 )
+
+
+@query("u2_canonical_keys", f"WITH {CANONICAL} SELECT page_id, canonical FROM k")
 def u2_canonical_keys(spark, sf_dir):
     """U1, U2."""
     return table(spark, sf_dir, "pages").select("page_id", urls.canonical(urls.parse(F.col("url"))).alias("canonical"))
