@@ -39,6 +39,23 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks under ``key``; one thing at a time, so that stages that
+    follow each other in the same worker do not add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drop what earlier stages have kept in this worker."""
+    _held.clear()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -18,7 +18,7 @@ WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text hashed at once, but for single longer texts.
-PIECE = 2 << 20
+PIECE = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 

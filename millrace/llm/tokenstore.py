@@ -29,7 +29,6 @@ import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,8 +100,11 @@ class Encoder:
         return np.frombuffer(b"".join(out), self.dtype), bounds
 
 
-@lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
+    return common.held(name, lambda: load_encoder(name))
+
+
+def load_encoder(name: str) -> Encoder:
     import os
 
     import public_tokenizers
