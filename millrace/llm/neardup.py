@@ -8,14 +8,21 @@ dart.  Two documents agree on a coordinate with a probability of their weighted
 Equal documents are merged first (a digest of the words).  Bands of coordinates put the others into
 buckets.  Links are found without pairing whole buckets:
 
-1. every member of a bucket is compared with the bucket's smallest member;
-2. buckets whose members are now in one component are done; the members of the rest are split by a further
-   band where there are more than ``SPLIT`` of them, as often as that helps (two documents of a similarity of
-   0.8 or more share another band almost surely, documents with a passage in common seldom do);
-3. what is still larger is dealt into blocks, and each pair of blocks is compared, so no bucket is too large.
-
-Comparisons first count agreeing coordinates and then verify the similarity on whole documents.
-Components of the verified links are the classes.
+1. every member of a bucket is compared with the bucket's most central member, the one with most company in
+   its buckets; the pairs whose signatures agree well enough make loose groups, and each document's best pair
+   is verified;
+2. inside a loose group that the verified links do not connect, an exact prefix filter finds all documents that
+   can still be linked: in the order of rarity two documents of the required similarity have one of their first
+   elements in common, at positions and with sizes that leave room for the required overlap.  Those are
+   compared in blocks, on whole sets;
+3. between loose groups, members of a bucket are compared by signature.  A bucket of more than ``SPLIT`` members
+   that is nearly one loose group is dealt into groups of these with all others.  In a bucket of many groups (a
+   passage that many documents share) members meet under each two such buckets they have in common, within
+   classes of size: two documents of a similarity of 0.8 or more share another bucket almost surely, documents
+   with only a passage in common seldom do.  What is still larger is dealt into blocks, each pair of which is
+   compared, so no group is too large.
+
+Every pair that is found is verified on whole documents.  Components of the verified links are the classes.
 
 Defined cases: texts without words are equal if they are the same string (null counts as empty); texts of
 fewer than ``RUN`` words have one element; repeated rows are copies; the class of a document is the smallest id
@@ -44,7 +51,7 @@ AGREE = 57
 DARTS = COORDINATES * (np.log(COORDINATES) + 5)
 #: The rank axis below 1 is cut in octaves from here; above it cells have the width 1.
 OCTAVES = 6
-SPLIT, ROUNDS = 64, 2
+SPLIT = 64
 
 
 def units(w: tokens.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +143,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, n, signature, buckets) for each document; 16 bits of each coordinate are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             digests, counts, low, buckets = [], [], [], []
             for at, w in tokens.pieces(batch.column(1)):
@@ -156,17 +164,19 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) that agree on enough coordinates."""
+    """Pairs (a, b) that agree on enough coordinates, and on how many."""
     s = reps.select("key", "signature")
     both = pairs.join(s.withColumnsRenamed({"key": "a", "signature": "x"}), "a").join(s.withColumnsRenamed({"key": "b", "signature": "y"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             if len(batch):
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, COORDINATES) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREE))
+                same = (x == y).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.int64())], ["a", "b", "same"]).filter(pa.array(same >= AGREE))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same long")
 
 
 def element_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
@@ -176,6 +186,7 @@ def element_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, F.col("id").eqNullSafe(chosen["doc_id"])).select("key", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             keep, sets = [], []
             for at, w in tokens.pieces(batch.column(2)):
@@ -198,6 +209,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     both = pairs.join(sets.withColumnsRenamed({"key": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"key": "b", "elements": "y"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -236,38 +248,148 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("key", "label")
 
 
-def mixed_buckets(members: DataFrame) -> DataFrame:
-    """(bucket, count) of buckets whose members have several labels."""
-    groups = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.min("label").alias("x"), F.max("label").alias("y"))
-    return groups.where("x <> y").select("bucket", "count")
+def with_mixed(members: DataFrame) -> DataFrame:
+    """Members (key, label, size, bucket) of buckets with several labels, with the bucket's ``count``, its most
+    frequent label ``big`` and how many members have ``others``."""
+    by_label = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    groups = by_label.groupBy("bucket").agg(F.sum("c").alias("count"), F.max(F.struct("c", "label")).alias("most"))
+    groups = groups.select("bucket", "count", F.col("most.label").alias("big"), (F.col("count") - F.col("most.c")).alias("others")).where("others > 0")
+    return common.materialize(members.join(groups, "bucket"), "dup-members")
+
+
+def dealt(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups to compare within, as key, label, bucket; members of buckets that are too mixed for that).
+
+    A small bucket is a group.  A large one whose members nearly all have one label is dealt into groups of
+    those, each with all of the others: what has one label need not be compared with itself."""
+    small = members.where(F.col("count") <= SPLIT).select("key", "label", "bucket")
+    wide = members.where((F.col("count") > SPLIT) & (F.col("others") <= SPLIT)).withColumn("n", F.ceil(F.col("count") / SPLIT))
+    own = F.array(F.pmod(F.xxhash64("key", "bucket"), F.col("n")))
+    blocks = F.when(F.col("label") == F.col("big"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    shared = wide.select("key", "label", "bucket", F.explode(blocks).alias("block")).select("key", "label", F.xxhash64("bucket", "block").alias("bucket"))
+    return small.unionByName(shared), members.where((F.col("count") > SPLIT) & (F.col("others") > SPLIT))
+
+
+def stars(reps: DataFrame) -> DataFrame:
+    """(a, b): members of buckets and the most central member of each."""
+    members = reps.select("key", F.explode("buckets").alias("bucket"))
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    shared = common.materialize(members.join(counts, "bucket"), "dup-shared")
+    central = shared.groupBy("key").agg(F.sum("count").alias("company"))
+    heads = shared.join(central, "key").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("key")).alias("k"))).alias("h")).select("bucket", (-F.col("h.k")).alias("head"))
+    return shared.join(heads, "bucket").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
+
+
+def links_inside(docs: DataFrame, reps: DataFrame, tight: DataFrame, loose: DataFrame) -> DataFrame:
+    """Links (a, b) that connect similar documents of different tight labels in one loose group; exact.
+
+    With elements in one order, rare ones first, p elements of a document of n before the first common one
+    leave an overlap of n - p at most; similarity s to a document of m needs s / (1 + s) * (n + m).  So m is at
+    most (1 + s) / s * (n - p) - n.  The larger document of a pair looks for such sizes, in classes of 2 %; only
+    documents that meet another label this way are compared, on whole sets and in blocks."""
+    split = loose.join(tight, "key", "left").select("key", F.col("group"), F.coalesce("label", "key").alias("label"))
+    open_groups = split.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
+    work = common.materialize(split.join(open_groups, "group"), "dup-open")
+    sets = element_sets(docs, reps, work.select("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
+        for batch in batches:
+            parts = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in batch.column(3)]
+            n = np.array([len(x) for x in parts], np.int64)
+            at = np.repeat(np.arange(len(parts)), n)
+            take = pa.array(at)
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            for i in range(0, len(flat), 100_000):
+                k = take.slice(i, 100_000)
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(k) for j in range(3)), pa.array(n[at[i : i + 100_000]]), pa.array(flat[i : i + 100_000])], ["key", "group", "label", "n", "h"])
+
+    each = work.join(sets, "key").select("key", "group", "label", "elements").mapInArrow(run, "key long, group long, label long, n long, h long")
+    each = common.materialize(each, "dup-units")
+    frequent = each.groupBy("group", "h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    known = each.join(frequent, ["group", "h"])
+    w = Window.partitionBy("key")
+    position = F.col("n") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("df", "h")) - 1
+    ratio = (1 + SIMILAR) / SIMILAR
+    first = known.withColumn("p", position).where(F.col("p") <= (1 - SIMILAR) * F.col("n") + 1e-6).withColumn("most", ratio * (F.col("n") - F.col("p")) - F.col("n") + 1e-6)
+    size = lambda x: F.floor(F.log(x) / F.log(F.lit(1.02)))
+    smaller = first.where("most >= n").select("key", "group", "label", "n", "p", "h", size(F.col("n")).alias("class"), F.lit(False).alias("seeks"))
+    least, top = F.greatest(F.ceil(SIMILAR * F.col("n") - 1e-6), F.lit(1)), F.least(F.floor("most"), F.col("n"))
+    larger = first.where(least <= top).select("key", "group", "label", "n", "p", "h", F.explode(F.sequence(size(least), size(top))).alias("class"), F.lit(True).alias("seeks"))
+    rows = smaller.unionByName(larger)
+    mixed = rows.groupBy("group", "h", "class").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("seeks").alias("s"), F.max("seeks").alias("t")).where("x <> y and not s and t").select("group", "h", "class")
+    # Documents that meet another label there are compared in blocks: block i meets every block j >= i of its group.
+    left = common.materialize(rows.join(mixed, ["group", "h", "class"]).select("key", "group", "label").distinct(), "dup-left")
+    sizes = left.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("blocks"))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    dealt = left.join(sizes, "group").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "label", F.xxhash64("group", F.least("block", "with"), F.greatest("block", "with")).alias("bucket"))
+    groups = dealt.join(sets, "key").groupBy("bucket").agg(F.collect_list(F.struct("key", "label", "elements")).alias("m"))  # bounded by 2 * SPLIT, about
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for members in batch.column(0):
+                m = members.values
+                out += spanning_links(m.field("key").to_pylist(), m.field("label").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint32) for x in m.field("elements")])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+
+    return common.materialize(groups.select("m").mapInArrow(compare, "a long, b long").distinct(), "dup-links")
+
+
+def spanning_links(keys: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Similar pairs of different labels, as few as connect what all such pairs connect."""
+    n = np.array([len(x) for x in sets])
+    every, where = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(where, kind="stable")
+    where, owner = where[order], owner[order]
+    for at in range(0, len(every), 20_000):  # columns of the table of documents by elements
+        low, high = np.searchsorted(where, [at, at + 20_000])
+        x = np.zeros((len(sets), 20_000), np.float32)
+        x[owner[low:high], where[low:high] - at] = 1
+        shared += x @ x.T
+    similar = shared >= SIMILAR * (n[:, None] + n[None] - shared) - 1e-6
+    root = {label: label for label in labels}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(similar, 1)), strict=True):
+        x, y = find(labels[i]), find(labels[j])
+        if x != y:
+            root[x] = y
+            out.append((keys[i], keys[j]))
+    return out
 
 
 def remaining_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels in a common bucket that agree on enough coordinates (see step 2 and 3)."""
-    labelled = reps.join(labels, "key", "left").select("key", "buckets", F.coalesce("label", "key").alias("label"))
-    members = labelled.select("key", "label", "buckets", F.explode("buckets").alias("bucket"))
-    narrow = members.select("key", "label", "bucket")
-    narrow = common.materialize(narrow.join(mixed_buckets(narrow), "bucket"), "dup-members")
-    parts = []
-    for _ in range(ROUNDS):
-        parts.append(narrow.where(F.col("count") <= SPLIT))
-        wide = narrow.where(F.col("count") > SPLIT).join(reps.select("key", "buckets"), "key")
-        split = wide.select("key", "label", F.col("bucket").alias("from"), F.explode("buckets").alias("other")).where("other <> from").select("key", "label", F.xxhash64("from", "other").alias("bucket"))
-        split = common.materialize(split, "dup-split")
-        narrow = common.materialize(split.join(mixed_buckets(split), "bucket"), "dup-members")
-    parts.append(narrow.where(F.col("count") <= SPLIT))
-    # Blocks of a bucket that is still large: block i meets every block j >= i in a group of its own.
-    large = narrow.where(F.col("count") > SPLIT)
+    """Pairs (a, b) of different labels in a common bucket that agree on enough coordinates (step 3)."""
+    labelled = reps.join(labels, "key", "left").select("key", F.col("n").alias("size"), "buckets", F.coalesce("label", "key").alias("label"))
+    first, wide = dealt(with_mixed(labelled.select("key", "label", "size", F.explode("buckets").alias("bucket"))))
+    # Similar documents share more buckets than one.  If one of them is no wide one they meet there; else they
+    # meet under each two of their wide buckets, and their sizes are in the same or neighbouring classes.
+    several = wide.groupBy("key", "label", F.col("size")).agg(F.array_sort(F.collect_list("bucket")).alias("b"))
+    two = several.select("key", "label", "size", F.posexplode("b").alias("i", "x"), "b").select("key", "label", "size", "x", F.explode(F.slice(F.col("b"), F.col("i") + 2, F.size("b"))).alias("y"))
+    size_class = F.floor(F.log(F.col("size")) / F.log(F.lit(1 / SIMILAR)))
+    two = two.withColumn("class", F.explode(F.array(size_class, size_class + 1)))
+    second, wide = dealt(with_mixed(two.select("key", "label", "size", F.xxhash64("x", "y", "class").alias("bucket"))))
+    # Blocks of what is still large: block i meets every block j >= i in a group of its own.
     n = F.ceil(F.col("count") / (SPLIT // 2))
     block = F.pmod(F.xxhash64("key", "bucket"), n)
-    dealt = large.withColumn("n", n).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("key", "label", F.xxhash64("bucket", F.least("block", "with"), F.greatest("block", "with")).alias("bucket"), "count")
-    every = parts[0]
-    for p in [*parts[1:], dealt]:
-        every = every.unionByName(p)
-    groups = every.join(reps.select("key", "signature"), "key").groupBy("bucket").agg(F.collect_list(F.struct("key", "label", "signature")).alias("m"))  # bounded by SPLIT, about
+    third = wide.withColumn("n", n).withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    third = third.select("key", "label", F.xxhash64("bucket", F.least("block", "with"), F.greatest("block", "with")).alias("bucket"))
+    every = first.unionByName(second).unionByName(third)
+    groups = every.join(reps.select("key", "signature"), "key").groupBy("bucket").agg(F.collect_list(F.struct("key", "label", "signature")).alias("m"))  # bounded by 2 * SPLIT, about
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
             lists, first = batch.column(0), batch.column(0).offsets.to_numpy()
@@ -288,16 +410,16 @@ def remaining_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, class_id, class_digest): the class's smallest (id, digest) for every document."""
     base = common.materialize(sketches(docs), "dup-sketches")
-    reps = base.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"))
+    reps = base.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"))
     reps = common.materialize(reps.withColumn("key", F.monotonically_increasing_id()), "dup-texts")
-    members = reps.select("key", F.explode("buckets").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("count")).where("count > 1").select("bucket", "head")
-    stars = common.materialize(members.join(heads, "bucket").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), "dup-stars")
-    links = verified(common.materialize(agreeing(stars, reps), "dup-pairs"), docs, reps)
-    labels = components(links)
-    more = verified(remaining_pairs(reps, labels), docs, reps)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    attached = common.materialize(agreeing(common.materialize(stars(reps), "dup-stars"), reps), "dup-attached")
+    best = attached.groupBy("a").agg(F.max(F.struct("same", F.col("b"))).alias("m")).select("a", F.col("m.b").alias("b"))
+    links = verified(common.materialize(best, "dup-pairs"), docs, reps)
+    tight = components(links)
+    loose = components(attached.select("a", "b"))
+    inside = links_inside(docs, reps, tight, loose.withColumnRenamed("label", "group"))
+    between = verified(remaining_pairs(reps, loose), docs, reps)
+    labels = components(links.union(inside).union(between))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     named = reps.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     heads = named.groupBy("label").agg(least.alias("least")).select("label", F.col("least.doc_id").alias("class_id"), F.col("least.digest").alias("class_digest"))
@@ -323,6 +445,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     unclear = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(twice, "doc_id", "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             texts = batch.column("text")
             digests = [digest_of(w, i, texts[at + i]) for at, w in tokens.pieces(texts) for i in range(len(w.first) - 1)]
