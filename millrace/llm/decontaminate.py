@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common, tokens
 
-#: Masks of weight 6; items of 5 words use the last one.
-MASKS = ("111111", "1101100011", "1010011101", "11100100101", "11111")
-LEAST, SHARE, RUN, IDENTITY = 5, 0.6, 13, 0.7
+#: Masks of weight 6 for items of ``LONG`` words or more, then those of weight 4 for shorter ones.
+MASKS = ("111111", "1101100011", "1010011101", "11100100101", "1111", "11011", "10111", "11101")
+LEAST, LONG, SHARE, RUN, IDENTITY = 5, 10, 0.6, 13, 0.7
 BLOCK_WORDS = 2_000_000
 BITS = 22
 
@@ -59,7 +59,7 @@ class Index:
                     continue
                 items.append((ids[at + i], words))
                 for m in range(len(MASKS)):
-                    if (len(MASKS[m]) == LEAST) == (len(words) == LEAST):
+                    if (MASKS[m].count("1") == 6) == (len(words) >= LONG):
                         h = seeds(words, m)
                         found.append(np.stack([h, np.full(len(h), len(items) - 1, np.uint64), np.arange(len(h), dtype=np.uint64)]))
         self.ids = [i for i, _ in items]
@@ -68,7 +68,7 @@ class Index:
         every = np.concatenate(found, 1) if found else np.zeros((3, 0), np.uint64)
         every = every[:, np.argsort(every[0], kind="stable")]
         self.seeds, self.item, self.at = every[0], every[1].astype(np.int64), every[2].astype(np.int64)
-        self.short = any(len(x) == LEAST for _, x in items)
+        self.weights = {6 if len(x) >= LONG else 4 for _, x in items}
         self.filter = np.zeros(1 << BITS, bool)
         self.filter[(self.seeds & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
 
@@ -76,7 +76,7 @@ class Index:
         """Distinct (text, item, position of the item's first word) with a seed in common, [n, 3]."""
         out = [np.zeros((0, 3), np.int64)]
         for m in range(len(MASKS)):
-            if len(MASKS[m]) == LEAST and not self.short:
+            if MASKS[m].count("1") not in self.weights:
                 continue
             h = seeds(w.hashes, m)
             p = np.flatnonzero(self.filter[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)])
@@ -131,6 +131,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by BLOCK_WORDS
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            common.release()
             index = shared.value
             for batch in batches:
                 rows = []
@@ -151,6 +152,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            common.release()
             index = shared.value
             for batch in batches:
                 keep = np.ones(len(batch), bool)
