@@ -10,8 +10,8 @@ Thresholds belong to languages.  A document's excess is the logarithm of its per
 the language's trusted documents, scaled down for short texts, whose perplexity varies more; the threshold
 is a high quantile of the excess of the language's trusted documents, with some slack.
 
-Defined cases: null and empty texts have no perplexity and are rejected; documents without a language form
-a group of their own; a language without trusted documents takes the median and quantile over all languages; without
+Defined cases: null and empty texts have no perplexity and no threshold and are rejected; documents without a language form
+a group of their own; a language with few trusted documents takes the median and quantile over all languages; without
 any trusted text everything with text is kept; several labels of a document count as trusted if all say so;
 repeated rows give repeated results; further columns are passed on.
 """
@@ -19,7 +19,6 @@ repeated rows give repeated results; further columns are passed on.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +30,11 @@ from millrace.llm import common
 
 ORDER = 5
 #: Bytes handled at once, n-grams a counting task holds before it passes them on, entries of a shard of the model.
-PIECE, HELD, SHARD = 2 << 20, 4 << 20, 4 << 20
+PIECE, HELD, SHARD = 1 << 20, 4 << 20, 4 << 20
 #: Quantile of the excess of a language's trusted documents, the factor by which others may be above it, and the bytes at which the scale is the square root of a half.
 HIGH, SLACK, SHORT = 0.998, 1.5, 200
+#: One trusted document in so many sets limits instead of training their model; a language with fewer of those than ``FEW`` takes the limits over all.
+FOLDS, FEW = 5, 20
 
 
 def grams(texts: pa.Array, n: int = ORDER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -63,6 +64,7 @@ def counts(texts: DataFrame) -> DataFrame:
     """(key, c): n-grams of column ``text``, summed over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         keys, sums, pending = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
         def merge():
@@ -180,11 +182,18 @@ class Slots:
             left, at = left[more], at[more] + 1
 
 
-@lru_cache(maxsize=1)
 def shard_of(path: str, shard: int) -> Slots:
+    return common.held((path, shard), lambda: load_shard(path, shard))
+
+
+def load_shard(path: str, shard: int) -> Slots:
     import pyarrow.dataset as ds
 
+    from pyarrow.fs import FileType
+
     fs, p = common.filesystem(f"{path}/shard={shard}")
+    if fs.get_file_info(p).type == FileType.NotFound:  # a model without entries for this shard
+        return Slots(np.zeros(0, np.uint64), np.zeros(0, np.float32))
     table = ds.dataset(p, format="parquet", filesystem=fs).to_table(columns=["entry", "value"])
     return Slots(table["entry"].to_numpy().astype(np.uint64), table["value"].to_numpy().astype(np.float32))
 
@@ -248,10 +257,10 @@ class Limits:
         """``known``: lang, n_bytes and perplexity of the trusted documents."""
         of = F.col("lang").alias("of")
         middle = lambda q, name: F.percentile_approx(F.log("perplexity"), q, 10_000).alias(name)
-        self.medians, self.median = common.small(known.groupBy("lang").agg(middle(0.5, "median")).select(of, "median")), known.agg(middle(0.5, "median0"))
+        self.medians, self.median = common.small(known.groupBy("lang").agg(middle(0.5, "median"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW).select(of, "median")), known.agg(middle(0.5, "median0"))
         excess = self.centred(known)
         top = lambda name: (SLACK * F.percentile_approx("excess", HIGH, 10_000)).alias(name)
-        self.tops, self.top = common.small(excess.groupBy("lang").agg(top("top")).select(of, "top")), excess.agg(top("top0"))
+        self.tops, self.top = common.small(excess.groupBy("lang").agg(top("top"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW).select(of, "top")), excess.agg(top("top0"))
 
     def centred(self, rows: DataFrame) -> DataFrame:
         """Adds median, scale and excess (see the module)."""
@@ -264,28 +273,31 @@ class Limits:
         out = self.centred(rows)
         out = out.join(self.tops, out["lang"].eqNullSafe(F.col("of")), "left").join(F.broadcast(self.top)).withColumn("top", F.coalesce("top", "top0"))
         keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("excess") <= F.col("top"), F.lit(True))
-        return out.withColumn("threshold", F.exp(F.col("median") + F.col("top") / F.col("scale"))).withColumn("keep", keep)
+        return out.withColumn("threshold", F.exp(F.col("median") + F.try_divide("top", "scale"))).withColumn("keep", keep)
+
 
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[Limits, str, int]:
+    """(limits, folder and shards of the model).
 
-def trained(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str, int]:
-    """(ids of trusted documents, folder and shards of the model)."""
-    trusted = common.small(trusted_ids(labels))
-    return trusted, *save(build(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi")))
+    The model counts all trusted documents.  A document that a model was trained on is easier for it than
+    others, so limits come from a second model, without one trusted document in ``FOLDS``, scored on those."""
+    trusted = docs.select("doc_id", "lang", "text").join(common.small(trusted_ids(labels)), "doc_id", "left_semi")
+    apart = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
+    known = score(trusted.where(apart).select("lang", "text"), *save(build(trusted.where(~apart))))
+    limits = Limits(common.materialize(known.where("perplexity is not null"), "kn-known"))
+    return limits, *save(build(trusted))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, keep) for every document."""
-    trusted, path, shards = trained(docs, labels)
-    scored = common.materialize(score(docs.select("doc_id", "lang", "text"), path, shards), "kn-scores")
-    limits = Limits(scored.where("perplexity is not null").join(trusted, "doc_id", "left_semi"))
+    limits, path, shards = trained(docs, labels)
+    scored = score(docs.select("doc_id", "lang", "text"), path, shards)
     return limits.decided(scored).select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "keep")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns; no document is shuffled."""
-    trusted, path, shards = trained(docs, labels)
-    known = score(docs.select("doc_id", "lang", "text").join(trusted, "doc_id", "left_semi"), path, shards)
-    limits = Limits(common.materialize(known.where("perplexity is not null").select("lang", "n_bytes", "perplexity"), "kn-scores"))
+    limits, path, shards = trained(docs, labels)
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang").alias("lang"), F.col("text").alias("text"))
     return limits.decided(score(packed, path, shards)).where("keep").select("row.*")
 
