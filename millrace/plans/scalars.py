@@ -74,7 +74,6 @@ def links(spark):
     return spark.createDataFrame(LINKS, "id int, url string, date string")
 
 
-Q = F.col("query")
 TOK = sql.tokens("query")
 
 
@@ -96,7 +95,7 @@ def register(name: str, column, body: str, source=questions, with_sql: str = Q_S
 
     @query(name, f"WITH {with_sql} SELECT {key}, {body} AS {out} FROM {relation}")
     def run(spark, sf_dir):
-        return source(spark).select(key, column.alias(out))
+        return source(spark).select(key, column().alias(out))
 
 
 # ---- text (T) over documents
@@ -119,12 +118,12 @@ k AS (SELECT query_id, w, min(i) AS i FROM z WHERE NOT (dated AND clause) AND st
 SELECT q.query_id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS terms FROM q LEFT JOIN k ON q.query_id = k.query_id GROUP BY q.query_id""",
 )
 def t3_lexical_terms(spark, sf_dir):
-    return questions(spark).select("query_id", F.array_join(text.lexical_terms(Q), " ").alias("terms"))
+    return questions(spark).select("query_id", F.array_join(text.lexical_terms(F.col("query")), " ").alias("terms"))
 
 
 @query("t4_identifiers")
 def t4_identifiers(spark, sf_dir):
-    ids = F.transform(text.identifiers(Q), lambda p: F.array_join(p, "."))
+    ids = F.transform(text.identifiers(F.col("query")), lambda p: F.array_join(p, "."))
     return questions(spark).select("query_id", F.array_join(ids, " ").alias("identifiers"))
 
 
@@ -135,7 +134,7 @@ def t5_identifier_match(spark, sf_dir):
     return docs.select("doc_id", text.contains_identifier(F.col("t"), F.array(F.lit("of"), F.lit("the"))).alias("found"))
 
 
-register("t6_years", F.array_join(text.years(Q), ","), r"array_to_string(list_filter(list_transform(regexp_extract_all(query, '[0-9]+'), lambda d: TRY_CAST(d AS INT)), lambda y: y BETWEEN 1900 AND 2200), ',')")
+register("t6_years", lambda: F.array_join(text.years(F.col("query")), ","), r"array_to_string(list_filter(list_transform(regexp_extract_all(query, '[0-9]+'), lambda d: TRY_CAST(d AS INT)), lambda y: y BETWEEN 1900 AND 2200), ',')")
 
 
 @query(
@@ -156,8 +155,8 @@ def _equivalent(a: str, b: str) -> str:
     return f"({a} = {b} OR (len({short}) >= 4 AND len({short}) * 3 >= len({long}) * 2 AND ({long})[1:len({short})] = ({short})))"
 
 
-register("t8_title_match", text.title_keys_equivalent(text.ascii_lower(F.col("a")), text.ascii_lower(F.col("b"))), _equivalent(sql.low("a"), sql.low("b")), titles, T_SQL, "id", "t")
-register("t11_doi", text.doi(F.concat(F.lit(" doi:https://doi.org/10.1/"), F.col("a"))), f"nullif({sql.low(sql.strip('''regexp_replace(' doi:https://doi.org/10.1/' || a, '^ *(doi:)*(https://doi[.]org/)*(http://doi[.]org/)*', '')'''))}, '')", titles, T_SQL, "id", "t")
+register("t8_title_match", lambda: text.title_keys_equivalent(text.ascii_lower(F.col("a")), text.ascii_lower(F.col("b"))), _equivalent(sql.low("a"), sql.low("b")), titles, T_SQL, "id", "t")
+register("t11_doi", lambda: text.doi(F.concat(F.lit(" doi:https://doi.org/10.1/"), F.col("a"))), f"nullif({sql.low(sql.strip('''regexp_replace(' doi:https://doi.org/10.1/' || a, '^ *(doi:)*(https://doi[.]org/)*(http://doi[.]org/)*', '')'''))}, '')", titles, T_SQL, "id", "t")
 
 
 @query("t12_response_markers")
@@ -166,7 +165,7 @@ def t12_response_markers(spark, sf_dir):
     return titles(spark).select("id", m["response"].alias("response"), m["subject"].alias("subject"))
 
 
-register("t13_subject_match", text.subjects_equivalent(text.tokens(F.col("a")), text.tokens(F.col("b"))),
+register("t13_subject_match", lambda: text.subjects_equivalent(text.tokens(F.col("a")), text.tokens(F.col("b"))),
          f"""(len({sql.tokens('a')}) > 0 AND len({sql.tokens('b')}) > 0 AND ({sql.tokens('a')} = {sql.tokens('b')} OR (least(len({sql.tokens('a')}), len({sql.tokens('b')})) >= 4 AND least(len({sql.tokens('a')}), len({sql.tokens('b')})) * 4 >= greatest(len({sql.tokens('a')}), len({sql.tokens('b')})) * 3
 AND (starts_with(' ' || array_to_string({sql.tokens('a')}, ' ') || ' ', ' ' || array_to_string({sql.tokens('b')}, ' ') || ' ') OR ends_with(' ' || array_to_string({sql.tokens('a')}, ' ') || ' ', ' ' || array_to_string({sql.tokens('b')}, ' ') || ' ')
 OR starts_with(' ' || array_to_string({sql.tokens('b')}, ' ') || ' ', ' ' || array_to_string({sql.tokens('a')}, ' ') || ' ') OR ends_with(' ' || array_to_string({sql.tokens('b')}, ' ') || ' ', ' ' || array_to_string({sql.tokens('a')}, ' ') || ' ')))))""", titles, T_SQL, "id", "t")
@@ -177,8 +176,8 @@ def t14_title_subject(spark, sf_dir):
     return titles(spark).select("id", F.array_join(F.array_sort(text.title_subject(F.col("a"))), " ").alias("subject"))
 
 
-register("t15_identity_terms", F.array_join(F.array_sort(text.identity_terms(Q)), " "), f"array_to_string(list_sort(list_distinct(list_filter({TOK}, lambda w: strlen(w) >= 3 AND NOT list_contains({sql.arr(fixed.IDENTITY_STOP)}, w)))), ' ')")
-register("t16_brand_tokens", F.array_join(F.transform(text.distinctive_tokens(Q), text.brand), " "),
+register("t15_identity_terms", lambda: F.array_join(F.array_sort(text.identity_terms(F.col("query"))), " "), f"array_to_string(list_sort(list_distinct(list_filter({TOK}, lambda w: strlen(w) >= 3 AND NOT list_contains({sql.arr(fixed.IDENTITY_STOP)}, w)))), ' ')")
+register("t16_brand_tokens", lambda: F.array_join(F.transform(text.distinctive_tokens(F.col("query")), text.brand), " "),
          f"array_to_string(list_transform(list_filter({TOK}, lambda t: strlen(t) >= 3 AND NOT regexp_full_match(t, '[0-9]+') AND NOT list_contains({sql.arr(fixed.DISTINCTIVE_STOP)}, t)), lambda t: CASE WHEN strlen(regexp_replace(t, '[0-9]+$', '')) >= 3 THEN regexp_replace(t, '[0-9]+$', '') ELSE t END), ' ')")
 
 FACTS = [
@@ -200,7 +199,7 @@ def t17_percentage_facts(spark, sf_dir):
     return rows.select("id", F.array_join(intent.percentages(F.col("passage"), F.col("c.relations"), F.col("c.topics")), ",").alias("facts"))
 
 
-register("t21_engines", F.array_join(F.array_sort(text.engines(F.split(Q, " "))), "|"), rf"array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(query, ' '), lambda e: {sql.low('trim(e)')}), lambda e: e <> ''))), '|')")
+register("t21_engines", lambda: F.array_join(F.array_sort(text.engines(F.split(F.col("query"), " "))), "|"), rf"array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(query, ' '), lambda e: {sql.low('trim(e)')}), lambda e: e <> ''))), '|')")
 
 
 @query("t20_map_details")
@@ -229,7 +228,7 @@ def t24_truncate(spark, sf_dir):
     return table(spark, sf_dir, DOCS).select("doc_id", text.truncate(F.col("text"), 80).alias("excerpt"), text.fit(F.col("text"), F.lit(100)).alias("fitted"))
 
 
-register("t25_retry_after", text.retry_after(F.concat(F.lit("more requests available in "), F.col("query_id").cast("string"), F.lit(" seconds"))), "CAST(query_id AS BIGINT)")
+register("t25_retry_after", lambda: text.retry_after(F.concat(F.lit("more requests available in "), F.col("query_id").cast("string"), F.lit(" seconds"))), "CAST(query_id AS BIGINT)")
 
 
 @query(
@@ -244,7 +243,7 @@ def t26_shingles(spark, sf_dir):
 
 @query("t27_cache_key")
 def t27_cache_key(spark, sf_dir):
-    return questions(spark).select("query_id", text.cache_key(Q).alias("cache_key"))
+    return questions(spark).select("query_id", text.cache_key(F.col("query")).alias("cache_key"))
 
 
 @query("t9_exact_titles")
@@ -334,7 +333,7 @@ def d1_date_keys(spark, sf_dir):
 @query("d2_query_dates")
 def d2_query_dates(spark, sf_dir):
     """D2, D3, D4."""
-    return questions(spark).select("query_id", dates.query_date_key(Q).alias("date_key"), dates.month_key(Q).alias("month_key"), dates.hit_month_key(Q, F.lit(""), F.lit("2024-03-09"), F.lit("/")).alias("hit_month"))
+    return questions(spark).select("query_id", dates.query_date_key(F.col("query")).alias("date_key"), dates.month_key(F.col("query")).alias("month_key"), dates.hit_month_key(F.col("query"), F.lit(""), F.lit("2024-03-09"), F.lit("/")).alias("hit_month"))
 
 
 @query(
@@ -364,44 +363,44 @@ def d6_period_bonus(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.period_adjustment(F.lit(1996 * 12), month).alias("period"), dates.date_adjustment(F.lit(1996 * 372), key).alias("exact"))
 
 
-register("d7_year_bonus", dates.year_adjustment(text.years(Q), F.lit(2024), F.lit(False), F.lit(False)),
+register("d7_year_bonus", lambda: dates.year_adjustment(text.years(F.col("query")), F.lit(2024), F.lit(False), F.lit(False)),
          r"CAST(CASE WHEN list_contains(list_transform(regexp_extract_all(query, '[0-9]+'), lambda d: TRY_CAST(d AS INT)), 2024) THEN 0.03 WHEN len(list_filter(list_transform(regexp_extract_all(query, '[0-9]+'), lambda d: TRY_CAST(d AS INT)), lambda y: y BETWEEN 1900 AND 2022)) > 0 THEN -0.08 ELSE 0 END AS DOUBLE)")
 
 # ---- intent (P)
-register("p2_science", intent.science(Q), f"({any_of(fixed.EXPLICIT_SCHOLARLY)} OR {pair_of(fixed.SCHOLARLY_PAIRS)} OR {any_of(fixed.DISTINCTIVE_SUBJECTS)} OR ({any_of(fixed.BROAD_SUBJECTS)} AND ({any_of(fixed.SCHOLARLY_WORDS)} OR {any_of(fixed.RESEARCH_CUES)})))")
-register("p4_category", intent.category(F.concat(Q, F.lit(", it , news")), "it"), "true")
+register("p2_science", lambda: intent.science(F.col("query")), f"({any_of(fixed.EXPLICIT_SCHOLARLY)} OR {pair_of(fixed.SCHOLARLY_PAIRS)} OR {any_of(fixed.DISTINCTIVE_SUBJECTS)} OR ({any_of(fixed.BROAD_SUBJECTS)} AND ({any_of(fixed.SCHOLARLY_WORDS)} OR {any_of(fixed.RESEARCH_CUES)})))")
+register("p4_category", lambda: intent.category(F.concat(F.col("query"), F.lit(", it , news")), "it"), "true")
 FULL = rf"regexp_matches(' ' || array_to_string({TOK}, ' ') || ' ', ' (fulltext|full text) ') AND NOT regexp_matches(' ' || array_to_string({TOK}, ' ') || ' ', ' (fulltext|full text) ({'|'.join(fixed.FULL_TEXT_FEATURES)}) ')"
-register("p13_full_text", intent.full_text(Q), f"({FULL})")
+register("p13_full_text", lambda: intent.full_text(F.col("query")), f"({FULL})")
 STRICT_PHRASE = " OR ".join(f"contains({sql.low('query')}, '{p}')" for p in fixed.STRICT_PHRASES)
-register("p5_strict_source", intent.strict_source(Q), f"({any_of(['arxiv', 'official'])} OR ({FULL}) OR (list_contains({TOK}, 'original') AND {any_of(['disclosure', 'paper'])}) OR {STRICT_PHRASE})")
-register("p10_case_study", intent.case_study(Q), f"(contains({sql.low('query')}, 'case study') OR contains({sql.low('query')}, 'case studies'))")
-register("p11_numerical_parity", intent.numerical_parity(Q), f"list_contains({TOK}, 'cpu') AND list_contains({TOK}, 'cuda') AND {any_of(['drift', 'reproducibility'])} AND {any_of(['numerical', 'tolerance'])}")
-register("p12_research", intent.research(Q), f"({any_of(fixed.RESEARCH_WORDS)} OR (NOT (contains({sql.low('query')}, 'case study') OR contains({sql.low('query')}, 'case studies')) AND {any_of(['study', 'studies'])}))")
-register("p14_as_of", intent.as_of(Q), f"({FRESH} OR {pair_of(['as of'])})")
-register("p15_recency", intent.recency(Q), f"({any_of(fixed.RECENCY)} OR (list_contains({TOK}, 'current') AND {any_of(fixed.TEMPORAL_NOUNS)}))")
-register("p16_token", intent.has_token(Q, "rust"), f"list_contains({TOK}, 'rust')")
-register("p18_shapes", intent.is_cve(F.concat(F.lit("CVE-2024-"), F.col("query_id") + 990)) | intent.is_arxiv(F.concat(F.lit("1706.0"), F.col("query_id") + 990)), "true" if False else "(query_id >= 10 OR query_id + 990 >= 100)")
-register("p19_issuers", intent.issuer(Q), f"upper(list_filter({TOK}, lambda t: list_contains({sql.arr(fixed.ISSUERS)}, t))[1])")
-register("q23_freshness", intent.freshness_window(Q), f"CASE WHEN {FRESH} THEN 'year' END")
+register("p5_strict_source", lambda: intent.strict_source(F.col("query")), f"({any_of(['arxiv', 'official'])} OR ({FULL}) OR (list_contains({TOK}, 'original') AND {any_of(['disclosure', 'paper'])}) OR {STRICT_PHRASE})")
+register("p10_case_study", lambda: intent.case_study(F.col("query")), f"(contains({sql.low('query')}, 'case study') OR contains({sql.low('query')}, 'case studies'))")
+register("p11_numerical_parity", lambda: intent.numerical_parity(F.col("query")), f"list_contains({TOK}, 'cpu') AND list_contains({TOK}, 'cuda') AND {any_of(['drift', 'reproducibility'])} AND {any_of(['numerical', 'tolerance'])}")
+register("p12_research", lambda: intent.research(F.col("query")), f"({any_of(fixed.RESEARCH_WORDS)} OR (NOT (contains({sql.low('query')}, 'case study') OR contains({sql.low('query')}, 'case studies')) AND {any_of(['study', 'studies'])}))")
+register("p14_as_of", lambda: intent.as_of(F.col("query")), f"({FRESH} OR {pair_of(['as of'])})")
+register("p15_recency", lambda: intent.recency(F.col("query")), f"({any_of(fixed.RECENCY)} OR (list_contains({TOK}, 'current') AND {any_of(fixed.TEMPORAL_NOUNS)}))")
+register("p16_token", lambda: intent.has_token(F.col("query"), "rust"), f"list_contains({TOK}, 'rust')")
+register("p18_shapes", lambda: intent.is_cve(F.concat(F.lit("CVE-2024-"), F.col("query_id") + 990)) | intent.is_arxiv(F.concat(F.lit("1706.0"), F.col("query_id") + 990)), "true" if False else "(query_id >= 10 OR query_id + 990 >= 100)")
+register("p19_issuers", lambda: intent.issuer(F.col("query")), f"upper(list_filter({TOK}, lambda t: list_contains({sql.arr(fixed.ISSUERS)}, t))[1])")
+register("q23_freshness", lambda: intent.freshness_window(F.col("query")), f"CASE WHEN {FRESH} THEN 'year' END")
 
 
 @query("p1_it_and_news")
 def p1_it_and_news(spark, sf_dir):
     """P1, P3, P7, P9."""
-    return questions(spark).select("query_id", intent.it(Q).alias("it"), intent.news(Q).alias("news"), intent.has_quoted_diagnostic(Q).alias("quoted"), intent.auxiliary(Q).alias("auxiliary"))
+    return questions(spark).select("query_id", intent.it(F.col("query")).alias("it"), intent.news(F.col("query")).alias("news"), intent.has_quoted_diagnostic(F.col("query")).alias("quoted"), intent.auxiliary(F.col("query")).alias("auxiliary"))
 
 
 # ---- rewrites (Q)
-register("q14_modifiers", intent.normalized_modifiers(Q),
+register("q14_modifiers", lambda: intent.normalized_modifiers(F.col("query")),
          rf"CASE WHEN len(list_filter({sql.words('query')}, lambda w: NOT list_contains({sql.arr(fixed.MODIFIERS)}, {sql.low('''regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')''')}))) = 0 THEN query ELSE array_to_string(list_filter({sql.words('query')}, lambda w: NOT list_contains({sql.arr(fixed.MODIFIERS)}, {sql.low('''regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')''')})), ' ') END")
-register("q3_compiler_code", intent.strict_code(Q), r"nullif(regexp_extract(' ' || query || ' ', '[^\p{L}\p{N}]((?:E|C|CS|FS|TS|GHC|LNK)[0-9]{3,5})[^\p{L}\p{N}]', 1), '')")
-register("q4_loose_code", intent.loose_code(Q), r"nullif(regexp_extract(' ' || query || ' ', '[^\p{L}\p{N}]([A-Za-z]{1,4}[0-9]{3,5})[^\p{L}\p{N}]', 1), '')")
+register("q3_compiler_code", lambda: intent.strict_code(F.col("query")), r"nullif(regexp_extract(' ' || query || ' ', '[^\p{L}\p{N}]((?:E|C|CS|FS|TS|GHC|LNK)[0-9]{3,5})[^\p{L}\p{N}]', 1), '')")
+register("q4_loose_code", lambda: intent.loose_code(F.col("query")), r"nullif(regexp_extract(' ' || query || ' ', '[^\p{L}\p{N}]([A-Za-z]{1,4}[0-9]{3,5})[^\p{L}\p{N}]', 1), '')")
 
 
 @query("q1_rewrites")
 def q1_rewrites(spark, sf_dir):
     """Q1, Q2, Q5, Q12, Q15, Q19, Q21."""
-    return questions(spark).select("query_id", intent.exact_identifier(Q).alias("exact"), intent.quoted_diagnostic(Q).alias("diagnostic"), intent.quoted_phrase(Q).alias("phrase"), intent.normalized_news(Q).alias("news"), intent.issue_query(Q).alias("issue"), intent.paper_title(Q).alias("paper"))
+    return questions(spark).select("query_id", intent.exact_identifier(F.col("query")).alias("exact"), intent.quoted_diagnostic(F.col("query")).alias("diagnostic"), intent.quoted_phrase(F.col("query")).alias("phrase"), intent.normalized_news(F.col("query")).alias("news"), intent.issue_query(F.col("query")).alias("issue"), intent.paper_title(F.col("query")).alias("paper"))
 
 
 @query("q6_plans")
@@ -414,7 +413,6 @@ def q6_plans(spark, sf_dir):
 
 # ---- vectors (V)
 E = "list_transform(embedding, lambda v: CAST(v AS DOUBLE))"
-V = F.col("embedding")
 
 
 def register_vector(name: str, column, body: str):
@@ -422,26 +420,26 @@ def register_vector(name: str, column, body: str):
 
     @query(name, f"SELECT vec_id, {body} AS {out} FROM embeddings")
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "embeddings").select("vec_id", column.alias(out))
+        return table(spark, sf_dir, "embeddings").select("vec_id", column().alias(out))
 
 
 ROUND = lambda c: F.transform(c, lambda v: F.round(v, 6))
-register_vector("v6_shortened", ROUND(vectors.shortened(V, 16)), f"list_transform({E}[1:16], lambda v: round(v / sqrt(list_inner_product({E}[1:16], {E}[1:16])), 6))")
-register_vector("v12_unary", ROUND(vectors.unary(V, F.sin)), f"list_transform({E}, lambda v: round(sin(v), 6))")
-register_vector("v12_gelu", ROUND(vectors.unary(V, vectors.gelu)), f"list_transform({E}, lambda v: round(0.5 * v * (1 + tanh(sqrt(2 / pi()) * (v + 0.044715 * v * v * v))), 6))")
-register_vector("v13_binary", ROUND(vectors.binary(F.transform(V, lambda v: v.cast("double")), F.array(F.lit(2.5)), lambda a, b: a * b)), f"list_transform({E}, lambda v: round(v * 2.5, 6))")
-register_vector("v14_affine", ROUND(vectors.affine(F.transform(V, lambda v: v.cast("double")), 3.0, 1.0)), f"list_transform({E}, lambda v: round(v * 3 + 1, 6))")
-register_vector("v15_total", F.round(vectors.total(V), 6), f"round(list_sum({E}), 6)")
-register_vector("v17_gather", ROUND(vectors.gather(F.transform(V, lambda v: v.cast("double")), F.array(F.lit(3), F.lit(0), F.lit(63)))), f"[round({E}[4], 6), round({E}[1], 6), round({E}[64], 6)]")
-register_vector("v18_softmax", ROUND(vectors.softmax(V)), f"list_transform({E}, lambda v: round(exp(v - list_max({E})) / list_sum(list_transform({E}, lambda u: exp(u - list_max({E})))), 6))")
-register_vector("v21_cast", F.transform(V, lambda v: (v * 1000).cast("int").cast("long")), f"list_transform(embedding, lambda v: CAST(trunc(CAST(v AS FLOAT) * CAST(1000 AS FLOAT)) AS BIGINT))")
-register_vector("v22_narrow", ROUND(vectors.narrow(F.transform(V, lambda v: v.cast("double")), 8, 4)), f"list_transform({E}[9:12], lambda v: round(v, 6))")
+register_vector("v6_shortened", lambda: ROUND(vectors.shortened(F.col("embedding"), 16)), f"list_transform({E}[1:16], lambda v: round(v / sqrt(list_inner_product({E}[1:16], {E}[1:16])), 6))")
+register_vector("v12_unary", lambda: ROUND(vectors.unary(F.col("embedding"), F.sin)), f"list_transform({E}, lambda v: round(sin(v), 6))")
+register_vector("v12_gelu", lambda: ROUND(vectors.unary(F.col("embedding"), vectors.gelu)), f"list_transform({E}, lambda v: round(0.5 * v * (1 + tanh(sqrt(2 / pi()) * (v + 0.044715 * v * v * v))), 6))")
+register_vector("v13_binary", lambda: ROUND(vectors.binary(F.transform(F.col("embedding"), lambda v: v.cast("double")), F.array(F.lit(2.5)), lambda a, b: a * b)), f"list_transform({E}, lambda v: round(v * 2.5, 6))")
+register_vector("v14_affine", lambda: ROUND(vectors.affine(F.transform(F.col("embedding"), lambda v: v.cast("double")), 3.0, 1.0)), f"list_transform({E}, lambda v: round(v * 3 + 1, 6))")
+register_vector("v15_total", lambda: F.round(vectors.total(F.col("embedding")), 6), f"round(list_sum({E}), 6)")
+register_vector("v17_gather", lambda: ROUND(vectors.gather(F.transform(F.col("embedding"), lambda v: v.cast("double")), F.array(F.lit(3), F.lit(0), F.lit(63)))), f"[round({E}[4], 6), round({E}[1], 6), round({E}[64], 6)]")
+register_vector("v18_softmax", lambda: ROUND(vectors.softmax(F.col("embedding"))), f"list_transform({E}, lambda v: round(exp(v - list_max({E})) / list_sum(list_transform({E}, lambda u: exp(u - list_max({E})))), 6))")
+register_vector("v21_cast", lambda: F.transform(F.col("embedding"), lambda v: (v * 1000).cast("int").cast("long")), f"list_transform(embedding, lambda v: CAST(trunc(CAST(v AS FLOAT) * CAST(1000 AS FLOAT)) AS BIGINT))")
+register_vector("v22_narrow", lambda: ROUND(vectors.narrow(F.transform(F.col("embedding"), lambda v: v.cast("double")), 8, 4)), f"list_transform({E}[9:12], lambda v: round(v, 6))")
 
 
 @query("v9_rotary_and_norm")
 def v9_rotary_and_norm(spark, sf_dir):
     """Rotation and root-mean-square scaling of each vector."""
-    x = F.transform(V, lambda v: v.cast("double"))
+    x = F.transform(F.col("embedding"), lambda v: v.cast("double"))
     angles = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.pow(F.lit(10000.0), -i / 32.0))
     rotated = vectors.rotary(x, F.transform(angles, F.cos), F.transform(angles, F.sin))
     return table(spark, sf_dir, "embeddings").select("vec_id", ROUND(rotated).alias("rotated"), ROUND(vectors.rms_norm(x, F.transform(x, lambda _: F.lit(0.0)))).alias("scaled"))
