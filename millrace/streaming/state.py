@@ -14,11 +14,12 @@ from millrace.functions import fixed
 SERVED = "key string, at double, hit boolean, stale boolean"
 
 
-def cached(stream: DataFrame, ttl: float = fixed.CACHE_SECONDS, degraded_ttl: float = fixed.DEGRADED_SECONDS, stale_for: float = fixed.STALE_SECONDS) -> DataFrame:
+def cached(stream: DataFrame, ttl: float = fixed.CACHE_SECONDS, degraded_ttl: float = fixed.DEGRADED_SECONDS, stale_for: float = fixed.STALE_SECONDS, expire: bool = True) -> DataFrame:
     """Answers of a cache per key to requests (key, at seconds, healthy): hit, or a load; was a stale pool at hand?
 
     A load lives ``ttl`` seconds (``degraded_ttl`` if it was not healthy); the last healthy one stays usable
-    as a stale pool for ``stale_for`` seconds.  State is three numbers per key and is dropped when idle."""
+    as a stale pool for ``stale_for`` seconds.  State is three numbers per key; with ``expire``
+    it is dropped when idle (processing time, so for streams that keep running)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,10 +37,11 @@ def cached(stream: DataFrame, ttl: float = fixed.CACHE_SECONDS, degraded_ttl: fl
                 stale = not hit and not good and healthy_at is not None and r.at - healthy_at < stale_for
                 rows.append((key[0], float(r.at), bool(hit), bool(stale)))
         state.update((loaded, good, healthy_at))
-        state.setTimeoutDuration(int(1000 * stale_for))
+        if expire:
+            state.setTimeoutDuration(int(1000 * stale_for))
         yield pd.DataFrame(rows, columns=["key", "at", "hit", "stale"])
 
-    return stream.groupBy("key").applyInPandasWithState(step, SERVED, "loaded double, good boolean, healthy_at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("key").applyInPandasWithState(step, SERVED, "loaded double, good boolean, healthy_at double", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def paced(stream: DataFrame, interval: float) -> DataFrame:

@@ -8,7 +8,7 @@ from millrace.streaming import state
 
 def run(query, name):
     q = query.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(120)
 
 
 def test_cache_and_pacing(spark, tmp_path):
@@ -16,7 +16,7 @@ def test_cache_and_pacing(spark, tmp_path):
     df = spark.createDataFrame(rows, "key string, at double, healthy boolean")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    run(state.cached(stream, ttl=600, degraded_ttl=600), "cached")
+    run(state.cached(stream, ttl=600, degraded_ttl=600, expire=False), "cached")
     got = {(r.key, r.at): r.hit for r in spark.table("cached").collect()}
     want = {(r.key, r.at): r.hit for r in cache.served(df, "key", "at", 600).collect()}
     assert got == want
@@ -27,7 +27,7 @@ def test_cache_and_pacing(spark, tmp_path):
 
 
 def test_windows(spark, tmp_path):
-    events = spark.range(100).select((F.timestamp_seconds(F.col("id") * 120)).alias("ts"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("event_type"), F.lit(1.0).alias("value"), F.col("id").cast("string").alias("key"))
+    events = spark.range(100).select((F.timestamp_seconds(F.col("id") * 120 + 7200)).alias("ts"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("event_type"), F.lit(1.0).alias("value"), F.col("id").cast("string").alias("key"))
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     run(state.windowed(stream), "windowed")
