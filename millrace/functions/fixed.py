@@ -94,3 +94,39 @@ SAME_SITE, SAME_SUBJECT, OTHERWISE = (95, 82), (95, 80), (98, 95)
 DECISIVE_SHARE, IDENTIFIER_SHARE = 0.40, 0.35
 CACHE_SECONDS, DEGRADED_SECONDS, STALE_SECONDS, CACHE_ENTRIES, PAGE_BYTES = 600, 180, 3600, 256, 524_288
 DEFAULT_RESULTS, MOST_RESULTS, DEFAULT_BUDGET, MOST_BUDGET = 8, 10, 24_000, 100_000
+
+# Sites that a query names: all groups of a rule must occur among its tokens, "a|b" is either, "a+b" a phrase; the first rule counts.
+DIAGNOSTIC_SITES = [
+    ("postgres|postgresql", "postgresql.org"),
+    ("rust", "doc.rust-lang.org"),
+    ("aws", "docs.aws.amazon.com"),
+    ("kubernetes", "kubernetes.io"),
+    ("zod", "zod.dev"),
+]
+NAMED_SITES = [
+    ("whatwg dom", "dom.spec.whatwg.org"),
+    ("whatwg", "whatwg.org"),
+    ("oss+security", "openwall.com"),
+    ("nist", "nist.gov"),
+    ("cdc", "cdc.gov"),
+    ("copyright+office", "copyright.gov"),
+    ("webauthn official|spec|specification|standard", "w3.org"),
+    ("node lts|release|releases|schedule", "nodejs.org"),
+    ("rust release|releases notes", "doc.rust-lang.org"),
+    ("npm incident|incidents|status", "status.npmjs.org"),
+    ("github docs|documentation|official", "docs.github.com"),
+    ("aws docs|documentation|official", "docs.aws.amazon.com"),
+    ("nvidia advisory|security|vulnerability", "nvidia.com"),
+    ("federal+funds+rate", "federalreserve.gov"),
+    ("geneva+convention|geneva+conventions", "icrc.org"),
+    ("mortgage+rate|mortgage+rates data|official", "freddiemac.com"),
+    ("cpi data|official", "bls.gov"),
+    ("united+nations", "un.org"),
+    ("acc aha guideline|guidelines", "jacc.org"),
+    ("ada diabetes", "diabetesjournals.org"),
+    ("postgresql docs|documentation|official|release|releases", "postgresql.org"),
+    ("sqlite docs|documentation|official", "sqlite.org"),
+    ("python docs|documentation|official", "docs.python.org"),
+    ("react docs|documentation|official", "react.dev"),
+]
+SINGLE_WORD_SITES = {"fda": "fda.gov", "nasa": "nasa.gov", "nixos": "nixos.org", "tokio": "docs.rs", "arxiv": "arxiv.org"}

@@ -13,21 +13,6 @@ PREFERENCE = ("general", "news", "it", "science")
 TECHNICAL_FILLER = "a an and are can do does for from how i in into is my of on or should the to using what when why with".split()
 RECOMMENDATION_KINDS = {"guideline": "Guideline", "guidelines": "Guideline", "recommendation": "Recommendation", "recommendations": "Recommendation", "standards": "Standards"}
 DOCUMENT_KINDS = "api docs documentation guide manual notes reference release releases spec specification standard tutorial".split()
-#: Sites that a query can name: (tokens that must all occur, host), first match wins.
-AUTHORITIES = [
-    (["python", "docs"], "docs.python.org"),
-    (["python", "documentation"], "docs.python.org"),
-    (["rust", "std"], "doc.rust-lang.org"),
-    (["rust"], "doc.rust-lang.org"),
-    (["tokio"], "docs.rs"),
-    (["kubernetes"], "kubernetes.io"),
-    (["postgresql"], "postgresql.org"),
-    (["postgres"], "postgresql.org"),
-    (["react"], "react.dev"),
-    (["uspstf"], "uspreventiveservicestaskforce.org"),
-    (["nist"], "nist.gov"),
-    (["cdc"], "cdc.gov"),
-]
 
 
 def supplement(kind: str, query: Column, target: Column | None = None, host: Column | None = None, strict: Column | None = None) -> Column:
@@ -82,12 +67,30 @@ def locator_query(query: Column) -> Column:
 
 
 def authority_host(query: Column) -> Column:
-    """The site of the first rule whose tokens all occur."""
+    """The site that a query names, by the first rule that fits; else null."""
     ts = text.tokens(query)
-    out = F.when(F.lower(query).contains("next.js"), "nextjs.org")
-    for need, host in AUTHORITIES:
-        out = out.when(F.forall(text.words_of(need), lambda t: F.array_contains(ts, t)), host)
-    return out
+    flat = F.concat(F.lit(" "), F.array_join(ts, " "), F.lit(" "))
+
+    def occurs(group: str) -> Column:
+        return flat.rlike(f" (?:{group.replace('+', ' ')}) ")
+
+    def fits(rule: str) -> Column:
+        out = F.lit(True)
+        for group in rule.split(" "):
+            out = out & occurs(group)
+        return out
+
+    low = text.ascii_lower(query)
+    out = F.when(low.contains("next.js"), "nextjs.org").when(occurs("pip") & low.contains("externally-managed-environment"), "packaging.python.org")
+    for rule, host in fixed.DIAGNOSTIC_SITES:
+        out = out.when(intent.has_quoted_diagnostic(query) & fits(rule), host)
+    for rule, host in fixed.NAMED_SITES:
+        out = out.when(fits(rule), host)
+    out = out.when(occurs("rfc") & F.exists(ts, text.is_digits), "rfc-editor.org")
+    single = F.create_map(*[F.lit(v) for pair in fixed.SINGLE_WORD_SITES.items() for v in pair])
+    first = F.get(F.filter(ts, lambda t: t.isin(list(fixed.SINGLE_WORD_SITES))), 0)
+    who = occurs("world+health+organization|world+health+organisation") | F.array_contains(F.split(query, text.NOT_WORD), "WHO")
+    return out.otherwise(F.coalesce(F.try_element_at(single, first), F.when(who, "who.int")))
 
 
 def manifestation_query(query: Column, title: Column) -> Column:

@@ -108,3 +108,24 @@ def test_null_inputs(value):
     none = F.lit(None).cast("string")
     for f in (text.tokens, text.lexical_terms, text.title_key, text.doi, urls.canonical, dates.date_key, intent.it):
         value(f(none))
+
+
+@pytest.mark.parametrize(
+    ("query", "host"),
+    [
+        ("Next.js routing", "nextjs.org"),
+        ('postgres "relation does not exist" error', "postgresql.org"),
+        ("postgres tuning", None),
+        ("official python docs", "docs.python.org"),
+        ("federal funds rate history", "federalreserve.gov"),
+        ("RFC 9110 caching", "rfc-editor.org"),
+        ("nasa and fda", "nasa.gov"),
+        ("WHO advice", "who.int"),
+        ("who wrote it", None),
+        ("world health organisation report", "who.int"),
+    ],
+)
+def test_named_sites(value, query, host):
+    from millrace.operators import planner
+
+    assert value(planner.authority_host(F.lit(query))) == host
