@@ -130,3 +130,12 @@ NAMED_SITES = [
     ("react docs|documentation|official", "react.dev"),
 ]
 SINGLE_WORD_SITES = {"fda": "fda.gov", "nasa": "nasa.gov", "nixos": "nixos.org", "tokio": "docs.rs", "arxiv": "arxiv.org"}
+
+# More intent words, and phrases of an export service's outage pages.
+QUESTION_ERRORS = "bug error exception failed failure fix mismatch panic undefined unresolved".split()
+SOURCE_WORDS = "documentation docs guideline guidelines official".split()
+DOCUMENTATION_WORDS = "documentation docs official".split()
+AUTHORITY_DOCUMENTS = "advisory algorithm documentation docs guidance manual policy reference schedule spec specification standard status".split()
+EXPLORATORY = "about latest new newest papers recent".split()
+PAPER_MARKERS = "arxiv original paper papers pdf".split()
+OUTAGES = ["the stackexchange server is too busy", "please try again later", "too many requests", "for the love it bears to fair maidens", "stackprinter - the stack exchange printer suite"]

@@ -208,11 +208,35 @@ def normalized_news(query: Column) -> Column:
 
 
 def paper_title(query: Column) -> Column:
-    """The title in a request for a paper (``original paper``, or ``arxiv`` and ``paper``), if three words remain."""
+    """The title in a request for a paper (``original paper``, or ``arxiv`` and ``paper`` unless exploring), if three words remain."""
     ts = tokens(query)
-    asks = has_any(pairs(ts), ["original paper"]) | (F.array_contains(ts, "arxiv") & F.array_contains(ts, "paper"))
-    kept = F.filter(split_space(query), lambda w: ~ascii_lower(bare(w)).isin("original", "paper", "arxiv", "official", "pdf"))
-    return F.when(asks & (F.size(kept) >= 3), F.array_join(kept, " "))
+    known = F.array_contains(ts, "arxiv") & F.array_contains(ts, "paper") & ~has_any(ts, fixed.EXPLORATORY)
+    kept = F.filter(split_space(query), lambda w: ~ascii_lower(bare(w)).isin(fixed.PAPER_MARKERS))
+    return F.when((ascii_lower(query).contains("original paper") | known) & (F.size(kept) >= 3), F.array_join(kept, " "))
+
+
+def bare_words(query: Column) -> Column:
+    return F.transform(split_space(ascii_lower(query)), bare)
+
+
+def source(query: Column) -> Column:
+    """Is a source itself asked for?"""
+    low = ascii_lower(query)
+    return has_any(tokens(query), ["arxiv"]) | full_text(low) | contains_any(low, ["original paper", "primary source", "release notes"]) | has_any(bare_words(query), fixed.SOURCE_WORDS)
+
+
+def documentation(query: Column) -> Column:
+    return has_any(bare_words(query), fixed.DOCUMENTATION_WORDS)
+
+
+def reserves_authority(query: Column, named: Column) -> Column:
+    """Does the named source keep a place: a kind of document is asked for, and no diagnostic?"""
+    return named.isNotNull() & ~has_quoted_diagnostic(query) & has_any(tokens(query), fixed.AUTHORITY_DOCUMENTS)
+
+
+def asks_questions(query: Column) -> Column:
+    """Is the question-and-answer network worth asking?"""
+    return it(query) & (exact_identifier(query).isNotNull() | quoted_phrase(query).isNotNull() | has_any(tokens(query), fixed.QUESTION_ERRORS))
 
 
 def issue_query(query: Column) -> Column:

@@ -87,3 +87,9 @@ def reshaped(x: Column, rows: int, columns: int) -> Column:
 def matmul(a: Column, b: Column) -> Column:
     """Product of two small matrices held in one row."""
     return let(transposed(b), lambda t: F.transform(a, lambda r: F.transform(t, lambda c: dot(r, c))))
+
+
+def linear(x: Column, weight: Column, bias: Column | None = None) -> Column:
+    """x times the transposed weight (rows are outputs), plus a bias."""
+    out = F.transform(weight, lambda row: dot(x, row))
+    return out if bias is None else F.zip_with(out, bias, lambda a, b: a + b)

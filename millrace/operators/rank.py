@@ -9,6 +9,12 @@ from millrace.functions import dates, fixed, intent, text, titles, urls
 
 
 def authority(query: Column, url: Column, named: Column) -> Column:
+    """The project's bonus where there is one, else that of the site."""
+    scope = project_scope(query, url)
+    return F.when(scope != 0, scope).otherwise(site_authority(query, url, named))
+
+
+def site_authority(query: Column, url: Column, named: Column) -> Column:
     """Bonus of a page's site: a public authority of the named place, the named source, or an institution.
 
     ``named``: host of the source that the query names, or null."""
@@ -22,6 +28,19 @@ def authority(query: Column, url: Column, named: Column) -> Column:
     return F.greatest(F.when(F.coalesce(place, F.lit(False)), 0.12).otherwise(0.0), source)
 
 
+def project_scope(query: Column, url: Column) -> Column:
+    """Bonus of the project that a query names: its repository, package or site; a malus for another package's pages."""
+    h, terms = urls.host(url), text.identity_terms(query)
+    segments = F.split(F.regexp_replace(urls.path(url), "^/", ""), "/")
+    asks = intent.source(query)
+    repository = (h == "github.com") & F.coalesce(text.identity_matches(F.get(segments, 1), terms), F.lit(False))
+    exact = intent.exact_identifier(query).isNotNull() & ~F.lower(F.get(segments, 1)).isin(fixed.LANGUAGE_REPOSITORIES)
+    package = F.when(h == "docs.rs", F.when(F.get(segments, 0) == "crate", F.get(segments, 1)).otherwise(F.get(segments, 0))).otherwise(F.when(F.get(segments, 0) == "crates", F.get(segments, 1)))
+    other = F.when(package.isNull() | (package == ""), 0.0).when(text.identity_matches(package, terms), 0.12).otherwise(-0.18)
+    label = F.when(F.coalesce(text.identity_matches(F.get(F.split(h, "[.]"), 0), terms), F.lit(False)), 0.10).otherwise(0.0)
+    return F.when(repository & asks, 0.10).when(repository & exact, 0.08).when(~asks, 0.0).when(h.isin("docs.rs", "crates.io", "lib.rs"), other).otherwise(label)
+
+
 def candidate_score(query: Column, newest: Column) -> Column:
     """Sum of all signals of a candidate (columns dense, url, title, snippet, date, evidence, recommendation, named)."""
     passage = F.concat_ws("\n", "title", "snippet")

@@ -390,6 +390,29 @@ def p1_it_and_news(spark, sf_dir):
     return questions(spark).select("query_id", intent.it(F.col("query")).alias("it"), intent.news(F.col("query")).alias("news"), intent.has_quoted_diagnostic(F.col("query")).alias("quoted"), intent.auxiliary(F.col("query")).alias("auxiliary"))
 
 
+register("p6_documentation", lambda: intent.documentation(F.col("query")), f"list_has_any({TOK}, {sql.arr(fixed.DOCUMENTATION_WORDS)})")
+
+
+@query("p8_reservations")
+def p8_reservations(spark, sf_dir):
+    """P6, P8, P9, Q20, S21, U12, W2."""
+    from millrace.operators import planner, rank
+    from millrace.sources import scans
+
+    named = planner.authority_host(F.col("query"))
+    page = F.lit("https://docs.rs/tokio/latest")
+    return questions(spark).select(
+        "query_id",
+        named.alias("named"),
+        intent.reserves_authority(F.col("query"), named).alias("reserves"),
+        intent.source(F.col("query")).alias("source"),
+        intent.asks_questions(F.col("query")).alias("asks"),
+        rank.project_scope(F.col("query"), page).alias("scope"),
+        scans.printer_url(F.concat(F.lit("https://stackoverflow.com/questions/"), F.col("query_id"))).alias("printer"),
+        scans.is_wall(F.lit("https://www.reddit.com/login"), F.lit("")).alias("wall"),
+    )
+
+
 # ---- rewrites (Q)
 register("q14_modifiers", lambda: intent.normalized_modifiers(F.col("query")),
          rf"CASE WHEN len(list_filter({sql.words('query')}, lambda w: NOT list_contains({sql.arr(fixed.MODIFIERS)}, {sql.low('''regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')''')}))) = 0 THEN query ELSE array_to_string(list_filter({sql.words('query')}, lambda w: NOT list_contains({sql.arr(fixed.MODIFIERS)}, {sql.low('''regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')''')})), ' ') END")

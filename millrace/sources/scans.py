@@ -14,9 +14,8 @@ ISSUES = "items array<struct<title:string,html_url:string,created_at:string,body
 USER = "struct<display_name:string,link:string>"
 ANSWER = f"struct<answer_id:bigint,body_markdown:string,score:bigint,is_accepted:boolean,owner:{USER},content_license:string>"
 QUESTIONS = f"items array<struct<question_id:decimal(20,0),title:string,body_markdown:string,link:string,score:bigint,tags:array<string>,is_answered:boolean,owner:{USER},content_license:string,answers:array<{ANSWER}>>>, backoff bigint, quota_remaining bigint"
-#: Phrases of pages that show nothing without scripts, of outage pages, of access walls.
+#: Phrases of pages that show nothing without scripts.
 SHELLS = ["enable javascript to run this app", "javascript is required", "please enable javascript", "requires javascript"]
-OUTAGES = ["service unavailable", "temporarily unavailable", "under maintenance", "too many requests", "try again later"]
 
 
 def links(raw: Column) -> Column:
@@ -153,9 +152,17 @@ def is_shell(markdown: Column) -> Column:
     return F.coalesce((F.length(markdown) <= 1000) & found.isNotNull() & (text.alphanumerics(F.replace(low, found, F.lit(""))) < 200), F.lit(False))
 
 
+def printer_url(url: Column) -> Column:
+    """Export page of a question, an alternate place to fetch it from; null for other pages."""
+    q = urls.question(url)
+    h = F.regexp_replace(urls.host(url), r"^www\.", "")
+    service = F.when(h.endswith(".stackexchange.com"), F.regexp_replace(h, r"\.com$", "")).otherwise(q["site"])
+    return F.when(q.isNotNull(), F.concat(F.lit("https://www.stackprinter.com/export?question="), q["id"].cast("string"), F.lit("&service="), service, F.lit("&language=en&hideAnswers=false&showAll=true&width=640")))
+
+
 def is_outage(content: Column) -> Column:
     low = text.ascii_lower(content)
-    return F.exists(text.words_of(OUTAGES), lambda p: F.contains(low, p))
+    return F.exists(text.words_of(fixed.OUTAGES), lambda p: F.contains(low, p))
 
 
 def is_wall(url: Column, body: Column) -> Column:

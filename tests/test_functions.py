@@ -129,3 +129,18 @@ def test_named_sites(value, query, host):
     from millrace.operators import planner
 
     assert value(planner.authority_host(F.lit(query))) == host
+
+
+def test_projects_and_sources(value):
+    from millrace.operators import rank
+    from millrace.sources import scans
+
+    scope = lambda q, u: value(rank.project_scope(F.lit(q), F.lit(u)))
+    assert scope("tokio docs", "https://github.com/tokio-rs/tokio") == 0.10
+    assert scope("tokio docs", "https://docs.rs/tokio/latest") == 0.12
+    assert scope("tokio docs", "https://docs.rs/crate/serde/1") == -0.18
+    assert scope("tokio", "https://docs.rs/serde/1") == 0.0
+    assert scope("serde_json error", "https://github.com/serde-rs/json") == 0.08
+    assert value(scans.printer_url(F.lit("https://unix.stackexchange.com/q/9"))).count("service=unix.stackexchange&") == 1
+    assert value(intent.paper_title(F.lit("latest arxiv paper on big models"))) is None
+    assert value(intent.asks_questions(F.lit("tokio panic"))) and not value(intent.asks_questions(F.lit("tokio tutorial")))
