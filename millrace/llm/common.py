@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Largest number of rows of a narrow (key, value) side that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 #: Rows and bytes of an Arrow batch handed to Python: documents are wide, so batches are short.
-BATCH_ROWS, BATCH_BYTES = "1024", "16m"
+BATCH_ROWS, BATCH_BYTES = "512", "4m"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -56,6 +56,31 @@ def release() -> None:
     _held.clear()
 
 
+def trim() -> None:
+    """Give memory that is free inside this worker back to the system."""
+    import ctypes
+    import sys
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+
+def tidy(run):
+    """``run``, a function over Arrow batches, that trims its worker's memory when it ends: workers are reused,
+    and what a stage leaves in them counts for the ones after it."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm

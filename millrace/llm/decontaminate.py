@@ -141,7 +141,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "matches", "length", "item_words"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, matches long, length long, item_words long")
+        part = docs.select("doc_id", "text").mapInArrow(common.tidy(run), "doc_id long, item_id long, matches long, length long, item_words long")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matches long, length long, item_words long")
 
@@ -160,7 +160,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[at + text for text, _ in index.verified(w)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(common.tidy(run), docs.schema)
     return docs
 
 

@@ -164,7 +164,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(common.tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def op6_extract(spark, sf_dir: str) -> DataFrame:

@@ -251,7 +251,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
                 score = np.where(letters, np.clip(p.max(1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(common.tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op9_langid(spark, sf_dir: str) -> DataFrame:

@@ -160,7 +160,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     ["doc_id", "digest", "n", "signature", "buckets"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, signature binary, buckets array<long>")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), "doc_id long, digest binary, n long, signature binary, buckets array<long>")
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 same = (x == y).sum(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.int64())], ["a", "b", "same"]).filter(pa.array(same >= AGREE))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same long")
+    return both.select("a", "b", "x", "y").mapInArrow(common.tidy(run), "a long, b long, same long")
 
 
 def element_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def element_sets(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame
                         sets.append(np.sort(short[first[i] : first[i + 1]]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], ["key", "elements"])
 
-    return common.materialize(texts.mapInArrow(run, "key long, elements binary").dropDuplicates(["key"]), "dup-elements")
+    return common.materialize(texts.mapInArrow(common.tidy(run), "key long, elements binary").dropDuplicates(["key"]), "dup-elements")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
                 keep.append(common_units >= SIMILAR * (len(a) + len(b) - common_units) - 1e-9 and upper > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return common.materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "dup-links")
+    return common.materialize(both.select("a", "b", "x", "y").mapInArrow(common.tidy(run), "a long, b long"), "dup-links")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -304,7 +304,7 @@ def links_inside(docs: DataFrame, reps: DataFrame, tight: DataFrame, loose: Data
                 k = take.slice(i, 100_000)
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).take(k) for j in range(3)), pa.array(n[at[i : i + 100_000]]), pa.array(flat[i : i + 100_000])], ["key", "group", "label", "n", "h"])
 
-    each = work.join(sets, "key").select("key", "group", "label", "elements").mapInArrow(run, "key long, group long, label long, n long, h long")
+    each = work.join(sets, "key").select("key", "group", "label", "elements").mapInArrow(common.tidy(run), "key long, group long, label long, n long, h long")
     each = common.materialize(each, "dup-units")
     frequent = each.groupBy("group", "h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     known = each.join(frequent, ["group", "h"])
@@ -335,7 +335,7 @@ def links_inside(docs: DataFrame, reps: DataFrame, tight: DataFrame, loose: Data
                 out += spanning_links(m.field("key").to_pylist(), m.field("label").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint32) for x in m.field("elements")])
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
-    return common.materialize(groups.select("m").mapInArrow(compare, "a long, b long").distinct(), "dup-links")
+    return common.materialize(groups.select("m").mapInArrow(common.tidy(compare), "a long, b long").distinct(), "dup-links")
 
 
 def spanning_links(keys: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -404,7 +404,7 @@ def remaining_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
             every = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], ["a", "b"])
 
-    return common.materialize(groups.select("m").mapInArrow(run, "a long, b long").distinct(), "dup-pairs")
+    return common.materialize(groups.select("m").mapInArrow(common.tidy(run), "a long, b long").distinct(), "dup-pairs")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -452,7 +452,7 @@ def representatives(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "__digest"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = unclear.mapInArrow(run, f"{schema}, __digest binary")
+    marked = unclear.mapInArrow(common.tidy(run), f"{schema}, __digest binary")
     heads = found.select(F.col("class_id").alias("__id"), F.col("class_digest").alias("__head")).distinct()
     kept = marked.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__head")), "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
     return single.unionByName(kept)

@@ -30,7 +30,7 @@ from millrace.llm import common
 
 ORDER = 5
 #: Bytes handled at once, n-grams a counting task holds before it passes them on, entries of a shard of the model.
-PIECE, HELD, SHARD = 1 << 20, 4 << 20, 4 << 20
+PIECE, HELD, SHARD = 1 << 20, 1 << 20, 4 << 20
 #: Quantile of the excess of a language's trusted documents, the factor by which others may be above it, and the bytes at which the scale is the square root of a half.
 HIGH, SLACK, SHORT = 0.998, 1.5, 200
 #: One trusted document in so many sets limits instead of training their model; a language with fewer of those than ``FEW`` takes the limits over all.
@@ -89,7 +89,7 @@ def counts(texts: DataFrame) -> DataFrame:
         keys, sums = merge()
         yield from out()
 
-    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(common.tidy(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def discounts(table: DataFrame) -> list[float]:
@@ -243,7 +243,7 @@ def score(docs: DataFrame, path: str, shards: int) -> DataFrame:
 
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(run, f"{schema}, n_bytes long, perplexity double")
+    return docs.mapInArrow(common.tidy(run), f"{schema}, n_bytes long, perplexity double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

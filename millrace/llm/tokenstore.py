@@ -269,7 +269,7 @@ def write_packs(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> Dat
         if out:
             out.close()
 
-    return common.materialize(docs.select("doc_id", "text").mapInArrow(run, STAGED), "recipes-staged")
+    return common.materialize(docs.select("doc_id", "text").mapInArrow(common.tidy(run), STAGED), "recipes-staged")
 
 
 def compact(staged: DataFrame, folder: str) -> DataFrame:
@@ -296,7 +296,7 @@ def compact(staged: DataFrame, folder: str) -> DataFrame:
 
     spark = staged.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return common.materialize(work.repartition(n, "pack").mapInArrow(run, "digest binary, path string, offset long, bytes long, first long, ids long, width long"), "places")
+    return common.materialize(work.repartition(n, "pack").mapInArrow(common.tidy(run), "digest binary, path string, offset long, bytes long, first long, ids long, width long"), "places")
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -345,7 +345,7 @@ def read_store(recipes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
         reader.close()
 
-    return recipes.select("doc_id", "start", "root", "chunks").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return recipes.select("doc_id", "start", "root", "chunks").mapInArrow(common.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_tokens(spark, sf_dir: str) -> DataFrame:

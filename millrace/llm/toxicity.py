@@ -285,7 +285,7 @@ def tag(docs: DataFrame, chain: Chain | None) -> DataFrame:
             )
 
     rows = docs.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, toxic_words long, spans array<struct<start: long, end: long>>")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, held_out boolean, score double, predicted int, toxic_words long, spans array<struct<start: long, end: long>>")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
-    return common.materialize(records.mapInArrow(write, "archive string, records long, bytes long"), "warc-manifest")
+    return common.materialize(records.mapInArrow(common.tidy(write), "archive string, records long, bytes long"), "warc-manifest")
 
 
 def records_of(stream: io.BufferedIOBase, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
@@ -182,7 +182,7 @@ def read_chunks(archives: DataFrame, with_data: bool = True) -> DataFrame:
 
     spark = archives.sparkSession
     n = max(1, archives.count())
-    return archives.select("archive").repartition(min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(read, CHUNKS)
+    return archives.select("archive").repartition(min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(common.tidy(read), CHUNKS)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
