@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common, tokens
 
-SAMPLE, CHAIN_SAMPLE, THRESHOLD = 3000, 700, 0.3
+SAMPLE, CHAIN_SAMPLE, THRESHOLD = 2000, 700, 0.3
 PREFIXES = (4, 5, 6)
 #: A feature marks tokens if so many toxic documents, and this share of them, have it and its odds are at least so high.
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.005, 20.0
@@ -154,21 +154,51 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return b
 
 
+def unlike(texts: pa.Array, hashes: int = 8) -> np.ndarray:
+    """First of each group of texts that share a least hash of five words under one of ``hashes`` hash functions.
+
+    The words of a text with many near copies would else seem to be typical of its label."""
+    low = [np.zeros((0, hashes), np.uint64)]
+    for at, w in tokens.pieces(texts):
+        h, first = tokens.windows(w, 5)
+        full = np.flatnonzero(np.diff(first) > 0)
+        part = np.zeros((len(first) - 1, hashes), np.uint64)
+        part[:] = tokens.mixed(np.arange(at, at + len(part)).astype(np.uint64) + np.uint64(1 << 60))[:, None]
+        for k in range(hashes):
+            if len(full):
+                part[full, k] = np.minimum.reduceat(tokens.mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)), first[:-1][full])
+        low.append(part)
+    low = np.concatenate(low)
+    group = np.arange(len(low))
+    while True:
+        before = group.copy()
+        for k in range(hashes):
+            _, inverse = np.unique(low[:, k], return_inverse=True)
+            least = np.full(inverse.max(initial=0) + 1, len(low))
+            np.minimum.at(least, inverse, group)
+            group = least[inverse]
+        if (group == before).all():
+            return np.unique(group)
+
+
 def train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Chain:
-    """Label tokens, fit the chain on a part of the documents and the curve on all; equal texts count once."""
-    once = np.sort(list({t: i for i, t in reversed(list(enumerate(texts.to_pylist())))}.values()))
+    """Label tokens, fit the chain on a part of the documents and the curve on all; copies count once."""
+    once = unlike(texts)
     texts, toxic, weight = texts.take(pa.array(once)), toxic[once], weight[once]
     parts = [(at, w, features(w)) for at, w in tokens.pieces(texts)]
     # Documents of either label that have a feature, counted once each.
-    pairs = [np.zeros((0, 2), np.uint64)]
+    hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     for at, w, fs in parts:
         doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+        mark = tokens.mixed((doc + 1).astype(np.uint64))
         for f in fs:
-            key = np.unique(np.stack([f, (doc + at).astype(np.uint64)], 1)[f > 0], axis=0) if len(f) else pairs[0]
-            pairs.append(key)
-    pairs = np.concatenate(pairs)
-    keys, inverse = np.unique(pairs[:, 0], return_inverse=True)
-    has = toxic[pairs[:, 1].astype(np.int64)]
+            one = np.unique(f ^ mark, return_index=True)[1]
+            one = one[f[one] > 0]
+            hashes.append(f[one])
+            docs.append((doc[one] + at).astype(np.int32))
+    hashes, docs = np.concatenate(hashes), np.concatenate(docs)
+    keys, inverse = np.unique(hashes, return_inverse=True)
+    has = toxic[docs]
     bad = np.bincount(inverse, has, len(keys))
     good = np.bincount(inverse, ~has, len(keys))
     odds = (bad + 0.5) / (toxic.sum() + 1) / ((good + 0.5) / ((~toxic).sum() + 1))
