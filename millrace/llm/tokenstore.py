@@ -37,13 +37,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
+from millrace.llm.tokens import mixed, powers
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Rolling window, average (a power of two), least and most ids of a chunk; raw bytes of a block.
 WINDOW, AVERAGE, LEAST, MOST, BLOCK = 8, 1024, 128, 8192, 1 << 18
 HEAD, TAIL = b"MRPACK1\n", b"MRPACKE\n"
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_400_000
+#: Pieces whose ids a worker remembers: as strings, and by hash.
+REMEMBERED, HASHED = 400_000, 3_000_000
 
 # The pre-tokenizer's pattern over characters up to U+024F and general punctuation, where Python's re and
 # the library agree; texts with other characters go to the library as a whole.
@@ -53,6 +54,15 @@ SPACED = re.compile(f" [{LETTER}]+").fullmatch
 OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞]")
 
 
+#: White space in a row and contractions, where pieces are more than runs of one class of characters.
+ODD = re.compile(r"\s\s|'(?:s|t|re|ve|m|ll|d)")
+SYMBOL, ALPHA, DIGIT, SPACE, BLANK = range(5)
+_of = lambda c: SPACE if c == " " else BLANK if c.isspace() else ALPHA if re.match(f"[{LETTER}]", c) else DIGIT if re.match(f"[{NUMBER}]", c) else SYMBOL
+#: Classes of characters up to U+024F, and of first bytes (those of two-byte characters are set by the character).
+POINTS = np.array([_of(chr(c)) for c in range(0x800)], np.uint8)
+CLASSES = np.where(np.arange(256) < 128, np.resize(POINTS[:128], 256), SYMBOL).astype(np.uint8)
+
+
 class Encoder:
     """Encodes whole texts; the ids of each piece of text between the pre-tokenizer's cuts are remembered."""
 
@@ -65,6 +75,7 @@ class Encoder:
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
         self.known: dict[str, bytes] = {}
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.forget()
 
     def learn(self, pieces: set[str]) -> None:
         """Encode new pieces.  A space and letters always are one piece, so those go through the library as
@@ -83,8 +94,74 @@ class Encoder:
                 self.known[word] = raw[last:end]
                 last = end
 
+    def remembered(self, pieces: list[str]) -> list[bytes]:
+        """Raw ids of pieces that were perhaps not seen before; each is encoded once."""
+        self.learn(set(pieces).difference(self.known))
+        return [self.known.pop(p) for p in pieces]
+
+    def forget(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, self.dtype)
+
+    def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts of known characters without contractions and white space in a row.
+
+        There a piece begins where the class of characters changes, but for a space, which begins the piece of
+        what follows it.  Pieces are told apart by hash; their ids are gathered from one array."""
+        raw = [t.encode() for t in texts]
+        data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        n = len(data)
+        if not n:
+            return np.full(len(texts), END_ID, self.dtype), np.arange(len(texts) + 1)
+        kind = CLASSES[data]
+        two = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+        kind[two] = kind[two + 1] = POINTS[(data[two].astype(np.int32) & 0x1F) << 6 | data[two + 1] & 0x3F]
+        starts = np.ones(n, bool)
+        starts[1:] = ((kind[1:] != kind[:-1]) & (kind[:-1] != SPACE)) | (kind[1:] == SPACE)
+        starts[bounds[bounds < n]] = True
+        first = np.flatnonzero(starts)
+        last = np.append(first[1:], n)
+        up, down = powers(n + 1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n])))
+        u, where, inverse = np.unique(mixed((total[last] - total[first]) * down[first]), return_index=True, return_inverse=True)
+        if len(self.hashes) > HASHED:
+            self.forget()
+        slot = np.searchsorted(self.hashes, u)
+        new = np.flatnonzero(self.hashes[np.minimum(slot, len(self.hashes) - 1)] != u if len(self.hashes) else np.ones(len(u), bool))
+        if len(new):
+            ids = self.remembered([data[a:b].tobytes().decode() for a, b in zip(first[where[new]].tolist(), last[where[new]].tolist(), strict=True)])
+            size = np.array([len(x) for x in ids]) // self.flat.itemsize
+            self.hashes = np.insert(self.hashes, slot[new], u[new])
+            self.at = np.insert(self.at, slot[new], len(self.flat) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, slot[new], size)
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), self.dtype)))
+            slot = np.searchsorted(self.hashes, u)
+        size = self.size[slot][inverse]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.at[slot][inverse] - (ends - size), size) + np.arange(ends[-1])]
+        ends = np.concatenate(([0], ends))[np.searchsorted(first, bounds)]
+        return np.insert(ids, ends[1:], END_ID), ends + np.arange(len(ends))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with the end id, and where each begins and the last ends."""
+        plain = [not OTHER.search(t) and not ODD.search(t) for t in texts]
+        if all(plain):
+            return self.encode_plain(texts)
+        ids, bounds = self.encode_plain([t for t, p in zip(texts, plain, strict=True) if p])
+        rest, at = self.encode_pieces([t for t, p in zip(texts, plain, strict=True) if not p])
+        i = j = 0
+        out = []
+        for p in plain:
+            if p:
+                out.append(ids[bounds[i] : bounds[i + 1]])
+                i += 1
+            else:
+                out.append(rest[at[j] : at[j + 1]])
+                j += 1
+        return np.concatenate(out), np.cumsum([0, *map(len, out)])
+
+    def encode_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for all other texts: pieces by the pattern, or by the library as a whole."""
         end, out = np.array([END_ID], self.dtype).tobytes(), []
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -113,12 +190,6 @@ def load_encoder(name: str) -> Encoder:
     return Encoder(public_tokenizers.path(name))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def marks_of(ids: np.ndarray) -> np.ndarray:
     """Positions after which a stream may be cut: where the rolling hash of the last ``WINDOW`` ids has leading zeros."""
     n = len(ids)
