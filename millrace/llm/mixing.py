@@ -2,10 +2,15 @@
 
 The stream of every source is its documents in a hashed order, cut into blocks of equally many tokens
 (the last one may be short).  Slot i of the schedule belongs to the source whose stretch of the
-cumulative target shares holds the golden-ratio point frac(i * phi); the slots of a source are ranked,
+cumulative shares holds the golden-ratio point frac(i * phi); the slots of a source are ranked,
 and rank r takes block r modulo the source's blocks.  A document's ``taken`` is its share of all blocks
 that slots took.
 
+Blocks of all sources have one size, but a source of fewer than ``LEAST_BLOCKS`` such blocks has smaller ones of its
+own, and accordingly more slots, so that small sources come as near to their targets as large ones.  Shares are
+targets counted in blocks.  The SQL twin has one block size only: it gives the same rows where every source has
+``LEAST_BLOCKS`` blocks of it, or where it is one token.
+
 Everything is DataFrame operations: positions are range-partitioned running totals, so neither a source
 with most of the rows nor one with few makes a large task.
 
@@ -24,6 +29,8 @@ from millrace.llm import common
 WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
 #: The golden ratio's fractional part, and how many slots the schedule has at least (blocks are at most BLOCK tokens).
 PHI, SLOTS, BLOCK = 0.6180339887498949, 65_536, 65_536
+#: A source has at least so many blocks, if it has so many tokens.
+LEAST_BLOCKS = 64
 TOKEN = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,25 +61,33 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
 
 
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(sized documents with source_size and target, table of sources, tokens of a block)."""
+    """(sized documents with source_size and target, table of sources, tokens of a block of a large source)."""
     base = common.materialize(docs.select("doc_id", "source", tokens(F.col("text")).alias("size")), "mix-sizes")
     table = common.materialize(targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     return base, table, max(1, min(BLOCK, total // SLOTS))
 
 
+def own_block(block: int) -> Column:
+    """Tokens of a block of the source of ``source_size`` tokens."""
+    return F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")
+
+
 def schedule(table: DataFrame, block: int) -> DataFrame:
-    """Slots (slot, source position, rank): one for each ``block`` tokens of all, none above the limit of repeats.
+    """Slots (slot, source position, rank): one for each ``block`` tokens of all, more for sources with smaller blocks, none above the limit of repeats.
 
     Ranks come from counts of the slots of each source in groups of consecutive slots."""
     spark = table.sparkSession
-    live = table.where("target > 0").select("pos", "target", F.ceil(F.col("source_size") / block).alias("blocks"))
+    live = table.where("target > 0").withColumn("own", own_block(block)).withColumn("blocks", F.ceil(F.col("source_size") / F.col("own")))
+    # A target in blocks of the source (the short last one counts in their mean), times ``block``.
+    share = F.when(F.col("own") == block, F.col("target")).otherwise(F.col("target") / F.col("source_size") * F.col("blocks") * block)
+    live = live.withColumn("share", share)
     order = Window.orderBy("pos")
-    edges = live.withColumn("edge", F.sum("target").over(order) / F.sum("target").over(Window.partitionBy(F.lit(1))))
+    edges = live.withColumn("edge", F.sum("share").over(order) / F.sum("share").over(Window.partitionBy(F.lit(1))))
     rows = [r.asDict() for r in edges.orderBy("pos").collect()]  # one row per source
     if not rows:
         return spark.createDataFrame([], "slot long, pos int, blocks long, rank long")
-    total = int(table.agg(F.sum("source_size")).first()[0])
+    total = int(table.agg(F.sum("source_size")).first()[0]) + round(sum(r["share"] - r["target"] for r in rows))
     listed = spark.createDataFrame([(i, r["pos"], r["blocks"]) for i, r in enumerate(rows)], "at int, pos int, blocks long")
     inner = F.array(*[F.lit(r["edge"]) for r in rows[:-1]]) if rows[1:] else F.array().cast("array<double>")
     point = F.col("slot") * F.lit(PHI) - F.floor(F.col("slot") * F.lit(PHI))
@@ -95,10 +110,11 @@ def mix(docs: DataFrame, also: tuple[str, ...] | list[str] = ()) -> DataFrame:
     shuffled = known.where("size > 0").withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     placed = common.running_total(shuffled.drop(*({"source"} - set(also))), ["pos", "key", "size"], "size", "before", "mix-order", extra=["doc_id"])
     # A source's stream begins where those of the sources before it end.
-    starts = table.where("pos is not null").select("pos", (F.sum("source_size").over(Window.orderBy("pos")) - F.col("source_size")).alias("start"))
+    starts = table.where("pos is not null").select("pos", own_block(block).alias("own"), (F.sum("source_size").over(Window.orderBy("pos")) - F.col("source_size")).alias("start"))
     placed = placed.join(F.broadcast(starts), "pos").withColumn("from", F.col("before") - F.col("start")).withColumn("to", F.col("from") + F.col("size"))
-    cut = placed.select("pos", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("block"))
-    share = F.least(F.col("to"), (F.col("block") + 1) * block) - F.greatest(F.col("from"), F.col("block") * block)
+    own = F.col("own")
+    cut = placed.select("pos", "from", "to", "own", F.explode(F.sequence(F.floor(F.col("from") / own), F.floor((F.col("to") - 1) / own))).alias("block"))
+    share = F.least(F.col("to"), (F.col("block") + 1) * own) - F.greatest(F.col("from"), F.col("block") * own)
     taken = cut.join(uses, ["pos", "block"]).groupBy("pos", "from").agg(F.sum(share * F.col("times")).alias("taken"))
     out = placed.join(taken, ["pos", "from"], "left").select("doc_id", *also, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     empty = known.where("size = 0").select("doc_id", *also, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))

@@ -156,6 +156,19 @@ def test_sampled_rows_follow_the_mixture(spark):
     assert all(abs(got[s] - want[s]) < 0.05 * want[s] + 3 for s in want)
 
 
+def test_small_sources_reach_their_targets(spark, monkeypatch):
+    """Sources far below a block of the large ones: 0.01 to 3 blocks of 1000 tokens."""
+    monkeypatch.setattr(mixing, "SLOTS", 500)
+    sizes = {"a": 10, "b": 61, "c": 250_000, "d": 610, "e": 3276, "f": 250_000}
+    rows = [(f"{s}{i}", "w " * min(n - i, 9), s) for s, n in sizes.items() for i in range(0, n, 9)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    assert mixing.plan(df)[2] == 1007
+    got = {r.source: r for r in mixing.mix(df, ["source"]).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()}
+    assert {s for s in sizes if got[s].target == 3 * sizes[s]} == {"a", "b", "d", "e"}
+    for s in sizes:
+        assert abs(got[s].taken - got[s].target) <= 0.02 * got[s].target + 2 and got[s].most <= 3
+
+
 # ---- extraction
 
 ARTICLE = "<article><h1>Title</h1><p>First &amp; <b>bold</b>\n text</p><p>Second<br>line</p><ul><li>one<li>two</ul></article>"
