@@ -5,6 +5,8 @@ a substituted word does not hide a passage from all masks.  Seeds of the benchma
 are looked up at every position of every document; hits on one diagonal are verified by the best
 ungapped segment, counting matches against substitutions.  A document is contaminated by an item if the
 segment matches ``SHARE`` of the item's words, or ``RUN`` words, at an identity of at least ``IDENTITY``.
+The masks miss none of these: however the substitutions lie in such a segment, a mask fits its matches
+(the tests go through all of them).
 
 The benchmark goes to the workers in blocks of at most ``BLOCK_WORDS`` words (one scan of the documents for
 each block), whatever its size; documents are never shuffled.
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common, tokens
 
-#: Masks of weight 6 for items of ``LONG`` words or more, then those of weight 4 for shorter ones.
-MASKS = ("111111", "1101100011", "1010011101", "11100100101", "1111", "11011", "10111", "11101")
-LEAST, LONG, SHARE, RUN, IDENTITY = 5, 10, 0.6, 13, 0.7
+#: Masks of weight 4 for all items, then those of weight 3 that items of fewer than ``SHORT`` words need besides.
+MASKS = ("1111", "11011", "10111", "11101", "111", "1011", "1101")
+LEAST, SHORT, SHARE, RUN, IDENTITY = 5, 11, 0.6, 13, 0.7
 BLOCK_WORDS = 2_000_000
+#: Words compared at once on the diagonals of hits.
+COMPARED = 1 << 20
 BITS = 22
 
 
@@ -59,7 +63,7 @@ class Index:
                     continue
                 items.append((ids[at + i], words))
                 for m in range(len(MASKS)):
-                    if (MASKS[m].count("1") == 6) == (len(words) >= LONG):
+                    if MASKS[m].count("1") == 4 or len(words) < SHORT:
                         h = seeds(words, m)
                         found.append(np.stack([h, np.full(len(h), len(items) - 1, np.uint64), np.arange(len(h), dtype=np.uint64)]))
         self.ids = [i for i, _ in items]
@@ -68,7 +72,7 @@ class Index:
         every = np.concatenate(found, 1) if found else np.zeros((3, 0), np.uint64)
         every = every[:, np.argsort(every[0], kind="stable")]
         self.seeds, self.item, self.at = every[0], every[1].astype(np.int64), every[2].astype(np.int64)
-        self.weights = {6 if len(x) >= LONG else 4 for _, x in items}
+        self.weights = {4, 3} if any(len(x) < SHORT for _, x in items) else {4}
         self.filter = np.zeros(1 << BITS, bool)
         self.filter[(self.seeds & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
 
@@ -89,10 +93,26 @@ class Index:
             out.append(np.stack([np.repeat(text, n), self.item[k], np.repeat(p, n) - self.at[k]], 1))
         return np.unique(np.concatenate(out), axis=0)
 
+    def likely(self, w: tokens.Words, rows: np.ndarray) -> np.ndarray:
+        """The diagonals with enough matching words for a segment, wherever these are."""
+        text, item, start = rows.T
+        low = np.maximum(start, w.first[text])
+        n = np.minimum(start + self.first[item + 1] - self.first[item], w.first[text + 1]) - low
+        least = np.minimum(RUN, SHARE * (self.first[item + 1] - self.first[item]))
+        keep, ends, a = np.zeros(len(rows), bool), np.cumsum(n), 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + COMPARED, "right")))
+            first = np.cumsum(n[a:b]) - n[a:b]
+            at = np.arange(n[a:b].sum()) - np.repeat(first - low[a:b], n[a:b])
+            same = w.hashes[at] == self.words[at + np.repeat(self.first[item[a:b]] - start[a:b], n[a:b])]
+            keep[a:b] = np.add.reduceat(same, first, dtype=np.int64) >= least[a:b]
+            a = b
+        return rows[keep]
+
     def verified(self, w: tokens.Words) -> dict[tuple[int, int], tuple[int, int]]:
         """(text, item) -> (matching words, words of the segment) for contaminated texts."""
         out: dict[tuple[int, int], tuple[int, int]] = {}
-        for text, item, start in self.diagonals(w).tolist():
+        for text, item, start in self.likely(w, self.diagonals(w)).tolist():
             words = self.words[self.first[item] : self.first[item + 1]]
             a, b = max(start, int(w.first[text])), min(start + len(words), int(w.first[text + 1]))
             same = w.hashes[a:b] == words[a - start : b - start]

@@ -81,6 +81,41 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()} == {(1, 1), (2, 2)}
 
 
+def test_no_accepted_segment_is_without_a_seed():
+    """All segments of up to 18 words (bits are matching words), and the most matches a longer one has without a seed."""
+    bits = np.arange(1 << 18)
+    ones, length = (np.array([f(x) for x in bits.tolist()]) for f in (int.bit_count, int.bit_length))
+    for n in range(decontaminate.LEAST, 40):
+        index = decontaminate.Index([0], pa.array([" ".join(f"w{i}" for i in range(n))]))
+        used = [int(m[::-1], 2) for m in decontaminate.MASKS if m.count("1") in index.weights and len(m) <= n]
+        hit = np.logical_or.reduce([(bits >> k) & m == m for m in used for k in range(18)])
+        accepted = (length <= n) & (ones >= min(decontaminate.RUN, decontaminate.SHARE * n)) & (ones >= decontaminate.IDENTITY * length)
+        assert accepted.any() and hit[accepted].all()
+        assert len(index.seeds) == sum(n - len(m) + 1 for m in decontaminate.MASKS if m.count("1") in index.weights and len(m) <= n)
+    most = {0: 0}  # of each last four bits
+    for size in range(1, 200):
+        step = {}
+        for last, k in most.items():
+            for bit in (0, 1):
+                now = last << 1 | bit
+                if not any(now & int(m, 2) == int(m, 2) for m in decontaminate.MASKS if m.count("1") == 4):
+                    step[now & 15] = max(step.get(now & 15, 0), k + bit)
+        most = step
+        assert size <= 18 or max(most.values()) < decontaminate.IDENTITY * size
+
+
+@pytest.mark.parametrize("n", [5, 7, 10, 12, 15, 20, 30])
+def test_recall_of_substituted_items(n):
+    """Three words of ten are substituted: what the rule accepts is found."""
+    rng = random.Random(n)
+    item = [f"w{i}" for i in range(n)]
+    index = decontaminate.Index([0], pa.array([" ".join(item)]))
+    texts = [" ".join(["x"] * 3 + ["y" if rng.random() < 0.3 else v for v in item] + ["x"] * 3) for _ in range(400)]
+    got = {at + text for at, w in tokens.pieces(pa.array(texts)) for text, _ in index.verified(w)}
+    want = {i for i, t in enumerate(texts) if contaminated(t, " ".join(item))}
+    assert got == want and want
+
+
 # ---- archives
 
 
