@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed, text, urls, vectors
-from millrace.operators import budget, chunking, dedup, evidence, merge, rank
+from millrace.operators import budget, chunking, dedup, dense, evidence, merge, rank
 from millrace.plans import sql
 from millrace.plans.registry import query, table
 from millrace.plans.scalars import CANONICAL, FACTS, HOST, MARKDOWN, REG
@@ -288,6 +288,13 @@ def v1_dense_top(spark, sf_dir):
     return s.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("place <= 10")
 
 
+@query("v1_dense_search", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_inner_product(list_transform(e, lambda v: CAST(v AS DOUBLE)), list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS score FROM q, embeddings WHERE query_id <> vec_id) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS place FROM s) WHERE place <= 10")
+def v1_dense_search(spark, sf_dir):
+    """V1: ten nearest vectors of every row whose id is divisible by 50, in blocks of queries."""
+    e = table(spark, sf_dir, "embeddings")
+    return dense.nearest(e.where("vec_id % 50 = 0"), e, 10)
+
+
 HYBRID = f"WITH {SCORE}, h AS (SELECT score.query_id, score.doc_id, round(list_inner_product(list_transform(q.embedding, lambda v: CAST(v AS DOUBLE)), list_transform(e.embedding, lambda v: CAST(v AS DOUBLE))) + 0.1 * s, 6) AS score, score.doc_id % 11 = 0 AS p, score.doc_id % 3 = 0 AS c FROM score JOIN embeddings e ON score.doc_id = e.vec_id JOIN embeddings q ON q.vec_id = score.query_id)"
 
 

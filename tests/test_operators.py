@@ -3,12 +3,13 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import embed
-from millrace.operators import budget, cache, chunking, dedup, graph, merge, rank
-from millrace.plans import search
+from millrace.operators import budget, cache, chunking, dedup, dense, graph, merge, rank
+from millrace.plans import registry, search
 from millrace.session import Settings
 
 
@@ -146,3 +147,26 @@ def test_search(spark):
     assert sum(len(r.content) for r in rows) <= 200 and any(r.truncated for r in rows)
     with pytest.raises(ValueError):
         search.search(queries, docs, 11)
+
+
+def test_nearest_vectors_of_all_queries(spark, monkeypatch):
+    """More queries than a block holds, ties after rounding, copies, rows without a vector."""
+    monkeypatch.setattr(dense, "QUERIES", 7)
+    rng = np.random.default_rng(3)
+    vectors = {i: [float(x) for x in rng.integers(-2, 3, 4) / 2 + rng.integers(0, 3, 4) * 1e-8] for i in range(300)}
+    rows = spark.createDataFrame([*vectors.items(), (301, None)], "vec_id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in dense.nearest(rows.where("vec_id % 10 = 0"), rows, 3).collect():
+        got.setdefault(r.query_id, {})[r.place] = r.vec_id
+    single = {i: np.array(v, np.float32).astype(float) for i, v in vectors.items()}
+    for q in range(0, 300, 10):
+        best = sorted((-round(float(single[q] @ single[i]), 6), i) for i in vectors if i != q)[:3]
+        assert got.pop(q) == {place: i for place, (_, i) in enumerate(best, 1)}
+    assert not got and dense.nearest(rows.limit(0), rows, 3).count() == 0
+
+
+def test_dense_search_has_every_fiftieth_row_as_query(spark, tmp_path):
+    e = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(1000)], "vec_id long, embedding array<float>")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["v1_dense_search"](spark, str(tmp_path))
+    assert {r.query_id for r in got.collect()} == set(range(0, 1000, 50)) and got.count() == 200
