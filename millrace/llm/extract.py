@@ -4,8 +4,9 @@ The standard library's parser streams events; each block-level boundary ends a l
 text and the number of tags seen in it; its text-to-tag ratio is smoothed along the page with a Gaussian
 kernel, and two clusters of the smoothed ratios (content and the rest, split by iterated means) select
 regions of the page.  Lines inside elements whose names or roles say that they are no article text
-(navigation, headers, footers, asides, forms, notices, adverts, comments) never count; where the page
-marks its article, only lines in it do, and the ratio decides between lines of unmarked pages.
+(navigation, headers, footers, asides, forms, notices, adverts, comments) never count.  Where the page marks
+an article that holds a ``MARKED`` share of its text, regions end at the marks, and of the lines in them only those
+outside the regions that are mostly links are left out; marks of a smaller share (teasers) change nothing.
 
 Defined cases: null and empty pages, pages without text and pages with boilerplate only give an empty
 text; unclosed and stray tags are tolerated; very long lines are kept whole; repeated rows give repeated
@@ -39,6 +40,8 @@ NAMES = re.compile(
 #: The paragraphs and list items that an unclosed one of the same kind ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA, ROUNDS = 1.0, 20
+#: Least share of the text (without lines that are mostly links) for an article's marks to count.
+MARKED = 0.25
 SPACE = re.compile(r"\s+")
 
 
@@ -133,6 +136,19 @@ def threshold(x: np.ndarray) -> float:
     return at
 
 
+def regions(ratio: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """Which lines are content by their text-to-tag ratios; ``prose``: not mostly links."""
+    ratio = smoothed(ratio)
+    at = threshold(ratio)
+    if len(ratio) < 3 or ratio.max() < 2 * ratio.min():  # one cluster only
+        return prose
+    keep = ratio > at
+    # A heading or a short line between lines of content belongs to them.
+    inside = np.flatnonzero(keep)
+    keep[inside[0] : inside[-1] + 1] |= prose[inside[0] : inside[-1] + 1]
+    return keep
+
+
 def main_text(html: str | None) -> str:
     """The text of a page's article, blocks joined by one space."""
     if not html:
@@ -142,17 +158,13 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     lines = [x for x in parser.lines if not x[4]]
-    marked = [x[0] for x in lines if x[3]]
-    if marked or not lines:
-        return " ".join(marked)
-    ratio = smoothed(np.array([(len(x[0]) - x[2]) / max(1, x[1]) for x in lines], float))
-    at = threshold(ratio)
-    if len(lines) < 3 or ratio.max() < 2 * ratio.min():  # one cluster only
-        return " ".join(x[0] for x in lines if 2 * x[2] < len(x[0]))
-    keep = ratio > at
-    # A heading or a short line between lines of content belongs to them.
-    inside = np.flatnonzero(keep)
-    keep[inside[0] : inside[-1] + 1] |= np.array([2 * x[2] < len(x[0]) for x in lines])[inside[0] : inside[-1] + 1]
+    if not lines:
+        return ""
+    size, linked, marked = np.array([len(x[0]) for x in lines]), np.array([x[2] for x in lines]), np.array([x[3] for x in lines])
+    prose = 2 * linked < size
+    keep = regions((size - linked) / np.maximum(1, [x[1] for x in lines]), prose)
+    if size[prose & marked].sum() >= max(1, MARKED * size[prose].sum()):
+        keep = marked & (keep | prose)
     return " ".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 

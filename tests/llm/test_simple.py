@@ -235,6 +235,21 @@ def test_ratio_selects_unmarked_content():
     assert got.count("many words") == 24 and "link" not in got
 
 
+def test_teasers_are_no_article():
+    para = "<div>" + "many words without any markup between them " * 6 + "</div>"
+    cards = "<article><h3><a href='/x'>teaser</a></h3><p>short words</p></article>" * 4
+    for html in (f"<body>{para * 5}<div>{cards}</div></body>", f"<body><div>{cards}</div>{para * 5}</body>"):
+        got = extract.main_text(html)
+        assert got.count("many words") == 30 and got.count("teaser") + got.count("short words") <= 2
+
+
+def test_unnamed_links_in_an_article_are_judged():
+    link = "<li><a href='/x'>link</a></li>"
+    para = "<p>" + "many words without any markup between them " * 6 + "</p>"
+    got = extract.main_text(f"<body><article><ul>{link * 9}</ul><h1>Heading</h1>{para * 4}<p>End.</p><ul>{link * 9}</ul></article><div>other {para}</div></body>")
+    assert got.startswith("Heading many") and got.endswith("End.") and got.count("many words") == 24
+
+
 def test_extract_rows(spark):
     rows = spark.createDataFrame([(1, "u", ARTICLE, 1), (None, None, None, 2), (1, "u", ARTICLE, 3)], "page_id long, url string, html string, text int")
     got = extract.extract(rows).collect()
