@@ -8,7 +8,9 @@ per byte over its whole text.
 
 Thresholds belong to languages.  A document's excess is the logarithm of its perplexity above the median of
 the language's trusted documents, scaled down for short texts, whose perplexity varies more; the threshold
-is a high quantile of the excess of the language's trusted documents, with some slack.
+is a high quantile of the excess of the language's trusted documents, with some slack.  Text that repeats its
+words is predictable, so no limit of perplexity finds it: the share of bytes whose n-gram is a repetition within
+``WINDOW`` bytes has a threshold of the same kind.
 
 Defined cases: null and empty texts have no perplexity and no threshold and are rejected; documents without a language form
 a group of their own; a language with few trusted documents takes the median and quantile over all languages; without
@@ -33,6 +35,8 @@ ORDER = 5
 PIECE, HELD, SHARD = 1 << 20, 1 << 20, 4 << 20
 #: Quantile of the excess of a language's trusted documents, the factor by which others may be above it, and the bytes at which the scale is the square root of a half.
 HIGH, SLACK, SHORT = 0.998, 1.5, 200
+#: Bytes within which an n-gram repeats another, and the share of repetitions that is allowed at least.
+WINDOW, ALLOWED = 256, 0.25
 #: One trusted document in so many sets limits instead of training their model; a language with fewer of those than ``FEW`` takes the limits over all.
 FOLDS, FEW = 5, 20
 
@@ -226,24 +230,39 @@ class Model:
         return out
 
 
+def repeated(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Share of each text's bytes whose n-gram is not the first of its kind in a window."""
+    n = np.diff(bounds)
+    windows = -(-n // WINDOW)
+    before = np.cumsum(windows) - windows
+    at = (np.arange(len(keys)) - np.repeat(bounds[:-1], n)) // WINDOW + np.repeat(before, n)
+    every = at.astype(np.uint64) << np.uint64(8 * ORDER) | keys
+    every.sort()
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    kinds = np.concatenate(([0], np.cumsum(np.bincount((every[new] >> np.uint64(8 * ORDER)).astype(np.int64), minlength=int(windows.sum())))))
+    return 1 - (kinds[before + windows] - kinds[before]) / np.maximum(1, n)
+
+
 def score(docs: DataFrame, path: str, shards: int) -> DataFrame:
-    """``docs`` with ``n_bytes`` and ``perplexity`` of column ``text``; other columns are passed on."""
+    """``docs`` with ``n_bytes``, ``perplexity`` and ``repeated`` of column ``text``; other columns are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(path, shards)
         for batch in batches:
             texts = batch.column("text")
-            out, size = np.ones(len(batch)), np.zeros(len(batch), np.int64)
+            out, again, size = np.ones(len(batch)), np.zeros(len(batch)), np.zeros(len(batch), np.int64)
             for at, keys, bounds in grams(texts):
                 total = np.concatenate(([0.0], np.cumsum(model.logs(keys), dtype=np.float64)))[bounds]
                 n = np.diff(bounds)
                 out[at : at + len(n)] = np.exp(-np.diff(total) / np.maximum(1, n))
+                again[at : at + len(n)] = repeated(keys, bounds)
                 size[at : at + len(n)] = n
-            yield pa.RecordBatch.from_arrays([*(c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name != "text"), pa.array(size), pa.array(out, mask=size == 0)], [*(f.name for f in batch.schema if f.name != "text"), "n_bytes", "perplexity"])
+            yield pa.RecordBatch.from_arrays([*(c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name != "text"), pa.array(size), pa.array(out, mask=size == 0), pa.array(again)], [*(f.name for f in batch.schema if f.name != "text"), "n_bytes", "perplexity", "repeated"])
 
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(common.tidy(run), f"{schema}, n_bytes long, perplexity double")
+    return docs.mapInArrow(common.tidy(run), f"{schema}, n_bytes long, perplexity double, repeated double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -254,13 +273,14 @@ class Limits:
     """Medians and quantiles of trusted documents by language, as small tables."""
 
     def __init__(self, known: DataFrame):
-        """``known``: lang, n_bytes and perplexity of the trusted documents."""
+        """``known``: lang, n_bytes, perplexity and repeated of the trusted documents."""
         of = F.col("lang").alias("of")
         middle = lambda q, name: F.percentile_approx(F.log("perplexity"), q, 10_000).alias(name)
         self.medians, self.median = common.small(known.groupBy("lang").agg(middle(0.5, "median"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW).select(of, "median")), known.agg(middle(0.5, "median0"))
         excess = self.centred(known)
         top = lambda name: (SLACK * F.percentile_approx("excess", HIGH, 10_000)).alias(name)
-        self.tops, self.top = common.small(excess.groupBy("lang").agg(top("top"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW).select(of, "top")), excess.agg(top("top0"))
+        most = lambda name: F.when(F.count("repeated") > 0, F.greatest(F.lit(ALLOWED), SLACK * F.percentile_approx("repeated", HIGH, 10_000))).alias(name)
+        self.tops, self.top = common.small(excess.groupBy("lang").agg(top("top"), most("most"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW).select(of, "top", "most")), excess.agg(top("top0"), most("most0"))
 
     def centred(self, rows: DataFrame) -> DataFrame:
         """Adds median, scale and excess (see the module)."""
@@ -269,10 +289,10 @@ class Limits:
         return rows.withColumn("excess", (F.log("perplexity") - F.col("median")) * F.col("scale"))
 
     def decided(self, rows: DataFrame) -> DataFrame:
-        """Adds threshold and keep."""
+        """Adds threshold (of perplexity) and keep."""
         out = self.centred(rows)
-        out = out.join(self.tops, out["lang"].eqNullSafe(F.col("of")), "left").join(F.broadcast(self.top)).withColumn("top", F.coalesce("top", "top0"))
-        keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("excess") <= F.col("top"), F.lit(True))
+        out = out.join(self.tops, out["lang"].eqNullSafe(F.col("of")), "left").join(F.broadcast(self.top)).withColumn("top", F.coalesce("top", "top0")).withColumn("most", F.coalesce("most", "most0"))
+        keep = F.col("perplexity").isNotNull() & F.coalesce((F.col("excess") <= F.col("top")) & (F.col("repeated") <= F.col("most")), F.lit(True))
         return out.withColumn("threshold", F.exp(F.col("median") + F.try_divide("top", "scale"))).withColumn("keep", keep)
 
 

@@ -79,6 +79,17 @@ def test_perplexity(spark, monkeypatch, shard):
         assert got[i].perplexity == (pytest.approx(expected, rel=1e-4) if expected else None)
 
 
+def test_repeated_share():
+    texts = ["", "a", "abcdefgh", "word " * 400, None, "x" * 600]
+    _, keys, bounds = next(quality.grams(pa.array(texts)))
+    want = []
+    for t in texts:
+        b = (t or "").encode()
+        grams = [(k // quality.WINDOW, (b"\0" * 4 + b)[k : k + 5]) for k in range(len(b))]
+        want.append(1 - len(set(grams)) / max(1, len(b)))
+    assert quality.repeated(keys, bounds) == pytest.approx(want)
+
+
 def test_quality_decisions(spark):
     rng = random.Random(5)
     docs, labels = [], []

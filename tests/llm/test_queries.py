@@ -80,3 +80,11 @@ def test_pipeline(spark, duck):
     assert max(ids(four).count(i) for i in set(ids(four))) <= 3
     five = stage["token ids"](spark, four, SF).collect()
     assert sorted(r.doc_id for r in five) == sorted(ids(four))
+
+
+def test_quality_rejects_repeated_words_too(spark, duck):
+    sf = SF.replace("sf0.001", "sf0.01")
+    kept = {r.doc_id: r.keep for r in queries.queries()["op3_quality"](spark, sf).collect()}
+    labels = duck.sql(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall()
+    junk, good = ([kept[i] for i, q in labels if q == quality] for quality in (0, 1))
+    assert sum(junk) <= 0.04 * len(junk) and sum(good) >= 0.98 * len(good)
