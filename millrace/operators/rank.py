@@ -194,3 +194,26 @@ def adjacent_chunks(scored: DataFrame, per_document: int = fixed.CHUNKS_PER_DOCU
         return out
 
     return scored.groupBy("query_id").applyInPandas(run, schema)
+
+
+def infer_official_host(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """(query_id, host, score): the likely official site among each query's first twelve results; no row where none is credible.
+
+    ``queries``: query_id, query; ``results``: query_id, pos (from 0), url, title, engines (an array)."""
+    words = F.transform(F.split("query", r"[^\p{L}\p{N}]+"), text.ascii_lower)
+    public = text.has_any(words, ["election", "voter", "voting"]) & text.has_any(words, ["deadline", "registration"])
+    q = queries.select("query_id", text.distinctive_tokens(F.col("query")).alias("tokens"), public.alias("public"))
+    q = q.withColumn("brands", F.transform("tokens", text.brand))
+    r = results.where(F.col("pos") < 12).withColumn("url", urls.parse(F.col("url"))).withColumn("host", F.regexp_replace(urls.host(F.col("url")), r"^www\.", ""))
+    r = r.where(F.col("host").isNotNull() & ~urls.is_generic(F.col("host"))).join(q, "query_id")
+    h, title = F.col("host"), text.ascii_lower(F.coalesce("title", F.lit("")))
+    labels = F.transform(F.split(h, "[.]"), lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")))
+    brand = F.arrays_overlap(labels, "brands")
+    docs = h.startswith("doc.") | h.startswith("docs.") | (h == "docs.rs") | h.endswith(".readthedocs.io")
+    identity = docs & F.arrays_overlap(F.transform(F.split(urls.path(F.col("url")), "/"), text.brand), "brands")
+    matches = F.least(F.lit(2), F.size(F.filter("tokens", lambda t: F.contains(title, t))))
+    r = r.select("query_id", "pos", "host", "public", *(c.alias(n) for c, n in ((brand, "brand"), (identity, "identity"), (urls.is_institutional(h), "institution"), (matches, "matches"))), F.least(F.lit(2), F.coalesce(F.size("engines"), F.lit(0))).alias("n"))
+    credible = F.when(F.col("public"), h.endswith(".gov") & (F.col("matches") >= 1)).otherwise(((F.col("brand") | F.col("identity")) & (F.col("matches") >= 1)) | (F.col("institution") & (F.col("matches") >= 2)))
+    score = 4 * F.col("brand").cast("int") + 3 * F.col("identity").cast("int") + 2 * F.col("institution").cast("int") + F.col("matches") + F.greatest(F.lit(0), F.col("n"))
+    best = F.max_by(F.struct("host", "score"), F.struct("score", -F.col("pos")))
+    return r.withColumn("score", score).where(credible).groupBy("query_id").agg(best.alias("best")).select("query_id", urls.search_host(F.col("best.host")).alias("host"), F.col("best.score").alias("score"))

@@ -170,3 +170,20 @@ def test_dense_search_has_every_fiftieth_row_as_query(spark, tmp_path):
     e.write.parquet(f"{tmp_path}/embeddings.parquet")
     got = registry.queries()["v1_dense_search"](spark, str(tmp_path))
     assert {r.query_id for r in got.collect()} == set(range(0, 1000, 50)) and got.count() == 200
+
+
+def test_official_hosts(spark):
+    cases = [
+        ("SQLite WAL mode concurrent readers writers", [("https://coddy.tech/docs/sqlite/wal-mode", "SQLite WAL mode and concurrency"), ("https://sqlite.org/index.html", "SQLite Home Page"), ("https://sqlite.org/wal.html", "Write-Ahead Logging")], ("sqlite.org", 5)),
+        ("Qwen3 Coder model context length", [("https://qwen3.app/", "Qwen3 model guide"), ("https://qwen.ai/blog?id=qwen3-coder", "Qwen3-Coder: Agentic Coding in the World")], ("qwen.ai", 6)),
+        ("California 2026 election voter registration deadline", [("https://industry.visitcalifornia.com/meeting", "California 2026 registration"), ("https://www.sos.ca.gov/elections", "California 2026 General Election")], ("ca.gov", 4)),
+        ("serde derive", [("https://github.com/serde", "serde derive"), ("https://docs.rs/serde/1.0", "Serde")], ("docs.rs", 4)),
+        ("tokio runtime", [("https://blog.example.com/tokio", "tokio runtime")], None),
+        ("tokio runtime", [("https://other.org/", "x")] * 12 + [("https://tokio.rs/", "Tokio runtime")], None),
+    ]
+    queries = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(cases)], "query_id int, query string")
+    results = spark.createDataFrame([(i, k, u, t, []) for i, (_, r, _) in enumerate(cases) for k, (u, t) in enumerate(r)], "query_id int, pos int, url string, title string, engines array<string>")
+    got = {r.query_id: (r.host, r.score) for r in rank.infer_official_host(queries, results).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases) if want}
+    engines = results.where("query_id = 0").withColumn("engines", F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    assert rank.infer_official_host(queries, engines).first().score == 7
