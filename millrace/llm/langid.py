@@ -1,20 +1,24 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-A text is lower-cased and read as segments: runs of bytes above 0x20, cut every ``LONGEST`` bytes.  Two
-gated recurrent layers read each segment from either end; at every byte position a softmax over both
-states labels the language.  A document's probabilities are the means over all its positions.  The network
-is trained by backpropagation through time on a bounded, hashed sample of labelled documents (about
-``SAMPLE`` of each language).  Equal segments have equal labels, so each is computed once per batch and
-remembered; the result does not depend on that.
+A text is lower-cased and read as one sequence of bytes, white space and all.  Two gated recurrent layers read it
+from either end; at every byte position a softmax over both states labels the language.  A document's
+probabilities are the means over all its positions.  The network is trained by backpropagation through time on
+a bounded, hashed sample of labelled documents (about ``SAMPLE`` of each language, all of their text).
+
+Positions are computed in windows of about ``WIDE``: a layer starts ``CONTEXT`` bytes before its window (or where the
+text begins), so every label sees at least so many bytes on either side, words before and after included, and a
+text's length changes neither what is read nor the memory that it takes.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; documents whose language is
-null are not learned from; repeated rows give repeated results; null ids count as an empty text for the
-fold; where nothing can be learned every document is ``und``; further columns are ignored.
+null are not learned from; of languages with equal probabilities the first in alphabetical order is taken; very long
+texts are read whole; repeated rows give repeated results; null ids count as an empty text for the fold; where
+nothing can be learned every document is ``und``; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.llm.tokens import mixed, powers
 
-HIDDEN, LONGEST, SAMPLE = 12, 24, 400
-STEPS, BATCH, RATE, SEED = 500, 384, 0.01, 7
+HIDDEN, WIDE, CONTEXT, SAMPLE = 12, 96, 24, 400
+STEPS, BATCH, TRAINED, RATE, SEED = 400, 192, 48, 0.01, 7
 UNKNOWN = "und"
-#: Bytes read at once, segments computed at once, segments a worker remembers.
-PIECE, ROWS, REMEMBERED = 4 << 20, 4096, 600_000
+#: Bytes whose windows are computed at once.
+PIECE = 1 << 18
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -89,7 +92,7 @@ class Network:
         hid = states[0].shape[-1]
         for i, side in enumerate("fb"):
             u = self.p["u" + side]
-            gx, gu = np.zeros_like(self.p["x" + side]), np.zeros_like(u)
+            gu, found, at = np.zeros_like(u), [], []
             dh = np.zeros((n, hid), np.float32)
             for t, h, z, r, m, gm, alive in reversed(kept[side]):
                 dh = dh + back[t][:, i * hid : (i + 1) * hid]
@@ -98,12 +101,46 @@ class Network:
                 dz = da * (h - m) * z * (1 - z)
                 dr = dm * gm * r * (1 - r)
                 dg = np.concatenate((dz, dr, dm * r), 1)
-                np.add.at(gx, data[:, t], np.concatenate((dz, dr, dm), 1))
+                found.append(np.concatenate((dz, dr, dm), 1))
+                at.append(data[:, t])
                 gu += h.T @ dg
                 dh = np.where(alive, da * z, dh) + dg @ u.T
+            at = np.concatenate(at)
+            order = np.argsort(at, kind="stable")
+            edges = np.flatnonzero(np.diff(at[order], prepend=-1))
+            gx = np.zeros_like(self.p["x" + side])
+            gx[at[order][edges]] = np.add.reduceat(np.concatenate(found)[order], edges)
             g["x" + side], g["u" + side] = gx, gu
         return loss, g
 
+    def logits(self, data: np.ndarray, lengths: np.ndarray, d: str) -> np.ndarray:
+        """What one direction adds to the label scores, [T, B, K], in reading order; ``lengths`` descend.
+
+        The same as ``run`` with its output layer, for reading only: rows that have ended are left out."""
+        hid = self.p["u" + d].shape[0]
+        half = np.concatenate((np.full(2 * hid, 0.5), np.ones(hid))).astype(np.float32)  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        x, u, v = self.p["x" + d] * half, self.p["u" + d] * half, np.ascontiguousarray(self.p["v"][:hid] if d == "f" else self.p["v"][hid:])
+        steps = int(lengths[0])
+        out = np.zeros((steps, len(data), v.shape[1]), np.float32)
+        live = np.searchsorted(-lengths, -np.arange(steps), "left")
+        h = np.zeros((len(data), hid), np.float32)
+        for t in range(steps):
+            n = live[t]
+            h = h[:n]
+            a, g = x[data[:n, t]], h @ u
+            gates = a[:, : 2 * hid] + g[:, : 2 * hid]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            m = gates[:, hid:] * g[:, 2 * hid :]
+            m += a[:, 2 * hid :]
+            np.tanh(m, out=m)
+            h = h - m
+            h *= gates[:, :hid]
+            h += m
+            out[t, :n] = h @ v
+        return out
+
     def train(self, data: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: int = STEPS, seed: int = SEED) -> float:
         """Adam over batches in which languages are equally frequent."""
         rng, k = np.random.default_rng(seed), len(self.languages)
@@ -123,90 +160,70 @@ class Network:
         return loss
 
 
-def segments(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(index of the first text, bytes, starts, lengths, first segment of each text) for groups of texts."""
+@dataclass
+class Windows:
+    """Windows of texts: bytes from ``low`` to ``high`` are read, those from ``start`` to ``end`` labelled."""
+
+    data: np.ndarray
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def rows(self, order: np.ndarray, reverse: bool = False) -> np.ndarray:
+        """The read bytes of windows, padded with 0."""
+        low, n = self.low[order], self.high[order] - self.low[order]
+        at = np.arange(int(n.max()))
+        place = (low + n)[:, None] - 1 - at if reverse else low[:, None] + at
+        return np.where(at < n[:, None], self.data[np.clip(place, 0, len(self.data) - 1)], 0)
+
+
+def windows(texts: pa.Array, wide: int = WIDE, context: int = CONTEXT) -> Iterator[Windows]:
+    """The windows of all texts in groups of about ``PIECE`` bytes; ``text`` counts from the first text of all."""
     low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
     every = np.frombuffer(low.buffers()[2], np.uint8) if low.buffers()[2] is not None else np.zeros(0, np.uint8)
+    n = np.diff(offsets)
+    count = -(-n // wide)
+    text = np.repeat(np.arange(len(n)), count)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    start, end = offsets[text] + k * n[text] // count[text], offsets[text] + (k + 1) * n[text] // count[text]
+    first, last = np.maximum(start - context, offsets[text]), np.minimum(end + context, offsets[text + 1])
     at = 0
-    while at < len(low):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
-        data, inner = every[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        solid = np.zeros(len(data) + 1, bool)
-        solid[:-1] = data > 32
-        edge = np.zeros(len(data) + 1, bool)
-        edge[inner] = True
-        prev = np.concatenate(([False], solid[:-1]))
-        starts = np.flatnonzero(solid & (~prev | edge))
-        ends = np.flatnonzero(prev & (~solid | edge))
-        n = ends - starts
-        more = -(-n // LONGEST)
-        if len(more) and more.max() > 1:
-            k = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-            starts, ends = np.repeat(starts, more) + k * LONGEST, np.repeat(ends, more)
-            n = np.minimum(LONGEST, ends - starts)
-        yield at, data, starts, n, np.searchsorted(starts, inner)
+    while at < len(text):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + PIECE, "right")))
+        a, b = first[at], last[to - 1]
+        yield Windows(every[a:b], text[at:to], *(x[at:to] - a for x in (start, end, first, last)))
         at = to
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    up, down = powers(len(data) + 1)
-    total = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
-    return mixed((total[starts + n] - total[starts]) * down[starts])
-
-
-def rows_of(data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Segments as rows of bytes, padded with 0."""
-    wide = np.arange(int(n.max()))
-    return np.where(wide < n[:, None], data[np.minimum(starts[:, None] + wide, len(data) - 1)], 0)
-
-
-class Labeller:
-    """Sums of label probabilities over the positions of segments, remembered by hash."""
-
-    def __init__(self, network: Network):
-        self.network = network
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros((0, len(self.network.languages)), np.float32)
-
-    def of(self, data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-        h, first, inverse = np.unique(hashes(data, starts, n), return_index=True, return_inverse=True)
-        slot = np.searchsorted(self.keys, h)
-        known = (slot < len(self.keys)) & (self.keys[np.minimum(slot, max(0, len(self.keys) - 1))] == h) if len(self.keys) else np.zeros(len(h), bool)
-        out = np.empty((len(h), self.sums.shape[1]), np.float32)
-        out[known] = self.sums[slot[known]]
-        new = np.flatnonzero(~known)
-        new = new[np.argsort(n[first[new]], kind="stable")]
-        for i in range(0, len(new), ROWS):
-            rows = new[i : i + ROWS]
-            length = n[first[rows]]
-            p, _ = self.network.probabilities(rows_of(data, starts[first[rows]], length), length)
-            out[rows] = (p * (np.arange(len(p))[:, None] < length)[:, :, None]).sum(0)
-        if len(self.keys) > REMEMBERED:
-            self.forget()
-            slot, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        add = ~known
-        self.keys = np.insert(self.keys, slot[add], h[add])
-        self.sums = np.insert(self.sums, slot[add], out[add], axis=0)
-        return out[inverse]
-
-
-def documents(texts: pa.Array, labeller: Labeller) -> np.ndarray:
-    """Mean label probabilities of each text; zeros where it has no segment."""
-    out = np.zeros((len(texts), len(labeller.network.languages)))
-    for at, data, starts, n, first in segments(texts):
-        if len(starts):
-            sums = np.concatenate((np.zeros((1, out.shape[1])), np.cumsum(labeller.of(data, starts, n), axis=0, dtype=np.float64)))
-            positions = np.concatenate(([0], np.cumsum(n)))
-            got = slice(at, at + len(first) - 1)
-            out[got] = np.diff(sums[first], axis=0) / np.maximum(1, np.diff(positions[first]))[:, None]
-    return out
+def documents(texts: pa.Array, network: Network) -> np.ndarray:
+    """Mean label probabilities of each text over all its positions; zeros where it has none."""
+    k = len(network.languages)
+    sums, positions = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
+    for w in windows(texts):
+        size = w.high - w.low
+        order = np.argsort(-size, kind="stable")
+        size, steps = size[order], int(size.max())
+        scores = network.logits(w.rows(order), size, "f")
+        back = network.logits(w.rows(order, True), size, "b")
+        own = w.start[order] - w.low[order], w.end[order] - w.low[order]
+        t = np.arange(steps)[:, None]
+        at, row = np.nonzero((t >= own[0]) & (t < own[1]))
+        s = scores[at, row] + back[size[row] - 1 - at, row] + network.p["c"]
+        s -= s.max(1, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(1, keepdims=True)
+        text = w.text[order][row]
+        for j in range(k):
+            sums[:, j] += np.bincount(text, s[:, j], len(texts))
+        positions += np.bincount(text, minlength=len(texts))
+    return sums / np.maximum(1, positions)[:, None]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Train on about ``sample`` labelled documents of each language outside the held-out fold."""
+    """Train on about ``sample`` labelled documents of each language outside the held-out fold, in windows of ``TRAINED`` bytes."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -217,18 +234,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     chosen = chosen.take(order).combine_chunks()
     languages = sorted(set(chosen["lang"].to_pylist()))
     texts, labels = chosen["text"].combine_chunks(), np.array([languages.index(x) for x in chosen["lang"].to_pylist()])
-    rng, parts = np.random.default_rng(SEED), []
-    for at, data, starts, n, first in segments(texts):
-        label = np.repeat(labels[at : at + len(first) - 1], np.diff(first))
-        pick = np.sort(rng.permutation(len(starts))[:60_000])
-        if len(pick):
-            wide = np.zeros((len(pick), LONGEST), np.uint8)
-            got = rows_of(data, starts[pick], n[pick])
-            wide[:, : got.shape[1]] = got
-            parts.append((wide, n[pick], label[pick]))
-    if not parts:
+    data, lengths, label = [], [], []
+    for w in windows(texts, TRAINED, 0):
+        part = w.rows(np.arange(len(w.text)))
+        wide = np.zeros((len(part), TRAINED), np.uint8)
+        wide[:, : part.shape[1]] = part
+        data.append(wide)
+        lengths.append(w.end - w.start)
+        label.append(labels[w.text])
+    if not data:
         return None
-    data, lengths, label = (np.concatenate(x) for x in zip(*parts, strict=True))
+    data, lengths, label = (np.concatenate(x) for x in (data, lengths, label))
     present = np.unique(label)
     network = Network([languages[i] for i in present])
     network.train(data, lengths, np.searchsorted(present, label))
@@ -239,14 +255,14 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(network) if network else None
+        common.release()
         for batch in batches:
             texts = batch.column(2)
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            if labeller is None:
+            if network is None:
                 labels, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             else:
-                p = documents(texts, labeller)
+                p = documents(texts, network)
                 labels = np.where(letters, np.array(network.languages, object)[p.argmax(1)], UNKNOWN).tolist()
                 score = np.where(letters, np.clip(p.max(1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])

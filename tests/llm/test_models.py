@@ -148,19 +148,36 @@ def test_language_accuracy(spark):
     assert {r.lang_pred for r in langid.identify(df, langid.fit(df.where("lang is null"))).collect()} == {"und"}
 
 
-def test_remembering_changes_nothing():
-    net = langid.Network(["a", "b"], 3)
-    texts = pa.array(["one two one", "", None, "two " * 50, "é" * 40])
-    first = langid.documents(texts, langid.Labeller(net))
-    labeller = langid.Labeller(net)
-    langid.documents(texts, labeller)
-    assert np.allclose(first, langid.documents(texts, labeller))
-    for i, t in enumerate(texts.to_pylist()):  # every position, one text at a time
-        raw = (t or "").encode()
-        parts = [s[k : k + langid.LONGEST] for s in raw.split() for k in range(0, len(s), langid.LONGEST)]
-        p = [net.probabilities(np.frombuffer(s, np.uint8)[None], np.array([len(s)]))[0][:, 0] for s in parts]
-        want = np.concatenate(p).mean(0) if p else np.zeros(2)
-        assert np.allclose(first[i], want, atol=1e-5)
+def plain_states(net, raw, d):
+    """States of one direction over a sequence of bytes, one step at a time."""
+    x, u = net.p["x" + d].astype(float), net.p["u" + d].astype(float)
+    hid, out = u.shape[0], []
+    h = np.zeros(hid)
+    s = lambda v: 1 / (1 + np.exp(-v))
+    for byte in raw if d == "f" else raw[::-1]:
+        g = h @ u
+        z, r = s(x[byte, :hid] + g[:hid]), s(x[byte, hid : 2 * hid] + g[hid : 2 * hid])
+        h = z * h + (1 - z) * np.tanh(x[byte, 2 * hid :] + r * g[2 * hid :])
+        out.append(h)
+    return out if d == "f" else out[::-1]
+
+
+@pytest.mark.parametrize("piece", [50, 1 << 18])
+def test_language_probabilities_against_single_steps(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    net = langid.Network(["a", "b", "c"], 5)
+    texts = ["one two one", "", None, "Two é words 日本語 " * 40, "é" * 300, "x" * langid.WIDE, "x" * (langid.WIDE + 1)]
+    got = langid.documents(pa.array(texts), net)
+    for i, t in enumerate(texts):
+        raw = (t or "").lower().encode()
+        n, want = -(-len(raw) // langid.WIDE), []
+        for k in range(n):  # whole windows with what lies around them
+            a, b = k * len(raw) // n, (k + 1) * len(raw) // n
+            low, high = max(0, a - langid.CONTEXT), min(len(raw), b + langid.CONTEXT)
+            both = np.concatenate([plain_states(net, raw[low:high], d) for d in "fb"], 1)[a - low : b - low]
+            e = np.exp(both @ net.p["v"] + net.p["c"])
+            want.append(e / e.sum(1, keepdims=True))
+        assert np.allclose(got[i], np.concatenate(want).mean(0) if want else 0, atol=1e-5)
 
 
 # ---- conditional random field
