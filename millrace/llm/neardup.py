@@ -135,8 +135,9 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def digest_of(w: tokens.Words, i: int, text) -> bytes:
-    words = w.hashes[w.first[i] : w.first[i + 1]]
-    return hashlib.blake2b(words.tobytes() if len(words) else b"\0" + (text.as_py() or "").encode(), digest_size=16).digest()
+    """Names a text by its words themselves, or by the whole string if it has none."""
+    some = w.first[i + 1] > w.first[i]
+    return hashlib.blake2b(w.content(i) if some else b"\0" + (text.as_py() or "").encode(), digest_size=16).digest()
 
 
 def sketches(docs: DataFrame) -> DataFrame:

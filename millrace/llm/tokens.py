@@ -3,11 +3,16 @@
 A word is a longest run, after lower-casing, of ASCII letters and digits and of characters beyond ASCII,
 where U+0080 to U+00BF (but for ª, µ, º), general punctuation (U+2000 to U+207F) and CJK punctuation
 (U+3000 to U+303F) divide words as ASCII punctuation does.
+
+A word's hash sums pseudo-random numbers of its bytes and their places.  (A polynomial modulo 2^64 would give
+some different words, such as a Thue-Morse word and its complement, the same hash whatever its base.)  Where two texts
+must be the same ones, their bytes are compared or go through a cryptographic digest.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +20,10 @@ import pyarrow.compute as pc
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text hashed at once, but for single longer texts.
-PIECE = 1 << 20
-_powers: dict[str, np.ndarray] = {}
+PIECE = 1 << 19
+#: Places in a word whose numbers are looked up; further ones are computed.
+PLACES = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,19 +33,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        m = max(n, PIECE)
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+def _number(index: np.ndarray) -> np.ndarray:
+    return mixed(index.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+NUMBERS = _number(np.arange(256 * PLACES))
+
+
+def sums(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Running sums [n + 1] of the numbers of bytes at their places, which count from the last of ``starts``."""
+    n = len(data)
+    begin = np.zeros(n, np.int64)
+    begin[starts] = starts
+    index = np.arange(n) - np.maximum.accumulate(begin)
+    far = np.flatnonzero(index >= PLACES)
+    index = index << 8 | data
+    numbers = NUMBERS[np.minimum(index, len(NUMBERS) - 1)]
+    if len(far):
+        numbers[far] = _number(index[far])
+    out = np.zeros(n + 1, np.uint64)
+    np.cumsum(numbers, out=out[1:])
+    return out
 
 
 @dataclass
 class Words:
-    """hashes of all words; words of text i are at first[i] to first[i + 1]; starts and ends are bytes in ``data``; bounds are where texts begin there."""
+    """hashes of all words; words of text i are at first[i] to first[i + 1]; starts and ends are bytes in ``data``; bounds
+    are where texts begin there; total has the running sums."""
 
     hashes: np.ndarray
     first: np.ndarray
@@ -49,13 +67,31 @@ class Words:
     ends: np.ndarray
     data: np.ndarray
     bounds: np.ndarray
+    total: np.ndarray
+
+    @cached_property
+    def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all words in a row, length of each word, where each word begins there and the last ends)."""
+        n = (self.ends - self.starts).astype(np.uint32)
+        at = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=at[1:])
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.starts] += 1
+        edge[self.ends] -= 1
+        return self.data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)], n, at
+
+    def content(self, i: int) -> bytes:
+        """The words of text i as bytes; other words give other bytes."""
+        flat, n, at = self.packed
+        a, b = self.first[i], self.first[i + 1]
+        return flat[at[a] : at[b]].tobytes() + n[a:b].tobytes()
 
 
 def _piece(data: np.ndarray, offsets: np.ndarray) -> Words:
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), empty, empty, data, offsets)
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), empty, empty, data, offsets, np.zeros(1, np.uint64))
     word = WORD[data]
     high = np.flatnonzero(data >= 0xC2)
     lead = data[high]
@@ -77,11 +113,8 @@ def _piece(data: np.ndarray, offsets: np.ndarray) -> Words:
     after[:-1] = word[1:]
     after[inner - 1] = False
     ends = np.flatnonzero(word & ~after) + 1
-    up, down = powers(n + 1)
-    total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n])
-    sums = total[ends - 1]
-    sums[starts > 0] -= total[starts[starts > 0] - 1]
-    return Words(mixed(sums * down[starts]), np.searchsorted(starts, offsets), starts, ends, data, offsets)
+    total = sums(data, starts)
+    return Words(mixed(total[ends] - total[starts]), np.searchsorted(starts, offsets), starts, ends, data, offsets, total)
 
 
 def pieces(texts: pa.Array):

@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.llm.tokens import mixed, powers
+from millrace.llm.tokens import mixed, sums
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Rolling window, average (a power of two), least and most ids of a chunk; raw bytes of a block.
 WINDOW, AVERAGE, LEAST, MOST, BLOCK = 8, 1024, 128, 8192, 1 << 18
 HEAD, TAIL = b"MRPACK1\n", b"MRPACKE\n"
-#: Pieces whose ids a worker remembers: as strings, and by hash.
-REMEMBERED, HASHED = 400_000, 3_000_000
+#: Pieces whose ids a worker remembers: as strings, and by hash; bytes of the latter; bytes of text encoded at once.
+REMEMBERED, HASHED, HELD, PIECE = 100_000, 500_000, 32 << 20, 1 << 19
 
 # The pre-tokenizer's pattern over characters up to U+024F and general punctuation, where Python's re and
 # the library agree; texts with other characters go to the library as a whole.
@@ -100,47 +100,80 @@ class Encoder:
         return [self.known.pop(p) for p in pieces]
 
     def forget(self) -> None:
-        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.flat = np.zeros(0, self.dtype)
+        self.hashes = np.zeros(0, np.uint64)
+        # Of each known piece: where its ids and its bytes begin, and how many they are.
+        self.at, self.size, self.from_, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.flat, self.bytes = np.zeros(0, self.dtype), np.zeros(0, np.uint8)
 
     def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``encode`` for texts of known characters without contractions and white space in a row.
 
         There a piece begins where the class of characters changes, but for a space, which begins the piece of
-        what follows it.  Pieces are told apart by hash; their ids are gathered from one array."""
+        what follows it.  So the texts can be cut before any space, and long ones are."""
         raw = [t.encode() for t in texts]
         data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        del raw
+        ids, starts, ends, begin, count = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0, 0
+        safe = np.union1d(np.flatnonzero(data == 32), bounds)
+        while begin < len(data):
+            k = int(np.searchsorted(safe, begin + PIECE, "right"))
+            to = int(safe[k - 1]) if safe[k - 1] > begin else int(safe[k])
+            part, first, size = self.encode_slice(data[begin:to], bounds[(bounds >= begin) & (bounds < to)] - begin)
+            ids.append(part)
+            starts.append(first + begin)
+            ends.append(count + np.cumsum(size))
+            begin, count = to, count + len(part)
+        first, ends = np.concatenate(starts), np.concatenate(ends)
+        at = ends[np.searchsorted(first, bounds)]
+        return np.insert(np.concatenate(ids), at[1:], END_ID), at + np.arange(len(at))
+
+    def encode_slice(self, data: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each piece begins, how many ids it has) of plain texts that begin at ``inner``.
+
+        Pieces are looked up by hash and then compared byte by byte with the piece that is known by it; where one
+        differs, the slice is looked up by its strings."""
         n = len(data)
-        if not n:
-            return np.full(len(texts), END_ID, self.dtype), np.arange(len(texts) + 1)
         kind = CLASSES[data]
         two = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
         kind[two] = kind[two + 1] = POINTS[(data[two].astype(np.int32) & 0x1F) << 6 | data[two + 1] & 0x3F]
         starts = np.ones(n, bool)
         starts[1:] = ((kind[1:] != kind[:-1]) & (kind[:-1] != SPACE)) | (kind[1:] == SPACE)
-        starts[bounds[bounds < n]] = True
+        starts[inner] = True
         first = np.flatnonzero(starts)
         last = np.append(first[1:], n)
-        up, down = powers(n + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n])))
-        u, where, inverse = np.unique(mixed((total[last] - total[first]) * down[first]), return_index=True, return_inverse=True)
-        if len(self.hashes) > HASHED:
+        total = sums(data, first)
+        u, where, inverse = np.unique(mixed(total[last] - total[first]), return_index=True, return_inverse=True)
+        del total
+        if len(self.hashes) > HASHED or len(self.bytes) > HELD or self.flat.nbytes > HELD:
             self.forget()
         slot = np.searchsorted(self.hashes, u)
         new = np.flatnonzero(self.hashes[np.minimum(slot, len(self.hashes) - 1)] != u if len(self.hashes) else np.ones(len(u), bool))
         if len(new):
-            ids = self.remembered([data[a:b].tobytes().decode() for a, b in zip(first[where[new]].tolist(), last[where[new]].tolist(), strict=True)])
-            size = np.array([len(x) for x in ids]) // self.flat.itemsize
+            pieces = [data[a:b].tobytes() for a, b in zip(first[where[new]].tolist(), last[where[new]].tolist(), strict=True)]
+            ids = self.remembered([p.decode() for p in pieces])
+            size, length = np.array([len(x) for x in ids]) // self.flat.itemsize, np.array([len(x) for x in pieces])
             self.hashes = np.insert(self.hashes, slot[new], u[new])
             self.at = np.insert(self.at, slot[new], len(self.flat) + np.cumsum(size) - size)
             self.size = np.insert(self.size, slot[new], size)
+            self.from_ = np.insert(self.from_, slot[new], len(self.bytes) + np.cumsum(length) - length)
+            self.length = np.insert(self.length, slot[new], length)
             self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), self.dtype)))
+            self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(pieces), np.uint8)))
             slot = np.searchsorted(self.hashes, u)
-        size = self.size[slot][inverse]
+        slot = slot[inverse]
+        length = last - first
+        if (self.length[slot] != length).any() or (self.bytes[np.repeat(self.from_[slot] - first, length) + np.arange(n)] != data).any():
+            return self.encode_strings(data, first, last)
+        size = self.size[slot]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.at[slot][inverse] - (ends - size), size) + np.arange(ends[-1])]
-        ends = np.concatenate(([0], ends))[np.searchsorted(first, bounds)]
-        return np.insert(ids, ends[1:], END_ID), ends + np.arange(len(ends))
+        return self.flat[np.repeat(self.at[slot] - (ends - size), size) + np.arange(ends[-1])], first, size
+
+    def encode_strings(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``encode_slice`` where pieces of the same hash differ."""
+        pieces = [data[a:b].tobytes().decode() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        self.learn(set(pieces).difference(self.known))
+        ids = [self.known[p] for p in pieces]
+        return np.frombuffer(b"".join(ids), self.dtype), first, np.array([len(x) for x in ids], np.int64) // self.flat.itemsize
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with the end id, and where each begins and the last ends."""

@@ -39,13 +39,10 @@ STEPS, RATE, PENALTY, COLUMN = 60, 0.3, 1e-4, 128
 
 def features(words: tokens.Words) -> list[np.ndarray]:
     """Hashes of each feature of each word; 0 where a word has none."""
-    n = len(words.data)
-    up, down = tokens.powers(n + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((words.data.astype(np.uint64) + np.uint64(1)) * up[:n])))
     out = [words.hashes]
     for k in PREFIXES:
         at = np.minimum(words.starts + k, words.ends)
-        h = tokens.mixed((total[at] - total[words.starts]) * down[words.starts] + np.uint64(k))
+        h = tokens.mixed(words.total[at] - words.total[words.starts] + np.uint64(k))
         out.append(np.where(words.ends - words.starts > k, h, np.uint64(0)))
     return out
 

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,23 @@ def unit_sets(texts):
     return out
 
 
+def plain_sets(texts):
+    """Runs of five words with the number of each repetition, from strings; shares no code with the operator."""
+    out = []
+    for t in texts:
+        w = re.findall(r"\w+", (t or "").lower())
+        seen = Counter()
+        runs = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+        units = set()
+        for r in runs:
+            seen[r] += 1
+            units.add((r, seen[r]))
+        out.append(units)
+    return out
+
+
 def brute(texts):
-    sets = unit_sets(texts)
+    sets = plain_sets(texts)
     root = list(range(len(texts)))
 
     def find(x):
@@ -102,6 +119,22 @@ def test_classes_match_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_texts_that_some_hashes_confuse(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1 << 11)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rows = [(1, a), (2, b), (3, a + "!"), (4, f"one two three {a} four five"), (5, f"one two three {b} four five")]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_very_long_texts_and_ties(spark):
+    rng = random.Random(3)
+    long = words(60_000, rng)
+    texts = [" ".join(long), " ".join(edited(long, 300, rng)), "same same", "same, same", " ".join(long[:30_000])]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == [0, 0, 2, 2, 4] == brute(texts)
+
+
 def test_representatives_and_strange_ids(spark):
     same = "one two three four five six seven eight"
     rows = [(1, same, "en"), (2, same + "!", "en"), (2, "other words here entirely now and then", "fr"), (None, same, None), (5, None, "de"), (5, None, "de")]

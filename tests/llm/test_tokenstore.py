@@ -29,6 +29,39 @@ def test_encoder(want):
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
 
 
+def thue_morse(n):
+    """Two words of 2^n letters that polynomial hashes modulo 2^64 cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_encoder_on_texts_that_some_hashes_confuse():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(tokenstore.TOKENIZER))
+    texts = [*thue_morse(11), "x " + thue_morse(10)[1], *thue_morse(10)]
+    ids, bounds = tokenstore.load_encoder(tokenstore.TOKENIZER).encode(texts)
+    for x, a, b in zip(texts, bounds, bounds[1:], strict=False):
+        assert ids[a:b].tolist() == [*t.encode(x, add_special_tokens=False).ids, tokenstore.END_ID]
+
+
+@pytest.mark.parametrize("confused", [False, True])
+def test_encoder_in_slices(monkeypatch, confused):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["new", "word", "é1", "(x)", "longer,", "7"], n)) for n in rng.integers(0, 60, 40)] + ["z" * 500 + " end"]
+    monkeypatch.setattr(tokenstore, "PIECE", 70)
+    if confused:  # all pieces of one length have one hash: bytes decide
+        monkeypatch.setattr(tokenstore, "sums", lambda data, starts: np.arange(len(data) + 1, dtype=np.uint64))
+    t = Tokenizer.from_file(public_tokenizers.path(tokenstore.TOKENIZER))
+    enc = tokenstore.load_encoder(tokenstore.TOKENIZER)
+    for _ in range(2):
+        ids, bounds = enc.encode(texts)
+        for x, a, b in zip(texts, bounds, bounds[1:], strict=False):
+            assert ids[a:b].tolist() == [*t.encode(x, add_special_tokens=False).ids, tokenstore.END_ID]
+
+
 def test_cuts_are_local():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 50_000, 60_000).astype(np.uint16)
