@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-HIDDEN, WIDE, CONTEXT, SAMPLE = 12, 96, 24, 400
+HIDDEN, WIDE, CONTEXT, SAMPLE = 12, 224, 16, 400
 STEPS, BATCH, TRAINED, RATE, SEED = 400, 192, 48, 0.01, 7
 UNKNOWN = "und"
-#: Bytes whose windows are computed at once.
-PIECE = 1 << 18
+#: Bytes whose windows are computed at once: few enough rows for products in one thread.
+PIECE = 1 << 17
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -114,31 +114,33 @@ class Network:
         return loss, g
 
     def logits(self, data: np.ndarray, lengths: np.ndarray, d: str) -> np.ndarray:
-        """What one direction adds to the label scores, [T, B, K], in reading order; ``lengths`` descend.
+        """What one direction adds to the label scores, [T, K, B], in reading order; ``lengths`` descend.
 
         The same as ``run`` with its output layer, for reading only: rows that have ended are left out."""
         hid = self.p["u" + d].shape[0]
         half = np.concatenate((np.full(2 * hid, 0.5), np.ones(hid))).astype(np.float32)  # sigmoid(x) = (1 + tanh(x / 2)) / 2
-        x, u, v = self.p["x" + d] * half, self.p["u" + d] * half, np.ascontiguousarray(self.p["v"][:hid] if d == "f" else self.p["v"][hid:])
-        steps = int(lengths[0])
-        out = np.zeros((steps, len(data), v.shape[1]), np.float32)
-        live = np.searchsorted(-lengths, -np.arange(steps), "left")
-        h = np.zeros((len(data), hid), np.float32)
-        for t in range(steps):
-            n = live[t]
-            h = h[:n]
-            a, g = x[data[:n, t]], h @ u
-            gates = a[:, : 2 * hid] + g[:, : 2 * hid]
+        x, u = self.p["x" + d] * half, np.ascontiguousarray((self.p["u" + d] * half).T)
+        v = np.ascontiguousarray((self.p["v"][:hid] if d == "f" else self.p["v"][hid:]).T)
+        steps, data = int(lengths[0]), np.ascontiguousarray(data.T)
+        rows = data.shape[1]
+        out, h, taken = np.zeros((steps, len(v), rows), np.float32), np.zeros((hid, rows), np.float32), np.zeros((rows, 3 * hid), np.float32)
+        live = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()
+        for t, n in enumerate(live):  # features by rows, so that gates are whole stretches of memory
+            if n < h.shape[1]:
+                h, taken = np.ascontiguousarray(h[:, :n]), taken[:n]
+            np.take(x, data[t, :n], axis=0, out=taken, mode="clip")
+            a, g = np.ascontiguousarray(taken.T), u @ h
+            gates, m = a[: 2 * hid], a[2 * hid :]
+            gates += g[: 2 * hid]
             np.tanh(gates, out=gates)
             gates += 1
             gates *= 0.5
-            m = gates[:, hid:] * g[:, 2 * hid :]
-            m += a[:, 2 * hid :]
+            m += np.multiply(gates[hid:], g[2 * hid :], out=g[2 * hid :])
             np.tanh(m, out=m)
-            h = h - m
-            h *= gates[:, :hid]
+            h -= m
+            h *= gates[:hid]
             h += m
-            out[t, :n] = h @ v
+            out[t, :, :n] = v @ h
         return out
 
     def train(self, data: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: int = STEPS, seed: int = SEED) -> float:
@@ -208,17 +210,18 @@ def documents(texts: pa.Array, network: Network) -> np.ndarray:
         size, steps = size[order], int(size.max())
         scores = network.logits(w.rows(order), size, "f")
         back = network.logits(w.rows(order, True), size, "b")
-        own = w.start[order] - w.low[order], w.end[order] - w.low[order]
+        start, end = w.start[order] - w.low[order], w.end[order] - w.low[order]
         t = np.arange(steps)[:, None]
-        at, row = np.nonzero((t >= own[0]) & (t < own[1]))
-        s = scores[at, row] + back[size[row] - 1 - at, row] + network.p["c"]
-        s -= s.max(1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(1, keepdims=True)
-        text = w.text[order][row]
+        scores += np.take_along_axis(back, np.maximum(size - 1 - t, 0)[:, None], 0)
+        scores += network.p["c"][:, None]
+        scores -= scores.max(1, keepdims=True)
+        np.exp(scores, out=scores)
+        scores /= scores.sum(1, keepdims=True)
+        scores *= ((t >= start) & (t < end))[:, None]
+        found = scores.sum(0, dtype=np.float64)
         for j in range(k):
-            sums[:, j] += np.bincount(text, s[:, j], len(texts))
-        positions += np.bincount(text, minlength=len(texts))
+            sums[:, j] += np.bincount(w.text[order], found[j], len(texts))
+        positions += np.bincount(w.text[order], end - start, len(texts)).astype(np.int64)
     return sums / np.maximum(1, positions)[:, None]
 
 
