@@ -3,12 +3,14 @@
 ``write_archives`` writes one WARC/1.1 record per row into gzip archives (one member per record) in
 the shared folder; payloads go through the compressor in slices.  ``read_chunks`` streams archives
 back as rows (record, chunk number, bytes, digest so far), so that no record is ever held whole:
-a reader holds one chunk, one hash state and one line of headers.
+a reader holds one chunk, one hash state and one line of headers.  An archive that reaches
+``ARCHIVE_BYTES`` is closed and the task goes on with a new one.
 
 Defined cases: a null payload is empty; a null id is written without a ``WARC-Page-ID`` field and
-read back as null; a null URL becomes an empty target; rows that repeat an id are separate records
-(all that share the response's id and payload are responses); an empty table gives no archives and an
-empty result; further columns of the input are ignored.
+read back as null, it is never the largest id, so the record revisits the one that is (all are responses where
+all ids are null); a null URL becomes an empty target; rows that repeat an id are separate records
+(all that share the response's id and payload are responses); very long payloads are written and read in
+chunks; an empty table gives no archives and an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from millrace.llm import common
 
 #: Bytes of payload in a chunk row, and the least payload for which a revisit record pays.
 CHUNK_BYTES, REVISIT_BYTES = 65_536, 1000
+#: Compressed bytes after which an archive is closed.
+ARCHIVE_BYTES = 1 << 30
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 CHUNKS = "record_id string, page_id long, record_type string, refers_to long, payload_bytes long, chunk_no long, chunk_offset long, chunk_bytes long, chunk binary, digest string, last boolean"
@@ -61,14 +65,15 @@ def headers(page_id: int | None, url: str, digest: str, n: int, refers_to: int |
 def decide(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, refers_to: which record of equal long payloads the others revisit.
 
-    Only ids and digests are shuffled for the decision; duplicates are counted map-side first, so a
-    payload that a third of all pages share is one row per task.  Payloads move once, by page."""
+    Only digests are shuffled for the decision, one row for each task and payload; the payloads stay where they
+    are read, as long as the table of payloads with copies is small enough to go to them."""
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    base = base.withColumn("digest", F.sha1(F.encode("payload", "UTF-8"))).withColumn("n", F.octet_length("payload").cast("long"))
-    keys = base.select("page_id", "digest", "n").where(F.col("n") >= REVISIT_BYTES)
-    groups = keys.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    revisits = keys.join(groups, "digest").where("page_id <> keep").select("page_id", "digest", F.col("keep").alias("refers_to")).distinct()
-    return base.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    base = base.withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
+    keys = base.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest")
+    groups = keys.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and keep is not null").select("digest", "keep")
+    groups = common.small(common.materialize(groups, "warc-copies"))
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers_to")
+    return base.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", refers_to)
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
@@ -80,10 +85,17 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = common.filesystem(folder)
         fs.create_dir(top, recursive=True)
-        name, count, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
+        name, count, out = "", 0, None
+
+        def closed() -> pa.RecordBatch:
+            size = out.tell()
+            out.close()
+            return pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(batch.column(i) for i in range(5)), strict=True):
                 if out is None:
+                    name, count = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{top}/{name}", compression=None)
                 body = memoryview(payload.as_buffer())
                 pack = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -93,10 +105,11 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                         out.write(pack.compress(body[at : at + CHUNK_BYTES]))
                 out.write(pack.compress(b"\r\n\r\n") + pack.flush())
                 count += 1
+                if out.tell() >= ARCHIVE_BYTES:
+                    yield closed()
+                    out = None
         if out is not None:
-            size = out.tell()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64())})
+            yield closed()
 
     return common.materialize(records.mapInArrow(common.tidy(write), "archive string, records long, bytes long"), "warc-manifest")
 
@@ -196,10 +209,10 @@ def op2_warc(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS n, sha1(html) AS digest FROM p),
-g AS (SELECT digest, max(page_id) AS keep FROM d WHERE n >= {REVISIT_BYTES} GROUP BY digest)
+g AS (SELECT digest, max(page_id) AS keep FROM d WHERE n >= {REVISIT_BYTES} GROUP BY digest HAVING max(page_id) IS NOT NULL)
 SELECT d.page_id, d.n AS payload_bytes, d.digest AS payload_digest,
-  CASE WHEN g.keep IS NOT NULL AND g.keep <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN g.keep IS NOT NULL AND g.keep <> d.page_id THEN g.keep END AS refers_to,
-  CASE WHEN g.keep IS NOT NULL AND g.keep <> d.page_id THEN 1 ELSE greatest(1, (d.n + {CHUNK_BYTES - 1}) // {CHUNK_BYTES}) END AS chunks
+  CASE WHEN g.keep IS NOT NULL AND g.keep IS DISTINCT FROM d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN g.keep IS NOT NULL AND g.keep IS DISTINCT FROM d.page_id THEN g.keep END AS refers_to,
+  CASE WHEN g.keep IS NOT NULL AND g.keep IS DISTINCT FROM d.page_id THEN 1 ELSE greatest(1, (d.n + {CHUNK_BYTES - 1}) // {CHUNK_BYTES}) END AS chunks
 FROM d LEFT JOIN g ON d.digest = g.digest AND d.n >= {REVISIT_BYTES}
 """
