@@ -11,11 +11,11 @@ lower-cased text).
 Recursions run over fixed-length columns of the concatenated words of a batch: 2 by 2 products carry the
 state over column borders, so very long texts cost no more than short ones.
 
-Training uses at most about ``SAMPLE`` hashed documents of each label outside the held-out fold; scoring
-covers every document whole.  Defined cases: null, empty and wordless texts have no spans and the score of
+Training uses at most about ``SAMPLE`` hashed documents of each label outside the held-out fold, whole, for the labelled
+tokens, the chain and the curve alike; scoring covers every document whole.  Defined cases: null, empty and wordless texts have no spans and the score of
 no evidence; a document with several labels counts as toxic if one says so; null labels are no labels;
-repeated rows give repeated results; without labels of both kinds every score is 0; further columns are
-ignored.
+repeated rows give repeated results; a score of exactly ``THRESHOLD`` counts as toxic; without labels of both kinds
+every score is 0; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common, tokens
 
-SAMPLE, CHAIN_SAMPLE, THRESHOLD = 2000, 700, 0.3
+SAMPLE, THRESHOLD = 2000, 0.3
 PREFIXES = (4, 5, 6)
 #: A feature marks tokens if so many toxic documents, and this share of them, have it and its odds are at least so high.
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.005, 20.0
-STEPS, RATE, PENALTY, COLUMN = 60, 0.3, 1e-4, 128
+STEPS, RATE, PENALTY, COLUMN = 90, 0.3, 1e-4, 128
+#: Words of a step of the chain's training; the steps go through all sampled documents in turn.
+STEP_WORDS = 250_000
 
 
 def features(words: tokens.Words) -> list[np.ndarray]:
@@ -179,7 +181,7 @@ def unlike(texts: pa.Array, hashes: int = 8) -> np.ndarray:
 
 
 def train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Chain:
-    """Label tokens, fit the chain on a part of the documents and the curve on all; copies count once."""
+    """Label tokens, fit the chain on them and the curve on the documents; copies count once."""
     once = unlike(texts)
     texts, toxic, weight = texts.take(pa.array(once)), toxic[once], weight[once]
     parts = [(at, w, features(w)) for at, w in tokens.pieces(texts)]
@@ -205,26 +207,23 @@ def train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Chain:
     if not len(chain.keys):
         chain.keys, chain.weights = np.array([1], np.uint64), np.zeros(1)
     marked = Chain(marks if len(marks) else np.array([1], np.uint64), np.zeros(max(1, len(marks))), 0.0, chain.move, 0.0, chain.curve)
-    # Labelled tokens of the chain's documents.
-    order = np.concatenate([np.flatnonzero(toxic)[:CHAIN_SAMPLE], np.flatnonzero(~toxic)[:CHAIN_SAMPLE]])
-    chosen = np.zeros(len(toxic), bool)
-    chosen[order] = True
+    batches: list[tuple] = []
     index, labels, begins = [[] for _ in range(1 + len(PREFIXES))], [], []
-    for at, w, fs in parts:
+    for k, (at, w, fs) in enumerate(parts):
         doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first)) + at
-        use = chosen[doc]
         hit = np.zeros(len(doc), bool)
         for f in fs:
             hit |= marked.index(f) < len(marked.keys)
-        starts = np.zeros(len(doc), bool)
-        starts[w.first[:-1][np.diff(w.first) > 0]] = True
         for i, f in enumerate(fs):
-            index[i].append(chain.index(f)[use])
-        labels.append((hit & toxic[doc])[use])
-        begins.append(starts[use])
-    index, y, begins = [np.concatenate(i) for i in index], np.concatenate(labels), np.concatenate(begins)
-    if len(y):
-        climb(chain, index, y, begins)
+            index[i].append(chain.index(f))
+        labels.append(hit & toxic[doc])
+        begins.append(begin_marks(w))
+        if sum(map(len, labels)) >= STEP_WORDS or k == len(parts) - 1:
+            batches.append(([np.concatenate(i) for i in index], np.concatenate(labels), np.concatenate(begins)))
+            index, labels, begins = [[] for _ in range(1 + len(PREFIXES))], [], []
+    batches = [b for b in batches if len(b[1])]
+    if batches:
+        climb(chain, batches)
     rows = [document_features(marginals(chain.scores([chain.index(f) for f in fs]), begin_marks(w), chain.move, chain.start)[0] if len(w.hashes) else np.zeros(0), w.first) for _, w, fs in parts]
     chain.curve = logistic(np.concatenate(rows), toxic.astype(float), weight)
     return chain
@@ -236,15 +235,15 @@ def begin_marks(w: tokens.Words) -> np.ndarray:
     return out
 
 
-def climb(chain: Chain, index: list[np.ndarray], y: np.ndarray, begins: np.ndarray) -> None:
-    """Adam on the conditional log-likelihood of token labels."""
-    n, k = len(y), len(chain.keys)
-    inner = ~begins[1:]
-    both = 2 * y[:-1].astype(int) + y[1:]
-    seen = np.bincount(both[inner], minlength=4)
+def climb(chain: Chain, batches: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]) -> None:
+    """Adam on the conditional log-likelihood of token labels, one batch (features, labels, first words) a step."""
+    k = len(chain.keys)
     theta = np.concatenate((chain.weights, [chain.bias, 0.0], np.zeros(4)))  # weights, bias, start, moves
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
+        index, y, begins = batches[step % len(batches)]
+        both = 2 * y[:-1].astype(int) + y[1:]
+        seen = np.bincount(both[~begins[1:]], minlength=4)
         chain.weights, chain.bias, chain.start, chain.move = theta[:k], theta[k], theta[k + 1], theta[k + 2 :].reshape(2, 2)
         p, pairs = marginals(chain.scores(index), begins, chain.move, chain.start)
         d = y - p
@@ -253,7 +252,7 @@ def climb(chain: Chain, index: list[np.ndarray], y: np.ndarray, begins: np.ndarr
             g[:k] += np.bincount(i, d, k + 1)[:k]
         g[k], g[k + 1] = d.sum(), d[begins].sum()
         g[k + 2 :] = seen - pairs.sum(1)
-        g = g / n - PENALTY * theta * np.append(np.full(k, 1e-2), np.zeros(6))
+        g = g / len(y) - PENALTY * theta * np.append(np.full(k, 1e-2), np.zeros(6))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     chain.weights, chain.bias, chain.start, chain.move = theta[:k], theta[k], theta[k + 1], theta[k + 2 :].reshape(2, 2)
