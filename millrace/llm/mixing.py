@@ -12,11 +12,12 @@ targets counted in blocks.  The SQL twin has one block size only: it gives the s
 ``LEAST_BLOCKS`` blocks of it, or where it is one token.
 
 Everything is DataFrame operations: positions are range-partitioned running totals, so neither a source
-with most of the rows nor one with few makes a large task.
+with most of the rows nor one with few makes a large task, and sources are rows of a table, however many.
 
 Defined cases: a null text has 0 tokens; documents of 0 tokens take 0; a source without tokens has target
 0; null is a source of its own (ordered last); repeated rows are separate documents; a null id is hashed
-as an empty string; an empty table gives an empty result; further columns are ignored.
+as an empty string; ties of that hash are ordered by size and id; very long texts span many blocks; an empty table gives
+an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,23 +83,27 @@ def schedule(table: DataFrame, block: int) -> DataFrame:
     # A target in blocks of the source (the short last one counts in their mean), times ``block``.
     share = F.when(F.col("own") == block, F.col("target")).otherwise(F.col("target") / F.col("source_size") * F.col("blocks") * block)
     live = live.withColumn("share", share)
-    order = Window.orderBy("pos")
-    edges = live.withColumn("edge", F.sum("share").over(order) / F.sum("share").over(Window.partitionBy(F.lit(1))))
-    rows = [r.asDict() for r in edges.orderBy("pos").collect()]  # one row per source
-    if not rows:
+    order, every = Window.orderBy("pos"), Window.partitionBy(F.lit(1))
+    hi = F.sum("share").over(order) / F.sum("share").over(every)
+    edges = live.withColumn("hi", hi).withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0))).withColumn("open", F.col("pos") == F.max("pos").over(every))
+    edges = common.materialize(edges.select("pos", "blocks", "lo", "hi", "open", (F.col("share") - F.col("target")).alias("more")), "mix-edges")
+    more = edges.agg(F.sum("more")).first()[0]
+    if more is None:
         return spark.createDataFrame([], "slot long, pos int, blocks long, rank long")
-    total = int(table.agg(F.sum("source_size")).first()[0]) + round(sum(r["share"] - r["target"] for r in rows))
-    listed = spark.createDataFrame([(i, r["pos"], r["blocks"]) for i, r in enumerate(rows)], "at int, pos int, blocks long")
-    inner = F.array(*[F.lit(r["edge"]) for r in rows[:-1]]) if rows[1:] else F.array().cast("array<double>")
+    n = -(-(int(table.agg(F.sum("source_size")).first()[0]) + round(more)) // block)
+    # A slot meets the sources whose stretches touch its cell of n; cells hold about one point each.
+    cell = lambda x: F.least(F.floor(x * n), F.lit(n - 1))
+    cells = edges.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), F.when(F.col("open"), F.lit(n - 1)).otherwise(cell(F.col("hi"))))))
     point = F.col("slot") * F.lit(PHI) - F.floor(F.col("slot") * F.lit(PHI))
-    slots = spark.range(-(-total // block)).withColumnRenamed("id", "slot").withColumn("at", F.size(F.filter(inner, lambda e: e <= point)))
+    points = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", cell(F.col("point")))
+    slots = points.join(cells, "cell").where("point >= lo and (open or point < hi)").select("slot", "pos", "blocks")
     slots = slots.withColumn("group", F.floor(F.col("slot") / 4096))
-    counts = slots.groupBy("at", "group").count()
-    before = Window.partitionBy("at").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    counts = slots.groupBy("pos", "group").count()
+    before = Window.partitionBy("pos").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("at", "group").orderBy("slot")
-    ranked = slots.withColumn("in", F.row_number().over(inside) - 1).join(counts, ["at", "group"]).withColumn("rank", F.col("in") + F.col("base"))
-    return ranked.join(F.broadcast(listed), "at").where(F.col("rank") < MOST_REPEATS * F.col("blocks")).select("slot", "pos", "blocks", "rank")
+    inside = Window.partitionBy("pos", "group").orderBy("slot")
+    ranked = slots.withColumn("in", F.row_number().over(inside) - 1).join(counts, ["pos", "group"]).withColumn("rank", F.col("in") + F.col("base"))
+    return ranked.where(F.col("rank") < MOST_REPEATS * F.col("blocks")).select("slot", "pos", "blocks", "rank")
 
 
 def mix(docs: DataFrame, also: tuple[str, ...] | list[str] = ()) -> DataFrame:
@@ -111,7 +116,7 @@ def mix(docs: DataFrame, also: tuple[str, ...] | list[str] = ()) -> DataFrame:
     placed = common.running_total(shuffled.drop(*({"source"} - set(also))), ["pos", "key", "size"], "size", "before", "mix-order", extra=["doc_id"])
     # A source's stream begins where those of the sources before it end.
     starts = table.where("pos is not null").select("pos", own_block(block).alias("own"), (F.sum("source_size").over(Window.orderBy("pos")) - F.col("source_size")).alias("start"))
-    placed = placed.join(F.broadcast(starts), "pos").withColumn("from", F.col("before") - F.col("start")).withColumn("to", F.col("from") + F.col("size"))
+    placed = placed.join(common.small(starts), "pos").withColumn("from", F.col("before") - F.col("start")).withColumn("to", F.col("from") + F.col("size"))
     own = F.col("own")
     cut = placed.select("pos", "from", "to", "own", F.explode(F.sequence(F.floor(F.col("from") / own), F.floor((F.col("to") - 1) / own))).alias("block"))
     share = F.least(F.col("to"), (F.col("block") + 1) * own) - F.greatest(F.col("from"), F.col("block") * own)
