@@ -11,9 +11,11 @@ The masks miss none of these: however the substitutions lie in such a segment, a
 The benchmark goes to the workers in blocks of at most ``BLOCK_WORDS`` words (one scan of the documents for
 each block), whatever its size; documents are never shuffled.
 
-Defined cases: null and empty texts contain nothing; items of fewer than ``LEAST`` words and null items
-match nothing; repeated rows and items give repeated results; an empty benchmark finds nothing; null ids
-are passed on; further columns are ignored by ``overlaps`` and kept by ``clean``.
+Defined cases: null and empty texts contain nothing; an item of fewer than ``LEAST`` words is found only whole, word for
+word (its mask has no gaps); items without words match nothing; of several segments of a text and item the one with
+most matches counts, then the longest; very long texts are read whole; repeated rows and items give repeated
+results; an empty benchmark finds nothing; null ids are passed on; further columns are ignored by ``overlaps`` and
+kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common, tokens
 
-#: Masks of weight 4 for all items, then those of weight 3 that items of fewer than ``SHORT`` words need besides.
-MASKS = ("1111", "11011", "10111", "11101", "111", "1011", "1101")
+#: Masks of weight 4 for all items, then those of weight 3 that items of fewer than ``SHORT`` words need besides, then
+#: those that are only for items of so many words.  (Without "1111" a segment could hide from the masks of weight 4:
+#: the tests go through all placements of substitutions.)
+MASKS = ("1111", "11011", "10111", "11101", "111", "1011", "1101", "11", "1")
 LEAST, SHORT, SHARE, RUN, IDENTITY = 5, 11, 0.6, 13, 0.7
 BLOCK_WORDS = 2_000_000
 #: Words compared at once on the diagonals of hits.
@@ -55,15 +59,17 @@ class Index:
     """Seeds of a block of items."""
 
     def __init__(self, ids: list, texts: pa.Array):
-        items, found = [], []
+        items, found, used = [], [], set()
         for at, w in tokens.pieces(texts):
             for i in range(len(w.first) - 1):
                 words = w.hashes[w.first[i] : w.first[i + 1]]
-                if len(words) < LEAST:
+                if not len(words):
                     continue
                 items.append((ids[at + i], words))
-                for m in range(len(MASKS)):
-                    if MASKS[m].count("1") == 4 or len(words) < SHORT:
+                for m, mask in enumerate(MASKS):
+                    weight = mask.count("1")
+                    if weight == 4 or weight == 3 and len(words) < SHORT if len(words) >= LEAST else mask == "1" * len(words):
+                        used.add(m)
                         h = seeds(words, m)
                         found.append(np.stack([h, np.full(len(h), len(items) - 1, np.uint64), np.arange(len(h), dtype=np.uint64)]))
         self.ids = [i for i, _ in items]
@@ -72,16 +78,19 @@ class Index:
         every = np.concatenate(found, 1) if found else np.zeros((3, 0), np.uint64)
         every = every[:, np.argsort(every[0], kind="stable")]
         self.seeds, self.item, self.at = every[0], every[1].astype(np.int64), every[2].astype(np.int64)
-        self.weights = {4, 3} if any(len(x) < SHORT for _, x in items) else {4}
+        self.masks = sorted(used)
+        n = np.diff(self.first)
+        #: Matching words that an item needs.
+        self.least = np.where(n < LEAST, n, np.minimum(RUN, SHARE * n))
         self.filter = np.zeros(1 << BITS, bool)
         self.filter[(self.seeds & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
 
     def diagonals(self, w: tokens.Words) -> np.ndarray:
-        """Distinct (text, item, position of the item's first word) with a seed in common, [n, 3]."""
+        """Distinct (text, item, position of the item's first word) with a seed in common and enough matching words, [n, 3].
+
+        Seeds that many items share are compared ``COMPARED`` pairs at a time; only what matches is held."""
         out = [np.zeros((0, 3), np.int64)]
-        for m in range(len(MASKS)):
-            if MASKS[m].count("1") not in self.weights:
-                continue
+        for m in self.masks:
             h = seeds(w.hashes, m)
             p = np.flatnonzero(self.filter[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)])
             low, high = np.searchsorted(self.seeds, h[p]), np.searchsorted(self.seeds, h[p], "right")
@@ -89,8 +98,13 @@ class Index:
             text = np.searchsorted(w.first, p, "right") - 1
             inside = p + len(MASKS[m]) <= w.first[text + 1]
             p, low, n, text = p[inside], low[inside], n[inside], text[inside]
-            k = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append(np.stack([np.repeat(text, n), self.item[k], np.repeat(p, n) - self.at[k]], 1))
+            ends, a = np.cumsum(n), 0
+            while a < len(p):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + COMPARED, "right")))
+                k = np.repeat(low[a:b], n[a:b]) + np.arange(n[a:b].sum()) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+                rows = np.stack([np.repeat(text[a:b], n[a:b]), self.item[k], np.repeat(p[a:b], n[a:b]) - self.at[k]], 1)
+                out.append(self.likely(w, np.unique(rows, axis=0)))
+                a = b
         return np.unique(np.concatenate(out), axis=0)
 
     def likely(self, w: tokens.Words, rows: np.ndarray) -> np.ndarray:
@@ -98,7 +112,7 @@ class Index:
         text, item, start = rows.T
         low = np.maximum(start, w.first[text])
         n = np.minimum(start + self.first[item + 1] - self.first[item], w.first[text + 1]) - low
-        least = np.minimum(RUN, SHARE * (self.first[item + 1] - self.first[item]))
+        least = self.least[item]
         keep, ends, a = np.zeros(len(rows), bool), np.cumsum(n), 0
         while a < len(rows):
             b = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + COMPARED, "right")))
@@ -112,12 +126,12 @@ class Index:
     def verified(self, w: tokens.Words) -> dict[tuple[int, int], tuple[int, int]]:
         """(text, item) -> (matching words, words of the segment) for contaminated texts."""
         out: dict[tuple[int, int], tuple[int, int]] = {}
-        for text, item, start in self.likely(w, self.diagonals(w)).tolist():
+        for text, item, start in self.diagonals(w).tolist():
             words = self.words[self.first[item] : self.first[item + 1]]
             a, b = max(start, int(w.first[text])), min(start + len(words), int(w.first[text + 1]))
             same = w.hashes[a:b] == words[a - start : b - start]
             matches, length = segment(same)
-            if matches >= min(RUN, SHARE * len(words)) and matches >= IDENTITY * length and matches > out.get((text, item), (0, 0))[0]:
+            if matches >= self.least[item] and matches >= IDENTITY * length and matches > out.get((text, item), (0, 0))[0]:
                 out[text, item] = (matches, length)
         return out
 

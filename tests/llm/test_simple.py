@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -46,7 +47,7 @@ def contaminated(text, item):
             m, n = decontaminate.segment(np.array([a[k] == b[k - d] for k in range(lo, hi)]))
             if m >= decontaminate.IDENTITY * n:
                 best = max(best, m)
-    return len(b) >= decontaminate.LEAST and best >= min(decontaminate.RUN, decontaminate.SHARE * len(b))
+    return len(b) > 0 and best >= (min(decontaminate.RUN, decontaminate.SHARE * len(b)) if len(b) >= decontaminate.LEAST else len(b))
 
 
 def test_decontamination(spark):
@@ -63,7 +64,9 @@ def test_decontamination(spark):
             passage = passage[: len(passage) // 4]
         at = rng.randrange(len(filler) + 1)
         docs.append(" ".join(filler[:at] + [p.title() + "," for p in passage] + filler[at:]))
-    docs += ["", None]
+    docs += ["", None, "it was too short.", "too  long, short", "Single!", " ".join([word() for _ in range(30_000)] + items[3].split())]
+    items += ["single", "a b c d", "?"]
+    docs += ["x a b c d y", "x a b c z d"]
     rows = spark.createDataFrame([(i, d, "x") for i, d in enumerate(docs)], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(list(enumerate(items)) + [(99, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(rows, bench).collect()}
@@ -74,6 +77,17 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(rows, bench.limit(0)).count() == 0 and decontaminate.clean(rows.limit(0), bench).count() == 0
 
 
+def test_seeds_that_many_items_share(monkeypatch):
+    monkeypatch.setattr(decontaminate, "COMPARED", 50)
+    texts = pa.array([f"all items begin with these same words and then {k} {k + 1} {k + 2} {k + 3}" for k in range(0, 400, 4)])
+    index = decontaminate.Index(list(range(100)), texts)
+    for _, w in tokens.pieces(pa.array(["all items begin with these same words and then 8 9 10 11", "all items begin"])):
+        found = index.verified(w)
+    assert found[0, 2] == (13, 13) and {i for i, _ in found} == {0}
+    want = {j for j, t in enumerate(texts.to_pylist()) if contaminated("all items begin with these same words and then 8 9 10 11", t)}
+    assert {j for _, j in found} == want
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 2)
     docs = spark.createDataFrame([(1, "x a b c d e f g y"), (2, "h i j k l m")], "doc_id long, text string")
@@ -87,11 +101,11 @@ def test_no_accepted_segment_is_without_a_seed():
     ones, length = (np.array([f(x) for x in bits.tolist()]) for f in (int.bit_count, int.bit_length))
     for n in range(decontaminate.LEAST, 40):
         index = decontaminate.Index([0], pa.array([" ".join(f"w{i}" for i in range(n))]))
-        used = [int(m[::-1], 2) for m in decontaminate.MASKS if m.count("1") in index.weights and len(m) <= n]
+        used = [int(m[::-1], 2) for m in decontaminate.MASKS if decontaminate.MASKS.index(m) in index.masks and len(m) <= n]
         hit = np.logical_or.reduce([(bits >> k) & m == m for m in used for k in range(18)])
         accepted = (length <= n) & (ones >= min(decontaminate.RUN, decontaminate.SHARE * n)) & (ones >= decontaminate.IDENTITY * length)
         assert accepted.any() and hit[accepted].all()
-        assert len(index.seeds) == sum(n - len(m) + 1 for m in decontaminate.MASKS if m.count("1") in index.weights and len(m) <= n)
+        assert len(index.seeds) == sum(n - len(m) + 1 for m in decontaminate.MASKS if decontaminate.MASKS.index(m) in index.masks and len(m) <= n)
     most = {0: 0}  # of each last four bits
     for size in range(1, 200):
         step = {}
@@ -122,26 +136,41 @@ def test_recall_of_substituted_items(n):
 def test_archives(spark, tmp_path):
     long = "<p>é" * 40_000
     rows = [(1, "http://a\r\nb", long), (2, None, long), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u", "x" * 2000), (None, "u", "x" * 2000), (7, "u", "x" * 2000)]
+    rows += [(None, "u", "y" * 1500), (None, None, "y" * 1500)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
     manifest = warc.write_archives(warc.decide(df), f"file://{tmp_path}/w")
     chunks = warc.read_chunks(manifest).collect()
     last = [c for c in chunks if c.last]
     assert len(last) == len(rows)
     for c in last:
-        html = next(h or "" for i, _, h in rows if i == c.page_id)
+        html = next(h or "" for i, _, h in rows if i == c.page_id and (i is not None or len(h) == c.payload_bytes))
         assert (c.payload_bytes, c.digest) == (len(html.encode()), hashlib.sha1(html.encode()).hexdigest())
         if c.record_type == "response":
             parts = sorted((x for x in chunks if x.record_id == c.record_id), key=lambda x: x.chunk_no)
-            if c.page_id != 7:
+            if c.page_id not in (7, None):
                 assert b"".join(bytes(x.chunk) for x in parts).decode() == html
             assert all(x.chunk_bytes <= warc.CHUNK_BYTES for x in parts)
     kinds = sorted(((c.page_id or 0), c.record_type, c.refers_to) for c in last)
     assert (1, "revisit", 2) in kinds and (2, "response", None) in kinds and kinds.count((7, "response", None)) == 2
+    assert (0, "revisit", 7) in kinds and kinds.count((0, "response", None)) == 2  # a null id is never the largest
     assert [c.chunk_no for c in chunks if c.page_id == 2] == [0, 1, 2, 3]
     assert sum(r.records for r in manifest.collect()) == len(rows)
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    want = con.sql(warc.OP2_SQL).fetchall()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((c.page_id, c.payload_bytes, c.digest, c.record_type, c.refers_to, c.chunk_no + 1) for c in last), key=key) == sorted((tuple(None if x != x else x for x in r) for r in want), key=key)
     assert warc.read_chunks(warc.write_archives(warc.decide(df.limit(0)), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_archives_are_rolled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1)
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(warc.decide(df), f"file://{tmp_path}/w")
+    assert manifest.count() == 6 and {r.records for r in manifest.collect()} == {1}
+    assert sorted(bytes(r.chunk) for r in warc.read_chunks(manifest).collect()) == [b"page %d" % i for i in range(6)]
+
+
 def test_damaged_archives_are_noticed():
     whole = warc.headers(1, "u", hashlib.sha1(b"body").hexdigest(), 4, None) + b"body\r\n\r\n"
     assert [r[-1] for r in warc.records_of(io.BytesIO(whole * 2))] == [True, True]
