@@ -2,9 +2,11 @@
 
 Every trusted document (label ``quality`` 1) is counted whole: tasks count their n-grams, the sums are
 sharded by n-gram, and continuation counts, discounts, context totals and backed-off probabilities are
-joins and aggregates between those shards.  The model is a table in the shared folder, split so that a
-worker holds one bounded shard at a time; it is never collected or broadcast.  A document's perplexity is
-per byte over its whole text.
+joins and aggregates between those shards.  The model lies in the shared folder as sorted shards of bounded size;
+it is never collected or broadcast (only the list of its shards is).  A task joins the sorted n-grams of a batch of
+texts with the shards in order: each level of backing off is a stretch of shards of its own, so that a batch reads
+a shard once (twice where two levels meet in it), and a worker keeps a bounded number of them.  A document's perplexity is per byte over its whole
+text.
 
 Thresholds belong to languages.  A document's excess is the logarithm of its perplexity above the median of
 the language's trusted documents, scaled down for short texts, whose perplexity varies more; the threshold
@@ -14,13 +16,17 @@ words is predictable, so no limit of perplexity finds it: the share of bytes who
 
 Defined cases: null and empty texts have no perplexity and no threshold and are rejected; documents without a language form
 a group of their own; a language with few trusted documents takes the median and quantile over all languages; without
-any trusted text everything with text is kept; several labels of a document count as trusted if all say so;
+any trusted text everything with text is kept; a document exactly at its threshold is kept; very long texts are scored
+whole, a piece at a time; several labels of a document count as trusted if all say so;
 repeated rows give repeated results; further columns are passed on.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +37,10 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 ORDER = 5
-#: Bytes handled at once, n-grams a counting task holds before it passes them on, entries of a shard of the model.
-PIECE, HELD, SHARD = 1 << 20, 1 << 20, 4 << 20
+#: Bytes handled at once, n-grams a counting task holds before it passes them on.
+PIECE, HELD = 1 << 19, 1 << 19
+#: Entries of a shard of the model, and shards that a worker keeps.
+SHARD, KEPT = 1 << 20, 4
 #: Quantile of the excess of a language's trusted documents, the factor by which others may be above it, and the bytes at which the scale is the square root of a half.
 HIGH, SLACK, SHORT = 0.998, 1.5, 200
 #: Bytes within which an n-gram repeats another, and the share of repetitions that is allowed at least.
@@ -138,15 +146,40 @@ def build(trusted: DataFrame) -> DataFrame:
     return out
 
 
-def save(model: DataFrame) -> tuple[str, int]:
-    """Write the model's shards; (folder, number of shards)."""
+@dataclass
+class Shards:
+    """The shards of a model in ascending order of their entries: first entry, path and number of entries of each."""
+
+    first: np.ndarray
+    paths: list[str]
+    sizes: list[int]
+
+
+def save(model: DataFrame) -> Shards:
+    """Write the model as sorted shards of about ``SHARD`` entries: the entries, then their values (float32)."""
     spark = model.sparkSession
     table = common.materialize(model, "kn-model")
     n = max(1, -(-table.count() // SHARD))
-    path = common.shared_dir(spark, "kn-shards")
-    shard = F.pmod(F.xxhash64("entry"), F.lit(n))
-    table.withColumn("shard", shard).repartition(n, "shard").write.partitionBy("shard").parquet(path)
-    return path, n
+    folder = common.shared_dir(spark, "kn-shards")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
+        keys, values = [], []
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy().astype("<u8"))
+            values.append(batch.column(1).to_numpy().astype("<f4"))
+        if sum(map(len, keys)):
+            fs, top = common.filesystem(folder)
+            fs.create_dir(top, recursive=True)
+            name, key = f"{uuid.uuid4().hex}.shard", np.concatenate(keys)
+            with fs.open_output_stream(f"{top}/{name}", compression=None) as out:
+                out.write(key.tobytes())
+                out.write(np.concatenate(values).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([int(key[0])], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([len(key)], pa.int64())], ["first", "path", "size"])
+
+    parts = table.repartitionByRange(n, "entry").sortWithinPartitions("entry").mapInArrow(common.tidy(write), "first long, path string, size long")
+    rows = sorted(common.materialize(parts, "kn-manifest").collect())  # one row for each shard that a finished task wrote
+    return Shards(np.array([r[0] for r in rows], np.uint64), [r[1] for r in rows], [r[2] for r in rows])
 
 
 class Slots:
@@ -186,32 +219,36 @@ class Slots:
             left, at = left[more], at[more] + 1
 
 
-def shard_of(path: str, shard: int) -> Slots:
-    return common.held((path, shard), lambda: load_shard(path, shard))
-
-
-def load_shard(path: str, shard: int) -> Slots:
-    import pyarrow.dataset as ds
-
-    from pyarrow.fs import FileType
-
-    fs, p = common.filesystem(f"{path}/shard={shard}")
-    if fs.get_file_info(p).type == FileType.NotFound:  # a model without entries for this shard
-        return Slots(np.zeros(0, np.uint64), np.zeros(0, np.float32))
-    table = ds.dataset(p, format="parquet", filesystem=fs).to_table(columns=["entry", "value"])
-    return Slots(table["entry"].to_numpy().astype(np.uint64), table["value"].to_numpy().astype(np.float32))
-
-
 class Model:
-    def __init__(self, path: str, shards: int):
-        self.path, self.shards = path, shards
+    """Looks up sorted n-grams shard by shard; keeps the last ``KEPT`` shards, ``loads`` counts what was read."""
+
+    def __init__(self, shards: Shards):
+        self.shards, self.kept, self.loads = shards, OrderedDict(), 0
+
+    def shard(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in self.kept:
+            while len(self.kept) >= KEPT:
+                self.kept.popitem(last=False)
+            fs, p = common.filesystem(self.shards.paths[i])
+            with fs.open_input_stream(p, compression=None) as f:
+                raw = f.read()
+            n = self.shards.sizes[i]
+            self.kept[i] = np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<f4", n, 8 * n)
+            self.loads += 1
+        self.kept.move_to_end(i)
+        return self.kept[i]
 
     def look(self, order: int, context: bool, keys: np.ndarray) -> np.ndarray:
-        names = keys | np.uint64((2 * order + context) << 48)
-        out = np.full(len(keys), np.nan, np.float32)
-        for s in range(self.shards):
-            shard_of(self.path, s).look(names, out)
-        return out
+        """Values of n-grams in any order, NaN where there is none; the shards are read in ascending order."""
+        u, inverse = np.unique(keys | np.uint64((2 * order + context) << 48), return_inverse=True)
+        out = np.full(len(u), np.nan, np.float32)
+        at = np.searchsorted(self.shards.first, u, "right") - 1
+        for i in np.unique(at[at >= 0]).tolist():
+            a, b = np.searchsorted(at, i), np.searchsorted(at, i, "right")
+            entries, values = self.shard(i)
+            place = np.minimum(np.searchsorted(entries, u[a:b]), len(entries) - 1)
+            out[a:b] = np.where(entries[place] == u[a:b], values[place], np.nan)
+        return out[inverse]
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each n-gram."""
@@ -229,6 +266,23 @@ class Model:
             left, total = left[~known], total[~known]
         return out
 
+    def table(self, texts: pa.Array) -> Slots:
+        """Log probabilities of all the n-grams of some texts."""
+        found = np.zeros(0, np.uint64)
+        pending: list[np.ndarray] = []
+        for _, keys, _ in grams(texts):
+            keys.sort()
+            pending.append(keys[np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))] if len(keys) else keys)
+        if pending:
+            found = np.concatenate(pending)
+            found.sort()
+            found = found[np.flatnonzero(np.append(True, found[1:] != found[:-1]))] if len(found) else found
+        return Slots(found, self.logs(found))
+
+
+def model_of(shards: Shards) -> Model:
+    return common.held(("kn", *shards.paths), lambda: Model(shards))
+
 
 def repeated(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Share of each text's bytes whose n-gram is not the first of its kind in a window."""
@@ -244,16 +298,19 @@ def repeated(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return 1 - (kinds[before + windows] - kinds[before]) / np.maximum(1, n)
 
 
-def score(docs: DataFrame, path: str, shards: int) -> DataFrame:
+def score(docs: DataFrame, shards: Shards) -> DataFrame:
     """``docs`` with ``n_bytes``, ``perplexity`` and ``repeated`` of column ``text``; other columns are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(path, shards)
+        model = model_of(shards)
         for batch in batches:
             texts = batch.column("text")
+            known = model.table(texts)
             out, again, size = np.ones(len(batch)), np.zeros(len(batch)), np.zeros(len(batch), np.int64)
             for at, keys, bounds in grams(texts):
-                total = np.concatenate(([0.0], np.cumsum(model.logs(keys), dtype=np.float64)))[bounds]
+                logs = np.empty(len(keys), np.float32)
+                known.look(keys, logs)
+                total = np.concatenate(([0.0], np.cumsum(logs, dtype=np.float64)))[bounds]
                 n = np.diff(bounds)
                 out[at : at + len(n)] = np.exp(-np.diff(total) / np.maximum(1, n))
                 again[at : at + len(n)] = repeated(keys, bounds)
@@ -296,30 +353,30 @@ class Limits:
         return out.withColumn("threshold", F.exp(F.col("median") + F.try_divide("top", "scale"))).withColumn("keep", keep)
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> tuple[Limits, str, int]:
-    """(limits, folder and shards of the model).
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[Limits, Shards]:
+    """(limits, shards of the model).
 
     The model counts all trusted documents.  A document that a model was trained on is easier for it than
     others, so limits come from a second model, without one trusted document in ``FOLDS``, scored on those."""
     trusted = docs.select("doc_id", "lang", "text").join(common.small(trusted_ids(labels)), "doc_id", "left_semi")
     apart = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
-    known = score(trusted.where(apart).select("lang", "text"), *save(build(trusted.where(~apart))))
+    known = score(trusted.where(apart).select("lang", "text"), save(build(trusted.where(~apart))))
     limits = Limits(common.materialize(known.where("perplexity is not null"), "kn-known"))
-    return limits, *save(build(trusted))
+    return limits, save(build(trusted))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, keep) for every document."""
-    limits, path, shards = trained(docs, labels)
-    scored = score(docs.select("doc_id", "lang", "text"), path, shards)
+    limits, shards = trained(docs, labels)
+    scored = score(docs.select("doc_id", "lang", "text"), shards)
     return limits.decided(scored).select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "keep")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns; no document is shuffled."""
-    limits, path, shards = trained(docs, labels)
+    limits, shards = trained(docs, labels)
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang").alias("lang"), F.col("text").alias("text"))
-    return limits.decided(score(packed, path, shards)).where("keep").select("row.*")
+    return limits.decided(score(packed, shards)).where("keep").select("row.*")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

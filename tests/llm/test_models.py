@@ -68,15 +68,22 @@ def test_perplexity(spark, monkeypatch, shard):
     monkeypatch.setattr(quality, "PIECE", 64)
     rng = random.Random(3)
     docs = [sentence("fr", rng.randrange(1, 8), rng) for _ in range(12)]
-    path, shards = quality.save(quality.build(spark.createDataFrame([(d,) for d in docs], "text string")))
-    assert (shards > 1) == (shard == 100)
+    shards = quality.save(quality.build(spark.createDataFrame([(d,) for d in docs], "text string")))
+    assert (len(shards.paths) > 1) == (shard == 100) and sum(shards.sizes) > 100
     want = kneser_ney(docs, quality.ORDER)
     texts = [docs[0], "ou zzz", "Ü", "", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {r.i: r for r in quality.score(rows, path, shards).collect()}
+    got = {r.i: r for r in quality.score(rows, shards).collect()}
     for i, t in enumerate(texts):
         expected = want(t) if t else None
         assert got[i].perplexity == (pytest.approx(expected, rel=1e-4) if expected else None)
+    # However often texts back off, a batch reads a shard once, or twice where two levels meet in it.
+    model = quality.Model(shards)
+    for batch in (texts, [*docs, "zü zu zö " * 50], [""]):
+        before = model.loads
+        model.table(pa.array(batch))
+        assert model.loads - before <= len(shards.paths) + 2 * quality.ORDER
+    assert len(model.kept) <= quality.KEPT
 
 
 def test_repeated_share():
