@@ -300,18 +300,192 @@ def test_lossless(transforms, cache):
             assert (webp.decode(webp.encode(pixels, transforms, cache, references)) == pixels).all()
 
 
-def test_flat_files_and_damage():
-    rng = np.random.default_rng(1)
-    pixels = rng.integers(0, 256, (5, 16, 4), dtype=np.uint8)
-    whole = webp.encode_flat(pixels)
-    assert (webp.decode(whole) == pixels).all()
-    for bad in (whole[:-40], b"RIFX" + whole[4:], whole[:20] + b"\0" + whole[21:]):
+class Reader:
+    """An independent decoder, bit by bit, of files with any features but groups of codes and the predictors that no stored image has."""
+
+    def __init__(self, data):
+        size = int.from_bytes(data[16:20], "little")
+        assert data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8L" and len(data) == 20 + size + size % 2 == int.from_bytes(data[4:8], "little") + 8
+        self.bits, self.seen = "".join(f"{x:08b}"[::-1] for x in data[20 : 20 + size]), set()
+        self.at = 0
+
+    def n(self, k):
+        self.at += k
+        return int(self.bits[self.at - k : self.at][::-1] or "0", 2)
+
+    def code(self, size):
+        if self.n(1):
+            two, wide = self.n(1), self.n(1)
+            return dict(zip(("0", "1") if two else ("",), sorted([self.n(8 if wide else 1), *([self.n(8)] if two else [])]), strict=True))
+        first = [0] * 19
+        for i in range(4 + self.n(4)):
+            first[[17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15][i]] = self.n(3)
+        inner, lengths, last = self.words(first), [], 8
+        left = self.n(2 + 2 * self.n(3)) + 2 if self.n(1) else size
+        while len(lengths) < size and left:
+            left -= 1
+            s = self.symbol(inner)
+            if s < 16:
+                lengths.append(s)
+                last = s or last
+            else:
+                lengths += [last] * (3 + self.n(2)) if s == 16 else [0] * (3 + self.n(3)) if s == 17 else [0] * (11 + self.n(7))
+        return self.words(lengths)
+
+    def words(self, lengths):
+        out, word = {}, ""
+        for k, s in sorted((k, s) for s, k in enumerate(lengths) if k):
+            word = word and f"{int(word, 2) + 1:0{len(word)}b}"
+            word = word.ljust(k, "0")
+            out[word] = s
+        return out if len(out) > 1 else {"": s for s in out.values()}
+
+    def symbol(self, code):
+        word = ""
+        while word not in code:
+            word += self.bits[self.at]
+            self.at += 1
+        return code[word]
+
+    def number(self, s):
+        k = (s - 2) >> 1
+        return s + 1 if s < 4 else ((2 + s % 2) << k) + self.n(k) + 1
+
+    def image(self, w, h, top):
+        k = self.n(4) if self.n(1) else 0
+        assert not (top and self.n(1))
+        codes = [self.code(x) for x in (280 + (1 << k if k else 0), 256, 256, 256, 40)]
+        self.seen |= {"prefix codes"} if any(len(c) > 2 for c in codes) and top else set()
+        out, cache = [], {}
+        while len(out) < w * h:
+            s, before = self.symbol(codes[0]), len(out)
+            if s < 256:
+                r, b, a = (self.symbol(c) for c in codes[1:4])
+                out.append((a, r, s, b))
+            elif s < 280:
+                self.seen.add("back-references")
+                size, far = self.number(s - 256), self.number(self.symbol(codes[4]))
+                far = far - 120 if far > 120 else {1: w, 2: 1}[far]
+                for _ in range(size):
+                    out.append(out[-far])
+            else:
+                self.seen.add("colour cache")
+                out.append(cache.get(s - 280, (0, 0, 0, 0)))
+            for a, r, g, b in out[before:] if k else ():
+                cache[((a << 24 | r << 16 | g << 8 | b) * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - k)] = (a, r, g, b)
+        assert len(out) == w * h
+        return out
+
+    def pixels(self):
+        assert self.n(8) == 0x2F
+        w, h, _, version = self.n(14) + 1, self.n(14) + 1, self.n(1), self.n(3)
+        undo, packed = [], w
+        while self.n(1):
+            kind = self.n(2)
+            self.seen.add(("predictor", "cross-colour", "subtract green", "palette")[kind])
+            if kind < 2:
+                k = self.n(3) + 2
+                undo.append((kind, k, packed, self.image(-(-packed >> k) if packed % (1 << k) == 0 else (packed >> k) + 1, (h + (1 << k) - 1) >> k, False)))
+            elif kind == 2:
+                undo.append((kind, 0, 0, None))
+            else:
+                colours = self.image(self.n(8) + 1, 1, False)
+                for i in range(1, len(colours)):
+                    colours[i] = tuple((x + y) % 256 for x, y in zip(colours[i - 1], colours[i], strict=True))
+                per = 8 if len(colours) <= 2 else 4 if len(colours) <= 4 else 2 if len(colours) <= 16 else 1
+                undo.append((kind, per, packed, colours))
+                packed = -(-packed // per)
+        out = self.image(packed, h, True)
+        signed = lambda v: v - 256 if v > 127 else v
+        for kind, k, w0, image in reversed(undo):
+            if kind == 2:
+                out = [(a, (r + g) % 256, g, (b + g) % 256) for a, r, g, b in out]
+            elif kind == 3:
+                size = 8 // k
+                out = [image[out[y * -(-w0 // k) + x // k][2] >> (x % k * size) & ((1 << size) - 1)] for y in range(h) for x in range(w0)]
+            elif kind == 1:
+                done = []
+                for i, (a, r, g, b) in enumerate(out):
+                    _, rb, gb, gr = image[((i // w0) >> k) * ((w0 + (1 << k) - 1) >> k) + ((i % w0) >> k)]
+                    red = (r + (signed(gr) * signed(g) >> 5)) % 256
+                    done.append((a, red, g, (b + (signed(gb) * signed(g) >> 5) + (signed(rb) * signed(red) >> 5)) % 256))
+                out = done
+            else:
+                done = []
+                for i, v in enumerate(out):
+                    y, x = divmod(i, w0)
+                    mode = image[(y >> k) * ((w0 + (1 << k) - 1) >> k) + (x >> k)][2]
+                    left, above, corner, right = (done[i - d] if i >= d else None for d in (1, w0, w0 + 1, w0 - 1))
+                    mean = lambda p, q: tuple((m + n) // 2 for m, n in zip(p, q, strict=True))
+                    if not i:
+                        p = (255, 0, 0, 0)
+                    elif not y or not x:
+                        p = left if not y else above
+                    else:
+                        p = {1: left, 2: above, 3: right, 4: corner}.get(mode) or (mean(corner, above) if mode == 8 else mean(above, right))
+                    done.append(tuple((m + n) % 256 for m, n in zip(p, v, strict=True)))
+                out = done
+        return np.array(out, np.uint8).reshape(h, w, 4)[:, :, [1, 2, 3, 0]]
+
+
+def grey_images():
+    rng = np.random.default_rng(2)
+    text = lambda n, words: np.frombuffer((" ".join(rng.choice(words, n)) + " " * 64).encode(), np.uint8)
+    words = ["the", "colour", "of", "a", "pixel", "is", "two", "Zwölf", "9,5", "(x)"] + ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(60)]
+    raw = [np.zeros(64, np.uint8), np.full(128, 7, np.uint8), text(500, words), text(3000, words), text(400, ["Der"]), rng.integers(0, 256, 64 * 90, dtype=np.uint8), rng.integers(0, 3, 640, dtype=np.uint8), np.arange(64 * 256, dtype=np.uint32).astype(np.uint8)]
+    return [x[: len(x) // 64 * 64].reshape(-1, 64) for x in raw]
+
+
+@pytest.mark.parametrize("kind", webp.KINDS)
+def test_grey_images_against_an_independent_decoder(monkeypatch, kind):
+    images, seen = grey_images(), set()
+    files = webp.write_grey(images, kind)
+    assert [webp.write_grey([x], kind)[0] for x in images] == files  # company changes nothing
+    for x, f in zip(images, files, strict=True):
+        reader = Reader(f)
+        assert (reader.pixels()[:, :, 0] == x).all()
+        seen |= reader.seen
+        got = webp.decode(f)
+        assert (got == np.concatenate([np.repeat(x[:, :, None], 3, 2), np.full((*x.shape, 1), 255, np.uint8)], 2)).all()
+    want = {webp.PALETTED: {"palette", "subtract green"}, webp.CACHED: {"colour cache"}, webp.CROSSED: {"cross-colour"}, webp.PREDICTED: {"predictor", "subtract green"}}
+    assert seen == want[kind] | {"prefix codes", "back-references"}
+    if kind != webp.PREDICTED:
+        assert len(files[4]) < 0.2 * images[4].size and len(files[3]) < 0.65 * images[3].size
+    read = webp.read_symbols  # the other way of reading gives the same
+    monkeypatch.setattr(webp, "read_symbols", lambda *a: None)
+    for x, f in zip(images[:3] + images[4:], files[:3] + files[4:], strict=True):
+        assert (webp.decode(f)[:, :, 1] == x).all()
+    monkeypatch.setattr(webp, "read_symbols", read)
+    for bad in (files[3][:-40], b"RIFX" + files[3][4:], files[3][:20] + b"\0" + files[3][21:]):
         with pytest.raises(ValueError):
             webp.decode(bad)
 
 
+def test_code_lengths_are_complete():
+    rng = np.random.default_rng(7)
+    counts = (rng.pareto(0.5, (300, 280)) * (rng.random((300, 280)) < rng.random((300, 1)))).astype(np.int64).clip(0, 10**6)
+    lengths = webp.code_lengths(counts)
+    for c, x in zip(counts, lengths, strict=True):
+        if (c > 0).sum() > 1:
+            assert ((x > 0) == (c > 0)).all() and x.max() <= 15 and (1 << (15 - x[x > 0])).sum() == 1 << 15
+            p = c[c > 0] / c.sum()
+            assert (p * x[c > 0]).sum() < -(p * np.log2(p)).sum() + 1
+        else:
+            assert not x.any()
+
+
+def test_the_query_meets_every_feature(monkeypatch):
+    calls, texts = set(), ["", "some words of a text, some words of a text " * 30, "yes no yes no " * 20] + [f"text {k} with its own words {k * 7919} and more" * 3 for k in range(40)]
+    for name in ("read_symbols", "undo_green", "undo_cross", "undo_palette", "undo_prediction"):
+        monkeypatch.setattr(webp, name, lambda *a, f=getattr(webp, name), n=name: calls.add(n) or f(*a))
+    payloads = [t.encode() + b"\0" * (-len(t.encode()) % 64 or (64 if not t else 0)) for t in texts]
+    for p, m in zip(payloads, webp.store(payloads), strict=True):
+        assert b"".join(x.tobytes() for x in webp.samples(m)) == p
+    assert len(calls) == 5
+
+
 def test_media_rows(spark, monkeypatch):
-    monkeypatch.setattr(webp, "MAX_SIDE", 40)  # long texts take several images
+    monkeypatch.setattr(webp, "ROWS", 40)  # long texts take several images
     texts = ["", None, "é" * 3000, "a", "a", "x" * 64]
     rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, media int")
     got = {r.doc_id: r for r in webp.describe(webp.to_media(rows)).collect()}
