@@ -3,14 +3,20 @@
 The standard library's parser streams events; each block-level boundary ends a line.  A line has its
 text and the number of tags seen in it; its text-to-tag ratio is smoothed along the page with a Gaussian
 kernel, and two clusters of the smoothed ratios (content and the rest, split by iterated means) select
-regions of the page.  Lines inside elements whose names or roles say that they are no article text
-(navigation, headers, footers, asides, forms, notices, adverts, comments) never count.  Where the page marks
-an article that holds a ``MARKED`` share of its text, regions end at the marks, and of the lines in them only those
-outside the regions that are mostly links are left out; marks of a smaller share (teasers) change nothing.
+the content lines of the page.  They alone decide where the article is:
+
+* if elements that are marked as articles hold a ``MARKED`` share of the content lines' text, the regions are those
+  that hold content lines (teasers without any do not count);
+* else it is the smallest container that holds a ``HELD`` share of it;
+* else the regions are runs of lines of prose around content lines, and what lies between the first and last of these.
+
+A region's lines of prose are its text: headings and short paragraphs belong to it, lines that are mostly links do not
+unless they are content lines.  Lines inside elements whose names or roles say that they are no article text
+(navigation, headers, footers, asides, forms, notices, adverts, comments) never count.
 
 Defined cases: null and empty pages, pages without text and pages with boilerplate only give an empty
-text; unclosed and stray tags are tolerated; very long lines are kept whole; repeated rows give repeated
-results; null ids and URLs are passed on; further columns are ignored.
+text; where all ratios are equal all lines are content; unclosed and stray tags are tolerated; very long lines are
+kept whole; repeated rows give repeated results; null ids and URLs are passed on; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,26 +46,29 @@ NAMES = re.compile(
 #: The paragraphs and list items that an unclosed one of the same kind ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA, ROUNDS = 1.0, 20
-#: Least share of the text (without lines that are mostly links) for an article's marks to count.
-MARKED = 0.25
+#: Shares of the content lines' text that marked articles, or else a container, must hold.
+MARKED, HELD = 0.25, 0.75
+CONTAINERS = frozenset("article center div main section td".split())
 SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects lines as [text, tags, characters in links, in an article, boilerplate]."""
+    """Collects lines as [text, tags, characters in links, number of the innermost article (or 0), boilerplate, numbers of the containers]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
-        self.stack: list[tuple[str, int, int, int, int]] = []  # name, silent, aside, article, link depth after it
-        self.silent = self.aside = self.article = self.link = 0
+        self.stack: list[tuple[str, int, int, bool, bool, bool]] = []  # name, silent, aside, article, link, container
+        self.silent = self.aside = self.link = self.count = 0
+        self.articles: list[int] = []
+        self.containers: tuple[int, ...] = ()
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append([text, self.tags, self.linked, self.article > 0, self.aside > 0])
+            self.lines.append([text, self.tags, self.linked, self.articles[-1] if self.articles else 0, self.aside > 0, self.containers])
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -72,7 +81,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         named = dict(attrs) if attrs else {}
-        aside = tag in ASIDE or tag == "header" and not self.article
+        aside = tag in ASIDE or tag == "header" and not self.articles
         if named and not aside and tag not in ("html", "body", "article", "main"):
             words = f"{named.get('class') or ''} {named.get('id') or ''}"
             aside = bool((named.get("role") or "").lower() in ROLES or "hidden" in named or (named.get("aria-hidden") or "") == "true" or words != " " and NAMES.search(words))
@@ -80,9 +89,14 @@ class Lines(HTMLParser):
         self.aside += aside
         # A comment may be marked up as an article inside the article: it stays part of its boilerplate.
         article = tag in ("article", "main") or named.get("itemprop") == "articleBody" or (named.get("role") or "") in ("main", "article")
-        self.article += article
+        container = article or tag in CONTAINERS
+        if container:
+            self.count += 1
+            self.containers += (self.count,)
+        if article:
+            self.articles.append(self.count)
         self.link += tag == "a"
-        self.stack.append((tag, tag in SILENT, aside, article, tag == "a"))
+        self.stack.append((tag, tag in SILENT, aside, article, tag == "a", container))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -90,11 +104,14 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self, at: int) -> None:
-        for _, silent, aside, article, link in self.stack[at:]:
+        for _, silent, aside, article, link, container in reversed(self.stack[at:]):
             self.silent -= silent
             self.aside -= aside
-            self.article -= article
             self.link -= link
+            if article:
+                self.articles.pop()
+            if container:
+                self.containers = self.containers[:-1]
         del self.stack[at:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -136,17 +153,33 @@ def threshold(x: np.ndarray) -> float:
     return at
 
 
-def regions(ratio: np.ndarray, prose: np.ndarray) -> np.ndarray:
-    """Which lines are content by their text-to-tag ratios; ``prose``: not mostly links."""
+def content(ratio: np.ndarray) -> np.ndarray:
+    """Which lines are content by their text-to-tag ratios."""
     ratio = smoothed(ratio)
-    at = threshold(ratio)
-    if len(ratio) < 3 or ratio.max() < 2 * ratio.min():  # one cluster only
-        return prose
-    keep = ratio > at
-    # A heading or a short line between lines of content belongs to them.
-    inside = np.flatnonzero(keep)
-    keep[inside[0] : inside[-1] + 1] |= prose[inside[0] : inside[-1] + 1]
-    return keep
+    return ratio >= threshold(ratio) - 1e-9
+
+
+def container(paths: list[tuple[int, ...]], mass: np.ndarray) -> int:
+    """The innermost container that holds a ``HELD`` share of the mass, 0 if there is none."""
+    best, depth, need = 0, 0, HELD * mass.sum()
+    while True:
+        held: dict[int, int] = {}
+        for path, m in zip(paths, mass.tolist(), strict=True):
+            if len(path) > depth and (not depth or path[depth - 1] == best):
+                held[path[depth]] = held.get(path[depth], 0) + m
+        inner = max(held, key=held.get, default=0)
+        if not inner or held[inner] < need:
+            return best
+        best, depth = inner, depth + 1
+
+
+def grown(seeds: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """Runs of prose that contain seeds, and the prose between the first and last seed."""
+    run = np.cumsum(~prose)
+    out = prose & np.isin(run, run[seeds & prose])
+    at = np.flatnonzero(seeds)
+    out[at[0] : at[-1] + 1] |= prose[at[0] : at[-1] + 1]
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -160,11 +193,16 @@ def main_text(html: str | None) -> str:
     lines = [x for x in parser.lines if not x[4]]
     if not lines:
         return ""
-    size, linked, marked = np.array([len(x[0]) for x in lines]), np.array([x[2] for x in lines]), np.array([x[3] for x in lines])
+    size, linked, article = (np.array([f(x) for x in lines]) for f in (lambda x: len(x[0]), lambda x: x[2], lambda x: x[3]))
     prose = 2 * linked < size
-    keep = regions((size - linked) / np.maximum(1, [x[1] for x in lines]), prose)
-    if size[prose & marked].sum() >= max(1, MARKED * size[prose].sum()):
-        keep = marked & (keep | prose)
+    seeds = content((size - linked) / np.maximum(1, [x[1] for x in lines]))
+    mass = np.where(seeds, size - linked, 0)
+    if mass[article > 0].sum() >= max(1, MARKED * mass.sum()):
+        keep = np.isin(article, article[seeds & (article > 0)]) & (seeds | prose)
+    elif region := container([x[5] for x in lines], mass):
+        keep = np.array([region in x[5] for x in lines]) & (seeds | prose)
+    else:
+        keep = seeds & prose | grown(seeds, prose)
     return " ".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 
