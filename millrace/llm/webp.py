@@ -6,7 +6,7 @@ palette transforms.
 
 Symbols have no fixed places in a stream.  ``read_symbols`` therefore decodes a symbol at every bit position at once,
 as arrays, and then follows the chain of those that are real; ``read_plain`` reads one symbol after the other.  Both
-give the same pixels; the second serves small images, several groups of codes and streams that the first does not cover.
+give the same pixels; the second serves several groups of codes and streams that the first does not cover.
 
 ``encode`` writes one image with any of the features; ``write_grey`` writes many grey images together: their
 back-references, prefix codes and bits are computed as arrays.  What is stored of a payload is grey samples, a byte
@@ -160,14 +160,17 @@ def inner_code(n: int, numbers: int) -> tuple[list[int], int, bool]:
 
 
 def read_code(bits: Bits, size: int) -> Code:
-    if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        used = {bits.read(8 if wide else 1)}
+    v = bits.peek(19)
+    if v & 1:  # one or two symbols, the first in one bit or eight
+        two, n = v >> 1 & 1, 8 if v & 4 else 1
+        bits.skip(3 + n + 8 * two)
+        used = {v >> 3 & ((1 << n) - 1)}
         if two:
-            used.add(bits.read(8))
+            used.add(v >> 3 + n & 0xFF)
         if max(used) >= size:
             raise ValueError("a symbol out of its alphabet")
         return Code([(1, s) for s in used])
+    bits.skip(1)
     n = 4 + bits.read(4)
     table, mask, zeros = inner_code(n, bits.ahead(bits.at, 3 * n)[0])
     bits.skip(3 * n)
@@ -398,7 +401,7 @@ def read_image(bits: Bits, w: int, h: int, top: bool) -> np.ndarray:
         g, r, b, a = (c.single for c in codes[0][:4])
         if None not in (g, r, b, a) and g < 256:
             return np.full(w * h, joined(a, r, g, b), np.uint32)
-        if top and g is None and (out := read_symbols(bits, w, w * h, codes[0], cache_bits)) is not None:
+        if g is None and (out := read_symbols(bits, w, w * h, codes[0], cache_bits)) is not None:
             return out
     return np.array(read_plain(bits, w, h, codes, meta, meta_bits, cache_bits), np.uint32)
 
@@ -447,9 +450,9 @@ def numbers(symbol: np.ndarray, windows: np.ndarray, at: np.ndarray) -> np.ndarr
 
 
 def read_symbols(bits: Bits, w: int, total: int, codes: list[Code], cache_bits: int) -> np.ndarray | None:
-    """``read_plain`` for one group of codes and the last image of a stream; None where it does not apply."""
+    """``read_plain`` for one group of codes; None where it does not apply."""
     first, shift = divmod(bits.at, 8)
-    raw = bits.data[first:]
+    raw = bits.data[first : first + 8 * total + 1]  # a pixel takes 60 bits at most
     size = 8 * len(raw)
     words = np.ndarray(len(raw) + 9, "<u4", raw + bytes(12), strides=(1,))
     # The next bits at every position.  A symbol with all its parts has at most 2 * 15 + 28 bits: what passes the end stays inside.
@@ -472,12 +475,15 @@ def read_symbols(bits: Bits, w: int, total: int, codes: list[Code], cache_bits:
     far, n = taken(codes[4], windows, to)
     follow[at] = to + n + EXTRA[far]
     # The chain of real symbols.
-    step, chain, now = memoryview(follow), array("i"), shift
+    closed = np.append(np.minimum(follow, size), np.int32(size))
+    step, chain, now = memoryview(closed[closed[:-1]]), array("i"), shift  # every second one
     add = chain.append
     while now < size:
         add(now)
         now = step[now]
     chain = np.frombuffer(chain, np.int32)
+    chain = np.stack([chain, closed[chain]], 1).ravel()
+    chain = chain[: len(chain) - (chain[-1] == size)]
     found = found[chain]
     symbol, behind = found >> 8, np.minimum(chain + (found & 255), top)
     count = np.ones(len(chain), np.int64)
@@ -886,19 +892,28 @@ def back_references(data: np.ndarray, image: np.ndarray, ends: np.ndarray) -> tu
 
     As long as the distance stays the same from sample to sample, one match goes on."""
     n = len(data)
-    at = np.arange(n)
     key = np.ndarray(n, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,)) & np.uint64((1 << 8 * MATCH) - 1)
     key |= image.astype(np.uint64) << np.uint64(8 * MATCH)
-    whole = np.flatnonzero(at + MATCH <= ends[image])
-    order = (tokens.mixed(key[whole]) >> np.uint64(22) << np.uint64(22)) | whole.astype(np.uint64)
+    whole = np.ones(n, bool)
+    whole[np.maximum(ends[:, None] - np.arange(1, MATCH), 0)] = False  # (the first sample of all has nothing before it)
+    whole = np.flatnonzero(whole)
+    order = key[whole] * np.uint64(0x9E3779B97F4A7C15)
+    order &= ~np.uint64((1 << 22) - 1)
+    order |= whole.view(np.uint64)
     order.sort()
-    place = (order & np.uint64((1 << 22) - 1)).astype(np.int64)
-    same = key[place[1:]] == key[place[:-1]]
-    back = np.zeros(n, np.int64)
-    back[place[1:][same]] = (place[1:] - place[:-1])[same]
-    edges = np.append(np.flatnonzero(back[1:] != back[:-1]) + 1, n)
-    until = np.repeat(edges, np.diff(edges, prepend=0))
-    return np.where(back > 0, np.minimum(until - at - 1 + MATCH, LONGEST), 1), back
+    place = (order & np.uint64((1 << 22) - 1)).astype(np.int32)
+    del order
+    ordered = key[place]
+    same = np.flatnonzero(ordered[1:] == ordered[:-1])
+    back = np.zeros(n, np.int32)
+    later = place[same + 1]
+    back[later] = later - place[same]
+    edges = np.append(np.flatnonzero(back[1:] != back[:-1]) + 1, n).astype(np.int32)
+    length = np.repeat(edges, np.diff(edges, prepend=0))
+    length -= np.arange(1 - MATCH, n + 1 - MATCH, dtype=np.int32)
+    np.minimum(length, LONGEST, out=length)
+    length[back == 0] = 1
+    return length, back
 
 
 def prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -915,12 +930,12 @@ def entropy_coded(streams: list[np.ndarray], prefixes: list[tuple[int, int]], wi
     Samples are the green values; without a cache red and blue are 0, and ``rest`` describes the codes of red, blue and
     alpha.  With one, pixels are grey, and those that the cache holds take its symbols."""
     sizes = np.array([len(s) for s in streams])
-    ends, image, data = np.cumsum(sizes), np.repeat(np.arange(len(streams)), sizes), np.concatenate(streams)
+    ends, image, data = np.cumsum(sizes), np.repeat(np.arange(len(streams), dtype=np.int32), sizes), np.concatenate(streams)
     length, back = back_references(data, image, ends)
     # Only the matches that are used are gone through; samples that none covers are literals.
     n = len(data)
     nearest = np.append(np.minimum.accumulate(np.where(back > 0, np.arange(n, dtype=np.int32), np.int32(n))[::-1])[::-1], np.int32(n))
-    follow, used, now = memoryview(nearest[np.arange(n) + length]), [], int(nearest[0])
+    follow, used, now = memoryview(nearest[np.arange(n, dtype=np.int32) + length]), [], int(nearest[0])
     while now < n:
         used.append(now)
         now = follow[now]
@@ -943,7 +958,7 @@ def entropy_coded(streams: list[np.ndarray], prefixes: list[tuple[int, int]], wi
         grey = np.arange(256, dtype=np.uint32)
         slot = (((np.uint32(0xFF000000) | grey << np.uint32(16) | grey << np.uint32(8) | grey) * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
         # The pixel before in the same slot of the same image: a hit if it is of the same colour.
-        order = np.argsort(image << CACHE_BITS | slot[data], kind="stable")
+        order = np.argsort(image << CACHE_BITS | slot.astype(np.int32)[data], kind="stable")
         hit = np.zeros(len(data), bool)
         x, y = order[1:], order[:-1]
         hit[x] = (image[x] == image[y]) & (data[x] == data[y])
@@ -962,18 +977,24 @@ def entropy_coded(streams: list[np.ndarray], prefixes: list[tuple[int, int]], wi
     parts = [fields[0], fields[1], fields[1], constant(simple(255)), fields[2]] if cache else [fields[0], constant(rest), fields[1]]
     parts.insert(0, constant((1 | CACHE_BITS << 1, 6) if cache else (0, 2)))
     head, head_bits = (np.concatenate(x, 1) for x in zip(*parts, strict=True))
-    # Bits of each symbol in two numbers: the symbol with the extra bits of a length, and what follows.
-    a, a_bits = words[0][owner, symbol], lengths[0][owner, symbol]
-    b, b_bits = np.zeros(len(chain), np.uint64), np.zeros(len(chain), np.int64)
-    a[copy] |= size_more.astype(np.uint64) << a_bits[copy].astype(np.uint64)
-    a_bits[copy] += size_bits
+    # All bits of each symbol in one number: its code, then the extra bits and distance of a copy or the other channels of a literal.
+    both = words[0] << np.uint64(8) | lengths[0].astype(np.uint64)
+    value = both.ravel()[owner * alphabet + symbol]
+    size = (value & np.uint64(0xFF)).astype(np.int64)
+    value >>= np.uint64(8)
     code, code_bits = words[-1][owner[copy], far_symbol], lengths[-1][owner[copy], far_symbol]
-    b[copy], b_bits[copy] = code | far_more.astype(np.uint64) << code_bits.astype(np.uint64), code_bits + far_bits
+    used = size[copy]
+    for part, part_bits in ((size_more.astype(np.uint64), size_bits), (code, code_bits), (far_more.astype(np.uint64), far_bits)):
+        value[copy] |= part << used.astype(np.uint64)
+        used = used + part_bits
+    size[copy] = used
     if cache:
         code, code_bits = words[1][owner[literal], symbol[literal]], lengths[1][owner[literal], symbol[literal]]
-        b[literal], b_bits[literal] = code | code << code_bits.astype(np.uint64), 2 * code_bits
+        for _ in range(2):  # red and blue
+            value[literal] |= code << size[literal].astype(np.uint64)
+            size[literal] += code_bits
     before = np.array([x for _, x in prefixes])
-    body = np.bincount(owner, a_bits + b_bits, n).astype(np.int64)
+    body = np.bincount(owner, size, n).astype(np.int64)
     bits = before + head_bits.sum(1) + body
     room = (bits + 63) // 64 * 64
     base = np.cumsum(room) - room
@@ -981,8 +1002,7 @@ def entropy_coded(streams: list[np.ndarray], prefixes: list[tuple[int, int]], wi
     at = base + before
     pack(out, head.ravel(), head_bits.ravel(), (at[:, None] + np.cumsum(head_bits, 1) - head_bits).ravel())
     at = at + head_bits.sum(1)
-    both = np.stack([a_bits, b_bits], 1).ravel()
-    pack(out, np.stack([a, b], 1).ravel(), both, np.cumsum(both) - both + np.repeat(at - (np.cumsum(body) - body), 2 * np.bincount(owner, minlength=n)))
+    pack(out, value, size, np.cumsum(size) - size + (at - (np.cumsum(body) - body))[owner])
     raw, files = out.view(np.uint8), []
     for i, (value, _) in enumerate(prefixes):
         whole = raw[base[i] // 8 : base[i] // 8 + (int(bits[i]) + 7) // 8]

@@ -2,7 +2,9 @@
 
 import gzip
 import hashlib
+import html
 import io
+import os
 import random
 import re
 import zlib
@@ -10,6 +12,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,6 +282,44 @@ def test_unnamed_links_in_an_article_are_judged():
     assert got.startswith("Heading many") and got.endswith("End.") and got.count("many words") == 24
 
 
+def test_containers_and_runs():
+    para = "<p>" + "many words without any markup between them " * 6 + "</p>"
+    note = "<p>short note</p>"
+    link = "<p><a href='/x'>some link text</a></p>"
+    # A container without any mark holds the content: its short lines belong to it, those around it do not.
+    got = extract.main_text(f"<body><div>{note * 3}{link}</div><div><h1>Heading</h1>{para * 4}{link}<p>End.</p></div><div>{link}{note * 3}</div></body>")
+    assert got.startswith("Heading many") and got.endswith("End.") and "note" not in got and "link" not in got
+    # No container: runs of prose around content lines.
+    got = extract.main_text(f"<body>{note}{link}<h1>Heading</h1>{para * 4}<p>End.</p>{link}{note}</body>")
+    assert got.startswith("Heading many") and got.endswith("End.") and "note" not in got
+    assert extract.main_text("<p>a</p><p>b</p>") == "a b"
+    long = "word " * 400_000
+    assert extract.main_text(f"<article><p>{long}</p></article>") == long.strip()
+
+
+SF = "/root/testdata/sf0.01/pages.parquet"
+
+
+def article_of(page):
+    """The text between the marks of an article, by patterns only."""
+    body = re.sub(r"<!--.*?-->", "", re.search(r"<article>(.*)</article>", page, re.S)[1], flags=re.S)
+    body = re.sub(r"</?(p|h[1-6]|br|div|li|ul|ol)\b[^>]*>", " ", body)
+    return re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", body))).strip()
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test tables")
+def test_pages_against_patterns(monkeypatch):
+    pages = pq.read_table(SF)["html"].to_pylist()
+    assert [extract.main_text(p) for p in pages] == [article_of(p) for p in pages]
+    # Without marks and names the clusters find the article, but for neighbours that no tag tells from it.
+    plain = [re.sub(r"(</?)(?:article|nav|footer)>", r"\1div>", p).replace(' class="ad"', "") for p in pages]
+    found = [extract.main_text(p) for p in plain]
+    assert sum(article_of(p) in x and len(x) < 1.2 * len(article_of(p)) + 100 for x, p in zip(found, pages, strict=True)) >= 0.9 * len(pages)
+    # What the clusters say decides: with other lines as content other text comes back.
+    monkeypatch.setattr(extract, "content", lambda ratio: ratio <= ratio.min())
+    assert sum(extract.main_text(p) != x for p, x in zip(plain, found, strict=True)) >= 0.9 * len(pages)
+
+
 def test_extract_rows(spark):
     rows = spark.createDataFrame([(1, "u", ARTICLE, 1), (None, None, None, 2), (1, "u", ARTICLE, 3)], "page_id long, url string, html string, text int")
     got = extract.extract(rows).collect()
