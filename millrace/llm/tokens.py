@@ -43,12 +43,15 @@ NUMBERS = _number(np.arange(256 * PLACES))
 def sums(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Running sums [n + 1] of the numbers of bytes at their places, which count from the last of ``starts``."""
     n = len(data)
-    begin = np.zeros(n, np.int64)
+    kind = np.int32 if n < 1 << 23 else np.int64
+    begin = np.zeros(n, kind)
     begin[starts] = starts
-    index = np.arange(n) - np.maximum.accumulate(begin)
-    far = np.flatnonzero(index >= PLACES)
-    index = index << 8 | data
-    numbers = NUMBERS[np.minimum(index, len(NUMBERS) - 1)]
+    index = np.arange(n, dtype=kind)
+    index -= np.maximum.accumulate(begin, out=begin)
+    index <<= 8
+    index |= data
+    numbers = np.take(NUMBERS, index, mode="clip")
+    far = np.flatnonzero(index >= len(NUMBERS))
     if len(far):
         numbers[far] = _number(index[far])
     out = np.zeros(n + 1, np.uint64)

@@ -44,7 +44,7 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 WINDOW, AVERAGE, LEAST, MOST, BLOCK = 8, 1024, 128, 8192, 1 << 18
 HEAD, TAIL = b"MRPACK1\n", b"MRPACKE\n"
 #: Pieces whose ids a worker remembers: as strings, and by hash; bytes of the latter; bytes of text encoded at once.
-REMEMBERED, HASHED, HELD, PIECE = 100_000, 500_000, 32 << 20, 1 << 19
+REMEMBERED, HASHED, HELD, PIECE = 100_000, 1_000_000, 16 << 20, 1 << 19
 
 # The pre-tokenizer's pattern over characters up to U+024F and general punctuation, where Python's re and
 # the library agree; texts with other characters go to the library as a whole.
@@ -54,6 +54,8 @@ SPACED = re.compile(f" [{LETTER}]+").fullmatch
 OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞]")
 
 
+#: Characters of which one or another may be such; without any of them only blanks in a row need looking for.
+SUSPECT, BLANKS = re.compile("[^\n\x20-&(-~¡-ɏ‐-‧‰-⁞]"), ("  ", "\n\n", " \n", "\n ")
 #: White space in a row and contractions, where pieces are more than runs of one class of characters.
 ODD = re.compile(r"\s\s|'(?:s|t|re|ve|m|ll|d)")
 SYMBOL, ALPHA, DIGIT, SPACE, BLANK = range(5)
@@ -102,7 +104,7 @@ class Encoder:
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
         # Of each known piece: where its ids and its bytes begin, and how many they are.
-        self.at, self.size, self.from_, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.at, self.size, self.from_, self.length = (np.zeros(0, np.int32) for _ in range(4))
         self.flat, self.bytes = np.zeros(0, self.dtype), np.zeros(0, np.uint8)
 
     def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +116,9 @@ class Encoder:
         data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
         del raw
         ids, starts, ends, begin, count = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0, 0
-        safe = np.union1d(np.flatnonzero(data == 32), bounds)
+        cut = np.append(data == 32, True)
+        cut[bounds] = True
+        safe = np.flatnonzero(cut)
         while begin < len(data):
             k = int(np.searchsorted(safe, begin + PIECE, "right"))
             to = int(safe[k - 1]) if safe[k - 1] > begin else int(safe[k])
@@ -139,8 +143,8 @@ class Encoder:
         starts = np.ones(n, bool)
         starts[1:] = ((kind[1:] != kind[:-1]) & (kind[:-1] != SPACE)) | (kind[1:] == SPACE)
         starts[inner] = True
-        first = np.flatnonzero(starts)
-        last = np.append(first[1:], n)
+        first = np.flatnonzero(starts).astype(np.int32)
+        last = np.append(first[1:], np.int32(n))
         total = sums(data, first)
         u, where, inverse = np.unique(mixed(total[last] - total[first]), return_index=True, return_inverse=True)
         del total
@@ -162,11 +166,11 @@ class Encoder:
             slot = np.searchsorted(self.hashes, u)
         slot = slot[inverse]
         length = last - first
-        if (self.length[slot] != length).any() or (self.bytes[np.repeat(self.from_[slot] - first, length) + np.arange(n)] != data).any():
+        if (self.length[slot] != length).any() or (self.bytes[np.repeat(self.from_[slot] - first, length) + np.arange(n, dtype=np.int32)] != data).any():
             return self.encode_strings(data, first, last)
         size = self.size[slot]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.at[slot] - (ends - size), size) + np.arange(ends[-1])], first, size
+        ends = np.cumsum(size, dtype=np.int32)
+        return self.flat[np.repeat(self.at[slot] - (ends - size), size) + np.arange(ends[-1], dtype=np.int32)], first, size
 
     def encode_strings(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``encode_slice`` where pieces of the same hash differ."""
@@ -177,7 +181,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with the end id, and where each begins and the last ends."""
-        plain = [not OTHER.search(t) and not ODD.search(t) for t in texts]
+        plain = [not any(b in t for b in BLANKS) and (not SUSPECT.search(t) or not OTHER.search(t) and not ODD.search(t)) for t in texts]
         if all(plain):
             return self.encode_plain(texts)
         ids, bounds = self.encode_plain([t for t, p in zip(texts, plain, strict=True) if p])
