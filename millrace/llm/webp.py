@@ -385,8 +385,23 @@ def length_or_distance(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def read_image(bits: Bits, w: int, h: int, top: bool) -> np.ndarray:
-    """ARGB numbers of an entropy-coded image."""
+class Pixels:
+    """ARGB numbers as indexes into colours, or whole where ``index`` is None.
+
+    What is done to each pixel for itself is done to the colours."""
+
+    def __init__(self, colours: np.ndarray, index: np.ndarray | None = None):
+        self.colours, self.index = colours, index
+
+    def each(self, f) -> Pixels:
+        return Pixels(f(self.colours), self.index)
+
+    def whole(self) -> np.ndarray:
+        return self.colours if self.index is None else self.colours[self.index]
+
+
+def read_image(bits: Bits, w: int, h: int, top: bool) -> np.ndarray | Pixels:
+    """ARGB numbers of an entropy-coded image; as ``Pixels`` for the last image of a stream (``top``)."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("a colour cache of more than 11 bits")
@@ -400,10 +415,12 @@ def read_image(bits: Bits, w: int, h: int, top: bool) -> np.ndarray:
     if groups == 1:
         g, r, b, a = (c.single for c in codes[0][:4])
         if None not in (g, r, b, a) and g < 256:
-            return np.full(w * h, joined(a, r, g, b), np.uint32)
+            out = np.full(w * h, joined(a, r, g, b), np.uint32)
+            return Pixels(out) if top else out
         if g is None and (out := read_symbols(bits, w, w * h, codes[0], cache_bits)) is not None:
-            return out
-    return np.array(read_plain(bits, w, h, codes, meta, meta_bits, cache_bits), np.uint32)
+            return out if top else out.whole()
+    out = np.array(read_plain(bits, w, h, codes, meta, meta_bits, cache_bits), np.uint32)
+    return Pixels(out) if top else out
 
 
 def read_plain(bits: Bits, w: int, h: int, codes: list[list[Code]], meta: list[int] | None, meta_bits: int, cache_bits: int) -> list[int]:
@@ -449,7 +466,7 @@ def numbers(symbol: np.ndarray, windows: np.ndarray, at: np.ndarray) -> np.ndarr
     return NUMBER[symbol] + (windows[at] & ((np.uint32(1) << EXTRA[symbol].astype(np.uint32)) - np.uint32(1)))
 
 
-def read_symbols(bits: Bits, w: int, total: int, codes: list[Code], cache_bits: int) -> np.ndarray | None:
+def read_symbols(bits: Bits, w: int, total: int, codes: list[Code], cache_bits: int) -> Pixels | None:
     """``read_plain`` for one group of codes; None where it does not apply."""
     first, shift = divmod(bits.at, 8)
     raw = bits.data[first : first + 8 * total + 1]  # a pixel takes 60 bits at most
@@ -459,8 +476,8 @@ def read_symbols(bits: Bits, w: int, total: int, codes: list[Code], cache_bits:
     windows = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
     top = len(windows) - 1
     found = codes[0].table[windows[:size] & np.uint32((1 << codes[0].most) - 1)]
-    follow = np.arange(size, dtype=np.int32)
-    follow += found & 255
+    follow = np.arange(size + 1, dtype=np.int32)
+    follow[:-1] += found & 255
     flat = all(c.single is not None for c in codes[1:4])
     if not flat:
         at = np.flatnonzero(found < 256 << 8)
@@ -475,15 +492,14 @@ def read_symbols(bits: Bits, w: int, total: int, codes: list[Code], cache_bits:
     far, n = taken(codes[4], windows, to)
     follow[at] = to + n + EXTRA[far]
     # The chain of real symbols.
-    closed = np.append(np.minimum(follow, size), np.int32(size))
-    step, chain, now = memoryview(closed[closed[:-1]]), array("i"), shift  # every second one
+    step, chain, now = memoryview(np.take(follow, follow, mode="clip")), array("i"), shift  # every second one
     add = chain.append
     while now < size:
         add(now)
         now = step[now]
     chain = np.frombuffer(chain, np.int32)
-    chain = np.stack([chain, closed[chain]], 1).ravel()
-    chain = chain[: len(chain) - (chain[-1] == size)]
+    chain = np.stack([chain, follow[chain]], 1).ravel()
+    chain = chain[: len(chain) - (chain[-1] >= size)]
     found = found[chain]
     symbol, behind = found >> 8, np.minimum(chain + (found & 255), top)
     count = np.ones(len(chain), np.int64)
@@ -520,7 +536,7 @@ def read_symbols(bits: Bits, w: int, total: int, codes: list[Code], cache_bits:
     return out
 
 
-def resolved(total: int, symbol: np.ndarray, starts: np.ndarray, count: np.ndarray, literal: np.ndarray, colours: np.ndarray, index: np.ndarray, copies: np.ndarray, far: np.ndarray, cache_bits: int) -> np.ndarray | None:
+def resolved(total: int, symbol: np.ndarray, starts: np.ndarray, count: np.ndarray, literal: np.ndarray, colours: np.ndarray, index: np.ndarray, copies: np.ndarray, far: np.ndarray, cache_bits: int) -> Pixels | None:
     """Pixels from symbols: literals (their ``index`` among the ``colours``), then copies and what the colour cache holds, in order.
 
     Every pixel is one of the literal colours (or 0, which the cache holds at first; it has the last index).  A slot of
@@ -573,7 +589,7 @@ def resolved(total: int, symbol: np.ndarray, starts: np.ndarray, count: np.ndarr
             now[slot_of[out[at]]] = out[at]
         else:
             out[at] = now.get(-2 - back, zero)
-    return colours[np.frombuffer(out, np.uint8)] if isinstance(out, bytearray) else colours[np.frombuffer(out, np.uint32)]
+    return Pixels(colours, np.frombuffer(out, np.uint8 if isinstance(out, bytearray) else np.uint32))
 
 
 def listed(pixels: np.ndarray) -> list[int]:
@@ -642,7 +658,7 @@ def undo_prediction(pixels: np.ndarray, w: int, tile: np.ndarray, bits: int) ->
 
 def decode(data: bytes) -> np.ndarray:
     """The RGBA pixels of a RIFF file with one VP8L chunk; ValueError if it is damaged."""
-    return decode_numbers(data).view(np.uint8).reshape(*shape_of(data), 4)[:, :, [2, 1, 0, 3]]
+    return np.ascontiguousarray(decode_pixels(data).whole()).view(np.uint8).reshape(*shape_of(data), 4)[:, :, [2, 1, 0, 3]]
 
 
 def shape_of(data: bytes) -> tuple[int, int]:
@@ -651,8 +667,8 @@ def shape_of(data: bytes) -> tuple[int, int]:
     return (n >> 14 & 0x3FFF) + 1, (n & 0x3FFF) + 1
 
 
-def decode_numbers(data: bytes) -> np.ndarray:
-    """The ARGB numbers of all pixels in a row."""
+def decode_pixels(data: bytes) -> Pixels:
+    """All pixels in a row."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     size = struct.unpack("<I", data[16:20])[0]
@@ -674,20 +690,21 @@ def decode_numbers(data: bytes) -> np.ndarray:
             size_bits = bits.read(3) + 2
             image = read_image(bits, tiles(packed, size_bits), tiles(h, size_bits), False)
             step = undo_prediction if kind == PREDICTOR else undo_cross
-            undo.append((kind, lambda p, f=step, a=(packed, image, size_bits): f(p, *a)))
+            alone = kind == CROSS and len(image) == 1
+            undo.append((kind, lambda p, f=step, a=(packed, image, size_bits), alone=alone: p.each(lambda x: f(x, *a)) if alone else Pixels(f(p.whole(), *a))))
         elif kind == GREEN:
-            undo.append((kind, undo_green))
+            undo.append((kind, lambda p: p.each(undo_green)))
         else:
             n = bits.read(8) + 1
             palette = read_image(bits, n, 1, False)
             palette = np.cumsum(np.ascontiguousarray(palette).view(np.uint8).reshape(-1, 4), axis=0, dtype=np.uint8).reshape(-1).view(np.uint32)
             wide, size_bits = packed, bundle_bits(n)
             packed = tiles(wide, size_bits)
-            undo.append((kind, lambda p, a=(wide, packed, palette, size_bits): undo_palette(p, *a)))
+            undo.append((kind, lambda p, a=(wide, packed, palette, size_bits): Pixels(undo_palette(p.whole(), *a)) if a[3] else p.each(lambda x: undo_palette(x, 1, 1, *a[2:]))))
     pixels = read_image(bits, packed, h, True)
     for _, step in reversed(undo):
         pixels = step(pixels)
-    return np.ascontiguousarray(pixels)
+    return pixels
 
 
 # ---------------------------------------------------------------- encoding
@@ -1101,11 +1118,12 @@ def samples(media: bytes) -> list[np.ndarray]:
     while at < len(media):
         size = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
         data = media[at : at + size]
-        pixels = decode_numbers(data)
-        grey = (pixels >> np.uint32(8)).astype(np.uint8)
-        if (grey * np.uint32(0x010101) + np.uint32(0xFF000000) != pixels).any():
+        pixels = decode_pixels(data)
+        grey = (pixels.colours >> np.uint32(8)).astype(np.uint8)
+        other = grey * np.uint32(0x010101) + np.uint32(0xFF000000) != pixels.colours
+        if other.any() and (pixels.index is None or other[pixels.index].any()):  # (a colour may be one that no pixel has)
             raise ValueError("the image is not grey")
-        out.append(grey.reshape(shape_of(data)))
+        out.append((grey if pixels.index is None else grey[pixels.index]).reshape(shape_of(data)))
         at += size
     return out
 
