@@ -48,6 +48,7 @@ PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 CACHE_MULTIPLIER, MAX_SIDE, CODES = 0x1E35A7BD, 16384, (256 + 24, 256, 256, 256, 40)
 #: Numbers of 15 bits in reverse order.
 REVERSED = np.array([int(f"{i:015b}"[::-1], 2) for i in range(1 << 15)], np.uint32)
+TURNED = [(REVERSED[: 1 << n] >> (15 - n)).astype(np.intp) for n in range(16)]
 #: Distances that the near-pixel codes stand for, by the width of the image: dx + dy * width.
 NEAR_X, NEAR_Y = (np.array([0, *v]) for v in zip(*NEAR, strict=True))
 #: Samples in a row, rows of an image (back-references then reach all of it), samples whose images are written together.
@@ -119,24 +120,24 @@ def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
 
 
 class Code:
-    """A prefix code ready for reading, from (bits, symbol) of its symbols.
+    """A prefix code ready for reading, from (bits << 16 | symbol) of its symbols.
 
     ``table`` has (symbol << 8 | bits) for each value of the next ``most`` bits."""
 
-    def __init__(self, used: list[tuple[int, int]]):
+    def __init__(self, used: list[int]):
         if not used:
             raise ValueError("an empty prefix code")
-        self.single = used[0][1] if len(used) == 1 else None
+        self.single = used[0] & 0xFFFF if len(used) == 1 else None
         self.most, self.table = 0, None
         if self.single is None:
-            used = sorted(used)
-            bits, symbols = np.array(used).T
-            self.most = int(bits[-1])
-            size = 1 << (self.most - bits)  # so many values begin with each code, in the order of codes
-            if size.sum() != 1 << self.most:
+            used.sort()
+            both = np.array(used, np.int32)
+            self.most, bits = used[-1] >> 16, both >> 16
+            values = np.repeat((both & 0xFFFF) << 8 | bits, 1 << (self.most - bits))  # so many begin with each code, in the order of codes
+            if len(values) != 1 << self.most:
                 raise ValueError("an incomplete prefix code")
             self.table = np.empty(1 << self.most, np.int32)
-            self.table[REVERSED[: 1 << self.most] >> (15 - self.most)] = np.repeat(symbols << 8 | bits, size)
+            self.table[TURNED[self.most]] = values
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
@@ -152,7 +153,7 @@ def inner_code(n: int, numbers: int) -> tuple[list[int], int, bool]:
     lengths = [0] * 19
     for i in range(n):
         lengths[CODE_ORDER[i]] = numbers >> 3 * i & 7
-    code = Code([(n, s) for s, n in enumerate(lengths) if n])
+    code = Code([n << 16 | s for s, n in enumerate(lengths) if n])
     if code.single is not None:
         return [code.single << 8], 0, False
     table = code.table.tolist()
@@ -169,7 +170,7 @@ def read_code(bits: Bits, size: int) -> Code:
             used.add(v >> 3 + n & 0xFF)
         if max(used) >= size:
             raise ValueError("a symbol out of its alphabet")
-        return Code([(1, s) for s in used])
+        return Code([1 << 16 | s for s in used])
     bits.skip(1)
     n = 4 + bits.read(4)
     table, mask, zeros = inner_code(n, bits.ahead(bits.at, 3 * n)[0])
@@ -189,7 +190,7 @@ def read_code(bits: Bits, size: int) -> Code:
         value, have, start = value >> n, have - n, start + n
         if s < 16:
             if s:
-                used.append((s, at))
+                used.append(s << 16 | at)
                 last = s
             at += 1
             continue
@@ -199,7 +200,7 @@ def read_code(bits: Bits, size: int) -> Code:
         if at + n > size:
             raise ValueError("code lengths run over their alphabet")
         if s == 16:
-            used += [(last, k) for k in range(at, at + n)]
+            used += [last << 16 | k for k in range(at, at + n)]
         at += n
     bits.at = start
     bits.skip(0)
@@ -448,7 +449,17 @@ def read_plain(bits: Bits, w: int, h: int, codes: list[list[Code]], meta: list[i
     return out
 
 
-def taken(code: Code, windows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Windows:
+    """The next bits at some bit positions, from the numbers of four bytes at each byte."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.words[at >> 3] >> (at & 7).astype(np.uint32)
+
+
+def taken(code: Code, windows: Windows, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbol, bits) that a code has at bit positions."""
     if code.single is not None:
         return np.full(len(at), code.single, np.int32), np.zeros(len(at), np.int32)
@@ -461,7 +472,7 @@ EXTRA = np.array([0, 0, 0, 0, *[(s - 2) >> 1 for s in range(4, 40)]], np.int32)
 NUMBER = np.array([1, 2, 3, 4, *[((2 + s % 2) << ((s - 2) >> 1)) + 1 for s in range(4, 40)]], np.int64)
 
 
-def numbers(symbol: np.ndarray, windows: np.ndarray, at: np.ndarray) -> np.ndarray:
+def numbers(symbol: np.ndarray, windows: Windows, at: np.ndarray) -> np.ndarray:
     """What length or distance symbols stand for, whose extra bits are at ``at``."""
     return NUMBER[symbol] + (windows[at] & ((np.uint32(1) << EXTRA[symbol].astype(np.uint32)) - np.uint32(1)))
 
@@ -473,9 +484,12 @@ def read_symbols(bits: Bits, w: int, total: int, codes: list[Code], cache_bits:
     size = 8 * len(raw)
     words = np.ndarray(len(raw) + 9, "<u4", raw + bytes(12), strides=(1,))
     # The next bits at every position.  A symbol with all its parts has at most 2 * 15 + 28 bits: what passes the end stays inside.
-    windows = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
-    top = len(windows) - 1
-    found = codes[0].table[windows[:size] & np.uint32((1 << codes[0].most) - 1)]
+    windows = Windows(words)
+    top = 8 * len(words) - 1
+    index = words[: len(raw), None].astype(np.intp) >> np.arange(8)
+    index &= (1 << codes[0].most) - 1
+    found = np.take(codes[0].table, index.ravel(), mode="clip")
+    del index
     follow = np.arange(size + 1, dtype=np.int32)
     follow[:-1] += found & 255
     flat = all(c.single is not None for c in codes[1:4])
@@ -492,14 +506,16 @@ def read_symbols(bits: Bits, w: int, total: int, codes: list[Code], cache_bits:
     far, n = taken(codes[4], windows, to)
     follow[at] = to + n + EXTRA[far]
     # The chain of real symbols.
-    step, chain, now = memoryview(np.take(follow, follow, mode="clip")), array("i"), shift  # every second one
+    two = np.take(follow, follow, mode="clip")
+    step, chain, now = memoryview(np.take(two, two, mode="clip")), array("i"), shift  # every fourth one
     add = chain.append
     while now < size:
         add(now)
         now = step[now]
     chain = np.frombuffer(chain, np.int32)
-    chain = np.stack([chain, follow[chain]], 1).ravel()
-    chain = chain[: len(chain) - (chain[-1] >= size)]
+    chain = np.stack([chain, two[chain]], 1).ravel()
+    chain = np.stack([chain, np.take(follow, chain, mode="clip")], 1).ravel()
+    chain = chain[: int(np.searchsorted(chain, size))]
     found = found[chain]
     symbol, behind = found >> 8, np.minimum(chain + (found & 255), top)
     count = np.ones(len(chain), np.int64)
@@ -631,28 +647,31 @@ def undo_prediction(pixels: np.ndarray, w: int, tile: np.ndarray, bits: int) ->
     modes = (tile >> np.uint32(8) & np.uint32(15)).reshape(-1, per)
     if not np.isin(modes, BY_ROWS).all():
         return np.array(undo_predictor(pixels.tolist(), w, tile.tolist(), bits), np.uint32)
-    out = np.ascontiguousarray(pixels).view(np.uint8).reshape(-1, w, 4).copy()
-    out[0, 0, 3] += 255
-    np.cumsum(out[0], axis=0, dtype=np.uint8, out=out[0])
-    rows = modes.tolist()
-    for y in range(1, len(out)):
-        row, above = out[y], out[y - 1]
-        row[0] += above[0]
+    out = np.ascontiguousarray(pixels).view(np.uint8).reshape(-1, 4 * w).copy()
+    first = out[0].reshape(w, 4)
+    first[0, 3] += 255
+    np.cumsum(first, axis=0, dtype=np.uint8, out=first)
+    rows, above = modes.tolist(), out[0]
+    for y in range(1, len(out)):  # four bytes a pixel
+        row = out[y]
+        row[:4] += above[:4]
         for k, mode in enumerate(rows[y >> bits]):
-            a, b = max(1, k << bits), min(w, (k + 1) << bits)
-            if mode == 0:
-                row[a:b, 3] += 255
-            elif mode == 1:
-                row[a - 1 : b] = np.cumsum(row[a - 1 : b], axis=0, dtype=np.uint8)
+            a, b = 4 * max(1, k << bits), 4 * min(w, (k + 1) << bits)
+            if mode == 9 or mode == 3:
+                right = above[a + 4 : b + 4] if b < 4 * w else np.concatenate((above[a + 4 :], row[:4]))
+                row[a:b] += right if mode == 3 else halved(above[a:b], right)
+            elif mode == 8:
+                row[a:b] += halved(above[a - 4 : b - 4], above[a:b])
             elif mode == 2:
                 row[a:b] += above[a:b]
             elif mode == 4:
-                row[a:b] += above[a - 1 : b - 1]
-            elif mode == 8:
-                row[a:b] += halved(above[a - 1 : b - 1], above[a:b])
+                row[a:b] += above[a - 4 : b - 4]
+            elif mode == 1:
+                part = row[a - 4 : b].reshape(-1, 4)
+                np.cumsum(part, axis=0, dtype=np.uint8, out=part)
             else:
-                right = above[a + 1 : b + 1] if b < w else np.concatenate((above[a + 1 :], row[:1]))
-                row[a:b] += right if mode == 3 else halved(above[a:b], right)
+                row[a + 3 : b : 4] += 255
+        above = row
     return out.reshape(-1).view(np.uint32)
 
 
@@ -1045,7 +1064,7 @@ def best_predictor(grey: np.ndarray) -> tuple[int, np.ndarray]:
     best = None
     for mode, p in ((1, left), (2, above), (3, right), (4, corner), (8, halved(corner, above)), (9, halved(above, right))):
         r = grey[1:, 1:] - p
-        cost = int(np.abs(r.view(np.int8).astype(np.int16)).sum())
+        cost = int(np.minimum(r, -r).sum(dtype=np.int64))  # r and 256 - r are as far from 0
         if best is None or cost < best[0]:
             best = cost, mode, r
     rest[1:, 1:] = best[2]
