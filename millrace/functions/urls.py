@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed
-from millrace.functions.text import strip, words_of
+from millrace.functions.text import let, strip, words_of
 
 
 def parse(x: Column) -> Column:
@@ -129,9 +129,48 @@ def is_public_ipv4(address: Column) -> Column:
     return address.rlike(r"^([0-9]{1,3}[.]){3}[0-9]{1,3}$") & F.forall(o, lambda x: F.coalesce(x <= 255, F.lit(False))) & ~reserved
 
 
+def ipv6_groups(literal: Column) -> Column:
+    """The eight numbers of an IPv6 literal (without brackets); null if it is malformed."""
+    dotted = F.transform(F.split(F.regexp_extract(literal, r"([0-9]{1,3}(?:[.][0-9]{1,3}){3})$", 1), "[.]"), lambda x: x.try_cast("int"))
+    pair = lambda i: F.lower(F.hex(F.get(dotted, i) * 256 + F.get(dotted, i + 1)))
+    four = F.forall(dotted, lambda x: F.coalesce(x <= 255, F.lit(False)))
+    plain = F.when(F.contains(literal, F.lit(".")), F.when(four, F.concat(F.regexp_replace(literal, r"[0-9.]+$", ""), pair(0), F.lit(":"), pair(2)))).otherwise(literal)
+    sides = F.split(plain, "::")
+    part = lambda i: F.filter(F.split(F.coalesce(F.get(sides, i), F.lit("")), ":"), lambda x: x != "")
+    left, right = part(0), part(1)
+    short = F.size(sides) == 2
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    tidy = ~plain.rlike(":::") & (short | ~plain.rlike("^:|:$")) & (F.size(sides) <= 2) & F.when(short, missing >= 1).otherwise(missing == 0)
+    good = tidy & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(good, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def is_public_ipv6(literal: Column) -> Column:
+    """False for unspecified, loopback, multicast, local, documentation, benchmarking and malformed literals, and where a
+    mapped or compatible IPv4 address is not public."""
+    def rule(g: Column) -> Column:
+        at = lambda i: F.get(g, i)
+        bits = lambda i, mask: at(i).bitwiseAND(F.lit(mask))
+        low = lambda i: F.concat_ws(".", F.shiftright(at(i), 8).cast("string"), bits(i, 255).cast("string"))
+        inside = F.forall(F.slice(g, 1, 5), lambda x: x == 0) & at(5).isin(0, 0xFFFF)
+        local = (
+            (bits(0, 0xFF00) == 0xFF00)
+            | (bits(0, 0xFE00) == 0xFC00)
+            | bits(0, 0xFFC0).isin(0xFE80, 0xFEC0)
+            | ((at(0) == 0x64) & (at(1) == 0xFF9B) & (at(2) == 1))
+            | ((at(0) == 0x2001) & at(1).isin(0xDB8, 2))
+        )
+        return F.when(inside, is_public_ipv4(F.concat_ws(".", low(6), low(7)))).otherwise(~local)
+
+    return F.coalesce(let(ipv6_groups(F.lower(literal)), lambda g: F.when(g.isNotNull(), rule(g))), F.lit(False))
+
+
 def is_fetchable(url: Column) -> Column:
     """May a page be fetched from here: http(s), no credentials, no local name, no reserved address."""
     h = host(url)
+    literal = F.nullif(F.regexp_extract(url, r"(?i)^https?://\[([0-9a-f:.]+)\](?:[:/?#]|$)", 1), F.lit(""))
     numeric = h.rlike(r"^[0-9.]+$")
-    good = url.rlike("(?i)^https?://") & ~url.rlike(r"^[a-zA-Z]+://[^/?#]*@") & h.isNotNull() & ~(h == "localhost") & ~h.endswith(".localhost") & ~h.startswith("[")
-    return F.coalesce(good & (~numeric | is_public_ipv4(h)), F.lit(False))
+    good = url.rlike("(?i)^https?://") & ~url.rlike(r"^[a-zA-Z]+://[^/?#]*@")
+    named = h.isNotNull() & ~(h == "localhost") & ~h.endswith(".localhost") & ~h.startswith("[") & (~numeric | is_public_ipv4(h))
+    return F.coalesce(good & F.when(literal.isNotNull(), is_public_ipv6(literal)).otherwise(named), F.lit(False))

@@ -6,11 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from millrace.functions import embed, fixed
+from millrace.functions import embed, encoder, fixed
 from millrace.operators import cache, dedup
 from millrace.plans import search
 from millrace.plans.registry import query, table
-from millrace.sources import scans, sinks
+from millrace.sources import pdf, scans, sinks
 
 ANSWER = json.dumps(
     {
@@ -115,10 +115,13 @@ def c3_resolved(spark, sf_dir):
     return scans.resolved(c, pages).select("pos", "url", "from_snippet", F.length("content").alias("n_chars"))
 
 
-@query("k2_extractions", "SELECT sha256(url) AS key, url, CAST(strlen(html) AS INT) AS rawByteLength, CAST(length(url) AS INT) AS extractedCharLength, CASE WHEN strlen(html) > 0 THEN length(url) / strlen(html) ELSE 0 END AS ratio FROM pages")
+NO_SCRIPTS = r"regexp_replace(html, '(?is)<script(>|[/\s][^>]*>).*?(</script[^>]*>|\z)', '', 'g')"
+
+
+@query("k2_extractions", f"SELECT sha256(url) AS key, url, CAST(strlen(html) AS INT) AS rawByteLength, CAST(length({NO_SCRIPTS}) AS INT) AS extractedCharLength, CASE WHEN strlen(html) > 0 THEN length({NO_SCRIPTS}) / strlen(html) ELSE 0 END AS ratio FROM pages")
 def k2_extractions(spark, sf_dir):
-    """K2, K5: diagnostics of extractions (the URL stands for the text)."""
-    return sinks.extractions(table(spark, sf_dir, "pages").withColumn("markdown", F.col("url"))).drop("html", "markdown")
+    """K2, K5: diagnostics of extractions (pages without their scripts)."""
+    return sinks.extractions(table(spark, sf_dir, "pages").withColumn("markdown", scans.without_scripts(F.col("html")))).drop("html", "markdown")
 
 
 @query("k3_failures")
@@ -197,6 +200,25 @@ def v3_embeddings(spark, sf_dir):
     return embed.embed(docs, "doc_id", "text", dims=64).select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")), 4).alias("norm"))
 
 
-@query("e6_health", "SELECT 'ok' AS status, 200 AS code")
+@query("e6_health", "SELECT CASE WHEN n > 0 THEN 'ok' ELSE 'unavailable' END AS status, CASE WHEN n > 0 THEN 200 ELSE 503 END AS code, n AS documents FROM (SELECT count(*) AS n FROM documents)")
 def e6_health(spark, sf_dir):
-    return spark.range(1).select(F.lit("ok").alias("status"), F.lit(200).alias("code"))
+    """Can the corpus be read, and is there one?"""
+    n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("documents"))
+    return n.select(F.when(F.col("documents") > 0, "ok").otherwise("unavailable").alias("status"), F.when(F.col("documents") > 0, 200).otherwise(503).alias("code"), "documents")
+
+
+@query("s19_pdf", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^\x20-\x7e]', '?', 'g')) || chr(10) || chr(10) || url AS content FROM pages")
+def s19_pdf(spark, sf_dir):
+    """Text of PDF files; the pages' titles and addresses as files of two pages."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), "url")
+    line = lambda c: F.concat(F.lit("BT /F 12 Tf 72 700 Td ("), F.regexp_replace(F.regexp_replace(c, r"[^\x20-\x7e]", "?"), r"([()\\\\])", r"\\\\$1"), F.lit(") Tj ET"))
+    stream = lambda n, c: F.concat(F.lit(f"{n} 0 obj << /Length "), F.octet_length(c).cast("string"), F.lit(" >> stream\n"), c, F.lit("\nendstream endobj\n"))
+    head = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 >> endobj\n3 0 obj << /Type /Page /Parent 2 0 R /Contents 5 0 R >> endobj\n4 0 obj << /Type /Page /Parent 2 0 R /Contents 6 0 R >> endobj\n"
+    files = p.select("page_id", F.concat(F.lit(head), stream(5, line(F.col("title"))), stream(6, line(F.col("url")))).cast("binary").alias("body"))
+    return pdf.extracted(files, "page_id")
+
+
+@query("v7_encoder")
+def v7_encoder(spark, sf_dir):
+    """Items of the benchmark through a small encoder of drawn weights, from mapped files."""
+    return embed.embed(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "body"), "item_id", "body", model=encoder.model(encoder.small), dims=16).select("item_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")), 4).alias("norm"))
