@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed
 
 
-def sorted_times(df: DataFrame, key: str, ts: str, *also: str) -> DataFrame:
-    """(key, events): the events of each key in order of time."""
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("at"), *also))).alias("events"))
-
-
 def paced(df: DataFrame, key: str, at: str, interval: float) -> DataFrame:
     """(key, requested, started): requests of a key start at least ``interval`` seconds apart, in order.
 
@@ -28,15 +26,26 @@ def paced(df: DataFrame, key: str, at: str, interval: float) -> DataFrame:
 def served(df: DataFrame, key: str, at: str, ttl: float) -> DataFrame:
     """(key, at, hit): would a cache of ``ttl`` seconds, counted from each load, answer the request?
 
-    Which request loads depends on the one before, so each key's requests are folded in order."""
-    state = F.struct(F.lit(None).cast("double").alias("loaded"), F.array().cast("array<struct<at:double,hit:boolean>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        hit = F.coalesce(e["at"] - s["loaded"] < ttl, F.lit(False))
-        return F.struct(F.when(hit, s["loaded"]).otherwise(e["at"]).alias("loaded"), F.concat(s["out"], F.array(F.struct(e["at"].alias("at"), hit.alias("hit")))).alias("out"))
-
-    folded = sorted_times(df.withColumn("__at", F.col(at).cast("double")), key, "__at").select(key, F.explode(F.aggregate("events", state, step)["out"]).alias("x"))
-    return folded.select(key, "x.at", "x.hit")
+    Which request loads depends on the one before, so the requests of a key are gone through in order: sorted
+    partitions stream by, and one number is held at a time, however many requests a key has.  Requests without a
+    time come first and load nothing; repeated requests are rows of their own."""
+    rows = df.select(F.col(key), F.col(at).cast("double").alias("at"))
+    ordered = rows.repartition(F.col(key)).sortWithinPartitions(key, "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begun, load = None, False, None
+        for batch in batches:
+            hits = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or k != now:
+                    now, begun, load = k, True, None
+                hit = t is not None and load is not None and t - load < ttl
+                if t is not None and not hit:
+                    load = t
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], [key, "at", "hit"])
+
+    return ordered.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, at double, hit boolean")
 
 
 def last_healthy(df: DataFrame, key: str, at: str, healthy: str, window: float = fixed.STALE_SECONDS) -> DataFrame:

@@ -38,8 +38,26 @@ def near_pairs(docs: DataFrame, site: str = "site", subject: str | None = None)
     return full.where(rule).select("a", "b", "shared", "small", "large")
 
 
+def near_links(docs: DataFrame, site: str = "site", subject: str | None = None) -> DataFrame:
+    """(a, b): links that connect the same documents as ``near_pairs``, one for each copy instead of all pairs of copies.
+
+    Equal texts of one site (and subject) are the same set: their first is compared with other texts, and the others are
+    linked to it.  Texts too short to be compared have no links."""
+    also = [site, *([subject] if subject else [])]
+    named = docs.select("doc_id", *also, F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    firsts = graph.cut(named.groupBy("h", *also).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
+    once = docs.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    long = docs.join(firsts.where("copies > 1").select(F.col("first").alias("doc_id")), "doc_id", "left_semi").where(text.shingles(F.col("text")).isNotNull())
+    groups = firsts.where("copies > 1").join(long.select(F.col("doc_id").alias("first")), "first", "left_semi").select("h", "first", *[F.col(c).alias(f"__{c}") for c in also])
+    same = (named["h"] == groups["h"]) & (F.col("doc_id") != F.col("first"))
+    for c in also:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    copies = named.join(groups, same).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    return near_pairs(once, site, subject).select("a", "b").unionByName(copies)
+
+
 def clusters(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, cluster): the smallest id connected by pairs; a document without a pair is its own cluster."""
+    """(doc_id, cluster): the smallest id connected by pairs or links (a, b); a document without a pair is its own cluster."""
     found = graph.components(pairs.select("a", "b"))
     return docs.select("doc_id").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("cluster"))
 

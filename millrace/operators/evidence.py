@@ -1,7 +1,7 @@
 """Lexical evidence: rarity weights of query terms and weighted coverage of texts.
 
-The scope of document frequencies is all rows of ``docs``.  Documents are exploded to their distinct terms
-and meet the (few) query terms in an equi-join; nothing is compared pairwise.
+The scope of document frequencies is all rows of ``docs``.  A document's distinct terms are cut to the
+(few) query terms before they become rows; beyond ``INLINE_TERMS`` they meet in an equi-join.  Nothing is compared pairwise.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from millrace.functions import fixed, text
 
 #: Largest number of query terms that is broadcast; beyond it the join shuffles.
 BROADCAST_TERMS = 200_000
+#: Largest number of query terms that is held in the plan itself.
+INLINE_TERMS = 2_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -28,7 +30,11 @@ def small(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
 
 def matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, term) for documents with a query term."""
-    wanted = small(terms.select("term").distinct())
+    wanted = terms.select("term").distinct()
+    listed = sorted(r[0] for r in wanted.limit(INLINE_TERMS + 1).collect())
+    if len(listed) <= INLINE_TERMS:
+        return docs.select("doc_id", F.explode(F.array_intersect(text.term_set(F.col("text")), text.words_of(listed))).alias("term"))
+    wanted = small(wanted)
     return docs.select("doc_id", F.explode(text.term_set(F.col("text"))).alias("term")).join(wanted, "term").select("doc_id", "term")
 
 
@@ -50,7 +56,7 @@ def coverage(weighted: DataFrame, hits: DataFrame) -> DataFrame:
     share = F.col("got") / F.col("total")
     d = fixed.DECISIVE_SHARE
     blend = F.when(F.col("total_decisive").isNull(), share).otherwise((1 - d) * share + d * F.col("got_decisive") / F.col("total_decisive"))
-    return found.join(F.broadcast(totals), "query_id").select("query_id", "doc_id", blend.alias("score"))
+    return found.join(small(totals), "query_id").select("query_id", "doc_id", blend.alias("score"))
 
 
 def with_identifiers(lexical: Column, wanted: Column, found: Column) -> Column:

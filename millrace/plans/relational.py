@@ -255,14 +255,14 @@ def j3_near_pairs(spark, sf_dir):
 def c2_clusters(spark, sf_dir):
     """C1, C2."""
     docs = table(spark, sf_dir, "documents")
-    return dedup.clusters(docs, dedup.near_pairs(docs, "source"))
+    return dedup.clusters(docs, dedup.near_links(docs, "source"))
 
 
 @query("a11_representatives", f"WITH RECURSIVE {PAIRS}, l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.id), c AS (SELECT id AS doc_id, min(m) AS cluster FROM r GROUP BY id) SELECT cluster AS position, arg_min(c.doc_id, (-n_chars, c.doc_id)) AS doc_id, bool_or(c.doc_id % 5 = 0) AS source_priority FROM c JOIN documents d ON c.doc_id = d.doc_id GROUP BY cluster")
 def a11_representatives(spark, sf_dir):
     """The longest document of each cluster, flags or-ed, at the cluster's first place."""
     docs = table(spark, sf_dir, "documents")
-    members = dedup.clusters(docs, dedup.near_pairs(docs, "source")).join(docs.select("doc_id", "n_chars"), "doc_id").withColumn("source_priority", F.col("doc_id") % 5 == 0)
+    members = dedup.clusters(docs, dedup.near_links(docs, "source")).join(docs.select("doc_id", "n_chars"), "doc_id").withColumn("source_priority", F.col("doc_id") % 5 == 0)
     return dedup.representatives(members, [F.desc("n_chars")]).select("position", "doc_id", "source_priority")
 
 
@@ -351,19 +351,25 @@ def x3_passages(spark, sf_dir):
     return chunking.assembled(ranges, docs)
 
 
+SCORED_CHUNKS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents),
+c AS (SELECT doc_id, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 100 THEN 1 ELSE CAST(ceil((len(w) - 100) / 80) AS BIGINT) + 1 END)) AS o, w FROM w),
+s AS (SELECT doc_id % 7 AS query_id, doc_id, CAST(o AS INT) AS ordinal, round((CAST('0x' || substr(md5(array_to_string(w[o * 80 + 1:o * 80 + 100], ' ')), 1, 5) AS INT) % 1000) / 1000, 3) AS score FROM c)"""
+
+
 def chunk_scores(spark, sf_dir):
+    """Chunks of 100 words with scores that their words determine, as candidates of seven queries."""
     c = chunking.chunks(table(spark, sf_dir, "documents"), 100, 20)
-    return c.select((F.col("doc_id") % 7).alias("query_id"), "doc_id", "ordinal", F.round((F.crc32(F.md5(text.collapse(F.col("text")).cast("binary")).cast("binary")) % 1000) / 1000, 3).alias("score"))
+    number = F.conv(F.substring(F.md5(text.collapse(F.col("text")).cast("binary")), 1, 5), 16, 10).cast("int")
+    return c.select((F.col("doc_id") % 7).alias("query_id"), "doc_id", "ordinal", F.round((number % 1000) / 1000, 3).alias("score"))
 
 
-@query("w7_best_chunks", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents),
-c AS (SELECT doc_id, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 100 THEN 1 ELSE CAST(ceil((len(w) - 100) / 80) AS BIGINT) + 1 END)) AS o, w FROM w),
-s AS (SELECT doc_id % 7 AS q, doc_id, o, w[o * 80 + 1:o * 80 + 100] AS t FROM c)
-SELECT q AS query_id, count(DISTINCT doc_id) AS documents, least(24, count(*)) AS most FROM s GROUP BY q""")
+@query("w7_best_chunks", f"""WITH {SCORED_CHUNKS},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, ordinal) AS own FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY own > 1, score DESC, doc_id, ordinal) - 1 AS selected FROM r WHERE own <= {fixed.CHUNKS_PER_DOCUMENT})
+SELECT query_id, doc_id, ordinal, score, CAST(selected AS INT) AS selected FROM t WHERE selected < {fixed.CHUNKS_TOTAL}""")
 def w7_best_chunks(spark, sf_dir):
-    """At most 24 chunks of a query are chosen; here each query's documents and the bound."""
-    s = chunk_scores(spark, sf_dir)
-    return s.groupBy("query_id").agg(F.countDistinct("doc_id").alias("documents"), F.least(F.lit(24), F.count(F.lit(1))).alias("most"))
+    """The best chunk of every document first, then others by score, 24 of a query."""
+    return rank.best_chunks(chunk_scores(spark, sf_dir))
 
 
 @query("w7_chunk_selection")
@@ -373,11 +379,6 @@ def w7_chunk_selection(spark, sf_dir):
     return rank.adjacent_chunks(s)
 
 
-@query("w7_chunks_without_names")
-def w7_chunks_without_names(spark, sf_dir):
-    return rank.best_chunks(chunk_scores(spark, sf_dir))
-
-
 @query("w4_chunk_cap")
 def w4_chunk_cap(spark, sf_dir):
     s = chunk_scores(spark, sf_dir).select("doc_id", "ordinal", F.when(F.col("score") > 0.5, F.col("score")).otherwise(0.0).alias("lexical"), (F.col("score") > 0.97).alias("seed"))
@@ -387,7 +388,7 @@ def w4_chunk_cap(spark, sf_dir):
 @query("w5_documents")
 def w5_documents(spark, sf_dir):
     """Eight documents of each query, diversified by source and subject."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.slice(text.term_set(F.substring("text", 1, 80)), 1, 8).alias("subject"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text.term_set(F.substring_index("text", ".", 1)).alias("subject"))
     h = hybrid(spark, sf_dir).join(docs, "doc_id").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1)
     h = h.withColumn("exact", F.lit(False)).withColumn("is_anchor", F.lit(False))
     return rank.documents(h.select("query_id", "pos", "doc_id", "score", "source_priority", "upstream_consensus", "exact", "is_anchor", "source", "subject"), 8).drop("subject")
@@ -405,13 +406,18 @@ def w1_candidate_scores(spark, sf_dir):
     return df.select("id", F.round(rank.candidate_score(F.lit("current inflation rate Canada May 2024"), F.lit(2024 * 372 + 4 * 31 + 19)), 6).alias("score"))
 
 
-@query("w9_excerpts")
+FLAT = sql.low("array_to_string(" + sql.words("{}") + ", ' ')")
+
+
+@query("w9_excerpts", f"WITH d AS (SELECT doc_id, split_part(text, '.', 1) AS e, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'other' END AS c FROM documents) SELECT doc_id, CASE WHEN regexp_replace(e, '\\s', '', 'g') <> '' AND NOT contains({FLAT.format('c')}, {FLAT.format('e')}) THEN 'Search excerpt: ' || e END AS excerpt FROM d")
 def w9_excerpts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("e"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("other").alias("c"))
+    """The first sentence as an excerpt, of the document itself and of another one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("e"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("other").alias("c"))
     return d.select("doc_id", rank.useful_excerpt(F.col("e"), F.col("c"), F.lit(True)).alias("excerpt"))
 
 
-@query("a6_topped_up")
+@query("a6_topped_up", f"""WITH {SCORED_CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, ordinal) AS n FROM s)
+SELECT query_id, doc_id, ordinal, round(CASE WHEN n = 1 THEN score + ({fixed.GAP} * greatest(0.0, 0.9 - score) + 0.05) ELSE score END, 6) AS score FROM r""")
 def a6_topped_up(spark, sf_dir):
     s = chunk_scores(spark, sf_dir).withColumn("excerpt_score", F.lit(0.9)).withColumn("consensus", F.lit(0.0)).withColumn("document_consensus", F.lit(0.05))
     return rank.topped_up(s).select("query_id", "doc_id", "ordinal", F.round("score", 6).alias("score"))
@@ -420,18 +426,22 @@ def a6_topped_up(spark, sf_dir):
 BUDGET = 3000
 
 
-@query("w10_budget", f"""WITH r AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE length(text) > 0),
+SHARES = f"""WITH r AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE length(text) > 0),
 k AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS c, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY n, turn)),
 s AS (SELECT *, min(CASE WHEN n <= ({BUDGET} - b) // (c - k) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n, turn ROWS UNBOUNDED PRECEDING) AS whole FROM k),
-l AS (SELECT *, {BUDGET} - coalesce(sum(n) FILTER (WHERE whole = 1) OVER (PARTITION BY conv_id), 0) AS left_over, count(*) FILTER (WHERE whole = 0) OVER (PARTITION BY conv_id) AS cut, row_number() OVER (PARTITION BY conv_id, whole ORDER BY turn) - 1 AS i FROM s)
-SELECT conv_id, turn, CAST(CASE WHEN whole = 1 THEN n ELSE left_over // cut + CASE WHEN i < left_over % cut THEN 1 ELSE 0 END END AS BIGINT) AS share FROM l""")
+l AS (SELECT *, {BUDGET} - coalesce(sum(n) FILTER (WHERE whole = 1) OVER (PARTITION BY conv_id), 0) AS left_over, count(*) FILTER (WHERE whole = 0) OVER (PARTITION BY conv_id) AS cut, row_number() OVER (PARTITION BY conv_id, whole ORDER BY turn) - 1 AS i FROM s)"""
+SHARE = "CAST(CASE WHEN whole = 1 THEN n ELSE left_over // cut + CASE WHEN i < left_over % cut THEN 1 ELSE 0 END END AS BIGINT)"
+
+
+@query("w10_budget", f"{SHARES} SELECT conv_id, turn, {SHARE} AS share FROM l")
 def w10_budget(spark, sf_dir):
     """A conversation's turns share a budget of characters."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n")).where("n > 0")
     return budget.shares(c, "conv_id", "n", "turn", BUDGET).select("conv_id", "turn", "share")
 
 
-@query("w10_contents")
+@query("w10_contents", f"""{SHARES}, f AS (SELECT conv_id, turn, n, {SHARE} AS share FROM l), t AS (SELECT f.*, text FROM f JOIN conversations c ON f.conv_id = c.conv_id AND f.turn = c.turn)
+SELECT conv_id, turn, CASE WHEN n <= share THEN text WHEN share = 1 THEN '…' ELSE regexp_replace(substr(text, 1, share - 1), '\\s+$', '') || '…' END AS text, share, n > share AS truncated FROM t WHERE share > 0""")
 def w10_contents(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return budget.allocate(c, "conv_id", "text", "turn", BUDGET)

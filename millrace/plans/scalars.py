@@ -319,7 +319,7 @@ def u11_fetchable(spark, sf_dir):
     return links(spark).select("id", urls.is_fetchable(F.col("url")).alias("fetchable"))
 
 
-@query("u13_url_dates", "WITH " + L_SQL + r" SELECT id, CASE WHEN id = 2 THEN 2024 * 372 + 4 * 31 + 5 END AS url_date FROM l WHERE regexp_matches(url, '^https?://[a-z]')")
+@query("u13_url_dates", "WITH " + L_SQL + r", m AS (SELECT id, regexp_extract(url, '^https?://[^/]+/(?:.*/)?([12][0-9]{3})/([0-9]{1,2})/([0-9]{1,2})(?:/|$)', ['y', 'm', 'd']) AS x FROM l WHERE regexp_matches(url, '^https?://[a-z]')) SELECT id, CASE WHEN x.y <> '' AND try_cast(x.y || '-' || lpad(x.m, 2, '0') || '-' || lpad(x.d, 2, '0') AS DATE) IS NOT NULL THEN try_cast(x.y AS INT) * 372 + (try_cast(x.m AS INT) - 1) * 31 + try_cast(x.d AS INT) - 1 END AS url_date FROM m")
 def u13_url_dates(spark, sf_dir):
     return links(spark).where(F.col("url").rlike("^https?://[a-z]")).select("id", dates.url_date_key(urls.path(F.col("url"))).alias("url_date"))
 

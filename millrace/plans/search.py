@@ -36,13 +36,14 @@ def search(queries: DataFrame, docs: DataFrame, num_results: int = fixed.DEFAULT
     scores = evidence.coverage(weighted, hits)
     flags = docs.select("doc_id", F.coalesce("source_priority", F.lit(False)).alias("source_priority"), F.coalesce("upstream_consensus", F.lit(False)).alias("upstream_consensus"), F.coalesce("dense", F.lit(0.0)).alias("dense"))
     q = Window.partitionBy("query_id")
-    pool = scores.withColumn("pos", F.row_number().over(q.orderBy(F.desc("score"), "doc_id")) - 1).where(F.col("pos") < fixed.POOL)
+    place = F.row_number().over(q.orderBy(F.desc("score"), "doc_id"))  # a limit on the rank itself is applied before the shuffle too
+    pool = scores.withColumn("place", place).where(F.col("place") <= fixed.POOL).withColumn("pos", F.col("place") - 1).drop("place")
     pool = pool.join(flags, "doc_id").withColumn("score", F.col("dense") + F.col("score"))
-    short = rank.shortlist(pool, num_results).select("query_id", "doc_id", "selected", "pos")
-    chosen = docs.join(F.broadcast(short), "doc_id")  # num_results rows per query
+    short = evidence.small(rank.shortlist(pool, num_results).select("query_id", "doc_id", "selected", "pos"))  # num_results rows per query
+    chosen = docs.join(short, "doc_id")
     parts = chunking.chunks(chosen.select("doc_id", "text").dropDuplicates(["doc_id"]))
     chunk_hits = parts.select("doc_id", "ordinal", F.explode(text.term_set(F.col("text"))).alias("term")).join(evidence.small(weighted), "term")
-    chunk_scores = chunk_hits.join(F.broadcast(short), ["query_id", "doc_id"]).groupBy("query_id", "doc_id", "ordinal").agg(F.sum("weight").alias("score"))
+    chunk_scores = chunk_hits.join(short, ["query_id", "doc_id"]).groupBy("query_id", "doc_id", "ordinal").agg(F.sum("weight").alias("score"))
     best = rank.best_chunks(chunk_scores).join(parts.select("doc_id", "ordinal", "start", "end"), ["doc_id", "ordinal"])
     keyed = best.select(F.struct("query_id", "doc_id").alias("doc_id"), "start", "end", F.col("selected").alias("priority"))
     bodies = chosen.select(F.struct("query_id", "doc_id").alias("doc_id"), "text")
