@@ -25,7 +25,8 @@ buckets.  Links are found without pairing whole buckets:
 Every pair that is found is verified on whole documents.  Components of the verified links are the classes.
 
 Defined cases: texts without words are equal if they are the same string (null counts as empty); texts of
-fewer than ``RUN`` words have one element; repeated rows are copies; the class of a document is the smallest id
+fewer than ``RUN`` words have one element; very long texts are compared whole; among central members of equal company the
+smallest key is taken, which changes no class; repeated rows are copies; the class of a document is the smallest id
 in it (null only if all ids are); an empty table gives an empty result; further columns are ignored by
 ``classes`` and kept by ``representatives``.
 """

@@ -15,8 +15,8 @@ Pack format: b"MRPACK1\\n", blocks (zstd, raw little-endian ids of ``width`` byt
 width, blocks [offset, bytes], chunks [digest, block, first id, ids]), 8 bytes length of the index, b"MRPACKE\\n".
 
 Defined cases: a null or empty text has the end id only; null ids come first; repeated rows are documents
-of their own, in any order among equals; strings of special tokens in a text are ordinary text; an empty
-table gives an empty result; further columns are ignored.
+of their own, in any order among equals; strings of special tokens in a text are ordinary text; very long texts are
+encoded in slices and stored in chunks; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

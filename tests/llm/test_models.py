@@ -252,3 +252,43 @@ def test_windows_of_words():
     for _, w in tokens.pieces(pa.array(["a b c d e f", "a b c d e", "a b", "", "b a"])):
         h, first = tokens.windows(w, 5)
         assert np.diff(first).tolist() == [2, 1, 1, 0, 1] and h[0] == h[2] and h[3] != h[4]
+
+
+def test_scores_against_plain_recursions(spark):
+    """Every document's score again, one word after the other, from the chain's weights."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))
+    bad = ["vileword", "nastyness", "grossthing"]
+    docs, labels = [], []
+    for i in range(240):
+        text = [word() for _ in range(rng.randrange(5, 40))]
+        if i % 4 == 0:
+            for _ in range(3):
+                text[rng.randrange(len(text))] = rng.choice(bad)
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    docs += [(900, None), (901, ""), (902, "?!"), (903, " ".join(word() for _ in range(3000)) + " vileword")]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    chain = toxicity.fit(df, lab)
+    got = {r.doc_id: r for r in toxicity.tag(df, chain).collect()}
+    weights = dict(zip(chain.keys.tolist(), chain.weights.tolist(), strict=True))
+    for i, t in docs:
+        words = (t or "").replace("?!", "").split()
+        scores = []
+        for w in words:
+            for _, x in tokens.pieces(pa.array([w])):
+                scores.append(min(20, max(-20, chain.bias + sum(weights.get(int(f[0]), 0.0) for f in toxicity.features(x)))))
+        m, n = np.exp(chain.move), len(scores)
+        fore, back = np.zeros((n, 2)), np.ones((n, 2))
+        for k, s in enumerate(scores):
+            fore[k] = ([1, math.exp(chain.start)] if not k else fore[k - 1] @ m) * np.array([1, math.exp(s)])
+            fore[k] /= fore[k].sum()
+        for k in range(n - 2, -1, -1):
+            back[k] = m @ (np.array([1, math.exp(scores[k + 1])]) * back[k + 1])
+            back[k] /= back[k].sum()
+        p = (fore * back)[:, 1] / (fore * back).sum(1) if n else np.zeros(0)
+        x = [math.log1p(p.sum()), math.log1p(100 * p.sum() / max(1, n)), p.max() if n else 0.0]
+        want = 1 / (1 + math.exp(-min(30, max(-30, float(np.dot(x, chain.curve[:-1]) + chain.curve[-1])))))
+        assert got[i].score == pytest.approx(want, abs=1e-4) and got[i].predicted == int(got[i].score >= toxicity.THRESHOLD)
+    held = [got[i] for i, _ in labels if got[i].held_out]
+    assert len(held) > 20 and sum((r.predicted == 1) == (r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held)

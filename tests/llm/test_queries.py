@@ -82,6 +82,27 @@ def test_pipeline(spark, duck):
     assert sorted(r.doc_id for r in five) == sorted(ids(four))
 
 
+def test_pipeline_on_strange_rows(spark, tmp_path):
+    """Null and repeated ids, null and empty texts and sources, ties, an empty table: each stage has a result."""
+    words = "the quick brown fox jumps over a lazy dog near some river bank while birds sing".split()
+    good = [(i, " ".join(words[(i * 3 + k * (1 + i % 5)) % len(words)] + str((i * k) % 7) for k in range(60)), "en", f"s{i % 3}" if i % 4 else None) for i in range(40)]
+    docs = [*good, (None, good[1][1], "en", "s1"), (5, good[5][1], "en", "s2"), (100, None, None, None), (101, "", "en", "s1"), (102, good[2][1] + " " + "a passage of the benchmark that must not be learned by any model at all here", "en", "s2")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    for name, rows_ in (("some", docs), ("none", [])):
+        sf = f"{tmp_path}/{name}"
+        spark.createDataFrame([(*r, len(r[1] or "")) for r in rows_], schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)] + [(None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, "passage of the benchmark that must not be learned by any model at all"), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, sf).collect()
+        ids = {r.doc_id for r in out}
+        assert ids <= {r[0] for r in rows_} and not ids & {100, 101, 102}
+        assert len(ids) >= 0.5 * len({r[0] for r in good if rows_})
+        at = 0
+        for r in sorted(out, key=lambda r: r.start):
+            assert r.start == at and r.n_tokens > 1
+            at += r.n_tokens
+
+
 def test_quality_rejects_repeated_words_too(spark, duck):
     sf = SF.replace("sf0.001", "sf0.01")
     kept = {r.doc_id: r.keep for r in queries.queries()["op3_quality"](spark, sf).collect()}
