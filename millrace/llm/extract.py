@@ -11,8 +11,11 @@ the content lines of the page.  They alone decide where the article is:
 * else the regions are runs of lines of prose around content lines, and what lies between the first and last of these.
 
 A region's lines of prose are its text: headings and short paragraphs belong to it, lines that are mostly links do not
-unless they are content lines.  Lines inside elements whose names or roles say that they are no article text
-(navigation, headers, footers, asides, forms, notices, adverts, comments) never count.
+unless they are content lines.  Lines inside elements whose tags, roles or names say that they are no article text
+(navigation, headers, footers, asides, forms, notices, adverts, comments) do not count, unless the element is what the
+page is about: what a ``WRAPS`` share of the page's prose stands in is a layout or a form around it, whatever its name.
+A name is a whole word of a class or an id: all its parts are ``NAMES`` or ``PLAIN`` words, so "site-footer" is one and
+"with-sidebar", "social-science" and "legal-news" are none.
 
 Defined cases: null and empty pages, pages without text and pages with boilerplate only give an empty
 text; where all ratios are equal all lines are content; unclosed and stray tags are tolerated; very long lines are
@@ -37,38 +40,47 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no text of the page, and elements whose text is no article.
 SILENT = frozenset("script style head title noscript template svg math iframe object select textarea button canvas audio video".split())
-ASIDE = frozenset("nav footer aside form menu dialog".split())
+ASIDE = frozenset("nav footer aside menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tions?)?|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|widgets?|footer|masthead|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|toolbar|skip-link|copyright|legal)(?:$|[-_\s])",
-    re.I,
+#: Words of classes and ids of boilerplate, words that may stand beside them in one name, and names of reader comments.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer masthead share sharing social related recommended comment comments disqus replies respond pagination pager toolbar copyright legal".split()
 )
+PLAIN = frozenset("area bar block body bottom box buttons container content form global group header holder icons inner items left links list main message outer page panel posts primary right row secondary section signup site slot stories text thread title top unit wrap wrapper".split())
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+#: Share of the page's prose that makes a named element a wrapper, and lines of prose that it needs without a mark.
+WRAPS, WRAPPED = 0.5, 3
+FIXED, NAMED, REPLIES = range(3)
 #: The paragraphs and list items that an unclosed one of the same kind ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA, ROUNDS = 1.0, 20
 #: Shares of the content lines' text that marked articles, or else a container, must hold.
 MARKED, HELD = 0.25, 0.75
 CONTAINERS = frozenset("article center div main section td".split())
-SPACE = re.compile(r"\s+")
+SPACE, PARTS = re.compile(r"\s+"), re.compile(r"[-_:]+|(?<=[a-z])\d+$")
 
 
 class Lines(HTMLParser):
-    """Collects lines as [text, tags, characters in links, number of the innermost article (or 0), boilerplate, numbers of the containers]."""
+    """Collects lines as [text, tags, characters in links, number of the innermost article (or 0), numbers of the asides, numbers of the containers].
+
+    ``asides`` has of each element that may be boilerplate its kind, and whether an article and whether a main heading begin in it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
-        self.stack: list[tuple[str, int, int, bool, bool, bool]] = []  # name, silent, aside, article, link, container
-        self.silent = self.aside = self.link = self.count = 0
+        self.stack: list[tuple[str, int, bool, bool, bool, bool]] = []  # name, silent, aside, article, link, container
+        self.silent = self.link = self.count = 0
+        self.asides: list[list] = []
+        self.inside: tuple[int, ...] = ()
         self.articles: list[int] = []
         self.containers: tuple[int, ...] = ()
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append([text, self.tags, self.linked, self.articles[-1] if self.articles else 0, self.aside > 0, self.containers])
+            self.lines.append([text, self.tags, self.linked, self.articles[-1] if self.articles else 0, self.inside, self.containers])
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -81,14 +93,19 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         named = dict(attrs) if attrs else {}
-        aside = tag in ASIDE or tag == "header" and not self.articles
-        if named and not aside and tag not in ("html", "body", "article", "main"):
-            words = f"{named.get('class') or ''} {named.get('id') or ''}"
-            aside = bool((named.get("role") or "").lower() in ROLES or "hidden" in named or (named.get("aria-hidden") or "") == "true" or words != " " and NAMES.search(words))
+        kind = FIXED if tag in ASIDE or tag == "header" and not self.articles else NAMED if tag == "form" else None
+        if named and kind is None and tag not in ("html", "body", "article", "main"):
+            kind = self.judged(named)
         self.silent += tag in SILENT
-        self.aside += aside
         # A comment may be marked up as an article inside the article: it stays part of its boilerplate.
         article = tag in ("article", "main") or named.get("itemprop") == "articleBody" or (named.get("role") or "") in ("main", "article")
+        for i in self.inside:
+            self.asides[i][1] |= article
+            self.asides[i][2] |= tag in ("h1", "main")
+        if kind is not None:
+            self.inside += (len(self.asides),)
+            self.asides.append([kind, False, False])
+        aside = kind is not None
         container = article or tag in CONTAINERS
         if container:
             self.count += 1
@@ -98,6 +115,20 @@ class Lines(HTMLParser):
         self.link += tag == "a"
         self.stack.append((tag, tag in SILENT, aside, article, tag == "a", container))
 
+    @staticmethod
+    def judged(named: dict) -> int | None:
+        """What an element's attributes say: boilerplate for sure, by its name, by the name of comments, or nothing."""
+        if "hidden" in named or named.get("aria-hidden") == "true":
+            return FIXED
+        if (named.get("role") or "").lower() in ROLES:
+            return FIXED
+        for word in f"{named.get('class') or ''} {named.get('id') or ''}".lower().split():
+            parts = [x for x in PARTS.split(word) if x]
+            names = NAMES.intersection(parts)
+            if names and NAMES.union(PLAIN).issuperset(parts):
+                return REPLIES if names & COMMENTS else NAMED
+        return None
+
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCKS:
@@ -106,7 +137,8 @@ class Lines(HTMLParser):
     def pop(self, at: int) -> None:
         for _, silent, aside, article, link, container in reversed(self.stack[at:]):
             self.silent -= silent
-            self.aside -= aside
+            if aside:
+                self.inside = self.inside[:-1]
             self.link -= link
             if article:
                 self.articles.pop()
@@ -182,6 +214,30 @@ def grown(seeds: np.ndarray, prose: np.ndarray) -> np.ndarray:
     return out
 
 
+def boilerplate(parser: Lines) -> set[int]:
+    """Numbers of the elements that are boilerplate; those that wrap most of the page's prose are not.
+
+    Tags, roles and comments are judged by the whole page; what remains is what names are judged by, so that long
+    comments beside a layout do not make it small.  An element needs a mark of content in it: an article or a main
+    heading (for comments and fixed ones a main heading), or, for names only, some lines of prose."""
+    rows = [(x[4], len(x[0]) - x[2]) for x in parser.lines if 2 * x[2] < len(x[0])]
+    out = set(range(len(parser.asides)))
+    for kinds in ((FIXED, REPLIES), (NAMED,)):
+        others = {i for i in out if parser.asides[i][0] not in kinds} if kinds == (NAMED,) else set()
+        mass, count, total = [0] * len(parser.asides), [0] * len(parser.asides), 0
+        for inside, m in rows:
+            if others.isdisjoint(inside):
+                total += m
+                for i in inside:
+                    mass[i] += m
+                    count[i] += 1
+        for i, (kind, article, heading) in enumerate(parser.asides):
+            marked = heading or kind == NAMED and (article or count[i] >= WRAPPED)
+            if kind in kinds and marked and mass[i] >= max(1, WRAPS * total):
+                out.discard(i)
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The text of a page's article, blocks joined by one space."""
     if not html:
@@ -190,7 +246,8 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[4]]
+    drop = boilerplate(parser) if parser.asides else set()
+    lines = [x for x in parser.lines if drop.isdisjoint(x[4])]
     if not lines:
         return ""
     size, linked, article = (np.array([f(x) for x in lines]) for f in (lambda x: len(x[0]), lambda x: x[2], lambda x: x[3]))

@@ -15,7 +15,7 @@ Pack format: b"MRPACK1\\n", blocks (zstd, raw little-endian ids of ``width`` byt
 width, blocks [offset, bytes], chunks [digest, block, first id, ids]), 8 bytes length of the index, b"MRPACKE\\n".
 
 Defined cases: a null or empty text has the end id only; null ids come first; repeated rows are documents
-of their own, in any order among equals; strings of special tokens in a text are ordinary text; very long texts are
+of their own, in any order among equals; the string of a special token in a text is that token, as the library has it; very long texts are
 encoded in slices and stored in chunks; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -72,7 +72,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the library takes for special tokens; texts with one go through it whole.
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)").search
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
         self.known: dict[str, bytes] = {}
@@ -181,7 +182,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with the end id, and where each begins and the last ends."""
-        plain = [not any(b in t for b in BLANKS) and (not SUSPECT.search(t) or not OTHER.search(t) and not ODD.search(t)) for t in texts]
+        plain = [not self.special(t) and not any(b in t for b in BLANKS) and (not SUSPECT.search(t) or not OTHER.search(t) and not ODD.search(t)) for t in texts]
         if all(plain):
             return self.encode_plain(texts)
         ids, bounds = self.encode_plain([t for t, p in zip(texts, plain, strict=True) if p])
@@ -202,7 +203,7 @@ class Encoder:
         end, out = np.array([END_ID], self.dtype).tobytes(), []
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        cut = [None if OTHER.search(t) else PIECES.findall(t) for t in texts]
+        cut = [None if self.special(t) or OTHER.search(t) else PIECES.findall(t) for t in texts]
         new = set().union(*filter(None, cut)).difference(self.known)
         if new:
             self.learn(new)

@@ -320,6 +320,43 @@ def test_pages_against_patterns(monkeypatch):
     assert sum(extract.main_text(p) != x for p, x in zip(plain, found, strict=True)) >= 0.9 * len(pages)
 
 
+WRAPPERS = [
+    ('<div class="layout with-sidebar">', "</div>"),
+    ('<div class="no-sidebar">', "</div>"),
+    ('<div id="social-science">', "</div>"),
+    ('<form id="aspnetForm">', "</form>"),
+    ('<div class="sidebar right">', "</div>"),
+    ('<div class="page social">', "</div>"),
+]
+
+
+def test_names_of_wrappers_lose_no_article():
+    paras = "".join(f"<p>Paragraph {k} has a good many words and no markup at all in it.</p>" for k in range(12))
+    want = re.sub(r"</?p>", " ", paras).replace("  ", " ").strip()
+    for begin, end in [*WRAPPERS, ('<div class="page">', "</div>")]:
+        assert extract.main_text(f"<body>{begin}<article>{paras}</article>{end}</body>") == want
+        assert extract.main_text(f"<body>{begin}<nav>menu</nav><article>{paras}</article><footer>foot</footer>{end}</body>") == want
+        assert extract.main_text(f"<body><nav>menu</nav>{begin}{paras}{end}<footer>foot</footer></body>") == want
+    assert extract.main_text(f'<article><section class="legal-news">{paras}</section></article>') == want
+    # Comments that are longer than the article stay out, beside a layout that is named like a sidebar, and in it.
+    replies = '<section class="comments">' + "<div class='reply'><p>" + "I have read this and think quite otherwise. " * 30 + "</p></div>" * 3 + "</section>"
+    for page in (f'<div class="sidebar-right"><article>{paras}</article></div>{replies}', f'<div class="sidebar-right"><article>{paras}</article>{replies}</div>'):
+        assert extract.main_text(page) == want
+    # A page of boilerplate only has no text.
+    assert extract.main_text('<div class="cookie-notice"><p>We use cookies.</p></div><form>name<input></form><nav>menu</nav>') == ""
+    # Composite names are names where their other words say nothing.
+    for name in ("site-footer", "comments-area", "newsletter-signup", "related_posts", "ad1"):
+        assert extract.main_text(f'<div>{paras}<div class="{name}">Some line of text.</div></div>') == want
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test tables")
+@pytest.mark.parametrize(("begin", "end"), WRAPPERS)
+def test_wrapped_pages_give_the_same_text(begin, end):
+    for page in pq.read_table(SF)["html"].to_pylist():
+        wrapped = re.sub(r"</body>", end + "</body>", re.sub(r"(<body[^>]*>)", rf"\1{begin}", page))
+        assert wrapped != page and extract.main_text(wrapped) == extract.main_text(page)
+
+
 def test_extract_rows(spark):
     rows = spark.createDataFrame([(1, "u", ARTICLE, 1), (None, None, None, 2), (1, "u", ARTICLE, 3)], "page_id long, url string, html string, text int")
     got = extract.extract(rows).collect()

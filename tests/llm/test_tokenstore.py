@@ -10,7 +10,7 @@ from millrace.llm import tokenstore
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-TEXTS = ["", None, "Hello world, it's  a\n\n test ''s !!  ??\n", "<|endoftext|> x", "日本語 text", "a\x1cb\x85c   d  e", "x²½ 12³ª", "“q”…—  ‘z’", "Ωmega", " leading", "Hello " * 4000, "Hello " * 4000, "é à ü " * 50]
+TEXTS = ["", None, "hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a  b<|endoftext|>日", "<|endoftext |>", "Hello world, it's  a\n\n test ''s !!  ??\n", "<|endoftext|> x", "日本語 text", "a\x1cb\x85c   d  e", "x²½ 12³ª", "“q”…—  ‘z’", "Ωmega", " leading", "Hello " * 4000, "Hello " * 4000, "é à ü " * 50]
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,6 @@ def want():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(tokenstore.TOKENIZER))
-    t.encode_special_tokens = True
     return [[*e.ids, tokenstore.END_ID] for e in t.encode_batch([x or "" for x in TEXTS], add_special_tokens=False)]
 
 
@@ -29,6 +28,11 @@ def test_encoder(want):
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
 
 
+def test_special_tokens_as_the_library_has_them(want):
+    assert [len(x) for t, x in zip(TEXTS, want, strict=True) if t == "hello <|endoftext|> world"] == [5]
+    assert 50256 in want[TEXTS.index("<|endoftext|> x")] and 50256 not in want[TEXTS.index("<|endoftext |>")]
+
+
 def thue_morse(n):
     """Two words of 2^n letters that polynomial hashes modulo 2^64 cannot tell apart."""
     bits = [bin(i).count("1") % 2 for i in range(1 << n)]
