@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, extract, langid, mixing, neardup, quality, tokenstore, toxicity, warc, webp
+from millrace.llm import centroids, decontaminate, extract, langid, middle, mixing, neardup, quality, tokenstore, toxicity, vecdup, warc, webp
 
 
 def queries():
@@ -17,8 +17,17 @@ def queries():
         "op8_neardup": neardup.op8_neardup,
         "op9_langid": langid.op9_langid,
         "op10_webp": webp.op10_webp,
+        "op11_middle": middle.op11_middle,
+        "op12_vectors": vecdup.op12_vectors,
+        "op13_lloyd": centroids.op13_lloyd,
     }
 
 
 def oracle_sql():
-    return {"op2_warc": warc.OP2_SQL, "op5_mixing": mixing.OP5_SQL}
+    return {
+        "op2_warc": warc.OP2_SQL,
+        "op5_mixing": mixing.OP5_SQL,
+        "op11_middle": middle.OP11_SQL,
+        "op12_vectors": vecdup.OP12_SQL,
+        "op13_lloyd": centroids.OP13_SQL,
+    }
