@@ -407,7 +407,7 @@ def op12_vectors(spark, sf_dir: str) -> DataFrame:
     return links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-OP12_SQL = f"""WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+OP12_SQL = f"""WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: coalesce(CAST(x AS DOUBLE), 0)) AS e,
   label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fit FROM embeddings),
 f AS (SELECT rid, label, e, len(e) AS n, sqrt(list_inner_product(e, e)) AS norm FROM (SELECT rid, label, CASE WHEN fit THEN e END AS e FROM v) WHERE e IS NOT NULL),
 p AS (SELECT x.rid AS a, y.rid AS b FROM f x JOIN f y ON x.label = y.label AND x.n = y.n AND x.rid <> y.rid AND list_inner_product(x.e, y.e) / (x.norm * y.norm) >= {NEAR}),
