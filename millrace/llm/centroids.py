@@ -103,12 +103,11 @@ def lloyd(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = SEED
                 yield pd.DataFrame({"vec_id": frame["vec_id"], "cluster": nearest.astype(np.int32), "distance": distance})
 
     placed = common.materialize(rows.mapInPandas(place, "vec_id long, cluster int, distance long"), "lloyd")
-    sums = placed.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    total = placed.agg(F.sum("distance").alias("inertia"))
-    names = [(i, c.tolist(), hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()) for i, c in enumerate(centroids)]
-    names = spark.createDataFrame(names, "cluster int, centroid array<long>, centroid_sha256 string")
-    # One row for each centroid, at most K.
-    about = sums.join(F.broadcast(names), "cluster").crossJoin(F.broadcast(total))
+    # One row for each centroid, at most ``k``.
+    sums = {r.cluster: r.s for r in placed.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
+    total = sum(sums.values())
+    about = [(i, sums[i], total, c.tolist(), hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()) for i, c in enumerate(centroids) if i in sums]
+    about = spark.createDataFrame(about, "cluster int, cluster_inertia long, inertia long, centroid array<long>, centroid_sha256 string")
     return placed.join(F.broadcast(about), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid", "centroid_sha256")
 
 
