@@ -40,7 +40,11 @@ def matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def weights(terms: DataFrame, hits: DataFrame, n: Column | int) -> DataFrame:
     """(query_id, pos, term, df, weight, decisive): ln((n + 1) / (df + 1)) + 1; the two rarest telling terms decide."""
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return weighted(terms, hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n)
+
+
+def weighted(terms: DataFrame, df: DataFrame, n: Column | int) -> DataFrame:
+    """``weights`` from document frequencies (term, df)."""
     n = n if isinstance(n, Column) else F.lit(n)
     t = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     t = t.withColumn("weight", F.log((n + 1) / (F.col("df") + 1)) + 1)
@@ -49,10 +53,10 @@ def weights(terms: DataFrame, hits: DataFrame, n: Column | int) -> DataFrame:
     return t.withColumn("telling", telling).withColumn("decisive", F.col("telling") & (rank <= 2)).select("query_id", "pos", "term", "df", "weight", "decisive")
 
 
-def coverage(weighted: DataFrame, hits: DataFrame) -> DataFrame:
+def coverage(found_weights: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): share of the weight that a document matches; decisive terms count for 40 %."""
-    totals = weighted.groupBy("query_id").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("decisive"), F.col("weight"))).alias("total_decisive"))
-    found = hits.join(small(weighted), "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("got"), F.sum(F.when(F.col("decisive"), F.col("weight")).otherwise(0.0)).alias("got_decisive"))
+    totals = found_weights.groupBy("query_id").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("decisive"), F.col("weight"))).alias("total_decisive"))
+    found = hits.join(small(found_weights), "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("got"), F.sum(F.when(F.col("decisive"), F.col("weight")).otherwise(0.0)).alias("got_decisive"))
     share = F.col("got") / F.col("total")
     d = fixed.DECISIVE_SHARE
     blend = F.when(F.col("total_decisive").isNull(), share).otherwise((1 - d) * share + d * F.col("got_decisive") / F.col("total_decisive"))

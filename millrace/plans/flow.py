@@ -10,7 +10,7 @@ from millrace.functions import embed, encoder, fixed
 from millrace.operators import cache, dedup
 from millrace.plans import search
 from millrace.plans.registry import query, table
-from millrace.sources import pdf, scans, sinks
+from millrace.sources import markdown, pdf, scans, sinks
 
 ANSWER = json.dumps(
     {
@@ -100,19 +100,35 @@ def s16_scripts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(scans.without_scripts(F.col("html"))).alias("n_chars"))
 
 
-@query("s15_readable")
+#: The article's letters by its marks alone; Markdown's signs and white space do not count.
+ARTICLE = r"regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+LETTERS = ARTICLE
+for pattern, to in ((r"(?s)<!--.*?-->", ""), ("<[^>]*>", ""), ("&nbsp;", ""), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "\'\'"), ("&#39;", "\'\'"), ("&amp;", "&"), (r"[\s*#`]+", "")):
+    LETTERS = f"regexp_replace({LETTERS}, '{pattern}', '{to}', 'g')"
+
+
+@query("s15_readable", f"SELECT page_id, md5({LETTERS}) AS letters, CAST(length({LETTERS}) AS INT) AS n_letters, false AS shell FROM pages")
 def s15_readable(spark, sf_dir):
-    """Text of pages in SQL, and whether a page is only a script's frame."""
-    content = scans.readable(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", content.alias("content")).withColumn("shell", scans.is_shell(F.col("content")))
+    """The readable content of pages as Markdown, and whether a page is only a script's frame."""
+    found = markdown.extracted(table(spark, sf_dir, "pages"))
+    letters = F.regexp_replace("content", r"[\s*#`]+", "")
+    return found.select("page_id", F.md5(letters.cast("binary")).alias("letters"), F.length(letters).alias("n_letters"), scans.is_shell(F.col("content")).alias("shell"))
+
+
+@query("s15_markdown")
+def s15_markdown(spark, sf_dir):
+    """The Markdown itself."""
+    return markdown.extracted(table(spark, sf_dir, "pages"))
 
 
-@query("c3_resolved")
+@query("c3_resolved", f"""WITH k AS (SELECT page_id, url, CAST(length(regexp_extract(html, '(?s)<article>(.*)</article>', 1)) AS BIGINT) AS n FROM pages)
+SELECT page_id AS pos, CASE WHEN n > page_id % 5 * 300 THEN url END AS url, NOT n > page_id % 5 * 300 AS from_snippet, CASE WHEN n > page_id % 5 * 300 THEN n ELSE page_id % 5 * 300 END AS n_chars FROM k""")
 def c3_resolved(spark, sf_dir):
-    """Candidates take the first page that is longer than their snippet."""
-    pages = table(spark, sf_dir, "pages").select("url", scans.readable(F.col("html")).alias("content"))
+    """Candidates take the first page that is longer than their snippet (here the marked article as it stands)."""
+    article = F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
+    pages = table(spark, sf_dir, "pages").select("url", article.alias("content"))
     c = table(spark, sf_dir, "pages").select(F.lit(1).alias("query_id"), F.col("page_id").alias("pos"), F.repeat(F.lit("x"), (F.col("page_id") % 5 * 300).cast("int")).alias("snippet"), F.array("url").alias("fetch_urls"))
-    return scans.resolved(c, pages).select("pos", "url", "from_snippet", F.length("content").alias("n_chars"))
+    return scans.resolved(c, pages).select("pos", "url", "from_snippet", F.length("content").cast("long").alias("n_chars"))
 
 
 NO_SCRIPTS = r"regexp_replace(html, '(?is)<script(>|[/\s][^>]*>).*?(</script[^>]*>|\z)', '', 'g')"

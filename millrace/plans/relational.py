@@ -197,17 +197,6 @@ def j1_reattach(spark, sf_dir):
     return a.join(meta, ["query_id", "url"], "left").select("query_id", "doc_id", F.coalesce(F.col("n") > 0, F.lit(False)).alias("known"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("j2_entities")
-def j2_entities(spark, sf_dir):
-    """Pages of a language merged by URL key or equivalent title, in page order."""
-    p = table(spark, sf_dir, "pages").withColumn("lang", F.regexp_extract("html", 'lang="([a-z]+)"', 1))
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    key = urls.canonical(urls.parse(F.col("url")))
-    pos = F.row_number().over(Window.partitionBy("lang").orderBy("page_id")) - 1
-    rows = p.select(F.crc32(F.col("lang").cast("binary")).alias("query_id"), pos.alias("pos"), "url", title.alias("title"), F.lit(None).cast("string").alias("date"), F.lit("").alias("snippet"), F.lit(None).cast("string").alias("doi"), F.array(key).alias("url_keys"), text.title_key(title).alias("title_key"), (F.col("page_id") % 10 == 0).alias("source_priority"))
-    return dedup.entities(rows)
-
-
 @query("j4_replies")
 def j4_replies(spark, sf_dir):
     rows = [(1, "a.org", "Slow parser in release builds", False), (2, "a.org", "Re: Slow parser in release builds", True), (3, "b.org", "Re: Slow parser in release builds", True), (4, "a.org", "Comment on: parser in release builds", True), (5, "a.org", "Other", False)]
