@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed
-from millrace.functions.text import NOT_WORD
+from millrace.functions.text import NOT_WORD, let
 
 LAST = 2**31
 
@@ -37,10 +37,14 @@ def plain_tokens(x: Column) -> Column:
 
 
 def first_of(items: Column, width: int, f) -> Column:
-    """First value that is not null of ``f`` over windows of ``width`` items."""
-    at = F.sequence(F.lit(0), F.greatest(F.size(items) - width, F.lit(0)))
-    found = F.transform(F.when(F.size(items) >= width, at).otherwise(F.array().cast("array<int>")), lambda i: f(*[F.get(items, i + k) for k in range(width)]))
-    return F.get(F.filter(found, lambda v: v.isNotNull()), 0)
+    """First value that is not null of ``f`` over windows of ``width`` items; windows without a digit have none."""
+
+    def of(ws: Column) -> Column:
+        at = F.when(F.size(ws) >= width, F.sequence(F.lit(0), F.greatest(F.size(ws) - width, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        dated = F.filter(at, lambda i: F.array_join(F.slice(ws, i + 1, width), " ").rlike("[0-9]"))
+        return F.get(F.filter(F.transform(dated, lambda i: f(*[F.get(ws, i + k) for k in range(width)])), lambda v: v.isNotNull()), 0)
+
+    return let(items, of)
 
 
 def query_date_key(query: Column) -> Column:

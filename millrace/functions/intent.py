@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed
-from millrace.functions.text import NOT_WORD, ascii_lower, has_any, pairs, split_space, strip, tokens, words_of
+from millrace.functions.text import let, NOT_WORD, ascii_lower, has_any, pairs, split_space, strip, tokens, words_of
 
 EDGE = r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$"
 
@@ -255,7 +255,12 @@ def percent_context(query: Column) -> Column:
 
 def percentages(x: Column, relations: Column, topics: Column) -> Column:
     """Distinct percentages (times 1000, whole) near a relation (six words) and a topic (fourteen words)."""
-    ws = split_space(x)
+    return let(F.struct(split_space(x).alias("words"), relations.alias("relations"), topics.alias("topics")), stated)
+
+
+def stated(given: Column) -> Column:
+    """``percentages`` of words, with what is computed once bound to a name."""
+    ws, relations, topics = given["words"], given["relations"], given["topics"]
     around = lambda i, n: F.flatten(F.transform(F.slice(ws, F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n)) + n + 1), tokens))
 
     def fact(i: Column) -> Column:
@@ -268,7 +273,8 @@ def percentages(x: Column, relations: Column, topics: Column) -> Column:
         related = (F.size(relations) == 0) | F.arrays_overlap(near, relations)
         topical = (F.size(topics) == 0) | F.arrays_overlap(wide, topics)
         deposit = F.array_contains(near, "down") & F.array_contains(near, "payment") & ~F.array_contains(topics, "payment")
-        return F.when((F.abs(v) <= 100) & related & topical & ~deposit, F.round(v * 1000).cast("int"))
+        return F.when(v.isNotNull() & (F.abs(v) <= 100), F.when(related & topical & ~deposit, F.round(v * 1000).cast("int")))
 
     at = F.when(F.size(ws) > 0, F.sequence(F.lit(0), F.size(ws) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.filter(F.transform(at, fact), lambda f: f.isNotNull()))
+    numbers = F.filter(at, lambda i: F.get(ws, i).rlike("[0-9]"))
+    return F.array_distinct(F.filter(F.transform(numbers, fact), lambda f: f.isNotNull()))

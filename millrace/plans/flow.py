@@ -2,97 +2,118 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from millrace.functions import embed, encoder, fixed
 from millrace.operators import cache, dedup
-from millrace.plans import search
+from millrace.plans import scalars, search
 from millrace.plans.registry import query, table
 from millrace.sources import markdown, pdf, scans, sinks
 
-ANSWER = json.dumps(
-    {
-        "results": [
-            {"url": "https://www.example.com/a?utm_source=x", "title": "First page", "content": "A snippet", "publishedDate": "2024-05-06T01:02", "score": 1.5, "engines": ["One", "two "]},
-            {"url": "https://example.com/a", "title": "First page again", "score": 2.5, "engines": ["three"], "links": [{"label": "Official website", "url": "https://official.example.org/"}]},
-            {"url": "https://example.net/p", "title": "A paper about things", "doi": "doi:10.1/X", "pdf_url": "https://example.net/p.pdf", "html_url": "https://example.net/p.html", "score": 2.5, "engines": ["a", "b"]},
-            {"url": "ftp://no", "title": "bad"},
-            {"url": "https://map.example.org/x", "links": {"site": "https://x.example.org"}, "address": {"road": "Main Road", "locality": "Town"}, "data": [{"key": "Opening hours", "value": "9-17"}], "unknown": 1},
-        ],
-        "unresponsive_engines": [["slow", "timeout"]],
-    }
-)
-ISSUE = json.dumps({"items": [{"title": "Crash", "html_url": "https://github.com/o/r/issues/1", "created_at": "2024-01-02T03:04:05Z", "body": "x" * 900}, {"title": "bad", "html_url": "nope"}]})
-QUESTION = json.dumps(
-    {
-        "items": [
-            {
-                "question_id": 7,
-                "title": "Why &lt;b&gt;?",
-                "body_markdown": "Because",
-                "link": "https://stackoverflow.com/q/7",
-                "score": 3,
-                "tags": ["x", "y"],
-                "is_answered": True,
-                "owner": {"display_name": "A]B"},
-                "answers": [{"answer_id": 1, "body_markdown": "low", "score": 1}, {"answer_id": 2, "body_markdown": "ok", "score": 0, "is_accepted": True}],
-            }
-        ]
-    }
-)
-
-
-def answers(spark, body):
-    return spark.createDataFrame([(1, body)], "query_id long, body string")
-
-
-@query("s1_metasearch")
+TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+title = lambda: F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+
+
+def answers(spark, sf_dir):
+    """(query_id, body): ten pages as the answer of a metasearch service, with fields that some lack or write otherwise."""
+    k = F.col("page_id")
+    engines = F.transform(F.sequence(F.lit(0), k % 3), lambda i: F.concat(F.lit(" Engine"), i.cast("string")))
+    found = F.struct(
+        k.alias("k"),
+        "url",
+        F.when(k % 7 != 0, title()).alias("title"),
+        F.when(k % 5 != 0, F.concat(F.lit(" "), title(), F.lit(" "))).alias("content"),
+        F.when(k % 4 == 0, F.lit("2024-05-06T01:02")).alias("publishedDate"),
+        F.when(k % 4 == 1, F.lit("2023-01-02")).alias("published_date"),
+        ((k % 3) / 2).alias("score"),
+        engines.alias("engines"),
+        F.when(k % 6 == 0, F.concat(F.lit("doi:10.1/X"), k.cast("string"))).alias("doi"),
+        F.when(k % 8 == 0, F.concat(F.regexp_replace("url", "[?#].*", ""), F.lit(".pdf"))).alias("pdf_url"),
+        k.alias("unknown"),
+    )
+    rows = table(spark, sf_dir, "pages").where("url is not null").groupBy(F.floor(k / 10).alias("query_id")).agg(F.sort_array(F.collect_list(found)).alias("results"))
+    return rows.select("query_id", F.to_json(F.struct("results", F.array(F.array(F.lit("slow"), F.lit("timeout"))).alias("unresponsive_engines"))).alias("body"))
+
+
+@query("s1_metasearch", f"""WITH r AS (SELECT page_id // 10 AS query_id, page_id AS k, url, {TITLE} AS t FROM pages WHERE url IS NOT NULL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k % 3 DESC, k) - 1 AS INT) AS pos, regexp_replace(url, '#.*$', '') AS url, CASE WHEN k % 7 = 0 OR trim(t) = '' THEN 'Untitled' ELSE trim(t) END AS title,
+  CASE k % 4 WHEN 0 THEN '2024-05-06' WHEN 1 THEN '2023-01-02' END AS date, CASE WHEN k % 5 = 0 THEN '' ELSE trim(t) END AS snippet, CASE WHEN k % 6 = 0 THEN '10.1/x' || k END AS doi,
+  CASE WHEN k % 8 = 0 THEN regexp_replace(url, '[?#].*', '') || '.pdf ' ELSE '' END || regexp_replace(url, '#.*$', '') AS places FROM r""")
 def s1_metasearch(spark, sf_dir):
-    """A metasearch answer as ordered candidates."""
-    return scans.hits(scans.metasearch(answers(spark, ANSWER))).select("query_id", "pos", "url", "title", "date", "snippet", "doi", F.array_join("fetch_urls", " ").alias("places"))
+    """Metasearch answers as ordered candidates."""
+    return scans.hits(scans.metasearch(answers(spark, sf_dir))).select("query_id", "pos", "url", "title", "date", "snippet", "doi", F.array_join("fetch_urls", " ").alias("places"))
 
 
-@query("s3_search_urls")
-def s3_search_urls(spark, sf_dir):
-    from millrace.plans.scalars import questions
+_encoded = "replace(replace(replace(url_encode(query), '%20', '+'), '%2A', '*'), '~', '%7E')"
+
 
+@query("s3_search_urls", f"WITH {scalars.Q_SQL} SELECT query_id, 'http://search.example/search?q=' || {_encoded} || '&format=json&language=en&safesearch=0' || CASE WHEN query_id % 2 = 0 THEN '&categories=it' ELSE '' END || CASE WHEN query_id % 5 = 0 THEN '&time_range=year' ELSE '' END AS url FROM q")
+def s3_search_urls(spark, sf_dir):
     none = F.lit(None).cast("string")
-    return questions(spark).select("query_id", scans.search_url("http://search.example", F.col("query"), F.when(F.col("query_id") % 2 == 0, "it"), none, F.when(F.col("query_id") == 4, "year")).alias("url"))
+    q = F.col("query_id")
+    return scalars.questions(spark, sf_dir).select("query_id", scans.search_url("http://search.example", F.col("query"), F.when(q % 2 == 0, "it"), none, F.when(q % 5 == 0, "year")).alias("url"))
 
 
-@query("s5_issues")
+@query("s5_issues", "SELECT doc_id AS query_id, CAST(0 AS INT) AS pos, 'https://github.com/o/r/issues/' || doc_id AS url, 'Issue ' || doc_id AS title, '2024-01-02' AS date, substr(coalesce(text, ''), 1, 800) AS snippet FROM documents WHERE doc_id % 7 <> 0")
 def s5_issues(spark, sf_dir):
-    return scans.issues(answers(spark, ISSUE))
+    """Documents as answers of an issue tracker; every seventh has no address."""
+    k = F.col("doc_id").cast("string")
+    item = F.struct(F.concat(F.lit("Issue "), k).alias("title"), F.when(F.col("doc_id") % 7 == 0, "nope").otherwise(F.concat(F.lit("https://github.com/o/r/issues/"), k)).alias("html_url"), F.lit("2024-01-02T03:04:05Z").alias("created_at"), F.col("text").alias("body"))
+    return scans.issues(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.to_json(F.struct(F.array(item).alias("items"))).alias("body")))
+
+
+def threads(spark, sf_dir):
+    """(query_id, body): conversations as answers of a question-and-answer network: what the assistant says are the answers."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.col("turn")
+    said = F.struct(turn.alias("answer_id"), F.col("text").alias("body_markdown"), (turn % 5).alias("score"), (turn == 3).alias("is_accepted"))
+    t = c.groupBy("conv_id").agg(F.min_by(F.struct("text"), F.when(F.col("role") == "user", turn)).alias("q"), F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", said))).alias("answers"))
+    k = F.col("conv_id")
+    item = F.struct(k.alias("question_id"), F.lit("Why &lt;b&gt;?").alias("title"), F.col("q.text").alias("body_markdown"), F.concat(F.lit("https://stackoverflow.com/q/"), k.cast("string")).alias("link"), (k % 9).alias("score"), F.array(F.lit("x"), F.lit("y")).alias("tags"), (k % 2 == 0).alias("is_answered"), F.struct(F.lit("A]B").alias("display_name")).alias("owner"), "answers")
+    return t.select(k.alias("query_id"), F.to_json(F.struct(F.array(item).alias("items"))).alias("body"))
 
 
-@query("s6_questions")
+_rank = "row_number() OVER (PARTITION BY conv_id ORDER BY turn = 3 DESC, turn % 5 DESC, turn)"
+
+
+@query("s6_questions", rf"""WITH a AS (SELECT conv_id, text, {_rank} AS n, turn % 5 AS s FROM conversations WHERE role = 'assistant'),
+b AS (SELECT conv_id, string_agg(chr(10) || chr(10) || '## Answer' || chr(10) || chr(10) || 'Answer by unknown · score ' || s || ' · <https://stackoverflow.com/q/' || conv_id || '>' || chr(10) || chr(10) || coalesce(text, ''), '' ORDER BY n) AS body FROM a WHERE n <= 10 GROUP BY conv_id),
+q AS (SELECT conv_id, min_by(coalesce(text, ''), turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT q.conv_id AS query_id, CAST(0 AS INT) AS pos, 'https://stackoverflow.com/q/' || q.conv_id AS url, 'Why <b>?' AS title,
+  md5('# Why <b>?' || chr(10) || chr(10) || 'Question by A\]B · score ' || q.conv_id % 9 || ' · <https://stackoverflow.com/q/' || q.conv_id || '>' || chr(10) || chr(10) || q.text || coalesce(body, '')) AS rendered FROM q LEFT JOIN b ON q.conv_id = b.conv_id""")
 def s6_questions(spark, sf_dir):
     """S6, S8, S9."""
-    return scans.questions(answers(spark, QUESTION))
+    return scans.questions(threads(spark, sf_dir)).select("query_id", "pos", "url", "title", F.md5(F.col("rendered").cast("binary")).alias("rendered"))
+
 
+_n = len(scalars.PLACES)
 
-@query("s7_lookups")
+
+@query("s7_lookups", f"""WITH w AS (SELECT CASE page_id % {_n} WHEN 7 THEN 'stackoverflow' ELSE 'unix' END AS site, page_id AS id FROM pages WHERE page_id % {_n} IN (7, 10) AND page_id % 9 <> 0)
+SELECT site, string_agg(id, ';' ORDER BY id) AS ids FROM w GROUP BY site""")
 def s7_lookups(spark, sf_dir):
-    wanted = spark.createDataFrame([(f"https://stackoverflow.com/questions/{i}/t",) for i in (9, 7, 12, 7)] + [("https://unix.stackexchange.com/q/3",), ("https://example.com/",)], "url string")
-    cached = spark.createDataFrame([("stackoverflow", "9")], "site string, id string").withColumn("id", F.col("id").cast("decimal(20,0)"))
-    return scans.lookups(wanted, cached)
+    """Questions that pages link to, in one request for each site; every ninth page's is known."""
+    known = table(spark, sf_dir, "pages").where("page_id % 9 = 0").select(F.explode(F.array(F.lit("stackoverflow"), F.lit("unix"))).alias("site"), F.col("page_id").cast("decimal(20,0)").alias("id"))
+    return scans.lookups(scalars.links(spark, sf_dir), known)
 
 
 @query("s0_discovery")
 def s0_discovery(spark, sf_dir):
     """Primary and side sources of a query in one pool, entities merged."""
-    primary = dedup.entities(scans.hits(scans.metasearch(answers(spark, ANSWER))).drop("engines", "fetch_urls"))
+    primary = dedup.entities(scans.hits(scans.metasearch(answers(spark, sf_dir))).drop("engines", "fetch_urls"))
     return primary.select("query_id", "pos", "url", "title", "date", "snippet", F.array_join("urls", " ").alias("keys"))
 
 
-@query("s12_page_kinds")
+KINDS = ["Text/HTML; charset=utf-8", None, "application/pdf", "image/png", "text/plain; charset=ISO-8859-1", "text/html", "application/xhtml+xml"]
+
+
+@query("s12_page_kinds", r"""SELECT page_id, CASE page_id % 7 WHEN 2 THEN 'pdf' WHEN 3 THEN NULL WHEN 4 THEN 'text' ELSE 'html' END AS kind, md5(CASE WHEN page_id % 7 = 4 THEN regexp_replace(html, '[^\x{00}-\x{FF}]', '?', 'g') ELSE html END) AS text FROM pages WHERE strlen(html) <= 5242880""")
 def s12_page_kinds(spark, sf_dir):
-    """S11 to S14, U12."""
-    rows = [(1, "Text/HTML; charset=utf-8", b"a"), (2, None, "é".encode()), (3, "application/pdf", b"%PDF"), (4, "image/png", b""), (5, "text/plain; charset=ISO-8859-1", b"\xe9"), (6, "text/html", b"\xef\xbb\xbfx"), (7, "text/html", b"\xe9t\xe9")]
-    df = spark.createDataFrame(rows, "id int, content_type string, body binary")
-    return scans.bounded(df).select("id", scans.page_kind(F.col("content_type")).alias("kind"), scans.decoded(F.col("body"), F.col("content_type")).alias("text"))
+    """Pages as bytes of several media types: UTF-8, with a byte order mark, or one byte for a character."""
+    k = F.col("page_id") % 7
+    body = F.when(k == 4, F.encode("html", "ISO-8859-1")).when(k == 5, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("html", "UTF-8"))).otherwise(F.encode("html", "UTF-8"))
+    df = table(spark, sf_dir, "pages").select("page_id", scalars.turn(KINDS, k).alias("content_type"), body.alias("body"), "html").where(F.octet_length("html") <= 5 * 1024 * 1024)
+    return scans.bounded(df, most=5 * 1024 * 1024 + 3).select("page_id", scans.page_kind(F.col("content_type")).alias("kind"), F.md5(scans.decoded(F.col("body"), F.col("content_type")).cast("binary")).alias("text"))
 
 
 @query("s16_scripts", r"SELECT page_id, CAST(length(regexp_replace(html, '(?is)<script(>|[/\s][^>]*>).*?(</script[^>]*>|\z)', '', 'g')) AS INT) AS n_chars FROM pages")
@@ -140,12 +161,13 @@ def k2_extractions(spark, sf_dir):
     return sinks.extractions(table(spark, sf_dir, "pages").withColumn("markdown", scans.without_scripts(F.col("html")))).drop("html", "markdown")
 
 
-@query("k3_failures")
+@query("k3_failures", r"""SELECT sha256(url) AS key, url, CAST(403 + page_id % 2 AS INT) AS status, 'text/html' AS content_type, trim(regexp_replace(substr(html, 1, 2048), '[\x00-\x1f\x7f\s]+', ' ', 'g')) AS preview, 'status' AS error,
+  '{"status":502,"body":"{\"error\":\"backend\",\"message\":\"backend error\"}"}' AS answer FROM pages WHERE page_id % 3 = 0""")
 def k3_failures(spark, sf_dir):
-    """K3, K4, K6, S11."""
-    rows = [("https://a.example/", 403, "text/html", "a\x00b\n\n c", "status"), ("https://b.example/", 200, "text/html", "x", None)]
-    out = sinks.failures(spark.createDataFrame(rows, "url string, status int, content_type string, body string, error string"))
-    return out.withColumn("answer", F.to_json(sinks.error(F.lit("backend"), F.col("error"))))
+    """Every third page as one that could not be fetched."""
+    k = F.col("page_id")
+    fetches = table(spark, sf_dir, "pages").select("url", (403 + k % 2).cast("int").alias("status"), F.lit("text/html").alias("content_type"), F.col("html").alias("body"), F.when(k % 3 == 0, "status").alias("error"))
+    return sinks.failures(fetches).withColumn("answer", F.to_json(sinks.error(F.lit("backend"), F.col("error"))))
 
 
 @query("k1_responses")

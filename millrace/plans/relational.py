@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed, text, urls, vectors
-from millrace.operators import budget, chunking, dedup, dense, evidence, merge, rank
+from millrace.operators import budget, chunking, dedup, dense, evidence, follow, merge, rank
 from millrace.plans import sql
 from millrace.plans.registry import query, table
-from millrace.plans.scalars import CANONICAL, FACTS, HOST, MARKDOWN, REG
+from millrace.plans.scalars import CANONICAL, HOST, QUESTIONS, REG, STATED, TITLE, WEB, stated, turn
 
 #: Questions in the words of the test documents.
 LOOKUPS = [(1, "hewh and onon hahehe outionre"), (2, "queque de aiauxvi elle tion"), (3, "keit ung enheit der lichkeit nicht")]
@@ -61,19 +61,18 @@ def o2_lexical_top(spark, sf_dir):
     return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= fixed.POOL)
 
 
-ADVICE = [
-    (1, "USPSTF 2023 statement. Adults should start a statin. Other text.", "statin", ["uspstf"], 2023),
-    (2, "The Preventive Services Task Force in 2023: statin use; they must wait", "statin", ["uspstf"], 2023),
-    (3, "In 2023 the preventive services task force: consider statin use", "statin", ["uspstf"], 2023),
-    (4, "USPSTF 2022: consider statin use", "statin", ["uspstf"], 2023),
-    (5, "Consider statin use", "statin", [], None),
-]
+#: Statements before the documents' texts: named or not, of the year or not, with an action and the term in one sentence or not.
+ADVICE = ["", "USPSTF 2023 statement. Adults should start a statin. ", "The Preventive Services Task Force in 2023: statin use; they must wait. ", "In 2023 the preventive services task force: consider statin use. ", "USPSTF 2022: consider statin use. ", "Consider statin use. "]
+_p = f"{sql.arr(ADVICE)}[doc_id % {len(ADVICE)} + 1] || coalesce(text, '')"
 
 
-@query("a3_recommendations")
+@query("a3_recommendations", rf"""WITH p AS (SELECT doc_id, {_p} AS p FROM documents), t AS (SELECT doc_id, p, {sql.tokens('p')} AS ts FROM p)
+SELECT doc_id, CAST((list_contains(ts, 'uspstf') OR list_has_all(ts, {sql.arr(fixed.ISSUERS['uspstf'])})) AND list_contains(list_transform(regexp_extract_all(p, '[0-9]+'), lambda d: TRY_CAST(d AS INT)), 2023)
+  AND len(list_filter(regexp_split_to_array(p, '[.!?\n;]'), lambda s: list_contains({sql.tokens('s')}, 'statin') AND list_has_any({sql.tokens('s')}, {sql.arr(fixed.ACTIONS)}))) > 0 AS DOUBLE) AS score FROM t""")
 def a3_recommendations(spark, sf_dir):
-    df = spark.createDataFrame(ADVICE, "id int, passage string, term string, acronyms array<string>, year int")
-    return df.select("id", evidence.recommends(F.col("passage"), F.col("term"), F.col("acronyms"), F.col("year")).alias("score"))
+    """A3: the best sentence of every document, for a term, an issuer and a year."""
+    passage = F.concat(turn(ADVICE, F.col("doc_id") % len(ADVICE)), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", evidence.recommends(passage, F.lit("statin"), text.words_of(["uspstf"]), F.lit(2023)).alias("score"))
 
 
 @query("a4_added_terms", f"WITH d AS (SELECT doc_id, substr(text, 1, 60) AS e, substr(text, 61) AS c FROM documents) SELECT doc_id, len(list_filter(list_distinct({sql.tokens('e')}), lambda t: list_contains(['the', 'and', 'thanea', 'que', 'der'], t) AND NOT list_contains({sql.tokens('c')}, t))) > 0 AS adds FROM d")
@@ -82,15 +81,12 @@ def a4_added_terms(spark, sf_dir):
     return d.select("doc_id", evidence.adds_terms(F.col("e"), F.col("c"), text.words_of(["the", "and", "thanea", "que", "der"])).alias("adds"))
 
 
-@query("a5_numeric_consensus", "WITH " + sql.values("f", ["id", "site", "fact"], [(1, "example.com", 3400), (2, "example.org", 3400), (3, "example.net", 3400), (4, "example.net", 2900), (5, "example.net", 6100)]) + f", s AS (SELECT fact, count(DISTINCT site) AS n FROM f GROUP BY fact HAVING count(DISTINCT site) >= {fixed.NUMERIC_DOMAINS}) SELECT id AS doc_id, max(CAST({fixed.NUMERIC_WEIGHT} * n / (SELECT max(n) FROM s) AS DOUBLE)) AS score FROM f JOIN s ON f.fact = s.fact GROUP BY id")
+@query("a5_numeric_consensus", f"""WITH {STATED}, s AS (SELECT fact, count(DISTINCT source) AS n FROM stated GROUP BY fact HAVING count(DISTINCT source) >= {fixed.NUMERIC_DOMAINS})
+SELECT id AS doc_id, max(CAST({fixed.NUMERIC_WEIGHT} * n / (SELECT max(n) FROM s) AS DOUBLE)) AS score FROM stated JOIN s ON stated.fact = s.fact GROUP BY id""")
 def a5_numeric_consensus(spark, sf_dir):
     """Percentages that three sites or more agree on."""
-    from millrace.functions import intent
-    from millrace.plans.scalars import QUESTIONS
-
-    rows = spark.createDataFrame(FACTS, "id int, host string, passage string").withColumn("c", intent.percent_context(F.lit(QUESTIONS[8][1])))
-    facts = rows.select(F.lit(1).alias("query_id"), F.col("id").alias("doc_id"), urls.registrable(F.col("host")).alias("site"), F.explode(intent.percentages(F.col("passage"), F.col("c.relations"), F.col("c.topics"))).alias("fact"))
-    return evidence.numeric_consensus(facts).select("doc_id", "score")
+    found = stated(spark, sf_dir).select(F.lit(1).alias("query_id"), F.col("id").alias("doc_id"), F.col("source").alias("site"), "fact")
+    return evidence.numeric_consensus(found).select("doc_id", "score")
 
 
 @query("a7_consensus", "WITH o AS (SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_type) AS n FROM events GROUP BY ALL) SELECT user_id AS hit, bool_or(n >= 2) AS consensus FROM o GROUP BY user_id")
@@ -107,27 +103,47 @@ def a8_flag_merge(spark, sf_dir):
     return p.groupBy(urls.registrable(F.col("h")).alias("site")).agg(F.max(F.col("url").startswith("https").cast("int")).cast("boolean").alias("secure"), F.max(F.substring("url", 1, 10)).alias("newest"), F.when(F.max(F.col("url").contains("/en/").cast("int")) == 1, english).alias("first_english"), F.countDistinct("h").alias("hosts"))
 
 
-@query("a9_official_host", f"WITH p AS (SELECT page_id, {REG} AS site, contains(html, 'the ') AS m FROM pages ORDER BY page_id LIMIT 12), g AS (SELECT site, 4 * count(*) FILTER (WHERE m) + count(*) AS score, min(page_id) AS first FROM p GROUP BY site) SELECT site, CAST(score AS BIGINT) AS score FROM g ORDER BY score DESC, first LIMIT 1")
+_host = f"regexp_replace({HOST}, '^www\\.', '')"
+_labels = r"list_transform(string_split(host, '.'), lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')))"
+_inst = "(ends_with(host, '.gov') OR ends_with(host, '.edu') OR ends_with(host, '.int') OR ends_with(host, '.ac.uk'))"
+_telling = f"list_filter({sql.tokens('query')}, lambda t: strlen(t) >= 3 AND NOT regexp_full_match(t, '[0-9]+') AND NOT list_contains({sql.arr(fixed.DISTINCTIVE_STOP)}, t))"
+_brand = "CASE WHEN strlen(regexp_replace(t, '[0-9]+$', '')) >= 3 THEN regexp_replace(t, '[0-9]+$', '') ELSE t END"
+_docs = "(starts_with(host, 'doc.') OR starts_with(host, 'docs.') OR host = 'docs.rs' OR ends_with(host, '.readthedocs.io'))"
+_parts = f"list_transform(string_split(path, '/'), lambda t: {_brand})"
+
+
+@query("a9_official_host", rf"""WITH p AS (SELECT page_id // 12 AS query_id, page_id % 12 AS pos, url, {_host} AS host, {TITLE} AS title, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages WHERE {WEB}),
+q AS (SELECT query_id, min_by('official ' || string_split(host, '.')[-3] || ' ' || title, pos) AS query FROM p GROUP BY query_id),
+t AS (SELECT query_id, {_telling} AS tokens, list_transform({_telling}, lambda t: {_brand}) AS brands, list_has_any({sql.tokens('query')}, ['election', 'voter', 'voting']) AND list_has_any({sql.tokens('query')}, ['deadline', 'registration']) AS public FROM q),
+r AS (SELECT p.query_id, pos, host, public, list_has_any({_labels}, brands) AS brand, {_docs} AND list_has_any({_parts}, brands) AS identity, {_inst} AS inst, least(2, len(list_filter(tokens, lambda t: contains({sql.low('title')}, t)))) AS matches, pos % 3 AS n
+  FROM p JOIN t ON p.query_id = t.query_id WHERE len(list_filter({sql.arr(fixed.GENERIC_HOSTS)}, lambda g: host = g OR ends_with(host, '.' || g))) = 0),
+s AS (SELECT *, 4 * brand::INT + 3 * identity::INT + 2 * inst::INT + matches + n AS score FROM r WHERE CASE WHEN public THEN ends_with(host, '.gov') AND matches >= 1 ELSE ((brand OR identity) AND matches >= 1) OR (inst AND matches >= 2) END),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS k FROM s), u AS (SELECT query_id, score, 'https://' || host || '/' AS url FROM b WHERE k = 1)
+SELECT query_id, CASE WHEN starts_with({HOST}, 'docs.') OR starts_with({HOST}, 'doc.') THEN {HOST} ELSE {REG} END AS host, CAST(score AS INT) AS score FROM u""")
 def a9_official_host(spark, sf_dir):
-    """The site with the highest score among the first twelve rows, earliest on ties (a top-k report)."""
-    p = table(spark, sf_dir, "pages").orderBy("page_id").limit(12).select("page_id", urls.registrable(urls.host(F.col("url"))).alias("site"), F.col("html").contains("the ").alias("m"))
-    g = p.groupBy("site").agg((4 * F.sum(F.col("m").cast("int")) + F.count(F.lit(1))).alias("score"), F.min("page_id").alias("first"))
-    return g.orderBy(F.desc("score"), "first").limit(1).select("site", "score")
+    """The likely official site of every twelve pages, for a question with the first one's name and title."""
+    key = [F.floor(F.col("page_id") / 12).alias("query_id"), (F.col("page_id") % 12).alias("pos")]
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    engines = F.slice(text.words_of(["one", "two"]), 1, (F.col("page_id") % 12 % 3).cast("int"))
+    r = table(spark, sf_dir, "pages").select(*key, "url", title.alias("title"), engines.alias("engines"))
+    named = F.concat(F.lit("official "), F.element_at(F.split(F.regexp_replace(urls.host(urls.parse(F.col("url"))), r"^www\.", ""), "[.]"), -3), F.lit(" "), F.col("title"))
+    return rank.infer_official_host(r.groupBy("query_id").agg(F.min_by(named, "pos").alias("query")), r).select("query_id", "host", F.col("score").cast("int").alias("score"))
 
 
-# ---- merges (M) and joins (J) over documents of two sources, as ranked lists of one query per language
-LISTS = """a AS (SELECT lang AS query_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, 'u' || (doc_id % 97) AS url, doc_id FROM documents WHERE source = 'src1'),
-b AS (SELECT lang AS query_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, 'u' || (doc_id % 97) AS url, doc_id FROM documents WHERE source = 'src2')"""
+# ---- merges (M) and joins (J) over documents, as two ranked lists (by the last digit of the source) of a query for each two hundred of them
+_list = lambda even: f"SELECT doc_id // 200 AS query_id, row_number() OVER (PARTITION BY doc_id // 200 ORDER BY doc_id) - 1 AS pos, 'u' || (doc_id % 97) AS url, doc_id FROM documents WHERE {'' if even else 'NOT '}regexp_matches(coalesce(source, ''), '[02468]$')"
+LISTS = f"a AS ({_list(True)}), b AS ({_list(False)})"
 
 
 def lists(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    pos = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
+    docs = table(spark, sf_dir, "documents").withColumn("query_id", F.floor(F.col("doc_id") / 200))
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1
+    even = F.coalesce("source", F.lit("")).rlike("[02468]$")
 
-    def one(source):
-        return docs.where(F.col("source") == source).select(F.col("lang").alias("query_id"), pos.alias("pos"), F.concat(F.lit("u"), (F.col("doc_id") % 97).cast("string")).alias("url"), "doc_id")
+    def one(mine):
+        return docs.where(mine).select("query_id", pos.alias("pos"), F.concat(F.lit("u"), (F.col("doc_id") % 97).cast("string")).alias("url"), "doc_id")
 
-    return one("src1"), one("src2")
+    return one(even), one(~even)
 
 
 def merged_sql(body: str) -> str:
@@ -151,7 +167,10 @@ def m4_local_merge(spark, sf_dir):
     return merge.local_merge(*lists(spark, sf_dir))
 
 
-@query("m5_manifestations")
+@query("m5_manifestations", f"""WITH {LISTS}, c AS (SELECT *, doc_id % 6 AS cov, max(doc_id % 6) OVER (PARTITION BY query_id) AS best, 4 * (doc_id % 2 = 0)::INT + 2 * (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT AS form FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY form DESC, pos) - 1 AS n FROM c WHERE cov = best),
+m AS (SELECT query_id, url, doc_id, n AS x, 0 AS y FROM k WHERE n < CASE WHEN cov >= 4 AND cov * 3 >= 12 THEN 4 ELSE 1 END UNION ALL SELECT query_id, url, doc_id, pos, 1 FROM a)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x, y) - 1 AS INT) AS pos, url, doc_id FROM m""")
 def m5_manifestations(spark, sf_dir):
     a, b = lists(spark, sf_dir)
     d = F.col("doc_id")
@@ -159,12 +178,20 @@ def m5_manifestations(spark, sf_dir):
     return merge.manifestation_merge(a, found)
 
 
-@query("m6_pool")
+#: Side rows whose address and title are new to their query, after the first primary ones.
+SIDE = f"""s AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY pos) AS u FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = b.query_id AND a.url = b.url)),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id % 13 ORDER BY pos) AS n FROM s WHERE u = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = s.query_id AND a.doc_id % 13 = s.doc_id % 13)),
+m AS (SELECT query_id, pos, url, doc_id, CASE WHEN pos < {fixed.SIDE_POSITION} THEN 0 ELSE 2 END AS x FROM a UNION ALL SELECT query_id, pos, url, doc_id, 1 FROM t WHERE n = 1),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY x, pos) - 1 AS pos, url, doc_id FROM m)"""
+
+
+@query("m6_pool", f"""WITH {LISTS}, {SIDE} SELECT query_id, CAST(pos AS INT) AS pos, url, doc_id, true AS healthy FROM r WHERE pos < 20 AND query_id % 7 <> 3 AND query_id IN (SELECT query_id FROM a)
+UNION ALL SELECT query_id, CAST(pos AS INT), url, doc_id, false FROM b WHERE pos < 20 AND (query_id % 7 = 3 OR query_id NOT IN (SELECT query_id FROM a))""")
 def m6_pool(spark, sf_dir):
     """M6: a query whose primary scan failed has side rows only and is not healthy."""
-    a, b = (x.withColumn("url_key", F.col("url")).withColumn("title_key", F.concat(F.lit("t"), F.col("doc_id") % 13)) for x in lists(spark, sf_dir))
-    healthy = a.select("query_id").distinct().withColumn("healthy", F.col("query_id") != "fr")
-    return merge.pool(a, b, healthy, 20)
+    a, b = (x.withColumn("url_key", F.col("url")).withColumn("title_key", F.col("doc_id") % 13) for x in lists(spark, sf_dir))
+    healthy = a.select("query_id").distinct().withColumn("healthy", F.col("query_id") % 7 != 3)
+    return merge.pool(a, b, healthy, 20).select("query_id", "pos", "url", "doc_id", "healthy")
 
 
 @query("m7_backfill", f"WITH {LISTS}, m AS (SELECT *, 0 AS s FROM a UNION ALL SELECT *, 1 FROM b), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY s, pos) AS n FROM m) WHERE n = 1), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s, pos) - 1 AS pos, url, doc_id FROM o) SELECT query_id, CAST(pos AS INT) AS pos, url, doc_id FROM r WHERE pos < 32")
@@ -197,10 +224,21 @@ def j1_reattach(spark, sf_dir):
     return a.join(meta, ["query_id", "url"], "left").select("query_id", "doc_id", F.coalesce(F.col("n") > 0, F.lit(False)).alias("known"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("j4_replies")
+_equal = "(len(x) > 0 AND len(y) > 0 AND (x = y OR (least(len(x), len(y)) >= 4 AND least(len(x), len(y)) * 4 >= greatest(len(x), len(y)) * 3 AND CASE WHEN len(x) < len(y) THEN y[1:len(x)] = x OR y[len(y) - len(x) + 1:] = x ELSE x[1:len(y)] = y OR x[len(x) - len(y) + 1:] = y END)))"
+
+
+@query("j4_replies", f"""WITH p AS (SELECT page_id, {HOST} AS host, {TITLE} AS title FROM pages), r AS (SELECT page_id // 3 AS g, host, title FROM p WHERE page_id % 3 = 0),
+d AS (SELECT page_id, CASE WHEN page_id % 3 = 2 THEN p.host ELSE r.host END AS host, r.title, page_id % 3 = 0 AS root, {sql.tokens("CASE WHEN page_id % 3 = 0 THEN r.title WHEN page_id % 6 = 1 THEN r.title || ' again' ELSE r.title END")} AS w FROM p JOIN r ON p.page_id // 3 = r.g)
+SELECT root, reply FROM (SELECT a.page_id AS root, b.page_id AS reply, a.w AS x, b.w AS y FROM d a JOIN d b ON a.host = b.host AND a.root AND NOT b.root) WHERE {_equal}""")
 def j4_replies(spark, sf_dir):
-    rows = [(1, "a.org", "Slow parser in release builds", False), (2, "a.org", "Re: Slow parser in release builds", True), (3, "b.org", "Re: Slow parser in release builds", True), (4, "a.org", "Comment on: parser in release builds", True), (5, "a.org", "Other", False)]
-    return dedup.reply_roots(spark.createDataFrame(rows, "doc_id int, host string, title string, source_priority boolean"))
+    """Pages and replies to every third of them, on its own host or another, some with one more word."""
+    p = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("own"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    n = F.col("page_id") % 3
+    g = F.floor(F.col("page_id") / 3).alias("g")
+    roots = p.where(n == 0).select(g, F.col("own").alias("there"), F.col("title").alias("first"))
+    both = p.withColumn("g", F.floor(F.col("page_id") / 3)).join(roots, "g")
+    title = F.when(n == 0, F.col("first")).otherwise(F.concat(F.lit("Re: "), F.col("first"), F.when(F.col("page_id") % 6 == 1, " again").otherwise("")))
+    return dedup.reply_roots(both.select(F.col("page_id").alias("doc_id"), F.when(n == 2, F.col("own")).otherwise(F.col("there")).alias("host"), title.alias("title"), (n > 0).alias("source_priority")))
 
 
 @query("j5_unlabelled", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -209,10 +247,7 @@ def j5_unlabelled(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@query("j6_side_insert", f"""WITH {LISTS}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY pos) AS u FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = b.query_id AND a.url = b.url)),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id % 13 ORDER BY pos) AS n FROM s WHERE u = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = s.query_id AND a.doc_id % 13 = s.doc_id % 13)),
-m AS (SELECT query_id, pos, url, doc_id, CASE WHEN pos < {fixed.SIDE_POSITION} THEN 0 ELSE 2 END AS x FROM a UNION ALL SELECT query_id, pos, url, doc_id, 1 FROM t WHERE n = 1),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY x, pos) - 1 AS pos, url, doc_id FROM m) SELECT query_id, CAST(pos AS INT) AS pos, url, doc_id FROM r WHERE pos < 32""")
+@query("j6_side_insert", f"WITH {LISTS}, {SIDE} SELECT query_id, CAST(pos AS INT) AS pos, url, doc_id FROM r WHERE pos < {fixed.POOL}")
 def j6_side_insert(spark, sf_dir):
     a, b = (x.withColumn("url_key", F.col("url")).withColumn("title_key", F.col("doc_id") % 13) for x in lists(spark, sf_dir))
     return merge.side_insert(a, b, fixed.POOL).select("query_id", "pos", "url", "doc_id")
@@ -268,13 +303,11 @@ def u2_pages_once(spark, sf_dir):
 
 
 # ---- vectors and ranks
-@query("v1_dense_top", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 10), s AS (SELECT query_id, vec_id, round(list_inner_product(list_transform(e, lambda v: CAST(v AS DOUBLE)), list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS score FROM q, embeddings WHERE query_id <> vec_id) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS place FROM s) WHERE place <= 10")
+@query("v1_dense_top", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_inner_product(list_transform(e, lambda v: CAST(v AS DOUBLE)), list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS score FROM q, embeddings WHERE query_id <> vec_id) SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) WHERE place = 1")
 def v1_dense_top(spark, sf_dir):
-    """V1: ten nearest vectors of ten stated queries, which are broadcast."""
+    """V1: the nearest vector of every row whose id is divisible by 50."""
     e = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e")))
-    s = e.join(q, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(vectors.dot(F.col("e"), F.col("embedding")), 6).alias("score"))
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("place <= 10")
+    return dense.nearest(e.where("vec_id % 50 = 0"), e, 1).drop("place")
 
 
 @query("v1_dense_search", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_inner_product(list_transform(e, lambda v: CAST(v AS DOUBLE)), list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS score FROM q, embeddings WHERE query_id <> vec_id) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS place FROM s) WHERE place <= 10")
@@ -342,14 +375,14 @@ def x3_passages(spark, sf_dir):
 
 SCORED_CHUNKS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents),
 c AS (SELECT doc_id, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 100 THEN 1 ELSE CAST(ceil((len(w) - 100) / 80) AS BIGINT) + 1 END)) AS o, w FROM w),
-s AS (SELECT doc_id % 7 AS query_id, doc_id, CAST(o AS INT) AS ordinal, round((CAST('0x' || substr(md5(array_to_string(w[o * 80 + 1:o * 80 + 100], ' ')), 1, 5) AS INT) % 1000) / 1000, 3) AS score FROM c)"""
+s AS (SELECT doc_id // 50 AS query_id, doc_id, CAST(o AS INT) AS ordinal, round((CAST('0x' || substr(md5(array_to_string(w[o * 80 + 1:o * 80 + 100], ' ')), 1, 5) AS INT) % 1000) / 1000, 3) AS score FROM c)"""
 
 
 def chunk_scores(spark, sf_dir):
-    """Chunks of 100 words with scores that their words determine, as candidates of seven queries."""
+    """Chunks of 100 words with scores that their words determine, as candidates of a query for each fifty documents."""
     c = chunking.chunks(table(spark, sf_dir, "documents"), 100, 20)
     number = F.conv(F.substring(F.md5(text.collapse(F.col("text")).cast("binary")), 1, 5), 16, 10).cast("int")
-    return c.select((F.col("doc_id") % 7).alias("query_id"), "doc_id", "ordinal", F.round((number % 1000) / 1000, 3).alias("score"))
+    return c.select(F.floor(F.col("doc_id") / 50).alias("query_id"), "doc_id", "ordinal", F.round((number % 1000) / 1000, 3).alias("score"))
 
 
 @query("w7_best_chunks", f"""WITH {SCORED_CHUNKS},
@@ -376,23 +409,31 @@ def w4_chunk_cap(spark, sf_dir):
 
 @query("w5_documents")
 def w5_documents(spark, sf_dir):
-    """Eight documents of each query, diversified by source and subject."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text.term_set(F.substring_index("text", ".", 1)).alias("subject"))
-    h = hybrid(spark, sf_dir).join(docs, "doc_id").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1)
+    """Eight documents of each query's pool (the best ``POOL`` hits), diversified by source and subject."""
+    h = hybrid(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("n") <= fixed.POOL).drop("n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text.term_set(F.col("text")).alias("subject"))
+    h = h.join(docs, "doc_id").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1)
     h = h.withColumn("exact", F.lit(False)).withColumn("is_anchor", F.lit(False))
     return rank.documents(h.select("query_id", "pos", "doc_id", "score", "source_priority", "upstream_consensus", "exact", "is_anchor", "source", "subject"), 8).drop("subject")
 
 
+#: Questions that candidates are scored for, one for each row by turns.
+ASKED = ["current inflation rate Canada May 2024", "bazel migration case study", "latest release notes 2024"]
+
+
+def candidates(spark, sf_dir):
+    """Pages as candidates: id, query, url, title, snippet, date, dense, evidence, recommendation, named."""
+    k = F.col("page_id")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    dressed = F.concat(turn(["", "Bazel migration case study: ", "Inflation in Canada, May 2024: ", "Old post of 2020: "], k % 4), title)
+    date = F.when(k % 5 < 3, F.date_format(F.date_add(F.lit("2022-01-01").cast("date"), (k % 900).cast("int")), "yyyy-MM-dd"))
+    return table(spark, sf_dir, "pages").where("url is not null").select(k.alias("id"), turn(ASKED, k % len(ASKED)).alias("query"), "url", dressed.alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("snippet"), date.alias("date"), ((k % 10) / 10).alias("dense"), ((k % 7) / 7).alias("evidence"), (k % 2).cast("double").alias("recommendation"), F.when(k % 6 == 0, "example.org").alias("named"))
+
+
 @query("w1_candidate_scores")
 def w1_candidate_scores(spark, sf_dir):
-    """The whole sum for some candidates of one question."""
-    rows = [
-        (1, "https://www.example.gov/canada/inflation", "Inflation in Canada", "The rate in May 2024", "2024-05-20", 0.5, 0.8, 0.0, None),
-        (2, "https://blog.example.com/2020/01/02/x", "Old post", "inflation 2020", None, 0.6, 0.4, 0.0, None),
-        (3, "https://stats.example.org/cpi", "CPI", "", "2024-05-01", 0.4, 0.9, 1.0, "example.org"),
-    ]
-    df = spark.createDataFrame(rows, "id int, url string, title string, snippet string, date string, dense double, evidence double, recommendation double, named string")
-    return df.select("id", F.round(rank.candidate_score(F.lit("current inflation rate Canada May 2024"), F.lit(2024 * 372 + 4 * 31 + 19)), 6).alias("score"))
+    """The whole sum for pages as candidates of three questions by turns."""
+    return candidates(spark, sf_dir).select("id", F.round(rank.candidate_score(F.col("query"), F.lit(2024 * 372 + 4 * 31 + 19)), 6).alias("score"))
 
 
 FLAT = sql.low("array_to_string(" + sql.words("{}") + ", ' ')")
@@ -436,12 +477,15 @@ def w10_contents(spark, sf_dir):
     return budget.allocate(c, "conv_id", "text", "turn", BUDGET)
 
 
-@query("e7_cited_sources")
+_site = lambda u: f"regexp_extract({u}, '^https?://([^/?#]+)', 1)"
+
+
+@query("e7_cited_sources", rf"""WITH RECURSIVE p AS (SELECT page_id, url, {_site('url')} AS site FROM pages WHERE {WEB}),
+l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS href FROM pages),
+o AS (SELECT p.page_id, p.url, site, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href ELSE href END AS target FROM l JOIN p ON l.page_id = p.page_id WHERE href <> ''),
+e AS (SELECT DISTINCT page_id, regexp_replace(target, '#.*$', '') AS target FROM o WHERE regexp_matches(target, '^https?://') AND {_site('target')} = site),
+f(page_id, target, depth) AS (SELECT page_id, target, 1 FROM e UNION SELECT f.page_id, e.target, f.depth + 1 FROM f JOIN p ON p.url = f.target JOIN e ON e.page_id = p.page_id WHERE f.depth < 3)
+SELECT page_id, target AS url, CAST(min(depth) AS INT) AS depth, CAST(round(0.025 * least(len(list_filter(string_split(regexp_extract(target, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> '')), 6), 6) AS DOUBLE) AS score FROM f GROUP BY page_id, target""")
 def e7_cited_sources(spark, sf_dir):
-    """Links to an authority in pages, best by evidence and depth of path."""
-    md = spark.createDataFrame(MARKDOWN, "id int, md string")
-    found = md.select("id", F.posexplode(text.markdown_links(F.col("md"))).alias("pos", "x")).select("id", "pos", "x.label", "x.url")
-    mine = found.where(urls.belongs(urls.host(F.col("url")), F.lit("example.com"))).dropDuplicates(["url"])
-    depth = F.size(F.filter(F.split(urls.path(F.col("url")), "/"), lambda s: s != ""))
-    s = mine.withColumn("score", 0.025 * F.least(depth, F.lit(6)))
-    return s.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("pos")))).where("r = 1").select("id", "label", "url", "score")
+    """Links of pages to their own site, followed three steps where they lead to other pages."""
+    return follow.scored(follow.followed(table(spark, sf_dir, "pages"), 3))
