@@ -1,13 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-A text is lower-cased and read as one sequence of bytes, white space and all.  Two gated recurrent layers read it
-from either end; at every byte position a softmax over both states labels the language.  A document's
+A text is lower-cased and read as bytes, all of them, white space included.  Two gated recurrent layers read it in either
+direction, in overlapping windows; at every byte position a softmax over both states labels the language.  A document's
 probabilities are the means over all its positions.  The network is trained by backpropagation through time on
 a bounded, hashed sample of labelled documents (about ``SAMPLE`` of each language, all of their text).
 
-Positions are computed in windows of about ``WIDE``: a layer starts ``CONTEXT`` bytes before its window (or where the
-text begins), so every label sees at least so many bytes on either side, words before and after included, and a
-text's length changes neither what is read nor the memory that it takes.
+Positions are computed in windows of about ``WIDE``: both states start anew ``CONTEXT`` bytes before (after) each window, or where
+the text begins (ends), so a label sees at least so many bytes on either side, words before and after included, but
+nothing of what is farther away.  A text's length changes neither what is read nor the memory that it takes.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; documents whose language is
 null are not learned from; of languages with equal probabilities the first in alphabetical order is taken; very long

@@ -131,13 +131,12 @@ def sampled(docs: DataFrame) -> DataFrame:
 
     Counts go to the documents by id, source and size; rows that share all three share their counts evenly.
     Counts are broadcast where there are few, else joined."""
-    sized = docs.withColumn("__size", tokens(F.col("text")))
-    got = mix(docs, ["source"]).where("taken > 0")
-    counts = got.groupBy("doc_id", "source", "size").agg(F.round(F.sum("taken") / F.count(F.lit(1)) / F.first("size")).cast("int").alias("__times")).where("__times > 0")
-    counts = common.small(common.materialize(counts, "mix-counts").withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__n"}))
-    on = sized["doc_id"].eqNullSafe(F.col("__id")) & sized["source"].eqNullSafe(F.col("__source")) & (sized["__size"] == F.col("__n"))
-    repeated = sized.join(counts, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return repeated.select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("of"), F.col("source").alias("from"), tokens(F.col("text")).alias("words"))
+    got = mix(docs.select("doc_id", "text", "source"), ["source"]).where("taken > 0")
+    counts = got.groupBy("doc_id", "source", "size").agg(F.round(F.sum("taken") / F.count(F.lit(1)) / F.first("size")).cast("int").alias("times")).where("times > 0")
+    counts = common.small(common.materialize(counts, "mix-counts"))
+    on = packed["of"].eqNullSafe(counts["doc_id"]) & packed["from"].eqNullSafe(counts["source"]) & (packed["words"] == counts["size"])
+    return packed.join(counts, on).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -236,6 +236,14 @@ def test_small_sources_reach_their_targets(spark, monkeypatch):
         assert abs(got[s].taken - got[s].target) <= 0.02 * got[s].target + 2 and got[s].most <= 3
 
 
+def test_whole_documents_keep_columns_of_any_name(spark):
+    given = [(i, "word " * (1 + i % 7), f"s{i % 3}", "a", "b", 1.5) for i in range(60)] + [(None, None, None, "a", "b", None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string, __size string, __id string, `of.times` double")
+    got = mixing.sampled(docs)
+    assert got.columns == docs.columns and {r["__size"] for r in got.collect()} == {"a"}
+    assert {tuple(r) for r in got.collect()} <= set(given)
+
+
 # ---- extraction
 
 ARTICLE = "<article><h1>Title</h1><p>First &amp; <b>bold</b>\n text</p><p>Second<br>line</p><ul><li>one<li>two</ul></article>"
