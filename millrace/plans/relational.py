@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.functions import fixed, text, urls, vectors
+from millrace.functions import fixed, sentences, text, urls, vectors
 from millrace.operators import budget, chunking, dedup, dense, evidence, follow, merge, rank
 from millrace.plans import sql
 from millrace.plans.registry import query, table
@@ -75,6 +75,30 @@ def a3_recommendations(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", evidence.recommends(passage, F.lit("statin"), text.words_of(["uspstf"]), F.lit(2023)).alias("score"))
 
 
+_cut = "coalesce(text, '')"
+for _pattern, _to in sentences.RULES:
+    _cut = f"""regexp_replace({_cut}, '{_pattern.replace("'", "''")}', {" || ".join(f"'{chr(92)}{x}'" if x.isdigit() else f"chr({ord(x)})" for x in _to)}, 'g')"""
+SENTENCES = f"list_filter(list_transform(string_split(replace({_cut}, chr(2), '.'), chr(1)), lambda s: regexp_replace(s, '^[ \\t]+|[ \\t]+$', '', 'g')), lambda s: s <> '')"
+
+
+@query("a3_sentences", f"SELECT doc_id, CAST(len(s) AS INT) AS n, md5(array_to_string(s, chr(10))) AS digest FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)")
+def a3_sentences(spark, sf_dir):
+    """A3: the sentences of all documents."""
+    s = table(spark, sf_dir, "documents").select("doc_id", sentences.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "\n").cast("binary")).alias("digest"))
+
+
+@query("a3_best_sentences", f"""WITH {K_SQL}, s AS (SELECT doc_id, {SENTENCES} AS s FROM documents), e AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM s),
+c AS (SELECT query_id, doc_id, sentence, i, len(list_intersect({sql.tokens('sentence')}, {sql.tokens('query')})) AS n FROM e, k)
+SELECT query_id, doc_id, sentence, CAST(n AS INT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY n DESC, i) AS r FROM c WHERE n > 0) WHERE r = 1""")
+def a3_best_sentences(spark, sf_dir):
+    """A3, A10: of every document with a word of a question, the sentence with the most of them, the first on ties."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences.sentences(F.col("text"))).alias("i", "sentence")).withColumn("ts", text.term_set(F.col("sentence")))
+    each = F.array(*[F.struct(F.lit(q).alias("query_id"), F.size(F.array_intersect("ts", text.words_of(sorted(set(w.lower() for w in words.split()))))).alias("n")) for q, words in LOOKUPS])
+    best = found.select("doc_id", "i", "sentence", F.explode(each).alias("x")).where("x.n > 0").groupBy(F.col("x.query_id").alias("query_id"), "doc_id").agg(F.max_by(F.struct("sentence", "x.n"), F.struct("x.n", -F.col("i"))).alias("b"))
+    return best.select("query_id", "doc_id", "b.sentence", "b.n")
+
+
 @query("a4_added_terms", f"WITH d AS (SELECT doc_id, substr(text, 1, 60) AS e, substr(text, 61) AS c FROM documents) SELECT doc_id, len(list_filter(list_distinct({sql.tokens('e')}), lambda t: list_contains(['the', 'and', 'thanea', 'que', 'der'], t) AND NOT list_contains({sql.tokens('c')}, t))) > 0 AS adds FROM d")
 def a4_added_terms(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("e"), F.expr("substring(text, 61)").alias("c"))
