@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import embed, encoder, fixed
 from millrace.operators import cache, dedup
+from millrace.operators.stored import folder
 from millrace.plans import scalars, search
 from millrace.plans.registry import query, table
+from millrace.sources import answers as stored_answers
 from millrace.sources import markdown, pdf, scans, sinks
 
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -44,6 +46,17 @@ def s1_metasearch(spark, sf_dir):
     return scans.hits(scans.metasearch(answers(spark, sf_dir))).select("query_id", "pos", "url", "title", "date", "snippet", "doi", F.array_join("fetch_urls", " ").alias("places"))
 
 
+@query("s1_stored_scan", "SELECT page_id // 10 AS query_id, count(*) AS results, min(regexp_replace(url, '#.*$', '')) AS first FROM pages WHERE url IS NOT NULL AND page_id // 10 >= 5 GROUP BY 1")
+def s1_stored_scan(spark, sf_dir):
+    """Answers written through the data source, and a scan of some of them with a filter that it takes."""
+    spark.dataSource.register(stored_answers.AnswersSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    path = folder(spark, "answers")
+    answers(spark, sf_dir).repartitionByRange("query_id").write.format("answers").option("path", path).mode("append").save()
+    found = spark.read.format("answers").option("path", path).load().where("query_id >= 5")
+    return scans.hits(scans.metasearch(found)).groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.min("url").alias("first"))
+
+
 _encoded = "replace(replace(replace(url_encode(query), '%20', '+'), '%2A', '*'), '~', '%7E')"
 
 
