@@ -134,10 +134,10 @@ def s16_scripts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(scans.without_scripts(F.col("html"))).alias("n_chars"))
 
 
-#: The article's letters by its marks alone; Markdown's signs and white space do not count.
+#: The article's letters by its marks alone (these references need no semicolon); Markdown's signs and white space do not count.
 ARTICLE = r"regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
 LETTERS = ARTICLE
-for pattern, to in ((r"(?s)<!--.*?-->", ""), ("<[^>]*>", ""), ("&nbsp;", ""), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "\'\'"), ("&#39;", "\'\'"), ("&amp;", "&"), (r"[\s*#`]+", "")):
+for pattern, to in ((r"(?s)<!--.*?-->", ""), ("<[^>]*>", ""), ("&nbsp;", ""), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27;", "\'\'"), ("&#39;", "\'\'"), ("&amp;?", "&"), (r"[\s*#`]+", "")):
     LETTERS = f"regexp_replace({LETTERS}, '{pattern}', '{to}', 'g')"
 
 
