@@ -1,23 +1,66 @@
-"""Text of PDF files: objects, compressed streams, the page tree, and the text operators of page contents.
+"""Text of PDF files: objects, packed streams, the page tree, and the text operators of page contents and of forms in them.
 
-Encrypted files and unknown filters give no text.  Codes of a font become characters by its ToUnicode map, else as the
-western single-byte set.
+Codes of a font become characters by its ToUnicode map, else by its encoding and the glyph names that replace parts of it;
+codes of composite fonts without a map are glyph numbers and give nothing.  Defined cases: encrypted or damaged files and
+those with streams or texts of more than ``MOST_BYTES`` have no text at all (null, never a part of it); streams of pictures
+and other unknown filters are empty.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.sources.filters import FILTERS
+
 OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
 TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|/[^\s()<>\[\]{}/%]*|[\[\]{}]|\(|<|[^\s()<>\[\]{}/%]+")
-#: Bytes that a stream may unpack to, and pages that are read.
+#: The end of a picture's bytes inside page contents.
+PICTURE_END = re.compile(rb"\sEI(?=\s|$)")
+#: Bytes that a stream may unpack to and characters of a file's text; levels of trees.
 MOST_BYTES, DEPTH = 64 << 20, 64
 
+#: Names of glyphs that no rule of ``glyph`` makes.
+GLYPHS = dict(
+    zip(
+        "space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash "
+        "colon semicolon less equal greater question at bracketleft backslash bracketright asciicircum underscore grave braceleft bar "
+        "braceright asciitilde quoteleft quoteright quotedblleft quotedblright endash emdash bullet ellipsis minus germandbls ae AE oe OE "
+        "oslash Oslash dotlessi ff fi fl ffi ffl".split(),
+        [*" !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u2018\u2019\u201c\u201d\u2013\u2014\u2022\u2026\u2212\u00df\u00e6\u00c6\u0153\u0152\u00f8\u00d8\u0131", "ff", "fi", "fl", "ffi", "ffl"],
+        strict=True,
+    )
+)
+#: Accents that follow a letter in the name of a glyph, as combining characters.
+ACCENTS = {"grave": "\u0300", "acute": "\u0301", "circumflex": "\u0302", "tilde": "\u0303", "macron": "\u0304", "breve": "\u0306", "dotaccent": "\u0307", "dieresis": "\u0308", "ring": "\u030a", "hungarumlaut": "\u030b", "caron": "\u030c", "cedilla": "\u0327", "ogonek": "\u0328"}
+#: Encodings by name; others are read as the first.
+ENCODINGS = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman"}
+
+
+def glyph(name: str) -> str:
+    """Characters of a glyph's name; unknown names have none."""
+    parts = name.split(".")[0].split("_")
+    if len(parts) > 1:
+        return "".join(glyph(x) for x in parts)
+    name = parts[0]
+    if len(name) == 1 or name in GLYPHS:
+        return GLYPHS.get(name, name)
+    if m := re.fullmatch(r"uni((?:[0-9A-F]{4})+)|u([0-9A-F]{4,6})", name):
+        if m[1]:
+            return bytes.fromhex(m[1]).decode("utf-16-be", "replace")
+        return chr(int(m[2], 16)) if int(m[2], 16) < 0x110000 else ""
+    if name[1:] in ACCENTS:
+        return unicodedata.normalize("NFC", name[0] + ACCENTS[name[1:]])
+    try:
+        return unicodedata.lookup(f"DIGIT {name.upper()}")
+    except KeyError:
+        return ""
+
 
 class Name(str):
     """A name such as /Type."""
@@ -95,6 +138,9 @@ def parse(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
             value = Reference(stack[-1].pop())
         else:
             value = {b"true": True, b"false": False, b"null": None}.get(t, Word(t))
+            if value == b"ID" and not stack:
+                end = PICTURE_END.search(data, at)
+                at = end.end() if end else len(data)
         if stack:
             stack[-1].append(value)
         else:
@@ -109,6 +155,8 @@ class Document:
         for m in OBJECT.finditer(data):
             self.objects[int(m[1])] = m.end()
         self.packed: dict[int, object] = {}
+        self.readers: dict[int, Callable[[bytes], str]] = {}
+        self.forms: dict[int, str] = {}
         for number in list(self.objects):
             value, stream = self.load(number)
             if isinstance(value, dict) and value.get("Type") == "ObjStm" and stream is not None:
@@ -142,14 +190,13 @@ class Document:
         return None
 
     def unpacked(self, value: dict, raw: bytes) -> bytes:
-        filters = self.get(value.get("Filter")) or []
-        for f in filters if isinstance(filters, list) else [filters]:
-            if self.get(f) not in ("FlateDecode", "Fl"):
+        listed = lambda v: v if isinstance(v, list) else [v]
+        filters = [self.get(f) for f in listed(self.get(value.get("Filter")) or [])]
+        given = [self.get(p) for p in listed(self.get(value.get("DecodeParms")))] + [None] * len(filters)
+        for f, p in zip(filters, given, strict=False):
+            if f not in FILTERS:
                 return b""
-            raw = zlib.decompressobj().decompress(raw, MOST_BYTES)
-        parameters = self.get(value.get("DecodeParms")) or {}
-        if isinstance(parameters, dict) and (parameters.get("Predictor") or 1) > 1:
-            return b""
+            raw = FILTERS[f](raw, {k: self.get(v) for k, v in p.items()} if isinstance(p, dict) else {}, MOST_BYTES)
         return raw
 
     def stream(self, value: object) -> bytes:
@@ -187,12 +234,50 @@ class Document:
         else:
             yield from (v for v in every if isinstance(v, dict) and v.get("Type") == "Page")
 
-    def map_of(self, font: object) -> tuple[int, dict[bytes, str]] | None:
-        """(bytes of a code, code -> characters) of a font's ToUnicode map."""
-        font = self.get(font)
-        if not isinstance(font, dict) or "ToUnicode" not in font:
-            return None
-        raw, out, size = self.stream(font["ToUnicode"]), {}, 1
+    def reader(self, font: object) -> Callable[[bytes], str]:
+        """From codes of a font to characters."""
+        key = int(font) if isinstance(font, Reference) else None
+        if key is None or key not in self.readers:
+            made = self.new_reader(self.get(font))
+            if key is None:
+                return made
+            self.readers[key] = made
+        return self.readers[key]
+
+    def new_reader(self, font: object) -> Callable[[bytes], str]:
+        font = font if isinstance(font, dict) else {}
+        if "ToUnicode" in font:
+            sizes, table = self.map_of(font)
+
+            def mapped(raw: bytes) -> str:
+                out, at = [], 0
+                while at < len(raw):
+                    n = next((n for n in sizes if raw[at : at + n] in table), sizes[0])
+                    out.append(table.get(raw[at : at + n], ""))
+                    at += n
+                return "".join(out)
+
+            return mapped
+        encoding = self.get(font.get("Encoding"))
+        if self.get(font.get("Subtype")) == "Type0":
+            wide = isinstance(encoding, Name) and ("UCS2" in encoding or "UTF16" in encoding)
+            return lambda raw: raw.decode("utf-16-be", "replace") if wide else ""
+        details = encoding if isinstance(encoding, dict) else {}
+        base = self.get(details.get("BaseEncoding")) if details else encoding
+        characters = [bytes([b]).decode(ENCODINGS.get(base, "cp1252"), "replace") for b in range(256)]
+        code = 0
+        for x in self.get(details.get("Differences")) or []:
+            if isinstance(x, Name):
+                if code < 256:
+                    characters[code] = glyph(x)
+                code += 1
+            elif type(x) is int and x >= 0:
+                code = x
+        return lambda raw: "".join(characters[b] for b in raw)
+
+    def map_of(self, font: dict) -> tuple[list[int], dict[bytes, str]]:
+        """(bytes that a code may have, code -> characters) of a font's ToUnicode map."""
+        raw, out, sizes = self.stream(font["ToUnicode"]), {}, set()
         items = [v for v, _ in parse(raw)]
         text = lambda b: b.decode("utf-16-be", "replace")
         at = 0
@@ -204,7 +289,7 @@ class Document:
             while at + 1 < len(items) and isinstance(items[at], bytes) and not isinstance(items[at], Word):
                 low, high = items[at], items[at + 1]
                 at += 2
-                size = max(size, len(low))
+                sizes.add(max(len(low), 1))
                 if kind == b"beginbfchar":
                     out[low] = text(high)
                 elif kind == b"beginbfrange" and at < len(items):
@@ -217,30 +302,38 @@ class Document:
                             out[code] = text(to[k]) if k < len(to) else ""
                         else:
                             out[code] = text(to[:-2] + (int.from_bytes(to[-2:], "big") + k & 0xFFFF).to_bytes(2, "big"))
-        return size, out
+        return sorted(sizes) or [1], out
 
     def page_text(self, page: dict) -> str:
-        resources = self.get(page.get("Resources")) or {}
-        fonts = self.get(resources.get("Font")) or {} if isinstance(resources, dict) else {}
-        maps: dict[str, tuple[int, dict[bytes, str]] | None] = {}
-        lines, line, stack, font, y = [], [], [], None, None
+        contents = page.get("Contents")
+        return self.text_in(self.stream(contents) if isinstance(contents, (Reference, list)) else b"", page.get("Resources"))
+
+    def form_text(self, form: object, above: object) -> str:
+        """Text of a form that page contents draw; one that draws itself adds nothing there."""
+        if not isinstance(form, Reference):
+            return ""
+        if form not in self.forms:
+            self.forms[form] = ""
+            head = self.get(form)
+            if isinstance(head, dict) and head.get("Subtype") == "Form":
+                self.forms[form] = self.text_in(self.stream(form), head.get("Resources", above))
+        return self.forms[form]
+
+    def text_in(self, content: bytes, given: object) -> str:
+        resources = self.get(given)
+        fonts, drawn = ((self.get(resources.get(k)) if isinstance(resources, dict) else None) or {} for k in ("Font", "XObject"))
+        lines, line, stack, font, y, size = [], [], [], None, None, 0
 
         def shown(raw: object) -> None:
-            if not isinstance(raw, bytes):
-                return
-            known = maps.setdefault(font, self.map_of(fonts.get(font))) if font else None
-            if known:
-                n, table = known
-                line.append("".join(table.get(raw[i : i + n], "") for i in range(0, len(raw), n)))
-            else:
-                line.append(raw.decode("cp1252", "replace"))
+            if isinstance(raw, bytes):
+                line.append(self.reader(fonts.get(font))(raw))
 
         def ended() -> None:
             if "".join(line).strip():
                 lines.append(" ".join("".join(line).split()))
             line.clear()
 
-        for value, _ in parse(self.stream(page.get("Contents")) if isinstance(page.get("Contents"), (Reference, list)) else b""):
+        for value, _ in parse(content):
             if not isinstance(value, Word):
                 stack.append(value)
                 continue
@@ -266,6 +359,14 @@ class Document:
                 y = stack[-1]
             elif op == b"ET":
                 line.append(" ")
+            elif op == b"Do" and stack and isinstance(stack[-1], Name):
+                inner = self.form_text(drawn.get(stack[-1]), given)
+                if inner:
+                    ended()
+                    lines.append(inner)
+                    size += len(inner)
+                    if size > MOST_BYTES:
+                        raise ValueError("forms draw too much text")
             stack.clear()
         ended()
         return "\n".join(lines)
