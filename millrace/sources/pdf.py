@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 
 from millrace.sources.filters import FILTERS
 
-OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
+OBJECT = re.compile(rb"(?<!\d)(\d{1,10})\s+\d{1,5}\s+obj\b")
 TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|/[^\s()<>\[\]{}/%]*|[\[\]{}]|\(|<|[^\s()<>\[\]{}/%]+")
+STREAM = re.compile(rb"\s*stream\r?\n")
 #: The end of a picture's bytes inside page contents.
 PICTURE_END = re.compile(rb"\sEI(?=\s|$)")
 #: Bytes that a stream may unpack to and characters of a file's text; levels of trees.
@@ -149,11 +150,16 @@ def parse(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
 
 class Document:
     def __init__(self, data: bytes):
-        self.data, self.objects = data, {}
+        self.data = data
         if b"/Encrypt" in data:
             raise ValueError("the file is encrypted")
-        for m in OBJECT.finditer(data):
-            self.objects[int(m[1])] = m.end()
+        found = [(int(m[1]), m.end()) for m in OBJECT.finditer(data)]
+        self.objects, kept, until = dict(found), {}, 0  # all of them, to look lengths up
+        for number, at in found:
+            if at >= until:  # what looks like an object inside a stream is none
+                kept[number] = at
+                until = self.read(at)[2]
+        self.objects = kept
         self.packed: dict[int, object] = {}
         self.readers: dict[int, Callable[[bytes], str]] = {}
         self.forms: dict[int, str] = {}
@@ -169,18 +175,23 @@ class Document:
         """(value, raw stream) of an object."""
         if number not in self.objects:
             return self.packed.get(number) if number in self.packed else None, None
-        value, at = next(parse(self.data, self.objects[number]), (None, 0))
+        value, start, end = self.read(self.objects[number])
+        return value, self.data[start:end] if start else None
+
+    def read(self, at: int) -> tuple[object, int, int]:
+        """(value, where its stream starts, where it ends) of the object at a place; without a stream both are 0."""
+        value, at = next(parse(self.data, at), (None, 0))
         if type(value) is int:  # an object that is a reference only
-            return None, None
-        m = re.compile(rb"\s*stream\r?\n").match(self.data, at) if isinstance(value, dict) else None
+            return None, 0, 0
+        m = STREAM.match(self.data, at) if isinstance(value, dict) else None
         if not m:
-            return value, None
+            return value, 0, 0
         size = value.get("Length")
         size = self.load(size)[0] if isinstance(size, Reference) else size
         if type(size) is not int or not re.match(rb"\s*endstream", self.data[m.end() + size : m.end() + size + 20]):
             end = self.data.find(b"endstream", m.end())
             size = (end if end >= 0 else len(self.data)) - m.end()
-        return value, self.data[m.end() : m.end() + size]
+        return value, m.end(), m.end() + size
 
     def get(self, value: object):
         for _ in range(DEPTH):

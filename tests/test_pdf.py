@@ -189,6 +189,11 @@ def test_objects_in_packed_streams():
     assert pdf.text_of(data) == "packed"
 
 
+def test_objects_inside_a_stream_are_none():
+    assert pdf.text_of(file_of(b"BT (4 0 obj << /Length 3 >> endobj 1 0 obj 7 endobj) Tj ET")) == "4 0 obj << /Length 3 >> endobj 1 0 obj 7 endobj"
+    assert pdf.text_of(file_of(b"BT (later) Tj ET") + b"\n4 0 obj<</Length 18>>\nstream\nBT (changed) Tj ET\nendstream endobj") == "changed"
+
+
 MAP = b"2 begincodespacerange <00> <7f> <8000> <ffff> endcodespacerange 2 beginbfchar <41> <0061> <8041> <4e2d> endbfchar"
 
 
