@@ -91,38 +91,26 @@ def assembled(ranges: DataFrame, docs: DataFrame) -> DataFrame:
 
 def capped(scored: DataFrame, limit: int = fixed.CHUNKS_SCORED) -> DataFrame:
     """At most ``limit`` chunks of each document: half by lexical score (seeds with a wanted name and their
-    neighbours first), the rest evenly spread.  ``scored``: doc_id, ordinal, lexical, seed.
-
-    The filling order is sequential inside a document, so each document is one Arrow group."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal").reset_index(drop=True)
-        n = len(rows)
-        if n <= limit:
-            return rows
-        quota, chosen = -(-limit // 2), []
-        ranked = [i for i in sorted(range(n), key=lambda i: (-rows.lexical[i], i)) if rows.lexical[i] > 0]
-        seeds = [i for i in ranked if rows.seed[i]][:quota]
-        chosen += seeds
-        for d in range(1, n):
-            for s in seeds:
-                for i in (s + d, s - d):
-                    if len(chosen) < quota and 0 <= i < n and i not in chosen:
-                        chosen.append(i)
-            if len(chosen) >= quota or not seeds:
-                break
-        for i in ranked:
-            if len(chosen) < quota and i not in chosen:
-                chosen.append(i)
-        left = limit - len(chosen)
-        for k in range(left):
-            i = (k * (n - 1)) // (left - 1) if left > 1 else n - 1
-            if len(chosen) < limit and i not in chosen:
-                chosen.append(i)
-        for i in range(n):
-            if len(chosen) < limit and i not in chosen:
-                chosen.append(i)
-        return rows.iloc[sorted(chosen)]
-
-    return scored.groupBy("doc_id").applyInPandas(run, scored.schema)
+    neighbours first), the rest evenly spread, then from the start.  ``scored``: doc_id, ordinal, lexical, seed.
+
+    Each rule names chunks in an order; a chunk has the place at which it is first named, and the first places are
+    taken, so that windows over a document say all of it.  Only a document's seeds (half of ``limit``) are gathered."""
+    quota = -(-limit // 2)
+    doc = Window.partitionBy("doc_id")
+    i, n = F.col("__i"), F.col("__n")
+    d = scored.withColumn("__i", F.row_number().over(doc.orderBy("ordinal")) - 1).withColumn("__n", F.count(F.lit(1)).over(doc))
+    ranked = F.coalesce(F.col("lexical") > 0, F.lit(False))
+    seed = ranked & F.coalesce("seed", F.lit(False))
+    d = d.withColumn("__seed", F.row_number().over(doc.orderBy(F.desc(seed), F.desc("lexical"), "__i")))
+    seeds = F.collect_list(F.when(seed & (F.col("__seed") <= quota), F.struct(F.col("__seed").alias("rank"), i.alias("i")))).over(doc)
+    # A seed names itself (distance 0) and its neighbours, the following one before the one in front.
+    near = F.array_min(F.transform(seeds, lambda s: F.struct(F.abs(i - s["i"]).alias("distance"), s["rank"].alias("rank"), (i < s["i"]).alias("front"))))
+    d = d.withColumn("__near", near)
+    named = F.col("__near").isNotNull() | ranked
+    first = F.row_number().over(doc.orderBy(F.desc(named), "__near", F.desc("lexical"), "__i"))
+    d = d.withColumn("__lexical", named & (first <= quota))
+    d = d.withColumn("__left", F.lit(limit) - F.sum(F.col("__lexical").cast("int")).over(doc))
+    # Place k of the spread is the chunk k (n - 1) / (left - 1), rounded down; k is the smallest that reaches this chunk.
+    spread = F.expr("CASE WHEN __left > 1 AND __n > 1 THEN ((__i * (__left - 1) + __n - 2) div (__n - 1)) * (__n - 1) div (__left - 1) = __i ELSE __left = 1 AND __i = __n - 1 END")
+    place = F.row_number().over(doc.orderBy(F.when(F.col("__lexical"), 0).when(spread, 1).otherwise(2), "__i"))
+    return d.withColumn("__place", place).where((n <= limit) | (F.col("__place") <= limit)).select(*scored.columns)

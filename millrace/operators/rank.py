@@ -159,9 +159,17 @@ def documents(scored: DataFrame, limit: int) -> DataFrame:
 def adjacent_chunks(scored: DataFrame, per_document: int = fixed.CHUNKS_PER_DOCUMENT, total: int = fixed.CHUNKS_TOTAL) -> DataFrame:
     """Chunk choice where documents may hold a wanted name (``seed``): those take only neighbouring chunks.
 
-    ``scored``: query_id, doc_id, ordinal, score, seed."""
+    ``scored``: query_id, doc_id, ordinal, score, seed.  Rows that the choice cannot reach are cut before it, so that a
+    query's group has ``total`` documents at most and of each the best chunks, or those near its seed."""
     import pandas as pd
 
+    w = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("seed"), F.desc("score"), "ordinal")
+    head = F.first(F.struct("score", "ordinal", "seed")).over(w)
+    near = F.when(F.col("__head.seed"), F.abs(F.col("ordinal") - F.col("__head.ordinal")) < per_document).otherwise(F.col("__place") <= per_document)
+    reached = scored.withColumn("__head", head).withColumn("__place", F.row_number().over(w)).where(near).withColumn("__score", F.col("__head.score"))
+    heads = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("__score"), "doc_id"))
+    scored = reached.withColumn("__heads", heads).where(F.col("__heads") <= total).select(*scored.columns)
+
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in scored.schema.fields)}, selected int"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -388,7 +388,17 @@ def x4_merged_ranges(spark, sf_dir):
     return chunking.merged(r, "l_orderkey")
 
 
-@query("x3_passages")
+SOLID = r"[\p{L}\p{M}\p{N}]"
+
+
+@query("x3_passages", rf"""WITH d AS (SELECT doc_id, text, length(text) AS n, length(text) > 200 AND regexp_matches(text[81:200], '[^ \t\n\x0B\f\r]') AS two FROM documents WHERE text <> ''),
+r AS (SELECT *, CASE WHEN n > 200 AND NOT two THEN 260 ELSE 80 END AS stop FROM d),
+b AS (SELECT doc_id, unnest(CASE WHEN two THEN [{{'a': 200, 'b': least(n, 260)}}, {{'a': 0, 'b': least(n, stop)}}] ELSE [{{'a': 0, 'b': least(n, stop)}}] END) AS s, two, n, text FROM r),
+c AS (SELECT *, text[s.a + 1:s.b] AS raw, s.a > 0 AND regexp_matches(text[s.a:s.a], '{SOLID}') AND regexp_matches(text[s.a + 1:s.a + 1], '{SOLID}') AS l, regexp_matches(text[s.b:s.b], '{SOLID}') AND regexp_matches(text[s.b + 1:s.b + 1], '{SOLID}') AS e FROM b),
+x AS (SELECT *, CASE WHEN l THEN regexp_replace(raw, '^{SOLID}+', '') ELSE raw END AS x FROM c),
+y AS (SELECT *, {sql.strip("CASE WHEN e THEN regexp_replace(x, '" + SOLID + "+$', '') ELSE x END")} AS y FROM x),
+p AS (SELECT doc_id, any_value(text) AS text, bool_or(two) AS two, max(s.b) AS last, string_agg(CASE WHEN y = '' THEN {sql.strip("raw")} ELSE y END, chr(10) || chr(10) || '…' || chr(10) || chr(10) ORDER BY s.a DESC) AS body FROM y GROUP BY doc_id)
+SELECT doc_id, body || CASE WHEN regexp_matches(text[last + 1:], '[^ \t\n\x0B\f\r]') THEN chr(10) || chr(10) || '…' ELSE '' END AS passage, two OR regexp_matches(text[last + 1:], '[^ \t\n\x0B\f\r]') AS truncated FROM p""")
 def x3_passages(spark, sf_dir):
     """Three spans of each document (two overlap) assembled into a passage."""
     docs = table(spark, sf_dir, "documents")
@@ -425,8 +435,17 @@ def w7_chunk_selection(spark, sf_dir):
     return rank.adjacent_chunks(s)
 
 
-@query("w4_chunk_cap")
+@query("w4_chunk_cap", f"""WITH {SCORED_CHUNKS},
+a AS (SELECT doc_id, ordinal, CASE WHEN score > 0.5 THEN score ELSE 0 END AS lexical, score > 0.97 AS seed, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM s),
+seeds AS (SELECT doc_id, i AS j, row_number() OVER (PARTITION BY doc_id ORDER BY lexical DESC, i) AS rank FROM a WHERE seed QUALIFY rank <= {fixed.CHUNKS_SCORED // 2}),
+near AS (SELECT doc_id, i, min({{'distance': abs(i - j), 'rank': rank, 'front': i < j}}) AS near FROM a JOIN seeds USING (doc_id) GROUP BY ALL),
+named AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY near, lexical DESC, i) AS first FROM a LEFT JOIN near USING (doc_id, i) WHERE near IS NOT NULL OR lexical > 0 QUALIFY first <= {fixed.CHUNKS_SCORED // 2}),
+l AS (SELECT doc_id, {fixed.CHUNKS_SCORED} - count(*) AS rest FROM named GROUP BY doc_id),
+spread AS (SELECT DISTINCT doc_id, k * (n - 1) // (rest - 1) AS i FROM (SELECT doc_id, n, coalesce(rest, {fixed.CHUNKS_SCORED}) AS rest, unnest(range(coalesce(rest, {fixed.CHUNKS_SCORED}))) AS k FROM (SELECT DISTINCT doc_id, n FROM a) LEFT JOIN l USING (doc_id))),
+placed AS (SELECT a.*, row_number() OVER (PARTITION BY a.doc_id ORDER BY CASE WHEN named.i IS NOT NULL THEN 0 WHEN spread.i IS NOT NULL THEN 1 ELSE 2 END, a.i) AS place FROM a LEFT JOIN named USING (doc_id, i) LEFT JOIN spread USING (doc_id, i))
+SELECT doc_id, ordinal, lexical, seed FROM placed WHERE n <= {fixed.CHUNKS_SCORED} OR place <= {fixed.CHUNKS_SCORED}""")
 def w4_chunk_cap(spark, sf_dir):
+    """Eight chunks of each document."""
     s = chunk_scores(spark, sf_dir).select("doc_id", "ordinal", F.when(F.col("score") > 0.5, F.col("score")).otherwise(0.0).alias("lexical"), (F.col("score") > 0.97).alias("seed"))
     return chunking.capped(s)
 
