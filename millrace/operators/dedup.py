@@ -21,8 +21,10 @@ def near_pairs(docs: DataFrame, site: str = "site", subject: str | None = None)
     sets = graph.cut(sets.withColumn("n", F.size("s")))
     each = sets.select("doc_id", "n", F.explode("s").alias("h"))
     seen = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(seen, "h").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "h")))
-    prefix = ranked.where((F.col("df") > 1) & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)).select("doc_id", "n", "h")
+    # Shingles of a single document come first in the order; they are counted, not joined: c of a document's n have others.
+    doc = Window.partitionBy("doc_id")
+    ranked = each.join(seen.where("df > 1"), "h").withColumn("c", F.count(F.lit(1)).over(doc)).withColumn("r", F.row_number().over(doc.orderBy("df", "h")))
+    prefix = ranked.where(F.col("r") <= F.col("c") - F.ceil(F.col("n") * least) + 1).select("doc_id", "n", "h")
     fits = (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")) & (F.col("x.doc_id") < F.col("y.doc_id"))
     found = prefix.alias("x").join(prefix.alias("y"), F.col("x.h") == F.col("y.h")).where(fits)
     pairs = found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
