@@ -99,48 +99,62 @@ def manifestation_query(query: Column, title: Column) -> Column:
     return F.when(intent.scholarly(query) & (F.size(text.tokens(title)) >= 4), F.trim(F.concat_ws(" ", title, years)))
 
 
-def chosen_category(query: Column, configured: str) -> Column:
-    have = [c.strip() for c in configured.split(",")]
-    preferred = [("news", intent.news(query)), ("science", intent.science(query) & intent.scholarly(query)), ("it", intent.it(query)), ("science", intent.science(query))]
-    out = F.when(F.lit("general" in have), "general")
-    for name, asked in preferred:
-        if name in have:
-            out = out.when(asked, name)
-    return out.otherwise(have[0])
+def wanted(query: Column) -> Column:
+    """Which special categories a query asks for: news, science, it, and science with words of scholars."""
+    return F.struct(F.coalesce(intent.news(query), F.lit(False)).alias("news"), F.coalesce(intent.science(query), F.lit(False)).alias("science"), F.coalesce(intent.it(query), F.lit(False)).alias("it"), F.coalesce(intent.scholarly(query), F.lit(False)).alias("scholarly"))
 
 
-def extra_category(query: Column, configured: str) -> Column:
-    """The category searched besides a general one: news, then science where it is asked for, then it."""
+def extra_category(asked: Column, configured: str) -> Column:
+    """The category searched besides a general one: news, then science where it is asked for, then it.  ``asked``: see ``wanted``."""
     have = [c.strip() for c in configured.split(",")]
     out = F.when(F.lit(False), "")
-    for name, asked in (("news", intent.news(query)), ("science", intent.science(query) & intent.scholarly(query)), ("it", intent.it(query)), ("science", intent.science(query))):
+    for name, asks in (("news", asked["news"]), ("science", asked["science"] & asked["scholarly"]), ("it", asked["it"]), ("science", asked["science"])):
         if name in have:
-            out = out.when(asked, name)
+            out = out.when(asks, name)
     return out
 
 
+def chosen_category(asked: Column, configured: str) -> Column:
+    """The category searched first: general where it is configured, else the one asked for, else the first."""
+    have = [c.strip() for c in configured.split(",")]
+    return F.lit("general") if "general" in have else F.coalesce(extra_category(asked, configured), F.lit(have[0]))
+
+
 def plan(queries: DataFrame, categories: str) -> DataFrame:
-    """``queries`` (query_id, query) with primary_query, categories, time_range and up to two supplements."""
+    """``queries`` (query_id, query) with primary_query, categories, time_range and up to two supplements.
+
+    What several rules need is computed once, in columns of its own."""
     q = F.col("query")
-    title = intent.paper_title(q)
-    low = intent.normalized_modifiers(q)
-    host = authority_host(q)
-    source = F.when(intent.strict_source(q) & host.isNotNull(), supplement("source", F.concat(low, F.lit(" site:"), host), host=host, strict=F.lit(True)))
+    found = {
+        "asked": wanted(q),
+        "title": intent.paper_title(q),
+        "plain": intent.normalized_modifiers(q),
+        "site": F.when(intent.strict_source(q), authority_host(q)),
+        "recommended": focused_recommendation(q),
+        "locator": locator_query(q),
+        "place": map_query(q),
+        "technical": focused_technical(q),
+    }
+    known = queries.select(F.struct(*[F.col(f"`{c}`") for c in queries.columns]).alias("row"), F.struct(*[v.alias(k) for k, v in found.items()]).alias("found"))
+    q, found = F.col("row.query"), {k: F.col(f"found.{k}") for k in found}
+    extra = extra_category(found["asked"], categories)
+    known = known.select("*", extra.alias("extra"))
+    extra = F.col("extra")
     rules = [
-        F.when(focused_recommendation(q).isNotNull(), supplement("focused", focused_recommendation(q))),
-        F.when(locator_query(q).isNotNull(), supplement("full_text", locator_query(q))),
+        F.when(found["recommended"].isNotNull(), supplement("focused", found["recommended"])),
+        F.when(found["locator"].isNotNull(), supplement("full_text", found["locator"])),
         F.when(intent.numerical_parity(q), supplement("focused", F.lit("cpu cuda numerical tolerance"))),
         F.when(intent.case_study(q), supplement("focused", focused_case_study(q))),
-        source,
-        F.when(map_query(q).isNotNull() & F.lit("map" in categories), supplement("local", map_query(q), target=F.lit("map"))),
-        F.when(extra_category(q, categories) == "news", supplement("specialist", intent.normalized_news(q), target=F.lit("news"))),
-        F.when(extra_category(q, categories) != "news", supplement("specialist", F.coalesce(F.when(intent.it(q), focused_technical(q)), low), target=extra_category(q, categories))),
+        F.when(found["site"].isNotNull(), supplement("source", F.concat(found["plain"], F.lit(" site:"), found["site"]), host=found["site"], strict=F.lit(True))),
+        F.when(found["place"].isNotNull() & F.lit("map" in categories), supplement("local", found["place"], target=F.lit("map"))),
+        F.when(extra == "news", supplement("specialist", intent.normalized_news(q), target=F.lit("news"))),
+        F.when(extra != "news", supplement("specialist", F.coalesce(F.when(found["asked"]["it"], found["technical"]), found["plain"]), target=extra)),
     ]
-    found = F.slice(F.filter(F.array(*rules), lambda r: r.isNotNull()), 1, 2)
-    return queries.select(
-        "*",
-        F.coalesce(F.concat(F.lit('"'), title, F.lit('"')), q).alias("primary_query"),
-        chosen_category(q, categories).alias("categories"),
-        F.when(extra_category(q, categories) == "news", intent.freshness_window(q)).alias("time_range"),
-        found.cast(SUPPLEMENT).alias("supplements"),
+    chosen = F.slice(F.filter(F.array(*rules), lambda r: r.isNotNull()), 1, 2)
+    return known.select(
+        "row.*",
+        F.coalesce(F.concat(F.lit('"'), found["title"], F.lit('"')), q).alias("primary_query"),
+        chosen_category(found["asked"], categories).alias("categories"),
+        F.when(extra == "news", intent.freshness_window(q)).alias("time_range"),
+        chosen.cast(SUPPLEMENT).alias("supplements"),
     )

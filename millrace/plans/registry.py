@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from millrace.plans import flow, indexed, relational, scalars  # noqa: F401
+    from millrace.plans import asked, flow, indexed, relational, scalars  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -513,7 +513,14 @@ _exact = rf"""(len(list_filter({_quoted}, lambda v: len({_tok}) >= 3 AND (list_h
   OR regexp_matches(' ' || query || ' ', '[^\p{{L}}\p{{N}}](?:{"|".join(fixed.ERROR_CODE_PREFIXES)})[0-9]{{3,5}}[^\p{{L}}\p{{N}}]')
   OR len(list_filter(list_transform({sql.words('query')}, lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}_:]+|[^\p{{L}}\p{{N}}_:]+$', '', 'g')), lambda w: regexp_matches(w, '_|::') AND length(regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 2)) > 0)"""
 _cased = r"len(list_filter(regexp_split_to_array(query, '[^\p{L}\p{N}]+'), lambda v: regexp_matches(v, '[a-z]') AND regexp_matches(substr(v, 2), '[A-Z]'))) > 0"
-_it = f"({_exact} OR {any_of(fixed.STRONG_BRANDS)} OR {_contains('query', fixed.BRAND_SPELLINGS)} OR ({any_of(fixed.AMBIGUOUS_BRANDS)} AND ({any_of(fixed.TECHNICAL_CONTEXT)} OR contains(query, '::') OR contains(query, '_') OR {_cased})))"
+
+
+def it_sql(exact: str) -> str:
+    """Is a question about information technology, given whether it asks for an exact name?"""
+    return f"({exact} OR {any_of(fixed.STRONG_BRANDS)} OR {_contains('query', fixed.BRAND_SPELLINGS)} OR ({any_of(fixed.AMBIGUOUS_BRANDS)} AND ({any_of(fixed.TECHNICAL_CONTEXT)} OR contains(query, '::') OR contains(query, '_') OR {_cased})))"
+
+
+_it = it_sql(_exact)
 _strict = f"({any_of(['arxiv', 'official'])} OR ({FULL}) OR (list_contains({TOK}, 'original') AND {any_of(['disclosure', 'paper'])}) OR {STRICT_PHRASE})"
 
 
@@ -529,27 +536,6 @@ def p1_it_and_news(spark, sf_dir):
 register("p6_documentation", lambda: intent.documentation(F.col("query")), f"list_has_any({TOK}, {sql.arr(fixed.DOCUMENTATION_WORDS)})")
 
 
-@query("p8_reservations")
-def p8_reservations(spark, sf_dir):
-    """P6, P8, P9, Q20, S21, U12, W2."""
-    from millrace.operators import planner, rank
-    from millrace.sources import scans
-
-    named = planner.authority_host(F.col("query"))
-    page = F.lit("https://docs.rs/tokio/latest")
-    number = (F.col("query_id") % 1000).cast("string")
-    return questions(spark, sf_dir).select(
-        "query_id",
-        named.alias("named"),
-        intent.reserves_authority(F.col("query"), named).alias("reserves"),
-        intent.source(F.col("query")).alias("source"),
-        intent.asks_questions(F.col("query")).alias("asks"),
-        rank.project_scope(F.col("query"), page).alias("scope"),
-        scans.printer_url(F.concat(F.lit("https://stackoverflow.com/questions/"), number)).alias("printer"),
-        scans.is_wall(F.lit("https://www.reddit.com/login"), F.lit("")).alias("wall"),
-    )
-
-
 # ---- rewrites (Q)
 register("q14_modifiers", lambda: intent.normalized_modifiers(F.col("query")),
          rf"CASE WHEN len(list_filter({sql.words('query')}, lambda w: NOT list_contains({sql.arr(fixed.MODIFIERS)}, {sql.low('''regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')''')}))) = 0 THEN query ELSE array_to_string(list_filter({sql.words('query')}, lambda w: NOT list_contains({sql.arr(fixed.MODIFIERS)}, {sql.low('''regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')''')})), ' ') END")
@@ -557,20 +543,6 @@ register("q3_compiler_code", lambda: intent.strict_code(F.col("query")), r"nulli
 register("q4_loose_code", lambda: intent.loose_code(F.col("query")), r"nullif(regexp_extract(' ' || query || ' ', '[^\p{L}\p{N}]([A-Za-z]{1,4}[0-9]{3,5})[^\p{L}\p{N}]', 1), '')")
 
 
-@query("q1_rewrites")
-def q1_rewrites(spark, sf_dir):
-    """Q1, Q2, Q5, Q12, Q15, Q19, Q21."""
-    return questions(spark, sf_dir).select("query_id", intent.exact_identifier(F.col("query")).alias("exact"), intent.quoted_diagnostic(F.col("query")).alias("diagnostic"), intent.quoted_phrase(F.col("query")).alias("phrase"), intent.normalized_news(F.col("query")).alias("news"), intent.issue_query(F.col("query")).alias("issue"), intent.paper_title(F.col("query")).alias("paper"))
-
-
-@query("q6_plans")
-def q6_plans(spark, sf_dir):
-    """Q6 to Q11, Q13, Q16 to Q18, Q20, Q22: which scans a query asks for."""
-    from millrace.operators import planner
-
-    return planner.plan(questions(spark, sf_dir), "general, it, science, news, map").select("query_id", "primary_query", "categories", F.to_json("supplements").alias("supplements"))
-
-
 # ---- vectors (V)
 E = "list_transform(embedding, lambda v: CAST(v AS DOUBLE))"
 
