@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from millrace.functions import fixed, intent, text
 
 SUPPLEMENT = "array<struct<kind:string,query:string,target:string,host:string,strict:boolean>>"
-#: Order in which a category is chosen as the primary one.
-PREFERENCE = ("general", "news", "it", "science")
 TECHNICAL_FILLER = "a an and are can do does for from how i in into is my of on or should the to using what when why with".split()
 RECOMMENDATION_KINDS = {"guideline": "Guideline", "guidelines": "Guideline", "recommendation": "Recommendation", "recommendations": "Recommendation", "standards": "Standards"}
 DOCUMENT_KINDS = "api docs documentation guide manual notes reference release releases spec specification standard tutorial".split()

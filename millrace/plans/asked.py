@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import fixed, intent
 from millrace.operators import planner, rank
 from millrace.plans import scalars, sql
-from millrace.plans.registry import query
+from millrace.plans.registry import query, table
 from millrace.plans.scalars import FRESH, FULL, Q_SQL, any_of, pair_of
 from millrace.sources import scans
 
@@ -47,8 +47,7 @@ _year = lambda x: f"coalesce(regexp_full_match({x}, '[0-9]{{4}}') AND TRY_CAST({
 _dated = f"({_day('b[i + 1]')} OR {_year('b[i + 1]')} OR (i > 1 AND coalesce({among('b[i - 1]', fixed.DATE_INTRODUCTIONS)}, false)))"
 
 #: Of each question: tokens t, words w, bare lower-cased words b, and the pieces that rewrites are made of.
-PARTS = f"""{Q_SQL},
-q1 AS (SELECT *, {scalars.TOK} AS t, {sql.words('query')} AS w, regexp_extract_all(query, '"([^"]*)"', 1) AS quotes FROM q),
+PIECES = f"""q1 AS (SELECT *, {scalars.TOK} AS t, {sql.words('query')} AS w, regexp_extract_all(query, '"([^"]*)"', 1) AS quotes FROM q),
 q2 AS (SELECT *, {each('w', sql.low(edged('v')))} AS b, {each('w', edged('v'))} AS bare, {each('w', edged('v', '_:'))} AS names, {kept('quotes', _good)}[1] AS diagnostic,
   CASE WHEN length({sql.strip('quotes[1]')}) >= 4 THEN {sql.strip('quotes[1]')} END AS phrase, {_code} AS code FROM q1),
 q3 AS (SELECT *, {kept('names', _name)}[1] AS name, list_transform(w, lambda v, i: coalesce({among('b[i]', fixed.MONTHS)} AND {_dated}, false)) AS months FROM q2),
@@ -61,6 +60,7 @@ q6 AS (SELECT *, CASE WHEN diagnostic IS NOT NULL THEN {compacted('diagnostic',
   {_or_query(kept('w', f"NOT {among('b[i]', fixed.MODIFIERS)}"))} AS plain, {kept('w', f"NOT {among('b[i]', fixed.PAPER_MARKERS)}")} AS titled FROM q5),
 q7 AS (SELECT *, CASE WHEN (contains({sql.low('query')}, 'original paper') OR (list_contains(t, 'arxiv') AND list_contains(t, 'paper') AND NOT {any_of(fixed.EXPLORATORY, 't')})) AND len(titled) >= 3 THEN array_to_string(titled, ' ') END AS paper,
   list_contains(t, 'cpu') AND list_contains(t, 'cuda') AND {any_of(['drift', 'reproducibility'], 't')} AND {any_of(['numerical', 'tolerance'], 't')} AS parity FROM q6)"""
+PARTS = f"{Q_SQL},\n{PIECES}"
 
 PARITY = "'cpu cuda numerical tolerance'"
 
@@ -92,9 +92,10 @@ SITE = f"""CASE WHEN contains({sql.low('query')}, 'next.js') THEN 'nextjs.org' W
   {" ".join(_sites)} WHEN {occurs('rfc')} AND len({kept('t', "regexp_full_match(v, '[0-9]+')")}) > 0 THEN 'rfc-editor.org'
   ELSE coalesce(CASE {kept('t', among('v', fixed.SINGLE_WORD_SITES))}[1] {_single} END,
     CASE WHEN {occurs('world+health+organization|world+health+organisation')} OR list_contains(regexp_split_to_array(query, '[^{ALNUM}]+'), 'WHO') THEN 'who.int' END) END"""
-INTENT = f"""{PARTS},
+INTENDED = f"""{PIECES},
 q8 AS (SELECT *, {IT} AS it, ' ' || array_to_string(t, ' ') || ' ' AS flat, {DIAGNOSED} AS diagnosed FROM q7),
 q9 AS (SELECT *, {NEWS} AS news, {SITE} AS site FROM q8)"""
+INTENT = f"{Q_SQL},\n{INTENDED}"
 
 _terms = kept("t", f"strlen(v) >= 3 AND NOT {among('v', fixed.IDENTITY_STOP)}")
 
@@ -164,3 +165,67 @@ p3 AS (SELECT *, [
 def q6_plans(spark, sf_dir):
     """Q6 to Q11, Q13, Q16 to Q18, Q20, Q22: which scans a query asks for."""
     return planner.plan(scalars.questions(spark, sf_dir), "general, it, science, news, map").select("query_id", "primary_query", "categories", F.to_json("supplements").alias("supplements"))
+
+
+# ---- candidates
+#: Questions that candidates are scored for, one for each row by turns, what stands before their titles, and the newest date.
+ASKED = ["current inflation rate Canada May 2024", "bazel migration case study", "latest release notes 2024"]
+TITLED = ["", "Bazel migration case study: ", "Inflation in Canada, May 2024: ", "Old post of 2020: "]
+NEWEST = 2024 * 372 + 4 * 31 + 19
+
+
+def candidates(spark, sf_dir):
+    """Pages as candidates: id, query, url, title, snippet, date, dense, evidence, recommendation, named."""
+    k = F.col("page_id")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    dressed = F.concat(scalars.turn(TITLED, k % len(TITLED)), title)
+    date = F.when(k % 5 < 3, F.date_format(F.date_add(F.lit("2022-01-01").cast("date"), (k % 900).cast("int")), "yyyy-MM-dd"))
+    return table(spark, sf_dir, "pages").where("url is not null").select(k.alias("id"), scalars.turn(ASKED, k % len(ASKED)).alias("query"), "url", dressed.alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("snippet"), date.alias("date"), ((k % 10) / 10).alias("dense"), ((k % 7) / 7).alias("evidence"), (k % 2).cast("double").alias("recommendation"), F.when(k % 6 == 0, "example.org").alias("named"))
+
+
+_first = lambda width, value: f"list_filter(list_transform(range(1, len(t) - {width - 2}), lambda i: {value}), lambda v: v IS NOT NULL)[1]"
+_matches = lambda name: f"coalesce(len({_split(name)}) > 0 AND len(list_filter({_split(name)}, lambda v: NOT list_contains(terms, {sql.low('v')}))) = 0, false)"
+_split = lambda name: f"list_filter(regexp_split_to_array({name}, '[^{ALNUM}]+'), lambda v: strlen(v) >= 2 AND v NOT IN ('crate', 'rs'))"
+_urls = scalars._key(*[scalars._int(f"s[i{k}]") for k in ("", " + 1", " + 2")])
+_ends = " OR ".join(f"ends_with(h, '{e}')" for e in (".gov", ".edu", ".int", ".ac.uk"))
+_record = "(h = 'arxiv.org' OR ends_with(h, '.arxiv.org') OR h IN ('doi.org', 'dx.doi.org') OR contains(path, '/doi/'))"
+_package = "CASE WHEN h = 'docs.rs' THEN CASE WHEN s[1] = 'crate' THEN s[2] ELSE s[1] END WHEN s[1] = 'crates' THEN s[2] END"
+SCOPE = f"""CASE WHEN h = 'github.com' AND {_matches('s[2]')} AND asks THEN 0.10 WHEN h = 'github.com' AND {_matches('s[2]')} AND exact IS NOT NULL AND NOT {among('lower(s[2])', fixed.LANGUAGE_REPOSITORIES)} THEN 0.08 WHEN NOT asks THEN 0
+  WHEN h IN ('docs.rs', 'crates.io', 'lib.rs') THEN CASE WHEN coalesce(package, '') = '' THEN 0 WHEN {_matches('package')} THEN 0.12 ELSE -0.18 END WHEN {_matches("string_split(h, '.')[1]")} THEN 0.10 ELSE 0 END"""
+_path_terms = kept("qt", f"strlen(v) >= 3 AND NOT {among('v', fixed.PATH_STOP)} AND contains(lower(path), v)")
+SITE_BONUS = f"""greatest(CASE WHEN ends_with(h, '.gov') AND {any_of(fixed.PUBLIC_INFORMATION, 'qt')} AND list_has_any(string_split(h, '.'), {kept('qt', 'strlen(v) >= 4')}) THEN 0.12 ELSE 0 END,
+  CASE WHEN coalesce(h = named OR ends_with(h, '.' || named), false) THEN CASE WHEN diagnosed AND NOT strict THEN 0.04 ELSE 0.12 END + CASE WHEN len({_path_terms}) >= 2 THEN 0.05 ELSE 0 END
+  WHEN {_ends} OR (research AND {_record}) THEN 0.04 ELSE 0 END)"""
+STUDIED = f"""study AND (list_has_any(list_transform(range(1, len(tt)), lambda i: tt[i] || ' ' || tt[i + 1]), ['case study', 'case studies']) OR (len({kept('tt', "starts_with(v, 'adopt') OR starts_with(v, 'migrat')")}) > 0 AND list_has_any(tt, ['experience', 'journey', 'lessons'])))
+  AND list_has_any(tt, {kept('terms', f"NOT {among('v', fixed.CASE_STUDY_GENERIC)}")})"""
+_stepped = lambda x, steps, rest: "CASE " + " ".join(f"WHEN {x} {test} THEN {v}" for test, v in steps) + f" ELSE {rest} END"
+_studies = scalars._contains("query", ["case study", "case studies"])
+_year_list = "list_filter(list_transform(regexp_extract_all({}, '[0-9]+'), lambda d: TRY_CAST(d AS INT)), lambda y: y BETWEEN 1900 AND 2200)"
+
+#: No question of ``ASKED`` requests a title, so the twin has no exact titles (``t9_exact_titles`` has them).
+SCORES = f"""WITH c AS (SELECT page_id AS id, {sql.arr(ASKED)}[page_id % {len(ASKED)} + 1] AS query, url, {sql.arr(TITLED)}[page_id % {len(TITLED)} + 1] || {scalars.TITLE} AS title, regexp_replace(html, '<[^>]*>', ' ', 'g') AS snippet,
+  CASE WHEN page_id % 5 < 3 THEN DATE '2022-01-01' + CAST(page_id % 900 AS INT) END AS date, page_id % 10 / 10 AS dense, page_id % 7 / 7 AS evidence, page_id % 2 AS recommendation, CASE WHEN page_id % 6 = 0 THEN 'example.org' END AS named FROM pages WHERE url IS NOT NULL),
+q AS (SELECT DISTINCT query AS query_id, query FROM c),
+{INTENDED},
+a AS (SELECT query, exact, diagnosed, t AS qt, {_terms} AS terms, {scalars._strict} AS strict, {ASKS_SOURCE} AS asks, {_studies} AS study, {any_of(fixed.RESEARCH_WORDS)} OR (NOT {_studies} AND {any_of(['study', 'studies'])}) AS research,
+  {any_of(fixed.RECENCY)} OR (list_contains(t, 'current') AND {any_of(fixed.TEMPORAL_NOUNS)}) AS recent, {FRESH} OR {pair_of(['as of'])} AS as_of, {any_of(['timeline', 'history'])} AS timeline,
+  {_first(3, scalars._date)} AS day, {_first(2, scalars._period)} AS month, {_year_list.format('query')}[1] AS year FROM q9),
+m AS (SELECT id, list_filter(regexp_split_to_array(title || ' ' || snippet, '[^{ALNUM}]+'), lambda v: v <> '') AS t FROM c),
+n AS (SELECT id, {_first(2, scalars._period)} AS stated FROM m),
+u AS (SELECT c.*, {scalars.HOST} AS h, {scalars.PATH} AS path, {sql.tokens('title')} AS tt, {_year_list.format("title || ' ' || snippet")} AS years, year(date) * 372 + (month(date) - 1) * 31 + day(date) - 1 AS dated FROM c),
+v AS (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS s FROM u),
+x AS (SELECT *, {_package} AS package, coalesce(dated, list_filter(list_transform(range(1, len(s) - 1), lambda i: {_urls}), lambda v: v IS NOT NULL)[1]) AS hit FROM v),
+y AS (SELECT x.*, a.* EXCLUDE (query), n.stated, {SCOPE} AS scope FROM x JOIN a ON x.query = a.query JOIN n ON x.id = n.id),
+z AS (SELECT *, {NEWEST} - hit AS age, abs(day - hit) AS apart, month - coalesce(stated, dated // 31, hit // 31) AS months_apart FROM y)
+SELECT id, round(CAST(dense + CASE WHEN scope <> 0 THEN scope ELSE {SITE_BONUS} END
+  + CASE WHEN recent AND age IS NOT NULL THEN {_stepped('age', [('<= 31', 0), ('<= 183', -0.015), ('<= 372', -0.03), ('<= 744', -0.06)], -0.10)} ELSE 0 END
+  + {_stepped('apart', [('= 0', 0.12), ('= 1', 0.04)], 0)} + CASE WHEN day IS NULL AND NOT as_of AND months_apart IS NOT NULL THEN {_stepped('months_apart', [('= 0', 0.12), ('= 1', 0.08), ('= 2', -0.04), ('>= 3', -0.10)], -0.03)} ELSE 0 END
+  + {fixed.EVIDENCE_WEIGHT} * evidence + {fixed.RECOMMENDATION_WEIGHT} * recommendation
+  + CASE WHEN (as_of AND NOT timeline) OR year IS NULL THEN 0 WHEN list_contains(years, year) THEN 0.03 WHEN len(list_filter(years, lambda w: w <= year - 2)) > 0 THEN -0.08 ELSE 0 END
+  + CASE WHEN {STUDIED} THEN {fixed.CASE_STUDY_WEIGHT} ELSE 0 END AS DOUBLE), 6) AS score FROM z"""
+
+
+@query("w1_candidate_scores", SCORES)
+def w1_candidate_scores(spark, sf_dir):
+    """The whole sum for pages as candidates of three questions by turns."""
+    return candidates(spark, sf_dir).select("id", F.round(rank.candidate_score(F.col("query"), F.lit(NEWEST)), 6).alias("score"))

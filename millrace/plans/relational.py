@@ -9,7 +9,7 @@ from millrace.functions import fixed, sentences, text, urls, vectors
 from millrace.operators import budget, chunking, dedup, dense, evidence, follow, merge, rank
 from millrace.plans import sql
 from millrace.plans.registry import query, table
-from millrace.plans.scalars import CANONICAL, HOST, QUESTIONS, REG, STATED, TITLE, WEB, stated, turn
+from millrace.plans.scalars import CANONICAL, HOST, REG, STATED, TITLE, WEB, stated, turn
 
 #: Questions in the words of the test documents.
 LOOKUPS = [(1, "hewh and onon hahehe outionre"), (2, "queque de aiauxvi elle tion"), (3, "keit ung enheit der lichkeit nicht")]
@@ -460,25 +460,6 @@ def w5_documents(spark, sf_dir):
     return rank.documents(h.select("query_id", "pos", "doc_id", "score", "source_priority", "upstream_consensus", "exact", "is_anchor", "source", "subject"), 8).drop("subject")
 
 
-#: Questions that candidates are scored for, one for each row by turns.
-ASKED = ["current inflation rate Canada May 2024", "bazel migration case study", "latest release notes 2024"]
-
-
-def candidates(spark, sf_dir):
-    """Pages as candidates: id, query, url, title, snippet, date, dense, evidence, recommendation, named."""
-    k = F.col("page_id")
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    dressed = F.concat(turn(["", "Bazel migration case study: ", "Inflation in Canada, May 2024: ", "Old post of 2020: "], k % 4), title)
-    date = F.when(k % 5 < 3, F.date_format(F.date_add(F.lit("2022-01-01").cast("date"), (k % 900).cast("int")), "yyyy-MM-dd"))
-    return table(spark, sf_dir, "pages").where("url is not null").select(k.alias("id"), turn(ASKED, k % len(ASKED)).alias("query"), "url", dressed.alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("snippet"), date.alias("date"), ((k % 10) / 10).alias("dense"), ((k % 7) / 7).alias("evidence"), (k % 2).cast("double").alias("recommendation"), F.when(k % 6 == 0, "example.org").alias("named"))
-
-
-@query("w1_candidate_scores")
-def w1_candidate_scores(spark, sf_dir):
-    """The whole sum for pages as candidates of three questions by turns."""
-    return candidates(spark, sf_dir).select("id", F.round(rank.candidate_score(F.col("query"), F.lit(2024 * 372 + 4 * 31 + 19)), 6).alias("score"))
-
-
 FLAT = sql.low("array_to_string(" + sql.words("{}") + ", ' ')")
 
 
