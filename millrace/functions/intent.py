@@ -174,7 +174,7 @@ def issuer(query: Column) -> Column:
 def normalized_modifiers(query: Column) -> Column:
     """A query without question words and modifiers; as it is if nothing else is left."""
     kept = F.array_join(F.filter(split_space(query), lambda w: ~ascii_lower(bare(w)).isin(fixed.MODIFIERS)), " ")
-    return F.when(kept == "", query).otherwise(kept)
+    return let(kept, lambda k: F.when(k == "", query).otherwise(k))
 
 
 def is_day(word: Column) -> Column:
@@ -190,21 +190,27 @@ def normalized_news(query: Column) -> Column:
     """A query without news words and dates (a month before a day or year, or after ``in``, ``since`` and the like).
 
     A fold over the words; ``skip`` is 2 after a dropped month (a day or a year may follow), 1 after a day."""
-    ws = split_space(query)
+    return let(let(split_space(query), without_dates), lambda kept: F.when(kept == "", query).otherwise(kept))
+
+
+def without_dates(ws: Column) -> Column:
+    """``normalized_news`` of words, which are bound to a name; empty if none is left."""
+    low = F.transform(ws, lambda w: ascii_lower(bare(w)))
     start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        w = F.get(ws, i)
-        low, after, before = ascii_lower(bare(w)), F.get(ws, i + 1), ascii_lower(bare(F.get(ws, i - 1)))
-        day, year = (acc["skip"] == 2) & is_day(w), (acc["skip"] >= 1) & is_year_word(w)
-        dated = F.coalesce(is_day(after) | is_year_word(after), F.lit(False)) | F.coalesce((i > 0) & before.isin(fixed.DATE_INTRODUCTIONS), F.lit(False))
-        month = low.isin(list(fixed.MONTHS)) & dated
-        out = lambda skip, x: F.struct(F.lit(skip).alias("skip"), x.alias("out"))
-        return F.when(day, out(1, acc["out"])).when(year, out(0, acc["out"])).when(month, out(2, acc["out"])).when(low.isin(fixed.NEWS_DROPPED), out(0, acc["out"])).otherwise(out(0, F.concat(acc["out"], F.array(w))))
+    def kept(words: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            w, after, before = F.get(words["low"], i), F.get(words["low"], i + 1), F.get(words["low"], i - 1)
+            day, year = (acc["skip"] == 2) & is_day(w), (acc["skip"] >= 1) & is_year_word(w)
+            dated = F.coalesce(is_day(after) | is_year_word(after), F.lit(False)) | F.coalesce((i > 0) & before.isin(fixed.DATE_INTRODUCTIONS), F.lit(False))
+            month = w.isin(list(fixed.MONTHS)) & dated
+            out = lambda skip, x: F.struct(F.lit(skip).alias("skip"), x.alias("out"))
+            return F.when(day, out(1, acc["out"])).when(year, out(0, acc["out"])).when(month, out(2, acc["out"])).when(w.isin(fixed.NEWS_DROPPED), out(0, acc["out"])).otherwise(out(0, F.concat(acc["out"], F.array(F.get(words["ws"], i)))))
 
-    at = F.when(F.size(ws) > 0, F.sequence(F.lit(0), F.size(ws) - 1)).otherwise(F.array().cast("array<int>"))
-    kept = F.array_join(F.aggregate(at, start, step)["out"], " ")
-    return F.when(kept == "", query).otherwise(kept)
+        at = F.when(F.size(words["ws"]) > 0, F.sequence(F.lit(0), F.size(words["ws"]) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_join(F.aggregate(at, start, step)["out"], " ")
+
+    return let(F.struct(ws.alias("ws"), low.alias("low")), kept)
 
 
 def paper_title(query: Column) -> Column:

@@ -40,8 +40,9 @@ def focused_recommendation(query: Column) -> Column:
 def focused_case_study(query: Column) -> Column:
     """Up to four distinct names of the query, and what case studies are called."""
     names = F.filter(F.transform(text.split_space(query), intent.bare), lambda w: text.ascii_lower(w).isin(fixed.STRONG_BRANDS) | w.rlike("^[A-Z][a-z]"))
-    first = F.filter(names, lambda w: F.array_position(F.transform(names, F.lower), F.lower(w)) == F.array_position(names, w))
-    return F.concat(F.array_join(F.slice(first, 1, 4), " OR "), F.lit(' (migration OR "case study" OR postmortem)'))
+    first = lambda n: F.filter(n["names"], lambda w: F.array_position(n["low"], F.lower(w)) == F.array_position(n["names"], w))
+    distinct = text.let(names, lambda n: text.let(F.struct(n.alias("names"), F.transform(n, F.lower).alias("low")), first))
+    return F.concat(F.array_join(F.slice(distinct, 1, 4), " OR "), F.lit(' (migration OR "case study" OR postmortem)'))
 
 
 def map_query(query: Column) -> Column:
@@ -66,29 +67,36 @@ def locator_query(query: Column) -> Column:
 
 def authority_host(query: Column) -> Column:
     """The site that a query names, by the first rule that fits; else null."""
-    ts = text.tokens(query)
-    flat = F.concat(F.lit(" "), F.array_join(ts, " "), F.lit(" "))
-
-    def occurs(group: str) -> Column:
-        return flat.rlike(f" (?:{group.replace('+', ' ')}) ")
+    return text.let(F.struct(query.alias("query"), text.tokens(query).alias("tokens"), F.coalesce(intent.has_quoted_diagnostic(query), F.lit(False)).alias("diagnosed")), named_site)
 
-    def fits(rule: str) -> Column:
-        out = F.lit(True)
-        for group in rule.split(" "):
-            out = out & occurs(group)
-        return out
 
+def named_site(given: Column) -> Column:
+    """``authority_host`` of a question's tokens, which are bound to a name."""
+    query, ts, diagnosed = given["query"], given["tokens"], given["diagnosed"]
     low = text.ascii_lower(query)
-    out = F.when(low.contains("next.js"), "nextjs.org").when(occurs("pip") & low.contains("externally-managed-environment"), "packaging.python.org")
-    for rule, host in fixed.DIAGNOSTIC_SITES:
-        out = out.when(intent.has_quoted_diagnostic(query) & fits(rule), host)
-    for rule, host in fixed.NAMED_SITES:
-        out = out.when(fits(rule), host)
-    out = out.when(occurs("rfc") & F.exists(ts, text.is_digits), "rfc-editor.org")
-    single = F.create_map(*[F.lit(v) for pair in fixed.SINGLE_WORD_SITES.items() for v in pair])
-    first = F.get(F.filter(ts, lambda t: t.isin(list(fixed.SINGLE_WORD_SITES))), 0)
-    who = occurs("world+health+organization|world+health+organisation") | F.array_contains(F.split(query, text.NOT_WORD), "WHO")
-    return out.otherwise(F.coalesce(F.try_element_at(single, first), F.when(who, "who.int")))
+
+    def by_rule(flat: Column) -> Column:
+        def occurs(group: str) -> Column:
+            return flat.rlike(f" (?:{group.replace('+', ' ')}) ")
+
+        def fits(rule: str) -> Column:
+            out = F.lit(True)
+            for group in rule.split(" "):
+                out = out & occurs(group)
+            return out
+
+        out = F.when(low.contains("next.js"), "nextjs.org").when(occurs("pip") & low.contains("externally-managed-environment"), "packaging.python.org")
+        for rule, host in fixed.DIAGNOSTIC_SITES:
+            out = out.when(diagnosed & fits(rule), host)
+        for rule, host in fixed.NAMED_SITES:
+            out = out.when(fits(rule), host)
+        out = out.when(occurs("rfc") & F.exists(ts, text.is_digits), "rfc-editor.org")
+        single = F.create_map(*[F.lit(v) for pair in fixed.SINGLE_WORD_SITES.items() for v in pair])
+        first = F.get(F.filter(ts, lambda t: t.isin(list(fixed.SINGLE_WORD_SITES))), 0)
+        who = occurs("world+health+organization|world+health+organisation") | F.array_contains(F.split(query, text.NOT_WORD), "WHO")
+        return out.otherwise(F.coalesce(F.try_element_at(single, first), F.when(who, "who.int")))
+
+    return text.let(F.concat(F.lit(" "), F.array_join(ts, " "), F.lit(" ")), by_rule)
 
 
 def manifestation_query(query: Column, title: Column) -> Column:
