@@ -8,8 +8,7 @@ that slots took.
 
 Blocks of all sources have one size, but a source of fewer than ``LEAST_BLOCKS`` such blocks has smaller ones of its
 own, and accordingly more slots, so that small sources come as near to their targets as large ones.  Shares are
-targets counted in blocks.  The SQL twin has one block size only: it gives the same rows where every source has
-``LEAST_BLOCKS`` blocks of it, or where it is one token.
+targets counted in blocks.  The SQL twin says the same rows, for small sources too.
 
 Everything is DataFrame operations: positions are range-partitioned running totals, so neither a source
 with most of the rows nor one with few makes a large task, and sources are rows of a table, however many.
@@ -157,15 +156,18 @@ s AS (SELECT *, rest / lft > ratio AS stopped FROM p),
 l AS (SELECT min_by(rest / lft, (ratio, pos)) AS level FROM s WHERE NOT stopped),
 t AS (SELECT source, source_size, pos, CASE WHEN stopped THEN CAST(cap AS DOUBLE) ELSE w * level END AS target FROM s, l),
 n AS (SELECT sum(source_size) AS total, greatest(1, least({BLOCK}, sum(source_size) // {SLOTS})) AS block FROM sizes),
-e AS (SELECT t.*, sum(target) OVER (ORDER BY pos) / sum(target) OVER () AS hi, coalesce(sum(target) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS lo,
-  CAST(ceil(source_size / block) AS BIGINT) AS blocks, CAST(sum(source_size) OVER (ORDER BY pos) - source_size AS BIGINT) AS start, max(pos) OVER () AS last FROM t, n),
-slots AS (SELECT i, i * CAST({PHI} AS DOUBLE) - floor(i * CAST({PHI} AS DOUBLE)) AS u FROM n, range(CAST(ceil(total / block) AS BIGINT)) x(i)),
+g AS (SELECT t.*, block, total, CAST(greatest(1, least(block, source_size // {LEAST_BLOCKS})) AS BIGINT) AS own FROM t, n),
+h AS (SELECT *, CAST(ceil(source_size / own) AS BIGINT) AS blocks FROM g),
+f AS (SELECT *, CASE WHEN own = block THEN target ELSE target / source_size * blocks * block END AS share FROM h),
+e AS (SELECT *, sum(share) OVER (ORDER BY pos) / sum(share) OVER () AS hi, coalesce(sum(share) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(share) OVER () AS lo, max(pos) OVER () AS last FROM f),
+m AS (SELECT CAST(ceil((any_value(total) + round(sum(share - target))) / any_value(block)) AS BIGINT) AS many FROM f),
+slots AS (SELECT i, i * CAST({PHI} AS DOUBLE) - floor(i * CAST({PHI} AS DOUBLE)) AS u FROM m, range(many) x(i)),
 ranks AS (SELECT pos, blocks, row_number() OVER (PARTITION BY pos ORDER BY i) - 1 AS rank FROM slots JOIN e ON u >= lo AND (u < hi OR pos = last)),
 uses AS (SELECT pos, rank % blocks AS blk, count(*) AS times FROM ranks WHERE rank < {MOST_REPEATS} * blocks GROUP BY ALL),
-d AS (SELECT doc_id, size, e.source_size, target, pos, blocks, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM base JOIN e ON base.source IS NOT DISTINCT FROM e.source WHERE size > 0),
+d AS (SELECT doc_id, size, e.source_size, target, pos, own, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM base JOIN e ON base.source IS NOT DISTINCT FROM e.source WHERE size > 0),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY pos ORDER BY key, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d),
-c AS (SELECT o.*, unnest(range(CAST(a // block AS BIGINT), CAST((a + size - 1) // block AS BIGINT) + 1)) AS blk, block FROM o, n),
-k AS (SELECT c.pos, a, sum((least(a + size, (c.blk + 1) * block) - greatest(a, c.blk * block)) * times) AS taken FROM c JOIN uses ON uses.pos = c.pos AND uses.blk = c.blk GROUP BY ALL)
+c AS (SELECT o.*, unnest(range(CAST(a // own AS BIGINT), CAST((a + size - 1) // own AS BIGINT) + 1)) AS blk FROM o),
+k AS (SELECT c.pos, a, sum((least(a + size, (c.blk + 1) * own) - greatest(a, c.blk * own)) * times) AS taken FROM c JOIN uses ON uses.pos = c.pos AND uses.blk = c.blk GROUP BY ALL)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM o LEFT JOIN k ON o.pos = k.pos AND o.a = k.a
 UNION ALL SELECT doc_id, 0, sizes.source_size, coalesce(target, 0), 0 FROM base JOIN sizes ON base.source IS NOT DISTINCT FROM sizes.source LEFT JOIN t ON t.source IS NOT DISTINCT FROM sizes.source WHERE size = 0
 """

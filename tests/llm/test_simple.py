@@ -216,6 +216,22 @@ def test_mixing_rules(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_sql_has_the_blocks_of_small_sources(spark):
+    rng = random.Random(8)
+    names = ["a"] * 1500 + ["b"] * 300 + ["c"] * 20 + ["d"] * 3 + [None] * 40
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 90)), s) for i, s in enumerate(names)] + [(5000, None, "a"), (5001, "w " * 3000, "b"), (5002, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "SLOTS", 500)
+        assert mixing.plan(docs)[2] > 64  # far more than a block of c, d or null
+        got = sorted(tuple(r) for r in mixing.mix(docs).collect())
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = sorted(con.sql(mixing.OP5_SQL.replace("// 65536)", "// 500)")).fetchall())
+    assert [(*r[:3], r[4]) for r in got] == [(*r[:3], r[4]) for r in want]
+    assert all(abs(x[3] - y[3]) < 1e-6 for x, y in zip(got, want, strict=True))
+
+
 def test_sampled_rows_follow_the_mixture(spark):
     df = spark.createDataFrame([(i, "w " * 10, "big" if i < 900 else "a") for i in range(1000)], "doc_id long, text string, source string")
     got = {r.source: r.n for r in mixing.sampled(df).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
