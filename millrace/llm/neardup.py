@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from millrace.llm import common, tokens
 
@@ -446,18 +447,21 @@ def representatives(docs: DataFrame) -> DataFrame:
     single = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").join(twice, "doc_id", "left_anti")
     unclear = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(twice, "doc_id", "left_semi"))
 
+    # Whole rows in one column: no name of theirs meets one of ours.
+    packed = unclear.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
         for batch in batches:
             texts = batch.column("text")
             digests = [digest_of(w, i, texts[at + i]) for at, w in tokens.pieces(texts) for i in range(len(w.first) - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "__digest"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(digests, pa.binary())], ["row", "id", "digest"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = unclear.mapInArrow(common.tidy(run), f"{schema}, __digest binary")
-    heads = found.select(F.col("class_id").alias("__id"), F.col("class_digest").alias("__head")).distinct()
-    kept = marked.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__head")), "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
-    return single.unionByName(kept)
+    schema = StructType([packed.schema["row"], packed.schema["id"], StructField("digest", BinaryType())])
+    heads = found.select("class_id", "class_digest").distinct()
+    marked = packed.mapInArrow(common.tidy(run), schema)
+    kept = marked.join(heads, F.col("id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest")), "left_semi").dropDuplicates(["id", "digest"])
+    return single.unionByName(kept.select("row.*"))
 
 
 def op8_neardup(spark, sf_dir: str) -> DataFrame:

@@ -142,3 +142,15 @@ def test_representatives_and_strange_ids(spark):
     kept = sorted(((r.doc_id, r.text) for r in neardup.representatives(df).collect()), key=str)
     assert kept == sorted([(1, same), (2, "other words here entirely now and then"), (5, None)], key=str)
     assert neardup.representatives(df.limit(0)).count() == 0 and neardup.classes(df.limit(0)).count() == 0
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    same, names = "one two three four five six seven eight", ["__digest", "__id", "__head", "row", "id", "digest", "class_id", "class_digest", "key", "n", "signature"]
+    ids = [(1, same), (2, same + "!"), (2, "other words here entirely now and then"), (None, same), (5, None), (5, None), (6, "")]
+    df = spark.createDataFrame([(*x, *[f"{n}{i}" for n in names]) for i, x in enumerate(ids)], ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    got = neardup.representatives(df)
+    assert sorted(got.columns) == sorted(df.columns)
+    given = {tuple(r) for r in df.select(sorted(df.columns)).collect()}
+    kept = [tuple(r) for r in got.select(sorted(df.columns)).collect()]
+    assert len(kept) == len(set(kept)) == 3 and set(kept) <= given
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == [1, 2, 5]
