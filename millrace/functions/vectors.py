@@ -18,6 +18,11 @@ def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """A number to so many digits; what rounds to zero keeps its sign, as IEEE numbers do (a decimal number has none)."""
+    return F.round(F.abs(v), digits) * F.signum(v)
+
+
 def norm(x: Column) -> Column:
     return F.sqrt(dot(x, x))
 

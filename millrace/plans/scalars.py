@@ -555,13 +555,13 @@ def register_vector(name: str, column, body: str):
         return table(spark, sf_dir, "embeddings").select("vec_id", column().alias(out))
 
 
-ROUND = lambda c: F.transform(c, lambda v: F.round(v, 6))
+ROUND = lambda c: F.transform(c, lambda v: vectors.rounded(v, 6))
 register_vector("v6_shortened", lambda: ROUND(vectors.shortened(F.col("embedding"), 16)), f"list_transform({E}[1:16], lambda v: round(v / sqrt(list_inner_product({E}[1:16], {E}[1:16])), 6))")
 register_vector("v12_unary", lambda: ROUND(vectors.unary(F.col("embedding"), F.sin)), f"list_transform({E}, lambda v: round(sin(v), 6))")
 register_vector("v12_gelu", lambda: ROUND(vectors.unary(F.col("embedding"), vectors.gelu)), f"list_transform({E}, lambda v: round(0.5 * v * (1 + tanh(sqrt(2 / pi()) * (v + 0.044715 * v * v * v))), 6))")
 register_vector("v13_binary", lambda: ROUND(vectors.binary(F.transform(F.col("embedding"), lambda v: v.cast("double")), F.array(F.lit(2.5)), lambda a, b: a * b)), f"list_transform({E}, lambda v: round(v * 2.5, 6))")
 register_vector("v14_affine", lambda: ROUND(vectors.affine(F.transform(F.col("embedding"), lambda v: v.cast("double")), 3.0, 1.0)), f"list_transform({E}, lambda v: round(v * 3 + 1, 6))")
-register_vector("v15_total", lambda: F.round(vectors.total(F.col("embedding")), 6), f"round(list_sum({E}), 6)")
+register_vector("v15_total", lambda: vectors.rounded(vectors.total(F.col("embedding")), 6), f"round(list_sum({E}), 6)")
 register_vector("v17_gather", lambda: ROUND(vectors.gather(F.transform(F.col("embedding"), lambda v: v.cast("double")), F.array(F.lit(3), F.lit(0), F.lit(63)))), f"[round({E}[4], 6), round({E}[1], 6), round({E}[64], 6)]")
 register_vector("v18_softmax", lambda: ROUND(vectors.softmax(F.col("embedding"))), f"list_transform({E}, lambda v: round(exp(v - list_max({E})) / list_sum(list_transform({E}, lambda u: exp(u - list_max({E})))), 6))")
 register_vector("v21_cast", lambda: F.transform(F.col("embedding"), lambda v: (v * 1000).cast("int").cast("long")), f"list_transform(embedding, lambda v: CAST(trunc(CAST(v AS FLOAT) * CAST(1000 AS FLOAT)) AS BIGINT))")
