@@ -564,7 +564,7 @@ register_vector("v14_affine", lambda: ROUND(vectors.affine(F.transform(F.col("em
 register_vector("v15_total", lambda: vectors.rounded(vectors.total(F.col("embedding")), 6), f"round(list_sum({E}), 6)")
 register_vector("v17_gather", lambda: ROUND(vectors.gather(F.transform(F.col("embedding"), lambda v: v.cast("double")), F.array(F.lit(3), F.lit(0), F.lit(63)))), f"[round({E}[4], 6), round({E}[1], 6), round({E}[64], 6)]")
 register_vector("v18_softmax", lambda: ROUND(vectors.softmax(F.col("embedding"))), f"list_transform({E}, lambda v: round(exp(v - list_max({E})) / list_sum(list_transform({E}, lambda u: exp(u - list_max({E})))), 6))")
-register_vector("v21_cast", lambda: F.transform(F.col("embedding"), lambda v: (v * 1000).cast("int").cast("long")), f"list_transform(embedding, lambda v: CAST(trunc(CAST(v AS FLOAT) * CAST(1000 AS FLOAT)) AS BIGINT))")
+register_vector("v21_cast", lambda: F.transform(F.col("embedding"), lambda v: (v * F.lit(1000).cast("float")).cast("long")), f"list_transform(embedding, lambda v: CAST(trunc(CAST(v AS FLOAT) * CAST(1000 AS FLOAT)) AS BIGINT))")
 register_vector("v22_narrow", lambda: ROUND(vectors.narrow(F.transform(F.col("embedding"), lambda v: v.cast("double")), 8, 4)), f"list_transform({E}[9:12], lambda v: round(v, 6))")
 
 

@@ -22,7 +22,7 @@ def same_as_sql(spark, folder, name, tables):
     return sorted(exact(tuple(r[c] for c in want.columns)) for r in got.collect()), sorted(map(exact, want.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["v6_shortened", "v12_gelu", "v12_unary", "v13_binary", "v15_total", "v17_gather", "v22_narrow"])
+@pytest.mark.parametrize("name", ["v6_shortened", "v12_gelu", "v12_unary", "v13_binary", "v15_total", "v17_gather", "v21_cast", "v22_narrow"])
 def test_small_negative_numbers_and_floats(spark, tmp_path, name):
     rng = np.random.default_rng(0)
     vectors = np.where(rng.random((300, 64)) < 0.5, rng.normal(0, 3e-7, (300, 64)), (rng.integers(-300, 300, (300, 64)) / 1000).astype(np.float32))
