@@ -262,7 +262,7 @@ def e6_health(spark, sf_dir):
 def s19_pdf(spark, sf_dir):
     """Text of PDF files; the pages' titles and addresses as files of two pages."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), "url")
-    line = lambda c: F.concat(F.lit("BT /F 12 Tf 72 700 Td ("), F.regexp_replace(F.regexp_replace(c, r"[^\x20-\x7e]", "?"), r"([()\\\\])", r"\\\\$1"), F.lit(") Tj ET"))
+    line = lambda c: F.concat(F.lit("BT /F 12 Tf 72 700 Td ("), F.regexp_replace(F.regexp_replace(c, r"[^\x20-\x7e]", "?"), r"([()\\\\])", r"\\$1"), F.lit(") Tj ET"))
     stream = lambda n, c: F.concat(F.lit(f"{n} 0 obj << /Length "), F.octet_length(c).cast("string"), F.lit(" >> stream\n"), c, F.lit("\nendstream endobj\n"))
     head = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 >> endobj\n3 0 obj << /Type /Page /Parent 2 0 R /Contents 5 0 R >> endobj\n4 0 obj << /Type /Page /Parent 2 0 R /Contents 6 0 R >> endobj\n"
     files = p.select("page_id", F.concat(F.lit(head), stream(5, line(F.col("title"))), stream(6, line(F.col("url")))).cast("binary").alias("body"))

@@ -29,3 +29,9 @@ def test_small_negative_numbers_and_floats(spark, tmp_path, name):
     rows = [(i, [struct.unpack("f", struct.pack("f", x))[0] for x in v], 0) for i, v in enumerate(vectors.tolist())]
     got, want = same_as_sql(spark, tmp_path, name, {"embeddings": spark.createDataFrame([*rows, (300, [-1e-9] * 64, 0)], "vec_id long, embedding array<float>, label int")})
     assert got == want
+
+
+def test_brackets_in_pdf_titles(spark, tmp_path):
+    pages = [(1, "https://example.com/(a)", "<title>Call +1 (984) 555 \\ ((now</title>"), (2, "https://example.com/b", "<title>) ok (</title>")]
+    got, want = same_as_sql(spark, tmp_path, "s19_pdf", {"pages": spark.createDataFrame(pages, "page_id long, url string, html string")})
+    assert got == want
