@@ -112,6 +112,6 @@ def test_pages_as_rows(spark):
 
 def test_short_article_beside_a_long_footer():
     foot = "<footer>" + "All rights of the owners reserved. " * 9 + "</footer>"
-    assert m.markdown(f"<article><h1>Title here</h1><p><b>Title here<br></article>{foot}") == "# Title here\n\nTitle here"
+    assert m.markdown(f"<article><h1>Title here</h1><p><b>Title here<br></article>{foot}") == "# Title here\n\n**Title here**"
     assert m.markdown(f"<article><p>Words of an article, of some length.</p></article>{foot}") == "Words of an article, of some length."
     assert "All rights" in m.markdown(f"<form>{foot}<article></article></form>")  # an empty article is none
