@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +167,18 @@ def test_nearest_vectors_of_all_queries(spark, monkeypatch):
     assert not got and dense.nearest(rows.limit(0), rows, 3).count() == 0
 
 
+def test_nearest_vectors_in_bounded_memory():
+    """A whole batch of copies against a whole block of queries."""
+    rng = np.random.default_rng(3)
+    n, vectors = 10_000, rng.normal(size=(8, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(list(vectors[np.arange(n) % 8]))], ["vec_id", "embedding"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(dense.tops(iter([batch] * 2), np.arange(4096) + n, rng.normal(size=(4096, 16)), 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 3 * 4096 and peak < 256 << 20
+
+
 def test_dense_search_has_every_fiftieth_row_as_query(spark, tmp_path):
     e = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(1000)], "vec_id long, embedding array<float>")
     e.write.parquet(f"{tmp_path}/embeddings.parquet")
