@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from millrace.functions import fixed, text
 
 WORD = re.compile(r"\S+")
+#: Characters of windows that are sent on at once.
+HELD = 1 << 20
 
 
 def spans(doc: str, size: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -26,21 +28,33 @@ def spans(doc: str, size: int, overlap: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def packed(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["doc_id", "ordinal", "start", "end", "tokens", "text"])
+
+
+def windows(batches: Iterator[pa.RecordBatch], size: int, overlap: int, tokenizer) -> Iterator[pa.RecordBatch]:
+    """Batches of the windows of (doc_id, text), of about ``HELD`` characters each."""
+    for batch in batches:
+        rows, held = [], 0
+        for doc_id, doc in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time
+            doc = doc.as_py() or ""
+            for i, (a, b, n) in enumerate(tokenizer(doc, size, overlap)):
+                rows.append((doc_id.as_py(), i, a, b, n, doc[a:b]))
+                held += b - a
+                if held >= HELD:
+                    yield packed(rows)
+                    rows, held = [], 0
+        if rows:
+            yield packed(rows)
+
+
 def chunks(docs: DataFrame, size: int = fixed.CHUNK_TOKENS, overlap: int = fixed.OVERLAP_TOKENS, tokenizer=spans) -> DataFrame:
     """(doc_id, ordinal, start, end, tokens, text): windows of each document, in one pass without a shuffle.
 
     ``tokenizer(text, size, overlap)`` gives the spans; the built-in one counts words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc_id, i, a, b, n, doc[a:b]) for i, (a, b, n) in enumerate(tokenizer(doc or "", size, overlap))]
-            if rows:
-                columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["doc_id", "ordinal", "start", "end", "tokens", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ordinal int, start int, end int, tokens int, text string")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: windows(batches, size, overlap, tokenizer), "doc_id long, ordinal int, start int, end int, tokens int, text string")
 
 
 def valid(found: DataFrame, doc: str = "document") -> DataFrame:

@@ -167,6 +167,15 @@ def test_nearest_vectors_of_all_queries(spark, monkeypatch):
     assert not got and dense.nearest(rows.limit(0), rows, 3).count() == 0
 
 
+def test_chunks_are_sent_on_in_small_batches():
+    docs = [(i, "word " * n) for i, n in enumerate([0, 3, 400_000, *[2000] * 500, 1])]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    got = list(chunking.windows(iter([batch]), 512, 64, chunking.spans))
+    assert max(sum(map(len, b["text"].to_pylist())) for b in got) < chunking.HELD + 4096
+    want = [(i, k, t[a:b]) for i, t in docs for k, (a, b, _) in enumerate(chunking.spans(t, 512, 64))]
+    assert [x for b in got for x in zip(*(b[c].to_pylist() for c in ("doc_id", "ordinal", "text")), strict=True)] == want
+
+
 def test_nearest_vectors_in_bounded_memory():
     """A whole batch of copies against a whole block of queries."""
     rng = np.random.default_rng(3)
