@@ -279,14 +279,17 @@ def s19_documents(spark, sf_dir):
     """Whole texts of documents as pages of 16-bit codes, bare or through two filters by turns, and their text again."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shown = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj 0 -12 Td\n")))
-    content = F.concat(F.lit("BT /F 10 Tf\n"), F.array_join(shown, ""), F.lit("ET"))
+    d = d.select("doc_id", F.concat(F.lit("BT /F 10 Tf\n"), F.array_join(shown, ""), F.lit("ET")).alias("content"))  # a column of its own is made once
+    content = F.col("content")
     padded = F.rpad(content, (F.ceil(F.length(content) / 128) * 128).cast("int"), F.lit(" "))
-    runs = F.regexp_replace(padded, "(?s)(.{128})", "\x7f$1")  # 127: the next 128 bytes as they are
+    runs = F.regexp_replace(padded, "(?s).{128}", "\x7f$0")  # 127: the next 128 bytes as they are
     turn = F.col("doc_id") % 3
     body = F.when(turn == 0, content).when(turn == 1, runs).otherwise(F.concat(F.hex(runs), F.lit(">")))
     kind = F.when(turn == 0, "").when(turn == 1, "/Filter /RunLengthDecode").otherwise("/Filter [/AHx /RL]")
     head = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n3 0 obj << /Type /Page /Parent 2 0 R /Contents 5 0 R /Resources << /Font << /F 4 0 R >> >> >> endobj\n4 0 obj << /Type /Font /Subtype /Type0 /Encoding /UniGB-UCS2-H >> endobj\n5 0 obj << "
-    files = d.select("doc_id", F.concat(F.lit(head), kind, F.lit(" /Length "), F.length(body).cast("string"), F.lit(" >> stream\n"), body, F.lit("\nendstream endobj\n")).cast("binary").alias("body"))
+    d = d.select("doc_id", kind.alias("kind"), body.alias("body"))
+    body = F.col("body")
+    files = d.select("doc_id", F.concat(F.lit(head), "kind", F.lit(" /Length "), F.length(body).cast("string"), F.lit(" >> stream\n"), body, F.lit("\nendstream endobj\n")).cast("binary").alias("body"))
     return pdf.extracted(files, "doc_id").select("doc_id", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
 
 

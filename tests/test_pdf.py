@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import pytest
@@ -194,6 +195,28 @@ def test_objects_inside_a_stream_are_none():
     assert pdf.text_of(file_of(b"BT (later) Tj ET") + b"\n4 0 obj<</Length 18>>\nstream\nBT (changed) Tj ET\nendstream endobj") == "changed"
 
 
+def test_objects_are_parsed_once(monkeypatch):
+    places, parse = [], pdf.parse
+
+    def counted(data, at=0):
+        if data.startswith(b"%PDF"):
+            places.append(at)
+        return parse(data, at)
+
+    monkeypatch.setattr(pdf, "parse", counted)
+    assert pdf.text_of(file_of(runs_of(PAGE).hex().encode() + b">", b"/Filter[/AHx/RL]")) == TEXT
+    assert len(places) == len(set(places)) == 4
+
+
+@given(st.lists(st.sampled_from([b"obj", b"endobj", b"1", b"00", b"12345", b" ", b"\n", b"x", b"_"])).map(b"".join))
+def test_heads_of_objects_are_those_read_forwards(data):
+    assert pdf.heads(data) == [(int(m[1]), m.end()) for m in re.finditer(rb"(?<!\d)(\d{1,10})\s+\d{1,5}\s+obj\b", data)]
+
+
+@pytest.mark.parametrize(("shown", "text"), [(b"<4a 4\n b>", "JK"), (b"<4a4>", "J@"), (b"<4axx4b", "JK"), (b"<>", None)])
+def test_strings_in_hexadecimal(shown, text):
+    assert pdf.text_of(file_of(b"BT " + shown + (b" Tj ET" if b">" in shown else b"> Tj"))) == text
+
 MAP = b"2 begincodespacerange <00> <7f> <8000> <ffff> endcodespacerange 2 beginbfchar <41> <0061> <8041> <4e2d> endbfchar"
 
 
