@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import learned, subwords, text, urls
 from millrace.operators import chunking, matching, postings, vectorindex
+from millrace.operators.stored import stored
 from millrace.plans import sql
 from millrace.plans.registry import query, table
 from millrace.plans.relational import SCORE, lookups
@@ -65,6 +66,7 @@ def v3_learned_vectors(spark, sf_dir):
     Directions of equal strength may turn between runs, so the row has what does not depend on that: how many
     numbers a vector has, its length, and which share of the text's weight it holds."""
     docs = table(spark, sf_dir, "documents")
-    found = learned.embed(docs, "doc_id", "text", learned.fit(docs, "doc_id", "text"))
+    rows = stored(learned.counted(learned.features(docs, "doc_id", "text")), "features")
+    found = learned.embedded(rows, "doc_id", learned.fitted(rows))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
     return found.select("doc_id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"), F.round("share", 3).alias("share"))

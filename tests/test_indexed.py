@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import learned, subwords, text
 from millrace.operators import chunking, dedup, dense, evidence, matching, postings, vectorindex
+from millrace.plans import indexed
 
 # ---- inverted index
 
@@ -195,3 +196,26 @@ def test_singular_values_of_a_dense_solver(spark):
     left = np.stack([got[r.key].embedding for r in rows if got[r.key].share])
     assert np.allclose(np.linalg.norm(left, axis=1), 1, atol=1e-5)
     assert text is not None
+
+
+def test_terms_of_learned_vectors_are_made_once(spark, monkeypatch):
+    made, features = [], learned.features
+    monkeypatch.setattr(learned, "features", lambda *a: made.append(a) or features(*a))
+    got = indexed.v3_learned_vectors(spark, "/root/testdata/sf0.001").collect()
+    assert len(made) == 1
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = learned.embed(docs, "doc_id", "text", learned.fit(docs, "doc_id", "text")).collect()
+    assert {r.doc_id: r.share for r in got} == {r.doc_id: pytest.approx(r.share, abs=6e-4) for r in want}
+
+
+def test_gram_matrix_of_texts_with_and_without_terms(spark, monkeypatch):
+    monkeypatch.setattr(learned, "TERMS", 3)  # several slices of a batch
+    terms = [[], [5, 1, 5], [0, 299, 7, 7, 7], [1], [], [299] * 9, []]
+    rows = learned.counted(spark.createDataFrame(list(enumerate(terms)), "key long, terms array<int>").coalesce(1))
+    got = {r.key: (r.features, r.counts) for r in rows.collect()}
+    assert got == {k: (sorted(set(t)), [t.count(f) for f in sorted(set(t))]) for k, t in enumerate(terms)}
+    assert learned.frequencies(rows, 300).tolist() == [sum(f in t for t in terms) for f in range(300)]
+    rarity, right = np.linspace(1, 2, 300), np.random.default_rng(1).standard_normal((300, 4))
+    x = np.array([[np.log1p(t.count(f)) * rarity[f] for f in range(300)] for t in terms])
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    assert np.allclose(learned.gram_times(rows, rarity, right), x.T @ (x @ right))
