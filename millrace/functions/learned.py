@@ -110,7 +110,8 @@ def gram_times(rows: DataFrame, rarity: np.ndarray, right: np.ndarray) -> np.nda
                 held[b] = held.get(b, 0) + np.frombuffer(raw.as_buffer())
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "sums"])
 
-    parts = rows.select("features", "counts").mapInArrow(partial, "block int, sums binary")
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism  # every task sends a whole matrix of sums, so their number does not grow with the rows
+    parts = rows.select("features", "counts").coalesce(tasks).mapInArrow(partial, "block int, sums binary")
     out = np.zeros((blocks, BLOCK * right.shape[1]))
     for r in parts.repartition("block").mapInArrow(whole, "block int, sums binary").collect():  # one row for each block
         out[r.block] += np.frombuffer(bytes(r.sums))
