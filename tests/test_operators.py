@@ -113,6 +113,41 @@ def test_near_links_store_no_sets(spark):
     assert {tuple(r) for r in members.collect()} == {(7, 7), (7, 96)} and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and dedup.spread(once) is once
 
 
+@pytest.mark.parametrize("name", ["a11_representatives", "j3_near_pairs"])
+def test_near_duplicates_store_less_than_the_texts(spark, name):
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before, data = size(), "/root/testdata/sf0.01"
+    assert registry.queries()[name](spark, data).count()
+    assert size() - before < spark.read.parquet(f"{data}/documents.parquet").select(F.sum(F.octet_length("text"))).first()[0] / 2
+
+
+def test_sets_go_to_few_blocks(spark):
+    """Documents that all meet each other: every pair's key is one of both documents', and a document has few keys, not one for each pair."""
+    pairs = spark.createDataFrame(list(itertools.combinations(range(300), 2)), "a long, b long")
+    keyed, to = dedup.blocks(pairs)
+    keys = {r.doc_id: set(r["keys"]) for r in to.collect()}
+    rows = keyed.collect()
+    assert {(r.a, r.b) for r in rows} == set(itertools.combinations(range(300), 2)) and all(r.key in keys[r.a] & keys[r.b] for r in rows)
+    assert len(keys) == 300 and max(map(len, keys.values())) <= 5
+
+
+def test_parities_leave_out_no_pair():
+    rng = np.random.default_rng(2)
+    sets, out = [], 0
+    for n in (40, 63, 64, 65, 120, 500, 1024, 1100):
+        base = rng.integers(-(1 << 63), 1 << 63, n)
+        sets += [base, rng.integers(-(1 << 63), 1 << 63, n), base[n // 20 :], np.concatenate([base, rng.integers(-(1 << 63), 1 << 63, n // 6)])]
+    size = np.array([len(s) for s in sets])
+    bits = dedup.parities(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size).to_pylist()
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        near = len(np.intersect1d(sets[i], sets[j])) * 100 >= 82 * max(size[i], size[j])
+        may = dedup.may_share((int(size[i]), bits[i]), (int(size[j]), bits[j]), 82)
+        assert may or not near
+        out += not may
+    assert out > 400
+
+
 def ranked(spark, rows):
     return spark.createDataFrame(rows, "query_id int, pos int, url string")
 
